@@ -51,7 +51,8 @@ def duration_seconds(start: Column, end: Column, as_of: Column) -> Column:
     """Whole seconds from start to end (``as_of`` for open jobs), never negative; NULL if not started."""
     micros = F.unix_micros(F.coalesce(end, as_of).cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
     # halves round up, as in the displayed figure
-    return F.greatest(F.floor(micros / 1e6 + 0.5), F.lit(0)).cast("long")
+    seconds = F.floor(micros / 1e6 + 0.5).cast("long")
+    return F.when(seconds < 0, F.lit(0)).otherwise(seconds)
 
 
 def duration_text(seconds: Column) -> Column:

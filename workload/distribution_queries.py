@@ -384,8 +384,9 @@ def x03(spark, d):
 
 @query(
     "X08_ngrams",
-    f"""WITH {tb.TOK_LISTS}, w AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(tk) - 1), lambda i: array_to_string(tk[i:i+2], ' '))) AS gram FROM lists)
-SELECT lang, gram, count(*) AS n FROM w GROUP BY ALL""",
+    f"""WITH {tb.TOKS}, w AS (SELECT lang, token || ' ' || lead(token, 1) OVER v || ' ' || lead(token, 2) OVER v AS gram
+  FROM toks WINDOW v AS (PARTITION BY doc_id ORDER BY pos))
+SELECT lang, gram, count(*) AS n FROM (SELECT lang, gram FROM w WHERE gram IS NOT NULL) GROUP BY ALL""",
 )
 def x08(spark, d):
     return ct.ngram_counts(tb.tokenised(spark, d, "lang"), ["lang"], 3).withColumnRenamed("token", "gram")

@@ -140,13 +140,17 @@ def snapshots_of(events: DataFrame) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_events_of(table(spark, sf_dir, "events"))
+
+
+def raw_events_of(events: DataFrame) -> DataFrame:
     """Events in the shape of prompts joined with metrics: each event type fills one figure."""
     value = F.col("value")
 
     def only(name: str) -> Column:
         return F.when(F.col("event_type") == name, value)
 
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("prompt_id"),
         F.col("user_id").alias("model_version_id"),
         F.col("ts").alias("submitted_at"),
@@ -278,6 +282,6 @@ outcomes AS (SELECT model_version_id, condition_id, metric_name, threshold_value
   pc <= 1 OR count(*) FILTER (rk <= pc AND met) >= pc AS count_ok,
   pw <= 0 OR (count(*) FILTER (calculated_at >= (SELECT as_of FROM moment) - to_minutes(CAST(pw AS INT))) > 0
     AND coalesce(bool_and(met) FILTER (calculated_at >= (SELECT as_of FROM moment) - to_minutes(CAST(pw AS INT))), FALSE)) AS window_ok
-  FROM tested GROUP BY ALL),
+  FROM tested GROUP BY model_version_id, condition_id, metric_name, threshold_value, op, pc, pw),
 final AS (SELECT *, current_met AND count_ok AND window_ok AS is_met FROM outcomes)"""
     )
