@@ -37,6 +37,15 @@ def tokens(text: Column) -> Column:
     return F.when(text.isNull() | text.rlike(rf"^{_SPACE}*="), F.array().cast("array<string>")).otherwise(found)
 
 
+def each(array: Column) -> Column:
+    """Array to hand to ``explode``.
+
+    For a bare column Spark adds a filter on its size and pushes it below the projection that computes the array;
+    a tokenising expression would then run twice or more per row. Wrapped, it is evaluated once.
+    """
+    return F.coalesce(array, F.array())
+
+
 def ngrams(sequence: Column, n: int) -> Column:
     """Space-joined windows of ``n`` tokens; none when the sequence is shorter than ``n``."""
     starts = F.sequence(F.lit(1), F.size(sequence) - F.lit(n - 1))

@@ -4,6 +4,9 @@ Snapshots are ``(model_version_id, snapshot_id, period_start, calculated_at, ben
 Conditions are ``(condition_id, metric_name, comparison_operator, threshold_value, persistence_count,
 persistence_window_minutes)``; thresholds and rule items are both turned into conditions, so the history is read
 and ranked once for all of them.
+
+Rule tables carry no broadcast hint: as local or stored tables their size is known to Spark, which broadcasts them
+up to its threshold and otherwise shuffles, splitting the hot metric names by adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import predicates as pr
 from ebbtide.functions import text as tx
-from ebbtide.session import small_table
 
 # Names of metrics a benchmark result can hold as numbers
 BENCHMARK_RESULT_METRICS = [
@@ -73,7 +75,7 @@ def latest_values(snapshots: DataFrame, conditions: DataFrame) -> DataFrame:
     current = _newest(benchmark_snapshots(snapshots), 1).select(
         "model_version_id", F.explode("benchmark").alias("metric_name", "value")
     )
-    joined = current.join(small_table(conditions), "metric_name")
+    joined = current.join(conditions, "metric_name")
     return joined.withColumn("met", pr.condition_met(F.col("value"), F.col("threshold_value"), F.col("comparison_operator")))
 
 
@@ -83,7 +85,7 @@ def _condition_rows(rows: DataFrame, conditions: DataFrame, names: list[str]) ->
     long = rows.select("model_version_id", "recency", "calculated_at", F.explode(wanted).alias("_m")).select(
         "model_version_id", "recency", "calculated_at", "_m.*"
     )
-    return long.join(small_table(conditions), "metric_name").withColumn(
+    return long.join(conditions, "metric_name").withColumn(
         "met", pr.condition_met(F.col("value"), F.col("threshold_value"), F.col("comparison_operator"))
     )
 
@@ -153,7 +155,7 @@ def historical_window(snapshots: DataFrame, conditions: DataFrame) -> DataFrame:
     parts = []
     for minutes in lengths:
         micros = minutes * 60_000_000
-        rows = long.join(small_table(timed.where(F.col("persistence_window_minutes") == minutes)), "metric_name")
+        rows = long.join(timed.where(F.col("persistence_window_minutes") == minutes), "metric_name")
         rows = rows.withColumn("met", pr.condition_met(F.col("value"), F.col("threshold_value"), F.col("comparison_operator")))
         slice_ = F.floor(F.col("_at") / micros)
         # a row is judged in its own slice and serves as history in the next one
@@ -198,7 +200,7 @@ def subject(severity: Column, title: Column) -> Column:
 def _threshold_outcomes(thresholds: DataFrame, outcomes: DataFrame) -> DataFrame:
     names = ["threshold_id", "name", "group_key", "require_all_in_group"]
     keyed = thresholds.select(F.concat(F.lit("t"), F.col("threshold_id").cast("string")).alias("condition_id"), *names)
-    return outcomes.join(small_table(keyed), "condition_id")
+    return outcomes.join(keyed, "condition_id")
 
 
 def ungrouped_alerts(thresholds: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -268,7 +270,7 @@ def grouped_alerts(thresholds: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def rule_items(rules: DataFrame, items: DataFrame) -> DataFrame:
     """Rules with their items; rules without items drop out."""
-    return small_table(rules).join(items, "rule_id")
+    return rules.join(items, "rule_id")
 
 
 def rule_alerts(rules: DataFrame, items: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -276,7 +278,7 @@ def rule_alerts(rules: DataFrame, items: DataFrame, outcomes: DataFrame) -> Data
     keyed = rule_items(rules.select("rule_id", "name", "operator"), items.select("rule_id", "rule_item_id")).select(
         F.concat(F.lit("i"), F.col("rule_item_id").cast("string")).alias("condition_id"), "rule_id", "rule_item_id", "name", F.col("operator").alias("rule_operator")
     )
-    rows = outcomes.join(small_table(keyed), "condition_id")
+    rows = outcomes.join(keyed, "condition_id")
     entry = F.struct(F.col("rule_item_id").alias("_order"), _entry([F.lit(None).cast("long").alias("threshold_id"), F.col("rule_item_id")]).alias("entry"))
     reduced = rows.groupBy("model_version_id", "rule_id", "name", "rule_operator").agg(
         F.bool_or("is_met").alias("_any"),
@@ -307,7 +309,7 @@ def all_alerts(
     """Ungrouped, grouped and rule alerts of every version from one pass over the history."""
     active = thresholds.where("is_active")
     active_rules = rules.where("is_active")
-    active_items = items.join(small_table(active_rules.select("rule_id")), "rule_id", "left_semi")
+    active_items = items.join(active_rules.select("rule_id"), "rule_id", "left_semi")
     conditions = threshold_conditions(active).unionByName(item_conditions(active_items))
     outcomes = evaluate(snapshots, conditions, as_of)
     return (

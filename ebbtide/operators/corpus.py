@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import text as tx
 from ebbtide.operators.sequence import boundary_pairs
+from ebbtide.session import small_side
 
 
 def top_tokens(tokenised: DataFrame, keys: list[str], order: str, k: int, tokens: str = "tokens") -> DataFrame:
@@ -14,13 +15,13 @@ def top_tokens(tokenised: DataFrame, keys: list[str], order: str, k: int, tokens
 
     The first occurrence is a minimum of (row, position), so counting stays one partial aggregation.
     """
-    seen = tokenised.select(*keys, order, F.posexplode(tokens).alias("_pos", "token"))
+    seen = tokenised.select(*keys, order, F.posexplode(tx.each(F.col(tokens))).alias("_pos", "token"))
     counts = seen.groupBy(*keys, "token").agg(
         F.count("*").alias("n"), F.min(F.struct(order, "_pos")).alias("_first")
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "_first"))
     best = counts.withColumn("token_rank", rank).where(F.col("token_rank") <= k)
-    totals = tokenised.groupBy(*keys).agg(F.sum(F.size(tokens)).alias("_total"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
     return best.join(totals, keys).select(
         *keys,
         "token_rank",
@@ -49,32 +50,30 @@ def diversity(tokenised: DataFrame, keys: list[str], order: str, tokens: str = "
         *keys, F.lit(2).alias("size"), F.concat_ws(" ", "last_token", "next_token").alias("gram")
     )
     grams = inside.unionByName(across).groupBy(*keys, "size", "gram").agg(F.count("*").alias("n"))
-    lengths = tokenised.groupBy(*keys).agg(
-        F.count("*").alias("n_samples"),
-        F.sum(F.size(tokens)).alias("total_tokens"),
-        F.avg(F.size(tokens).cast("double")).alias("_mean"),
-    )
-    total, n = F.col("total_tokens"), F.col("n")
+    samples = tokenised.groupBy(*keys).agg(F.count("*").alias("n_samples"))
+    n = F.col("n")
     one, two = F.col("size") == 1, F.col("size") == 2
-    p = n / total
-    # keys of ``lengths`` are the corpora of ``tokenised`` itself, joined onto aggregated grams
+    totals = grams.groupBy(*keys).agg(F.sum(F.when(one, n)).alias("total_tokens"))
+    p = n / F.col("total_tokens")
     stats = (
-        grams.join(lengths, keys)
+        grams.join(small_side(totals, tokenised, keys), keys)
         .groupBy(*keys)
         .agg(
             F.count(F.when(one, 1)).alias("vocab_size"),
             F.coalesce(-F.sum(F.when(one, p * F.log2(p + 1e-12))), F.lit(0.0)).alias("entropy"),
+            F.coalesce(F.sum(F.when(one, n)), F.lit(0)).alias("total_tokens"),
             F.count(F.when(two, 1)).alias("_distinct_2"),
             F.sum(F.when(two, n)).alias("_bigrams"),
         )
     )
-    return lengths.join(stats, keys, "left").select(
+    total = F.coalesce("total_tokens", F.lit(0))
+    return samples.join(stats, keys, "left").select(
         *keys,
         F.coalesce("vocab_size", F.lit(0)).alias("vocab_size"),
         F.coalesce("entropy", F.lit(0.0)).alias("entropy"),
         F.when(total > 0, F.col("vocab_size") / total).otherwise(0.0).alias("distinct_1"),
         F.coalesce(F.col("_distinct_2") / F.col("_bigrams"), F.lit(0.0)).alias("distinct_2"),
-        F.when(total > 0, F.col("_mean")).otherwise(0.0).alias("mean_length"),
+        (total / F.col("n_samples")).alias("mean_length"),
         "n_samples",
-        "total_tokens",
+        total.alias("total_tokens"),
     )

@@ -19,7 +19,7 @@ def tokenise(corpus: DataFrame, text: str = "text", out: str = "tokens") -> Data
 
 def token_counts(tokenised: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
     return (
-        tokenised.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+        tokenised.select(*keys, F.explode(tx.each(F.col(tokens))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
     )
 
 

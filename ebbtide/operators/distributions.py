@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.vectors import EPSILON
 from ebbtide.operators.quantiles import histogram_percentile
-from ebbtide.session import small_side
+from ebbtide.session import settle, small_side
 
 
 def entropy_from_counts(n: Column) -> Column:
@@ -43,9 +43,13 @@ def aligned_shares(counts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     (one row per compared version; its size is checked).
     """
     totals = counts.groupBy(key).agg(F.sum("n").alias("_total"))
-    sized = pairs.select("current", "baseline")
-    current = small_side(sized.join(totals.withColumnRenamed(key, "current"), "current"), pairs, ["current", "baseline"])
-    baseline = small_side(sized.join(totals.withColumnRenamed(key, "baseline"), "baseline"), pairs, ["current", "baseline"])
+    sized, is_small = settle(pairs.select("current", "baseline"))
+
+    def side(name: str) -> DataFrame:
+        joined = sized.join(totals.withColumnRenamed(key, name), name)
+        return F.broadcast(joined) if is_small else joined
+
+    current, baseline = side("current"), side("baseline")
     share = F.col("n") / F.col("_total")
     left = counts.withColumnRenamed(key, "current").join(current, "current")
     right = counts.withColumnRenamed(key, "baseline").join(baseline, "baseline")

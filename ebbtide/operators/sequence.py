@@ -55,13 +55,12 @@ def boundary_pairs(
     Inside a bucket ``lead`` finds the next row; the last row of a bucket takes the first row of the next
     non-empty bucket, looked up over one small row per bucket.
     """
-    ends = tokenised.where(F.size(tokens) > 0).select(
-        *keys,
-        order,
-        id_bucket(F.col(order), width).alias("bucket"),
-        F.element_at(tokens, 1).alias("first_token"),
-        F.element_at(tokens, -1).alias("last_token"),
-    )
+    # no filter on the array's size: it would be pushed below the projection that computes it
+    edge = F.struct(F.element_at(tokens, 1).alias("first_token"), F.element_at(tokens, -1).alias("last_token"))
+    filled = F.when(F.size(tokens) > 0, F.array(edge)).otherwise(F.array().cast("array<struct<first_token:string,last_token:string>>"))
+    ends = tokenised.select(
+        *keys, order, id_bucket(F.col(order), width).alias("bucket"), F.explode(filled).alias("_e")
+    ).select(*keys, order, "bucket", "_e.*")
     inside = Window.partitionBy(*keys, "bucket").orderBy(order)
     pairs = ends.withColumn("next_token", F.lead("first_token").over(inside))
     edges = ends.groupBy(*keys, "bucket").agg(

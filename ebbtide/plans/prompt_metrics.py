@@ -17,7 +17,7 @@ from ebbtide.functions import vectors as vx
 from ebbtide.operators.rollups import length_statistics
 from ebbtide.operators.skew import hot_key_join
 from ebbtide.operators.versions import ALL_VERSIONS
-from ebbtide.session import small_side
+from ebbtide.session import settle
 
 BASELINE_PROMPT_LIMIT = 100  # fixed value
 RARE_PERCENTILE = 0.1  # fixed value
@@ -126,13 +126,15 @@ def _may_hold_hot_keys(prompts: DataFrame) -> bool:
     return prompts.select("prompt_id").limit(HOT_ROWS + 1).count() > HOT_ROWS
 
 
-def prompt_scores(hits: DataFrame, summary: DataFrame, source: DataFrame) -> DataFrame:
+def prompt_scores(hits: DataFrame, summary: DataFrame, few_baselines: bool = False) -> DataFrame:
     """Rare and new token percentages and bigram drift per prompt, from seen grams only.
 
     The baseline mass a prompt never uses enters the Jensen-Shannon sum in closed form: such a gram adds its own
-    share, so together they add ``1 - sum of the shares seen``.
+    share, so together they add ``1 - sum of the shares seen``. ``few_baselines`` says that the number of baselines
+    was checked and the summary may be broadcast.
     """
-    facts = small_side(summary.select("baseline", "base_tokens", "base_bigrams", "threshold"), source, ["baseline"])
+    facts = summary.select("baseline", "base_tokens", "base_bigrams", "threshold")
+    facts = F.broadcast(facts) if few_baselines else facts
     one, two = F.col("size") == 1, F.col("size") == 2
     n, m = F.col("n"), F.coalesce("m", F.lit(0))
     rows = hits.withColumn("_bigrams", F.col("_size") - 1).join(facts, "baseline", "left")
@@ -155,13 +157,13 @@ def prompt_scores(hits: DataFrame, summary: DataFrame, source: DataFrame) -> Dat
     )
 
 
-def annotated_positions(prompts: DataFrame, grams: DataFrame, summary: DataFrame) -> DataFrame:
+def annotated_positions(prompts: DataFrame, grams: DataFrame, summary: DataFrame, few_baselines: bool = False) -> DataFrame:
     """Per-position annotation ``(prompt_id, position, token, is_new, is_rare)``.
 
     Positions of equal tokens travel together (one row per prompt and distinct token) through the vocabulary join.
     """
     own = (
-        prompts.select("prompt_id", "baseline", F.posexplode("tokens").alias("position", "gram"))
+        prompts.select("prompt_id", "baseline", F.posexplode(tx.each(F.col("tokens"))).alias("position", "gram"))
         .groupBy("prompt_id", "baseline", "gram")
         .agg(F.collect_list("position").alias("_positions"))
     )
@@ -171,7 +173,8 @@ def annotated_positions(prompts: DataFrame, grams: DataFrame, summary: DataFrame
         joined = hot_key_join(own, vocabulary, ["baseline", "gram"], hot, "prompt_id")
     else:
         joined = own.join(vocabulary, ["baseline", "gram"], "left")
-    facts = small_side(summary.select("baseline", "base_tokens", "threshold"), prompts, ["baseline"])
+    facts = summary.select("baseline", "base_tokens", "threshold")
+    facts = F.broadcast(facts) if few_baselines else facts
     m, has_base = F.coalesce("m", F.lit(0)), F.col("base_tokens").isNotNull()
     return joined.join(facts, "baseline", "left").select(
         "prompt_id",
@@ -196,15 +199,19 @@ def prompt_metrics(
     ``baselines``: ``(model_version_id, baseline)``, see `operators.versions.resolve_baseline`. ``with_details``
     adds the token frequency map and the position annotations (bounded by the prompt's own length).
     """
+    baselines, few = settle(baselines)
+    small = F.broadcast if few else (lambda df: df)
     usable = prompts.where((F.size("tokens") > 0) & (F.size("probabilities") > 0))
-    keyed = usable.join(small_side(baselines, prompts, ["model_version_id"]), "model_version_id")
+    keyed = usable.join(small(baselines), "model_version_id")
     base = baseline_prompts(prompts, limit, days, as_of, keys=baselines)
     grams = baseline_grams(base)
     summary = baseline_summary(grams, base)
-    scores = prompt_scores(gram_hits(keyed, grams), summary, baselines)
+    scores = prompt_scores(gram_hits(keyed, grams), summary, few)
     vectors = summary.select("baseline", "base_probabilities", "base_embedding")
     own_embedding = F.col("embedding") if "embedding" in prompts.columns else F.lit(None).cast("array<double>")
-    rows = keyed.join(small_side(vectors, baselines, ["baseline"], limit=500), "baseline", "left").select(
+    # wide rows (a vector each): broadcast for a few hundred versions at most
+    wide = F.broadcast(vectors) if few and baselines.count() <= 500 else vectors
+    rows = keyed.join(wide, "baseline", "left").select(
         "prompt_id",
         "model_version_id",
         "baseline",
@@ -214,7 +221,7 @@ def prompt_metrics(
     )
     lengths = length_statistics(prompts, ["model_version_id"], "output_length").drop("mean_length")
     result = rows.join(scores, "prompt_id", "left").join(
-        small_side(lengths, prompts, ["model_version_id"]), "model_version_id", "left"
+        small(lengths), "model_version_id", "left"
     )
     metadata = F.to_json(
         F.struct(
@@ -246,10 +253,10 @@ def prompt_metrics(
     if not with_details:
         return result
     position = F.struct("position", "token", "is_new", "is_rare")
-    positions = annotated_positions(keyed, grams, summary).groupBy("prompt_id").agg(
+    positions = annotated_positions(keyed, grams, summary, few).groupBy("prompt_id").agg(
         F.sort_array(F.collect_list(position)).alias("token_distribution_by_position")
     )
-    counts = keyed.select("prompt_id", F.size("tokens").alias("_size"), F.explode("tokens").alias("token"))
+    counts = keyed.select("prompt_id", F.size("tokens").alias("_size"), F.explode(tx.each(F.col("tokens"))).alias("token"))
     shares = counts.groupBy("prompt_id", "_size", "token").agg(F.count("*").alias("n"))
     frequency = shares.groupBy("prompt_id").agg(
         F.map_from_entries(F.collect_list(F.struct("token", (F.col("n") / F.col("_size")).alias("share")))).alias("token_frequency")

@@ -60,6 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write to the shared folder and read back: for results that several branches of a plan use."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
     """Redistribute a scan that has fewer partitions than the cluster has slots.
 
@@ -86,6 +93,18 @@ def small_side(summary: DataFrame, source: DataFrame, keys: list[str], limit: in
     return F.broadcast(summary) if few_keys(source, keys, limit) else summary
 
 
+def settle(df: DataFrame, limit: int = 10_000) -> tuple[DataFrame, bool]:
+    """Fix a small derived table (pairs of versions, baselines, rules): ``(table, is_small)``.
+
+    Up to ``limit`` rows are read once and handed back as a local table, so that plans using it several times do
+    not derive it again and Spark knows its exact size. A larger table is returned as it is.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
 def small_table(table: DataFrame, limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
     """Same check for a table that is itself cheap to count (rule tables and other configuration)."""
     return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table

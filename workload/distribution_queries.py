@@ -275,7 +275,7 @@ def _position_top(spark, d):
     """Most frequent 20 tokens at each position of a source's documents."""
     from ebbtide.operators.listings import page_per_key
 
-    tokens = tb.tokenised(spark, d, "source").select("source", F.posexplode("tokens").alias("pos", "token"))
+    tokens = tb.tokenised(spark, d, "source").select("source", F.posexplode(tx.each(F.col("tokens"))).alias("pos", "token"))
     counts = tokens.groupBy("source", "pos", "token").agg(F.count("*").alias("n"))
     return page_per_key(counts, ["source", "pos"], [F.col("n").desc(), F.col("token")], limit=20)
 

@@ -8,7 +8,7 @@ from ebbtide.functions import text as tx
 from ebbtide.operators.versions import resolve_baseline
 from ebbtide.plans import benchmark as bm
 from ebbtide.plans import prompt_metrics as pm
-from ebbtide.session import small_side, spread
+from ebbtide.session import settle, spread, written
 from workload import tables as tb
 from workload.distribution_queries import r6
 from workload.registry import query
@@ -16,18 +16,19 @@ from workload.registry import query
 LIMIT = 100
 
 
-def _prompts(spark, d, *more):
+def _prompts(spark, d):
     """Documents as generated prompts; the probability of a token is a function of its length."""
     rows = tb.tokenised(spark, d, "source", "n_chars")
     rows = rows.withColumn("probabilities", F.transform("tokens", lambda t: 1.0 / (1 + F.length(t))))
-    return rows.select(
+    rows = rows.select(
         F.col("doc_id").alias("prompt_id"),
         F.col("source").alias("model_version_id"),
         "tokens",
         "probabilities",
         F.col("n_chars").alias("output_length"),
-        *more,
     )
+    # several branches read the prompts: tokenise once, into a table in the shared folder
+    return written(rows, "prompts")
 
 
 def _baselines(spark, d):
@@ -56,11 +57,11 @@ FROM toks t JOIN res USING (source) JOIN bs USING (b) LEFT JOIN bc ON bc.b = res
 )
 def a29(spark, d):
     prompts = _prompts(spark, d)
-    baselines = _baselines(spark, d)
+    baselines, few = settle(_baselines(spark, d))
     base = pm.baseline_prompts(prompts, LIMIT, keys=baselines)
     grams = pm.baseline_grams(base)
-    keyed = prompts.join(small_side(baselines, baselines, ["model_version_id"]), "model_version_id")
-    return pm.annotated_positions(keyed, grams, pm.baseline_summary(grams, base))
+    keyed = prompts.join(F.broadcast(baselines) if few else baselines, "model_version_id")
+    return pm.annotated_positions(keyed, grams, pm.baseline_summary(grams, base), few)
 
 
 METRIC_ROW = f"""WITH {BASE},

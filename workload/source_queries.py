@@ -73,24 +73,19 @@ def s03(spark, d):
     f"WITH t AS (SELECT text FROM documents WHERE doc_id % 3 <> 2) {DIGEST}",
 )
 def s04(spark, d):
-    """One JSON array of objects and strings per source and language."""
+    """Files holding one JSON array of objects, strings and numbers each; numbers are ignored."""
     quoted = F.expr("substr(to_json(struct(text AS t)), 6, length(to_json(struct(text AS t))) - 6)")
     entry = (
         F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct("text", "doc_id")))
         .when(F.col("doc_id") % 3 == 1, quoted)
         .otherwise(F.col("doc_id").cast("string"))
     )
-    # one file per group of 16 neighbouring ids: a JSON document is a single value and stays small
-    docs = tb.documents(spark, d).select("doc_id", "text").withColumn("file", F.floor(F.col("doc_id") / 16))
+    # one file per 128 neighbouring ids: a JSON document is a single value and stays small
+    docs = tb.documents(spark, d).select("doc_id", "text").withColumn("file", F.floor(F.col("doc_id") / 128))
     files = docs.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("value"))
     path = shared_dir(spark, "json")
-    slots = spark.sparkContext.defaultParallelism
-    files.repartition(slots, "file").select((F.col("file") % slots).alias("part"), "value").write.partitionBy("part").option("lineSep", "\n").text(path)
-    # several arrays per written file: each line is one JSON document
-    lines = spark.read.text(path).select("value")
-    singles = shared_dir(spark, "json-files")
-    lines.write.option("maxRecordsPerFile", 1).text(singles)
-    return digests(co.read_json_corpus(spark, singles))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return digests(co.read_json_corpus(spark, path))
 
 
 @query("S05_default_corpus", f"WITH t AS (SELECT text FROM documents) {DIGEST}")

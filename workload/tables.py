@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ebbtide import schemas
 from ebbtide.functions import text as tx
@@ -167,16 +170,23 @@ def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
 
 
+def _local(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Configuration as a local table of known size."""
+    schema = T.StructType.fromDDL(ddl)
+    columns = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows), schema.fields)]
+    return spark.createDataFrame(pa.table(columns, names=schema.fieldNames()), schema)
+
+
 def thresholds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(THRESHOLDS, schemas.THRESHOLDS)
+    return _local(spark, THRESHOLDS, schemas.THRESHOLDS)
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, schemas.RULES)
+    return _local(spark, RULES, schemas.RULES)
 
 
 def rule_items(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULE_ITEMS, schemas.RULE_ITEMS)
+    return _local(spark, RULE_ITEMS, schemas.RULE_ITEMS)
 
 
 def evaluation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
