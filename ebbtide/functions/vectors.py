@@ -154,18 +154,29 @@ def probability_vector(payload: Column) -> Column:
     largest member per position in numeric key order. Anything else gives an empty array.
     """
     empty = F.array().cast("array<double>")
-    doc = F.try_parse_json(payload)
-    listed = F.try_variant_get(doc, "$.probabilities", "array<variant>")
-    flat = F.filter(F.transform(listed, _number), lambda x: x.isNotNull())
-    members = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
-    keyed = F.transform(
-        members, lambda e: F.struct(F.trim(e.key).try_cast("bigint").alias("pos"), _position_value(e.value).alias("p"))
-    )
-    per_position = F.when(
-        F.forall(keyed, lambda r: r.pos.isNotNull()),
-        F.transform(F.filter(F.array_sort(keyed), lambda r: r.p.isNotNull()), lambda r: r.p),
-    ).otherwise(empty)
-    return F.when(listed.isNotNull(), flat).otherwise(F.coalesce(per_position, empty))
+
+    def flat(listed: Column) -> Column:
+        return F.filter(F.transform(listed, _number), lambda x: x.isNotNull())
+
+    def per_position(doc: Column) -> Column:
+        members = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
+        keyed = F.transform(
+            members,
+            lambda e: F.struct(F.trim(e.key).try_cast("bigint").alias("pos"), _position_value(e.value).alias("p")),
+        )
+        return let(
+            keyed,
+            lambda rows: F.when(
+                F.forall(rows, lambda r: r.pos.isNotNull()),
+                F.transform(F.filter(F.array_sort(rows), lambda r: r.p.isNotNull()), lambda r: r.p),
+            ),
+        )
+
+    def extract(doc: Column) -> Column:
+        listed = F.try_variant_get(doc, "$.probabilities", "array<variant>")
+        return let(listed, lambda found: F.when(found.isNotNull(), flat(found)).otherwise(per_position(doc)))
+
+    return F.coalesce(let(F.try_parse_json(payload), extract), empty)
 
 
 def _number(value: Column) -> Column:

@@ -39,25 +39,26 @@ def aligned_shares(counts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """Vocabulary alignment of corpus pairs ``(current, baseline)``: one row per pair and token, 0 where missing.
 
     Each count row is tagged with the role it plays in each pair, then one shuffle on (pair, token) adds the two
-    sides up. Every metric of a pair comes from this table; no full outer join is needed. ``pairs`` must be small
-    (one row per compared version; its size is checked).
+    sides up; shares follow from the pair's totals afterwards. Every metric of a pair comes from this table; no full
+    outer join is needed. ``pairs`` is broadcast if its checked size is small, as are the totals, one row per pair.
     """
-    totals = counts.groupBy(key).agg(F.sum("n").alias("_total"))
-    sized, is_small = settle(pairs.select("current", "baseline"))
-
-    def side(name: str) -> DataFrame:
-        joined = sized.join(totals.withColumnRenamed(key, name), name)
-        return F.broadcast(joined) if is_small else joined
-
-    current, baseline = side("current"), side("baseline")
-    share = F.col("n") / F.col("_total")
-    left = counts.withColumnRenamed(key, "current").join(current, "current")
-    right = counts.withColumnRenamed(key, "baseline").join(baseline, "baseline")
+    pairs, is_small = settle(pairs.select("current", "baseline"))
+    small = F.broadcast if is_small else (lambda df: df)
     columns = ["current", "baseline", "token"]
-    rows = left.select(*columns, F.col("n").alias("n_cur"), F.lit(0).cast("long").alias("n_base"), share.alias("p"), F.lit(0.0).alias("q")).unionByName(
-        right.select(*columns, F.lit(0).cast("long").alias("n_cur"), F.col("n").alias("n_base"), F.lit(0.0).alias("p"), share.alias("q"))
+    none = F.lit(0).cast("long")
+    left = counts.withColumnRenamed(key, "current").join(small(pairs), "current")
+    right = counts.withColumnRenamed(key, "baseline").join(small(pairs), "baseline")
+    roles = left.select(*columns, F.col("n").alias("n_cur"), none.alias("n_base")).unionByName(
+        right.select(*columns, none.alias("n_cur"), F.col("n").alias("n_base"))
+    )
+    aligned = roles.groupBy(*columns).agg(F.sum("n_cur").alias("n_cur"), F.sum("n_base").alias("n_base"))
+    totals = counts.groupBy(key).agg(F.sum("n").alias("_n"))
+    sizes = pairs
+    for name in ("current", "baseline"):
+        sizes = sizes.join(totals.select(F.col(key).alias(name), F.col("_n").alias(f"_{name}")), name)
+    return aligned.join(small(sizes), ["current", "baseline"]).select(
+        *columns, "n_cur", "n_base", (F.col("n_cur") / F.col("_current")).alias("p"), (F.col("n_base") / F.col("_baseline")).alias("q")
     )
-    return rows.groupBy(*columns).agg(*[F.sum(c).alias(c) for c in ("n_cur", "n_base", "p", "q")])
 
 
 def _half(x: Column, mean: Column) -> Column:

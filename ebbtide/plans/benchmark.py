@@ -14,6 +14,7 @@ from ebbtide.operators import distributions as ds
 from ebbtide.operators import sampling as sp
 from ebbtide.operators.counts import token_counts
 from ebbtide.operators.rollups import sequence_perplexity
+from ebbtide.session import written
 
 
 @dataclass(frozen=True)
@@ -39,8 +40,8 @@ RESULT_FIGURES = [
 def paired_sample(generations: DataFrame, dataset: DataFrame, params: BenchmarkParameters) -> DataFrame:
     """Sampled prompts of the dataset with each version's stored generation of the same draw.
 
-    ``generations``: ``model_version_id, generation_id, tokens, loss``; ``dataset``: ``item_id, text``. The draw
-    number runs to the sample count at most, on both sides.
+    ``generations``: ``model_version_id, generation_id, loss`` and ``tokens`` or ``text``; ``dataset``: ``item_id,
+    text``. The draw number runs to the sample count at most, on both sides. Texts are tokenised after sampling.
     """
     usable = dataset.where(tx.usable_row(F.col("text")))
     order = Window.orderBy("_h", "item_id")
@@ -51,6 +52,9 @@ def paired_sample(generations: DataFrame, dataset: DataFrame, params: BenchmarkP
         .select("draw", tx.tokens(F.col("text")).alias("prompt_tokens"))
     )
     drawn = sp.sample_per_key(generations, ["model_version_id"], "generation_id", params.sample_count, params.seed)
+    if "tokens" not in generations.columns:
+        drawn = drawn.withColumn("tokens", tx.tokens(F.col("text"))).drop("text")
+    drawn = drawn.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     # one row per draw: bounded by the sample count
     return drawn.join(F.broadcast(prompts), "draw")
 
@@ -58,11 +62,12 @@ def paired_sample(generations: DataFrame, dataset: DataFrame, params: BenchmarkP
 def benchmark_results(generations: DataFrame, dataset: DataFrame, params: BenchmarkParameters = BenchmarkParameters()) -> DataFrame:
     """One result row per version; a version without generated tokens has all figures 0.
 
-    Sampling, budget and counting run for all versions at once. Generated and prompt tokens are tagged by side and
+    Sampling, budget and counting run for all versions at once; the sample is written to the shared folder, as every
+    figure is derived from it. Generated and prompt tokens are tagged by side and
     counted in a single shuffle on (version, side, token).
     """
     key = "model_version_id"
-    sampled = paired_sample(generations.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), dataset, params)
+    sampled = written(paired_sample(generations, dataset, params), "benchmark-sample")
     used = sp.within_budget(sampled, [key], "draw", "tokens", params.max_tokens, out="generated")
     reference = sp.within_budget(used.drop("tokens_before"), [key], "draw", "prompt_tokens", params.max_tokens, out="reference")
     sides = used.select(key, F.lit("generated").alias("side"), F.col("generated").alias("tokens")).unionByName(

@@ -115,7 +115,7 @@ n AS (SELECT source, token, (row_number() OVER (PARTITION BY source ORDER BY doc
 SELECT source, i // {BLOCK} AS block_id, md5(string_agg(token, ' ' ORDER BY i)) AS digest FROM n GROUP BY ALL HAVING count(*) = {BLOCK}""",
 )
 def w06(spark, d):
-    blocks = sq.pack_blocks(tb.tokenised(spark, d, "source"), ["source"], "doc_id", BLOCK, end_mark="<eos>")
+    blocks = sq.pack_blocks(tb.stored_tokens(spark, d, "source"), ["source"], "doc_id", BLOCK, end_mark="<eos>")
     return blocks.select("source", "block_id", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
@@ -125,7 +125,7 @@ def w06(spark, d):
 SELECT lang, count(*) AS bigrams, count(DISTINCT token) AS distinct_bigrams FROM s WHERE token IS NOT NULL GROUP BY lang""",
 )
 def w07(spark, d):
-    counts = ct.stream_bigram_counts(tb.tokenised(spark, d, "lang"), ["lang"], "doc_id")
+    counts = ct.stream_bigram_counts(tb.stored_tokens(spark, d, "lang"), ["lang"], "doc_id")
     return counts.groupBy("lang").agg(F.sum("n").alias("bigrams"), F.count("*").alias("distinct_bigrams"))
 
 
@@ -135,7 +135,7 @@ def w07(spark, d):
 SELECT lang, count(*) AS trigrams, count(DISTINCT token) AS distinct_trigrams FROM s WHERE token IS NOT NULL GROUP BY lang""",
 )
 def w07b(spark, d):
-    grams = sq.stream_ngrams(tb.tokenised(spark, d, "lang"), ["lang"], "doc_id", 3)
+    grams = sq.stream_ngrams(tb.stored_tokens(spark, d, "lang"), ["lang"], "doc_id", 3)
     counts = grams.groupBy("lang", "token").agg(F.count("*").alias("n"))
     return counts.groupBy("lang").agg(F.sum("n").alias("trigrams"), F.count("*").alias("distinct_trigrams"))
 

@@ -160,7 +160,7 @@ aligned AS (SELECT al.*, nc / a.total AS p, nb / b.total AS q FROM al JOIN tot a
     f"WITH {STREAM_BIGRAMS} SELECT current, baseline, round({JS}, 6) AS ngram_drift FROM aligned GROUP BY ALL",
 )
 def a08(spark, d):
-    bigrams = ct.stream_bigram_counts(tb.tokenised(spark, d, "source"), ["source"], "doc_id")
+    bigrams = ct.stream_bigram_counts(tb.stored_tokens(spark, d, "source"), ["source"], "doc_id")
     aligned = ds.aligned_shares(bigrams, "source", tb.source_pairs(spark, d))
     return ds.divergences(aligned).select("current", "baseline", F.round("js_divergence", 6).alias("ngram_drift"))
 
@@ -258,7 +258,7 @@ SELECT source, vocab_size, round(entropy, 6) AS entropy, round(vocab_size / tota
 FROM u JOIN h USING (source) JOIN b USING (source) JOIN s USING (source)""",
 )
 def a18(spark, d):
-    rows = cp.diversity(tb.tokenised(spark, d, "source"), ["source"], "doc_id")
+    rows = cp.diversity(tb.stored_tokens(spark, d, "source"), ["source"], "doc_id")
     return rows.select(
         "source", "vocab_size", r6("entropy"), r6("distinct_1"), r6("distinct_2"), r6("mean_length"), "n_samples", "total_tokens"
     )
@@ -275,7 +275,7 @@ def _position_top(spark, d):
     """Most frequent 20 tokens at each position of a source's documents."""
     from ebbtide.operators.listings import page_per_key
 
-    tokens = tb.tokenised(spark, d, "source").select("source", F.posexplode(tx.each(F.col("tokens"))).alias("pos", "token"))
+    tokens = tb.stored_tokens(spark, d, "source").select("source", F.posexplode(tx.each(F.col("tokens"))).alias("pos", "token"))
     counts = tokens.groupBy("source", "pos", "token").agg(F.count("*").alias("n"))
     return page_per_key(counts, ["source", "pos"], [F.col("n").desc(), F.col("token")], limit=20)
 

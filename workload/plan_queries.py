@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbtide.functions import text as tx
 from ebbtide.operators.versions import resolve_baseline
 from ebbtide.plans import benchmark as bm
 from ebbtide.plans import prompt_metrics as pm
-from ebbtide.session import settle, spread, written
+from ebbtide.session import settle, written
 from workload import tables as tb
 from workload.distribution_queries import r6
 from workload.registry import query
@@ -131,10 +130,10 @@ top AS (SELECT source, string_agg(token || ':' || n, ' ' ORDER BY n DESC, f) AS
 
 
 def _results(spark, d):
-    docs = spread(tb.documents(spark, d).select("doc_id", "source", "text"), "doc_id")
+    docs = tb.documents(spark, d).select("doc_id", "source", "text")
     losses = tb.table(spark, d, "events").select(F.col("event_id").alias("doc_id"), (F.col("value") / 100).alias("loss"))
     generations = docs.join(losses, "doc_id").select(
-        F.col("source").alias("model_version_id"), F.col("doc_id").alias("generation_id"), tx.tokens(F.col("text")).alias("tokens"), "loss"
+        F.col("source").alias("model_version_id"), F.col("doc_id").alias("generation_id"), "text", "loss"
     )
     return bm.benchmark_results(generations, tb.table(spark, d, "benchmark"), PARAMS)
 

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ebbtide import schemas
 from ebbtide.functions import text as tx
-from ebbtide.session import spread
+from ebbtide.session import spread, written
 
 EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 
@@ -62,6 +62,11 @@ def tokenised(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.select("doc_id", *columns, tx.tokens(F.col("text")).alias("tokens"))
 
 
+def stored_tokens(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The same as a table in the shared folder, for plans that pass over the tokens more than once."""
+    return written(tokenised(spark, sf_dir, *columns), "tokens")
+
+
 def source_number(source: Column) -> Column:
     return F.regexp_extract(source, r"(\d+)$", 1).cast("int")
 
