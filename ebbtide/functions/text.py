@@ -60,6 +60,15 @@ def ngrams(sequence: Column, n: int) -> Column:
     return F.when(F.size(sequence) >= n, joined).otherwise(F.array().cast("array<string>"))
 
 
+def neighbour_pairs(sequence: Column) -> Column:
+    """``array<struct<0, 1>>`` of each token with the next one.
+
+    Exploding this and joining the two fields afterwards stays in generated code, unlike a lambda per position.
+    """
+    n = F.greatest(F.size(sequence) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(sequence, F.lit(1), n), F.slice(sequence, F.lit(2), n))
+
+
 def display_token(token: Column) -> Column:
     """Readable form of a token: marks for newline, tab, white-space runs and leading spaces."""
     n_chars = F.length(token)

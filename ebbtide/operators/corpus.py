@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions import text as tx
+from ebbtide.operators.counts import bigram_rows
 from ebbtide.operators.sequence import boundary_pairs
 from ebbtide.session import small_side
 
@@ -41,19 +42,13 @@ def diversity(tokenised: DataFrame, keys: list[str], order: str, tokens: str = "
     Tokens and bigrams (also those across rows) are counted in one shuffle, then reduced per corpus; distinct
     counts are the number of aggregated rows. The entropy carries the small constant inside the logarithm.
     """
-    inside = tokenised.select(
-        *keys,
-        F.explode(
-            F.concat(
-                F.transform(tokens, lambda t: F.struct(F.lit(1).alias("size"), t.alias("gram"))),
-                F.transform(tx.ngrams(F.col(tokens), 2), lambda g: F.struct(F.lit(2).alias("size"), g.alias("gram"))),
-            )
-        ).alias("_g"),
-    ).select(*keys, "_g.size", "_g.gram")
+    one_token = tokenised.select(*keys, F.explode(tx.each(F.col(tokens))).alias("gram"))
+    inside = bigram_rows(tokenised, keys, tokens, "gram")
     across = boundary_pairs(tokenised, keys, order, tokens).select(
-        *keys, F.lit(2).alias("size"), F.concat_ws(" ", "last_token", "next_token").alias("gram")
+        *keys, F.concat_ws(" ", "last_token", "next_token").alias("gram")
     )
-    grams = inside.unionByName(across).groupBy(*keys, "size", "gram").agg(F.count("*").alias("n"))
+    rows = one_token.withColumn("size", F.lit(1)).unionByName(inside.unionByName(across).withColumn("size", F.lit(2)))
+    grams = rows.groupBy(*keys, "size", "gram").agg(F.count("*").alias("n"))
     samples = tokenised.groupBy(*keys).agg(F.count("*").alias("n_samples"))
     n = F.col("n")
     one, two = F.col("size") == 1, F.col("size") == 2

@@ -28,19 +28,24 @@ def totals(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum(n).alias("token_count"), F.count("*").alias("vocab_size"))
 
 
+def bigram_rows(tokenised: DataFrame, keys: list[str], tokens: str = "tokens", out: str = "token") -> DataFrame:
+    """One row per bigram inside each row's tokens."""
+    pairs = tokenised.select(*keys, F.explode(tx.neighbour_pairs(F.col(tokens))).alias("_z"))
+    return pairs.select(*keys, F.concat_ws(" ", "_z.0", "_z.1").alias(out))
+
+
 def ngram_counts(tokenised: DataFrame, keys: list[str], n: int = 2, tokens: str = "tokens") -> DataFrame:
     """Counts of n-grams inside each row, none across rows."""
-    return (
-        tokenised.select(*keys, F.explode(tx.ngrams(F.col(tokens), n)).alias("token"))
-        .groupBy(*keys, "token")
-        .agg(F.count("*").alias("n"))
-    )
+    if n == 2:
+        rows = bigram_rows(tokenised, keys, tokens)
+    else:
+        rows = tokenised.select(*keys, F.explode(tx.ngrams(F.col(tokens), n)).alias("token"))
+    return rows.groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
 def stream_bigram_counts(tokenised: DataFrame, keys: list[str], order: str, tokens: str = "tokens") -> DataFrame:
     """Bigram counts of each key's rows read as one stream: pairs inside rows plus pairs across row borders."""
-    inside = tokenised.select(*keys, F.explode(tx.ngrams(F.col(tokens), 2)).alias("token"))
     across = boundary_pairs(tokenised, keys, order, tokens).select(
         *keys, F.concat_ws(" ", "last_token", "next_token").alias("token")
     )
-    return inside.unionByName(across).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    return bigram_rows(tokenised, keys, tokens).unionByName(across).groupBy(*keys, "token").agg(F.count("*").alias("n"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions import text as tx
 from ebbtide.functions import vectors as vx
+from ebbtide.operators.counts import bigram_rows
 from ebbtide.operators.rollups import length_statistics
 from ebbtide.operators.skew import hot_key_join
 from ebbtide.operators.versions import ALL_VERSIONS
@@ -50,46 +51,40 @@ def baseline_prompts(
     return own.unionByName(everything)
 
 
-def _grams(tokens: Column) -> Column:
-    """Tokens (size 1) and bigrams (size 2) of one row, so both are counted in the same shuffle."""
-    return F.concat(
-        F.transform(tokens, lambda t: F.struct(F.lit(1).alias("size"), t.alias("gram"))),
-        F.transform(tx.ngrams(tokens, 2), lambda g: F.struct(F.lit(2).alias("size"), g.alias("gram"))),
-    )
+def baseline_tokens(base: DataFrame) -> DataFrame:
+    """Token counts ``(baseline, gram, m)`` of each baseline."""
+    rows = base.select("baseline", F.explode(tx.each(F.col("tokens"))).alias("gram"))
+    return rows.groupBy("baseline", "gram").agg(F.count("*").alias("m"))
 
 
-def baseline_grams(base: DataFrame) -> DataFrame:
-    """``(baseline, size, gram, m)`` of each baseline read as one stream.
+def baseline_bigrams(base: DataFrame) -> DataFrame:
+    """Bigram counts ``(baseline, gram, m)`` of each baseline read as one stream.
 
     A baseline has at most ``limit`` prompts, so the window that finds neighbours across prompts is bounded.
     """
-    rows = base.where(F.size("tokens") > 0)
-    order = Window.partitionBy("baseline").orderBy("baseline_rank")
-    following = F.lead(F.element_at("tokens", 1)).over(order)
-    border = F.when(
-        following.isNotNull(),
-        F.array(F.struct(F.lit(2).alias("size"), F.concat_ws(" ", F.element_at("tokens", -1), following).alias("gram"))),
-    ).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
-    exploded = rows.select("baseline", "tokens", border.alias("_border")).select(
-        "baseline", F.explode(F.concat(_grams(F.col("tokens")), "_border")).alias("_g")
-    )
-    return exploded.groupBy("baseline", F.col("_g.size").alias("size"), F.col("_g.gram").alias("gram")).agg(
-        F.count("*").alias("m")
-    )
+    edges = base.select(
+        "baseline",
+        "baseline_rank",
+        F.try_element_at("tokens", F.lit(1)).alias("first_token"),
+        F.try_element_at("tokens", F.lit(-1)).alias("last_token"),
+    ).where(F.col("first_token").isNotNull())
+    following = F.lead("first_token").over(Window.partitionBy("baseline").orderBy("baseline_rank"))
+    across = edges.withColumn("_next", following).where(F.col("_next").isNotNull())
+    across = across.select("baseline", F.concat_ws(" ", "last_token", "_next").alias("gram"))
+    rows = bigram_rows(base, ["baseline"], out="gram").unionByName(across)
+    return rows.groupBy("baseline", "gram").agg(F.count("*").alias("m"))
 
 
-def baseline_summary(grams: DataFrame, base: DataFrame, percentile: float = RARE_PERCENTILE) -> DataFrame:
+def baseline_summary(tokens: DataFrame, bigrams: DataFrame, base: DataFrame, percentile: float = RARE_PERCENTILE) -> DataFrame:
     """One row per baseline: sizes, rare threshold, first prompt's probabilities, mean embedding."""
-    histogram = grams.groupBy("baseline", "size", "m").agg(F.count("*").alias("types"))
-    one, two = F.col("size") == 1, F.col("size") == 2
-    mass = F.col("m") * F.col("types")
+    histogram = tokens.groupBy("baseline", "m").agg(F.count("*").alias("types"))
     sizes = histogram.groupBy("baseline").agg(
-        F.sum(F.when(one, mass)).alias("base_tokens"),
-        F.sum(F.when(two, mass)).alias("base_bigrams"),
-        F.percentile(F.when(one, F.col("m")), F.lit(percentile), F.when(one, F.col("types")).otherwise(0)).alias("threshold"),
+        F.sum(F.col("m") * F.col("types")).alias("base_tokens"),
+        F.percentile("m", F.lit(percentile), F.col("types")).alias("threshold"),
     )
+    pairs = bigrams.groupBy("baseline").agg(F.sum("m").alias("base_bigrams"))
     firsts = base.where(F.col("baseline_rank") == 1).select("baseline", F.col("probabilities").alias("base_probabilities"))
-    summary = firsts.join(sizes, "baseline", "left")
+    summary = firsts.join(sizes, "baseline", "left").join(pairs, "baseline", "left")
     if "embedding" in base.columns:
         means = (
             base.where(F.col("embedding").isNotNull())
@@ -103,76 +98,88 @@ def baseline_summary(grams: DataFrame, base: DataFrame, percentile: float = RARE
     return summary.withColumn("base_embedding", F.lit(None).cast("array<double>"))
 
 
-def gram_hits(prompts: DataFrame, grams: DataFrame) -> DataFrame:
-    """Each prompt's distinct grams with own count ``n`` and baseline count ``m`` (NULL if unseen).
+def gram_hits(own: DataFrame, grams: DataFrame, hot_possible: bool) -> DataFrame:
+    """Join each prompt's distinct grams ``(prompt_id, baseline, gram, ...)`` with the baseline count ``m``.
 
-    ``prompts`` carries ``baseline``. Grams that occur in very many prompts of one baseline are the hot keys of
-    this join; they are found from the same counts and spread out.
+    Grams that occur in very many prompts of one baseline are the hot keys of this join; they are found from the
+    same rows and spread out.
     """
-    own = (
-        prompts.select("prompt_id", "baseline", F.size("tokens").alias("_size"), F.explode(_grams(F.col("tokens"))).alias("_g"))
-        .groupBy("prompt_id", "_size", "baseline", F.col("_g.size").alias("size"), F.col("_g.gram").alias("gram"))
-        .agg(F.count("*").alias("n"))
-    )
-    keys = ["baseline", "size", "gram"]
-    if _may_hold_hot_keys(prompts):
-        hot = own.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS)
-        return hot_key_join(own, grams, keys, hot, "prompt_id")
-    return own.join(grams, keys, "left")
+    keys = ["baseline", "gram"]
+    if not hot_possible:
+        return own.join(grams, keys, "left")
+    hot = own.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS)
+    return hot_key_join(own, grams, keys, hot, "prompt_id")
 
 
-def _may_hold_hot_keys(prompts: DataFrame) -> bool:
+def may_hold_hot_keys(prompts: DataFrame) -> bool:
     """A gram can only be hot if there are more prompts than the threshold (counts ids only)."""
     return prompts.select("prompt_id").limit(HOT_ROWS + 1).count() > HOT_ROWS
 
 
-def prompt_scores(hits: DataFrame, summary: DataFrame, few_baselines: bool = False) -> DataFrame:
+def prompt_scores(
+    keyed: DataFrame, tokens: DataFrame, bigrams: DataFrame, summary: DataFrame, few_baselines: bool = False, hot_possible: bool = True
+) -> DataFrame:
     """Rare and new token percentages and bigram drift per prompt, from seen grams only.
 
-    The baseline mass a prompt never uses enters the Jensen-Shannon sum in closed form: such a gram adds its own
-    share, so together they add ``1 - sum of the shares seen``. ``few_baselines`` says that the number of baselines
-    was checked and the summary may be broadcast.
+    Prompts are laid out by id before their tokens are exploded, so counting a prompt's grams needs no shuffle of
+    single tokens. The baseline mass a prompt never uses enters the Jensen-Shannon sum in closed form: such a gram
+    adds its own share, so together they add ``1 - sum of the shares seen``. ``few_baselines`` says that the number
+    of baselines was checked and the summary may be broadcast.
     """
-    facts = summary.select("baseline", "base_tokens", "base_bigrams", "threshold")
-    facts = F.broadcast(facts) if few_baselines else facts
-    one, two = F.col("size") == 1, F.col("size") == 2
+    small = F.broadcast if few_baselines else (lambda df: df)
+    by_prompt = keyed.select("prompt_id", "baseline", "tokens").repartition("prompt_id")
+    own_tokens = (
+        by_prompt.select("prompt_id", "baseline", F.explode(tx.each(F.col("tokens"))).alias("gram"))
+        .groupBy("prompt_id", "baseline", "gram")
+        .agg(F.count("*").alias("n"))
+    )
+    sized = by_prompt.withColumn("_bigrams", F.size("tokens") - 1)
+    own_bigrams = (
+        bigram_rows(sized, ["prompt_id", "baseline", "_bigrams"], out="gram")
+        .groupBy("prompt_id", "baseline", "_bigrams", "gram")
+        .agg(F.count("*").alias("n"))
+    )
     n, m = F.col("n"), F.coalesce("m", F.lit(0))
-    rows = hits.withColumn("_bigrams", F.col("_size") - 1).join(facts, "baseline", "left")
+    facts = small(summary.select("baseline", "base_tokens", "threshold"))
+    token_rows = gram_hits(own_tokens, tokens, hot_possible).join(facts, "baseline", "left")
+    usable = F.max("base_tokens").isNotNull()
+    token_scores = token_rows.groupBy("prompt_id").agg(
+        F.when(usable, F.sum(F.when(m <= F.col("threshold"), n).otherwise(0)) / F.sum(n) * 100).alias("rare_token_percentage"),
+        F.when(usable, F.sum(F.when(m == 0, n).otherwise(0)) / F.sum(n) * 100).alias("new_token_percentage"),
+        usable.alias("_usable"),
+    )
+    mass = small(summary.select("baseline", "base_bigrams"))
+    bigram_hits = gram_hits(own_bigrams, bigrams, hot_possible).join(mass, "baseline", "left")
     p, q = n / F.col("_bigrams"), m / F.col("base_bigrams")
     mean = (p + q) / 2
-    drift = F.when(two, p * F.log2(p / mean) + F.when(q > 0, q * F.log2(q / mean)).otherwise(0.0))
-    tokens = F.sum(F.when(one, n))
-    rare = F.sum(F.when(one & (m <= F.col("threshold")), n).otherwise(0))
-    new = F.sum(F.when(one & (m == 0), n).otherwise(0))
-    usable = F.max("base_tokens").isNotNull()
-    # no bigram on either side: drift 0
-    js = F.when(
-        (F.max("_bigrams") > 0) & (F.max("base_bigrams") > 0),
-        F.sqrt(F.greatest((F.sum(drift) + 1 - F.sum(F.when(two, q))) / 2, F.lit(0.0))),
-    ).otherwise(0.0)
-    return rows.groupBy("prompt_id").agg(
-        F.when(usable, rare / tokens * 100).alias("rare_token_percentage"),
-        F.when(usable, new / tokens * 100).alias("new_token_percentage"),
-        F.when(usable, js).alias("ngram_drift"),
+    seen = p * F.log2(p / mean) + F.when(q > 0, q * F.log2(q / mean)).otherwise(0.0)
+    drift = bigram_hits.groupBy("prompt_id").agg(
+        F.sqrt(F.greatest((F.sum(seen) + 1 - F.sum(q)) / 2, F.lit(0.0))).alias("_drift")
+    )
+    # no bigram on one of the sides: drift 0
+    return token_scores.join(drift, "prompt_id", "left").select(
+        "prompt_id",
+        "rare_token_percentage",
+        "new_token_percentage",
+        F.when(F.col("_usable"), F.coalesce("_drift", F.lit(0.0))).alias("ngram_drift"),
     )
 
 
-def annotated_positions(prompts: DataFrame, grams: DataFrame, summary: DataFrame, few_baselines: bool = False) -> DataFrame:
+def annotated_positions(
+    prompts: DataFrame, vocabulary: DataFrame, summary: DataFrame, few_baselines: bool = False, hot_possible: bool = True
+) -> DataFrame:
     """Per-position annotation ``(prompt_id, position, token, is_new, is_rare)``.
 
     Positions of equal tokens travel together (one row per prompt and distinct token) through the vocabulary join.
     """
     own = (
-        prompts.select("prompt_id", "baseline", F.posexplode(tx.each(F.col("tokens"))).alias("position", "gram"))
+        prompts.select("prompt_id", "baseline", "tokens")
+        .repartition("prompt_id")
+        .select("prompt_id", "baseline", F.posexplode(tx.each(F.col("tokens"))).alias("position", "gram"))
         .groupBy("prompt_id", "baseline", "gram")
         .agg(F.collect_list("position").alias("_positions"))
     )
-    vocabulary = grams.where(F.col("size") == 1).select("baseline", "gram", "m")
-    if _may_hold_hot_keys(prompts):
-        hot = own.groupBy("baseline", "gram").agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS)
-        joined = hot_key_join(own, vocabulary, ["baseline", "gram"], hot, "prompt_id")
-    else:
-        joined = own.join(vocabulary, ["baseline", "gram"], "left")
+    joined = gram_hits(own, vocabulary, hot_possible)
     facts = summary.select("baseline", "base_tokens", "threshold")
     facts = F.broadcast(facts) if few_baselines else facts
     m, has_base = F.coalesce("m", F.lit(0)), F.col("base_tokens").isNotNull()
@@ -204,9 +211,10 @@ def prompt_metrics(
     usable = prompts.where((F.size("tokens") > 0) & (F.size("probabilities") > 0))
     keyed = usable.join(small(baselines), "model_version_id")
     base = baseline_prompts(prompts, limit, days, as_of, keys=baselines)
-    grams = baseline_grams(base)
-    summary = baseline_summary(grams, base)
-    scores = prompt_scores(gram_hits(keyed, grams), summary, few)
+    tokens, bigrams = baseline_tokens(base), baseline_bigrams(base)
+    summary = baseline_summary(tokens, bigrams, base)
+    hot_possible = may_hold_hot_keys(prompts)
+    scores = prompt_scores(keyed, tokens, bigrams, summary, few, hot_possible)
     vectors = summary.select("baseline", "base_probabilities", "base_embedding")
     own_embedding = F.col("embedding") if "embedding" in prompts.columns else F.lit(None).cast("array<double>")
     # wide rows (a vector each): broadcast for a few hundred versions at most
@@ -253,7 +261,7 @@ def prompt_metrics(
     if not with_details:
         return result
     position = F.struct("position", "token", "is_new", "is_rare")
-    positions = annotated_positions(keyed, grams, summary, few).groupBy("prompt_id").agg(
+    positions = annotated_positions(keyed, tokens, summary, few, hot_possible).groupBy("prompt_id").agg(
         F.sort_array(F.collect_list(position)).alias("token_distribution_by_position")
     )
     counts = keyed.select("prompt_id", F.size("tokens").alias("_size"), F.explode(tx.each(F.col("tokens"))).alias("token"))

@@ -15,7 +15,7 @@ from workload.registry import query
 LIMIT = 100
 
 
-def _prompts(spark, d):
+def _prompts(spark, d, vectors=None):
     """Documents as generated prompts; the probability of a token is a function of its length."""
     rows = tb.tokenised(spark, d, "source", "n_chars")
     rows = rows.withColumn("probabilities", F.transform("tokens", lambda t: 1.0 / (1 + F.length(t))))
@@ -26,6 +26,8 @@ def _prompts(spark, d):
         "probabilities",
         F.col("n_chars").alias("output_length"),
     )
+    if vectors is not None:
+        rows = rows.join(vectors, "prompt_id", "left")
     # several branches read the prompts: tokenise once, into a table in the shared folder
     return written(rows, "prompts")
 
@@ -58,9 +60,10 @@ def a29(spark, d):
     prompts = _prompts(spark, d)
     baselines, few = settle(_baselines(spark, d))
     base = pm.baseline_prompts(prompts, LIMIT, keys=baselines)
-    grams = pm.baseline_grams(base)
+    vocabulary = pm.baseline_tokens(base)
     keyed = prompts.join(F.broadcast(baselines) if few else baselines, "model_version_id")
-    return pm.annotated_positions(keyed, grams, pm.baseline_summary(grams, base), few)
+    summary = pm.baseline_summary(vocabulary, pm.baseline_bigrams(base), base)
+    return pm.annotated_positions(keyed, vocabulary, summary, few, pm.may_hold_hot_keys(prompts))
 
 
 METRIC_ROW = f"""WITH {BASE},
@@ -96,7 +99,7 @@ def a30(spark, d):
     vectors = tb.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("prompt_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    prompts = _prompts(spark, d).join(vectors, "prompt_id", "left")
+    prompts = _prompts(spark, d, vectors)
     rows = pm.prompt_metrics(prompts, _baselines(spark, d), LIMIT)
     six = ["entropy", "kl_divergence", "js_divergence", "ngram_drift", "embedding_drift", "rare_token_percentage", "new_token_percentage"]
     return rows.select(
