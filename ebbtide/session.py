@@ -105,8 +105,3 @@ def settle(df: DataFrame, limit: int = 10_000) -> tuple[DataFrame, bool]:
     if rows.num_rows > limit:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
-
-
-def small_table(table: DataFrame, limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
-    """Same check for a table that is itself cheap to count (rule tables and other configuration)."""
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide import schemas
-from ebbtide.functions import text as tx
 from ebbtide.operators.listings import between, where_equal
 
 # Exported entities and model states
@@ -121,7 +120,3 @@ def import_records(records: DataFrame, entity: str, target: str, index: str = "i
     valid = validated.drop("errors", index)
     valid.write.mode("append").parquet(target)
     return validated.count(), errors
-
-
-def not_blank(column: str) -> Column:
-    return ~tx.is_blank(F.col(column))
