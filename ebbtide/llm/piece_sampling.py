@@ -36,7 +36,7 @@ from ebbtide.llm.queries import register
 SPACE = "▁"
 ALPHA, SEED, LONGEST = 1.0, 17, 256
 #: Rows whose lattices are built together.
-ROWS = 400
+ROWS = 1500
 #: A part never begins with the block character unless that stands for the space in front of a unit.
 _PARTS = re.compile(f"(?s).{{1,{LONGEST}}}{SPACE}*")
 _STEP, _UNIT, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(42)

@@ -1,6 +1,6 @@
 """Imports every module with a registered query; the driver's entry reads QUERIES and ORACLE from here."""
 
-from ebbtide.llm import language_id, packing, piece_sampling, quality, token_counts  # noqa: F401
+from ebbtide.llm import language_id, ngram_join, packing, pii, piece_sampling, quality, substring_dedup, token_counts, topk_search, warc  # noqa: F401
 from ebbtide.llm.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
