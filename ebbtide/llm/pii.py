@@ -182,9 +182,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data replaced in ``text_col``; a row without any is returned as it was."""
+    """``docs`` with personal data replaced in ``text_col``; a row without any is returned as it was.
+
+    What a replacement sets free (a number that ran into another) is looked for once more.
+    """
     rows = with_spans(found_in(docs, id_col, text_col, docs.columns))
-    changed = F.when(F.size("spans") > 0, redacted(F.col(f"kept_{text_col}"), F.col("spans"))).otherwise(F.col(f"kept_{text_col}"))
+    old = F.col(f"kept_{text_col}")
+    rows = rows.withColumn("once", F.when(F.size("spans") > 0, redacted(old, F.col("spans"))))
+    rows = rows.withColumn("twice", F.when(F.col("once").isNotNull(), redacted(F.col("once"), base_spans(F.col("once")))))
+    changed = F.coalesce("twice", old)
     return rows.select(*((changed if c == text_col else F.col(f"kept_{c}")).alias(c) for c in docs.columns))
 
 

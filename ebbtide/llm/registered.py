@@ -1,6 +1,20 @@
-"""Imports every module with a registered query; the driver's entry reads QUERIES and ORACLE from here."""
+"""Imports every module with a registered query, and the pipeline; the driver's entry reads QUERIES and ORACLE from here."""
 
-from ebbtide.llm import language_id, ngram_join, packing, pii, piece_sampling, quality, substring_dedup, token_counts, topk_search, warc  # noqa: F401
-from ebbtide.llm.queries import ORACLE, QUERIES
+import corpus_pipeline
+from ebbtide.llm import (  # noqa: F401
+    language_id,
+    ngram_join,
+    packing,
+    pii,
+    piece_sampling,
+    quality,
+    substring_dedup,
+    token_counts,
+    topk_search,
+    warc,
+)
+from ebbtide.llm.queries import ORACLE, QUERIES, register
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLE", "QUERIES"]

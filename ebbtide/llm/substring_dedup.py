@@ -231,7 +231,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     columns = [c for c in marked.columns if c.startswith("kept_")]
     kept = marked.select(*columns, "text", "ranges")
-    schema = marked.select(*columns).withColumn("changed", F.lit("")).schema
+    schema = marked.select(*columns).withColumn("changed", F.lit(None).cast("string")).schema
     rows = kept.mapInArrow(run, schema)
     return rows.select(
         *((F.coalesce("changed", f"kept_{c}") if c == text_col else F.col(f"kept_{c}")).alias(c) for c in docs.columns)
