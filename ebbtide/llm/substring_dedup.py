@@ -7,7 +7,9 @@ shipping each of them would multiply the corpus, so the suffixes are split by pr
   windows have equal anchors, so they meet in one group. Neighbouring windows mostly share their anchor and travel as
   one stretch of text; about one word in twenty is an anchor.
 * Anchors that only one document has are dropped before any text moves: nothing repeats there.
-* A group of at most ``GROUP`` stretches becomes a suffix subtree, held as its sorted leaves. Its internal nodes at depth
+* Equal stretches (those of copies) become one class with its smallest document, aggregated before the shuffle. Where a
+  class has several documents, all but the smallest repeat it.
+* The classes of an anchor, up to ``GROUP``, become a suffix subtree, held as its sorted leaves. Its internal nodes at depth
   ``WINDOW`` (leaves that agree that far) are the maximal repeats; every leaf under such a node that is not of the
   node's smallest document is marked.
 * The prefix of larger groups is made longer: up to the whole window, whose 128-bit hash is then the group. Such a group is one
@@ -22,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from functools import partial
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,10 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm.common import flat_hashes, gram_hashes, in_pieces, table, words_of
 from ebbtide.llm.queries import register
+from ebbtide.session import written
 
-WINDOW, GRAM = 50, 8
-#: Stretches in a group up to which it is one subtree.
+WINDOW, GRAM = 50, 16
+#: Classes in a group up to which it is one subtree.
 GROUP = 256
 #: Rows handled together.
 ROWS = 500
@@ -82,53 +86,51 @@ def _anchor_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from in_pieces(((key, ids[d], marks[d]) for d, key in sorted(seen)), "lll", ["anchor", "doc_id", "mark"])
 
 
-def _stretch_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of text around shared anchors; of hot anchors a row for each window, with its hash."""
-    names = ["anchor", "doc_id", "mark", "first", "stretch", "low", "high"]
+def _halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
+def _stretch_rows(parts: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Stretches around shared anchors: their 128-bit hash with place, or with text."""
+    names = ["anchor", "low", "high", "doc_id", "stretch"] if with_text else ["doc_id", "mark", "first", "last", "low", "high"]
     for whole in parts:
         for i in range(0, whole.num_rows, ROWS):
             part = whole.slice(i, ROWS)
             ids, marks, texts, shared = (c.to_pylist() for c in part.columns)
-            docs = [words_of(t) for t in texts]
+            docs, wanted = [words_of(t) for t in texts], [set(s) for s in shared]
 
-            def rows(docs=docs, ids=ids, marks=marks, shared=shared):
-                wanted = [{x["anchor"]: x["hot"] for x in s} for s in shared]
+            def rows(docs=docs, ids=ids, marks=marks, wanted=wanted):
                 for d, key, _, first, last in anchors(*flat_hashes(docs)):
-                    hot = wanted[d].get(key)
-                    if hot is None:
-                        continue
-                    if not hot:
-                        yield key, ids[d], marks[d], first, b" ".join(docs[d][first : last + WINDOW]), 0, 0
-                        continue
-                    for p in range(first, last + 1):
-                        digest = xxhash.xxh3_128_digest(b" ".join(docs[d][p : p + WINDOW]))
-                        yield None, ids[d], marks[d], p, None, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-
-            yield from in_pieces(rows(), "llliyll", names, 2000)
-
-
-def subtree_marks(group: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-    """Word ranges (doc_id, mark, from, to) that repeat a smaller document, among stretches (doc_id, mark, first, text)."""
-    if len({g[0] for g in group}) < 2:
-        return []
-    leaves = []
-    for i, (doc_id, _, first, stretch) in enumerate(group):
-        begins, at = [], 0
-        for word in stretch.split(b" "):
-            begins.append(at)
-            at += len(word) + 1
+                    if key in wanted[d]:
+                        stretch = b" ".join(docs[d][first : last + WINDOW])
+                        low, high = _halves(xxhash.xxh3_128_digest(stretch))
+                        yield (key, low, high, ids[d], stretch) if with_text else (ids[d], marks[d], first, last, low, high)
+
+            yield from in_pieces(rows(), "lllly" if with_text else "lliill", names, 2000)
+
+
+def leaves_of(stretch: bytes) -> list[bytes]:
+    """The windows of a stretch, one from each of its words on."""
+    begins, at = [], 0
+    for word in stretch.split(b" "):
         begins.append(at)
-        for k in range(len(begins) - WINDOW):
-            leaves.append((stretch[begins[k] : begins[k + WINDOW] - 1], doc_id, i, first + k))
+        at += len(word) + 1
+    begins.append(at)
+    return [stretch[begins[k] : begins[k + WINDOW] - 1] for k in range(len(begins) - WINDOW)]
+
+
+def subtree_marks(group: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(class number, from, to): words of classes (smallest document, stretch) that repeat a smaller document."""
+    leaves = [(leaf, least, i, k) for i, (least, stretch) in enumerate(group) for k, leaf in enumerate(leaves_of(stretch))]
     leaves.sort()  # siblings of the tree side by side; under a node by document
     marked: dict[int, list[int]] = {}
     for _, node in groupby(leaves, key=lambda x: x[0]):
-        least = None
-        for _, doc_id, i, p in node:
-            least = doc_id if least is None else least
-            if doc_id > least:
-                marked.setdefault(i, []).append(p)
-    return [(group[i][0], group[i][1], a, b) for i, places in marked.items() for a, b in runs(sorted(places))]
+        smallest = None
+        for _, least, i, k in node:
+            smallest = least if smallest is None else smallest
+            if least > smallest:
+                marked.setdefault(i, []).append(k)
+    return ((i, a, b) for i, places in marked.items() for a, b in runs(sorted(places)))
 
 
 def runs(places: list[int]) -> Iterator[tuple[int, int]]:
@@ -144,18 +146,31 @@ def runs(places: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+REPEATED, RANGE, LEAF = 0, 1, 2
+_PARTS = "kind int, low long, high long, least long, from int, to int, window_low long, window_high long"
+
+
 def _tree_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Subtrees of a partition that is sorted by anchor; a group may go on in the next batch."""
+    """Of classes sorted by anchor: those of several documents, the ranges that subtrees mark, the leaves of large groups."""
 
-    def stretches():
+    def classes():
         for part in parts:
             yield from zip(*(c.to_pylist() for c in part.columns))
 
-    def marks():
-        for _, group in groupby(stretches(), key=lambda x: x[0]):
-            yield from subtree_marks([x[1:] for x in group])
+    def rows():
+        for _, group in groupby(classes(), key=lambda x: x[0]):
+            some = list(islice(group, GROUP + 1))
+            for _, low, high, least, most, stretch in chain(some, group) if len(some) > GROUP else some:
+                if most > least:
+                    yield REPEATED, low, high, least, None, None, None, None
+                if len(some) > GROUP:
+                    for k, leaf in enumerate(leaves_of(stretch)):
+                        yield LEAF, low, high, least, k, k + WINDOW, *_halves(xxhash.xxh3_128_digest(leaf))
+            if 1 < len(some) <= GROUP:
+                for i, a, b in subtree_marks([(x[3], x[5]) for x in some]):
+                    yield RANGE, some[i][1], some[i][2], None, a, b, None, None
 
-    yield from in_pieces(marks(), "llii", ["doc_id", "mark", "from", "to"])
+    yield from in_pieces(rows(), "illliill", [c.split()[0] for c in _PARTS.split(", ")])
 
 
 def marked_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -166,21 +181,30 @@ def marked_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     known = rows.where("doc_id is not null")
     own = known.select("doc_id", "mark", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, mark long")
-    groups = own.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    groups = groups.where(F.col("least") < F.col("most")).select("anchor", (F.col("n") > GROUP).alias("hot"))
-    shared = own.join(groups, "anchor").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("anchor", "hot")).alias("shared"))
+    groups = own.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    groups = groups.where(F.col("least") < F.col("most")).select("anchor")
+    shared = own.join(groups, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("shared"))
     met = known.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "shared")
-    found = met.mapInArrow(
-        _stretch_rows, "anchor long, doc_id long, mark long, first int, stretch binary, low long, high long"
+    told = met.mapInArrow(partial(_stretch_rows, with_text=True), "anchor long, low long, high long, doc_id long, stretch binary")
+    classes = told.groupBy("anchor", "low", "high").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("stretch").alias("stretch")
     )
-    cold = found.where("anchor is not null").select("anchor", "doc_id", "mark", "first", "stretch")
-    trees = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_tree_rows, "doc_id long, mark long, from int, to int")
-    hot = found.where("anchor is null").select("low", "high", "doc_id", "mark", "first")
-    nodes = hot.groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    nodes = nodes.where(F.col("least") < F.col("most")).select("low", "high", "least")
-    late = hot.join(nodes, ["low", "high"]).where(F.col("doc_id") > F.col("least"))
-    late = late.select("doc_id", "mark", F.col("first").alias("from"), (F.col("first") + WINDOW).alias("to"))
-    ranges = trees.unionByName(late).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+    sorted_classes = classes.repartition("anchor").sortWithinPartitions("anchor", "least")
+    parts = written(sorted_classes.mapInArrow(_tree_rows, _PARTS), "subtrees")
+    leaves = parts.where(F.col("kind") == LEAF)
+    nodes = leaves.groupBy("window_low", "window_high").agg(F.min("least").alias("smallest"), F.max("least").alias("largest"))
+    nodes = nodes.where(F.col("smallest") < F.col("largest")).select("window_low", "window_high", "smallest")
+    late = leaves.join(nodes, ["window_low", "window_high"]).where(F.col("least") > F.col("smallest"))
+    words = F.struct("from", "to")
+    found = parts.where(F.col("kind") != LEAF).select("low", "high", "least", F.when(F.col("kind") == RANGE, words).alias("words"))
+    found = found.unionByName(late.select("low", "high", F.lit(None).cast("long").alias("least"), words.alias("words")))
+    found = found.groupBy("low", "high").agg(F.max("least").alias("least"), F.collect_set("words").alias("words"))
+    placed = met.mapInArrow(partial(_stretch_rows, with_text=False), "doc_id long, mark long, first int, last int, low long, high long")
+    hit = placed.join(found, ["low", "high"])
+    everything = F.array(F.struct(F.col("first").alias("from"), (F.col("last") + WINDOW).alias("to")))
+    moved = F.transform("words", lambda w: F.struct((w["from"] + F.col("first")).alias("from"), (w["to"] + F.col("first")).alias("to")))
+    hit = hit.select("doc_id", "mark", F.when(F.col("doc_id") > F.col("least"), everything).otherwise(moved).alias("own"))
+    ranges = hit.groupBy("doc_id", "mark").agg(F.flatten(F.collect_set("own")).alias("ranges"))
     return known.join(ranges, ["doc_id", "mark"], "left").unionByName(
         rows.where("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<from:int,to:int>>"))
     )
