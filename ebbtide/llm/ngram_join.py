@@ -4,14 +4,14 @@ A document's set holds its distinct 5-word shingles (as 64-bit hashes); two docu
 result is the component of each document, so no link may be lost, but links inside one component need not all be made.
 
 Index: the shingles of every set are put in one global order (frequent ones of a bounded sample last, else by hash), and only a
-prefix of each set is indexed: two sets that link share a shingle of both prefixes. The lists of the index hold
-(set, size, position). Most lists have one entry and go at once.
+prefix of each set is indexed, so long that two sets that link share ``SHARED`` shingles of both prefixes (or all that a
+link of small sets needs). The lists of the index hold (set, size, position). Most lists have one entry and go at once.
 
 Skipping by index: a list is read in blocks of like size; blocks whose sizes can't link are skipped, and so are entries
 whose position leaves too few shingles behind it for the overlap a link needs.
 
 Skipping by answer: sets with the same smallest shingle are probably near copies. Each is compared with the first of them
-(the leader) and follows it if they link. Lists then hold leaders instead of followers, and a leader's answers are
+(the leader) and follows it if they link; leaders meet again by the smallest shingle in two other orders. Lists then hold leaders instead of followers, and a leader's answers are
 computed first. A follower x of l differs from it by known shingles, so |x & y| <= |l & m| + |x - l| + |y - m| for every
 follower y of m: the follower's answers are those of its leader, unless this bound leaves a link open. Only then, and only if
 both aren't in one component already, are followers compared: first with the other leader, then with each other as far
@@ -40,7 +40,11 @@ from ebbtide.session import written
 
 SHINGLE = 5
 #: Documents of the order's sample, documents of it that make a shingle frequent, frequent shingles kept.
-SAMPLE, FREQUENT, KEPT = 8_192, 4, 200_000
+SAMPLE, FREQUENT, KEPT = 16_384, 3, 200_000
+#: Shingles that two prefixes must share before their texts are compared.
+SHARED = 10
+#: Rounds of leaders, each by the smallest shingle in another order.
+HOMES = 3
 ROWS = 500
 
 
@@ -81,11 +85,19 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
+def _home(own: np.ndarray, turn: int) -> int:
+    """The set's smallest shingle in one of several orders."""
+    return _signed(mixed(own + np.array([turn], np.uint64)).min(keepdims=True))[0]
+
+
 def _set_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "signature", "home"]
+    names = ["doc_id", "n", "signature", *(f"home{k}" for k in range(HOMES))]
     for ids, sets in _each(parts):
-        rows = ((i, len(s), _signature(s) if len(s) else None, _signed(s[:1])[0] if len(s) else None) for i, s in zip(ids, sets))
-        yield from in_pieces(rows, "llyl", names)
+        rows = (
+            (i, len(s), _signature(s), *(_home(s, k) for k in range(HOMES))) if len(s) else (i, 0, *[None] * (HOMES + 1))
+            for i, s in zip(ids, sets)
+        )
+        yield from in_pieces(rows, "lly" + "l" * HOMES, names)
 
 
 def _sample_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +106,8 @@ def _sample_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_length(n: int) -> int:
-    """A set of n shares one of so many first shingles with every set it links with: n - ceil(0.8 n) + 1."""
-    return n - (4 * n + 4) // 5 + 1
+    """A set of n shares SHARED of so many first shingles with every set it links with: n - ceil(0.8 n) + SHARED."""
+    return min(n, n - (4 * n + 4) // 5 + SHARED)
 
 
 def needed(a, b):
@@ -110,8 +122,8 @@ def links(a, b, common):
 def _prefix_rows(parts: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()  # equal sets of this task are indexed once
     names = ["shingle", "doc_id", "size", "position"]
-
-    def rows(ids, sets):
+    for ids, sets in _each(parts):
+        chosen, own_ids, sizes = [], [], []
         for i, own in zip(ids, sets):
             if not len(own) or (s := _signature(own)) in seen:
                 continue
@@ -119,12 +131,16 @@ def _prefix_rows(parts: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Itera
             n = len(own)
             if len(frequent):
                 late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
-                own = np.concatenate([own[~late], own[late]])
-            for k, x in enumerate(_signed(own[: prefix_length(n)])):
-                yield x, i, n, k
-
-    for ids, sets in _each(parts):
-        yield from in_pieces(rows(ids, sets), "llii", names, 50_000)
+                if late.any():
+                    own = np.concatenate([own[~late], own[late]])
+            chosen.append(own[: prefix_length(n)])
+            own_ids.append(i)
+            sizes.append(n)
+        if chosen:
+            many = np.array([len(x) for x in chosen])
+            position = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            columns = [np.concatenate(chosen).view(np.int64), np.repeat(own_ids, many), np.repeat(sizes, many).astype(np.int32), position.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def _shared_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +162,7 @@ def _shared_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _list_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of leaders to compare, from rows (shingle, leader, least size, most size, most left behind) sorted by shingle and size."""
+    """Pairs of leaders, how many lists they share and how many they must, from rows (shingle, leader, least size, most size, most left behind) sorted by shingle and size."""
 
     def rows():
         for part in parts:
@@ -161,23 +177,25 @@ def _list_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(1, len(entries)):
                 # sizes ascend: the blocks before lo hold sets too small to link with entry k
                 lo = int(np.searchsorted(5 * most[:k], 4 * least[k]))
-                room = 1 + np.minimum(behind[lo:k], behind[k])
-                for j in np.flatnonzero(room >= needed(least[lo:k], least[k])):
+                # of the first SHARED common shingles this may be the last
+                room = SHARED + np.minimum(behind[lo:k], behind[k])
+                least_common = needed(least[lo:k], least[k])
+                for j in np.flatnonzero(room >= least_common):
                     a, b = int(leader[lo + j]), int(leader[k])
-                    if a != b:
-                        yield min(a, b), max(a, b)
-
-    seen: set = set()
+                    yield min(a, b), max(a, b), min(SHARED, int(least_common[j]))
 
-    def fresh():
-        for pair in pairs():
-            if pair not in seen:
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(pair)
-                yield pair
+    def counted():
+        counts: dict[tuple[int, int], list[int]] = {}
+        for a, b, need in pairs():
+            own = counts.setdefault((a, b), [0, need])
+            own[0] += 1
+            own[1] = min(own[1], need)
+            if len(counts) > 200_000:
+                yield from ((*pair, *x) for pair, x in counts.items())
+                counts.clear()
+        yield from ((*pair, *x) for pair, x in counts.items())
 
-    yield from in_pieces(fresh(), "ll", ["a", "b"], 20_000)
+    yield from in_pieces(counted(), "llll", ["a", "b", "hits", "need"], 20_000)
 
 
 def _common_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,15 +247,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = texts(docs, id_col, text_col)
     known = rows.where("doc_id is not null")
-    sets = written(rows.mapInArrow(_set_rows, "doc_id long, n long, signature binary, home long"), "sets")
+    homes = [f"home{k}" for k in range(HOMES)]
+    kinds = "".join(f", {h} long" for h in homes)
+    sets = written(rows.mapInArrow(_set_rows, f"doc_id long, n long, signature binary{kinds}"), "sets")
     full = sets.where("n > 0 and doc_id is not null")
-    firsts = full.groupBy("signature").agg(F.min("doc_id").alias("first"), F.first("home").alias("home"), F.first("n").alias("n"))
-    firsts = written(firsts, "firsts")
-    homes = firsts.groupBy("home").agg(F.min("first").alias("leader"), F.count("*").alias("many"))
+    firsts = written(full.groupBy("signature").agg(F.min("doc_id").alias("first"), *(F.first(h).alias(h) for h in homes)), "firsts")
+    unlike = firsts.groupBy("home0").agg(F.min("first").alias("leader"))
 
     # the global order: shingles that several unlike documents of a bounded sample hold come last
-    size = homes.count()
-    asked = homes.where(F.pmod(F.xxhash64("leader", F.lit("order")), F.lit(max(1, size // SAMPLE))) == 0).select(F.col("leader").alias("doc_id")).limit(2 * SAMPLE)
+    size = unlike.count()
+    asked = unlike.where(F.pmod(F.xxhash64("leader", F.lit("order")), F.lit(max(1, size // SAMPLE))) == 0).select(F.col("leader").alias("doc_id")).limit(2 * SAMPLE)
     sampled = known.join(F.broadcast(asked), "doc_id").mapInArrow(_sample_rows, "shingle long")
     counted = sampled.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = [r[0] for r in counted.orderBy(F.desc("n"), "shingle").limit(KEPT).select("shingle").collect()]
@@ -251,21 +270,35 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = written(lists, "lists")
 
     # every text that may be compared, once
-    starred = firsts.join(homes.where("many > 1"), "home").where(F.col("first") != F.col("leader")).select(F.col("leader").alias("a"), F.col("first").alias("b"))
-    starred = written(starred.distinct(), "stars")
-    wanted = lists.select("doc_id").union(starred.select("a")).union(starred.select("b")).distinct()
-    held = written(known.join(wanted, "doc_id"), "held")
-
-    # leaders and followers
-    stars = compared(starred, held)
-    followers = stars.where(links(F.col("na"), F.col("nb"), F.col("common")))
-    followers = written(followers.groupBy(F.col("b").alias("doc_id")).agg(F.min_by(F.struct(F.col("a").alias("leader"), (F.col("nb") - F.col("common")).alias("own"), F.col("nb").alias("n")), "a").alias("x")).select("doc_id", "x.*"), "followers")
+    wanted = lists.select("doc_id")
+    for home in homes:
+        several = firsts.groupBy(home).agg(F.count("*").alias("many")).where("many > 1")
+        wanted = wanted.union(firsts.join(several, home, "left_semi").select("first"))
+    held = written(known.join(wanted.distinct(), "doc_id"), "held")
+
+    # leaders and followers: (doc_id, leader, own: at most so many shingles that the leader lacks, n)
+    leaders, followers = firsts, None
+    for home in homes:
+        groups = leaders.groupBy(home).agg(F.min("first").alias("a"), F.count("*").alias("many")).where("many > 1").select(home, "a")
+        stars = leaders.join(groups, home).where(F.col("first") != F.col("a")).select("a", F.col("first").alias("b")).distinct()
+        found = compared(stars, held).where(links(F.col("na"), F.col("nb"), F.col("common")))
+        found = found.groupBy(F.col("b").alias("doc_id")).agg(F.min(F.struct(F.col("a").alias("leader"), (F.col("nb") - F.col("common")).alias("own"), F.col("nb").alias("n"))).alias("x"))
+        found = written(found.select("doc_id", "x.*"), "followers")
+        if followers is not None:  # who followed one of them follows its leader
+            onward = found.select(F.col("doc_id").alias("leader"), F.col("leader").alias("next"), F.col("own").alias("more"))
+            followers = followers.join(onward, "leader", "left").select(
+                "doc_id", F.coalesce("next", "leader").alias("leader"), (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"), "n"
+            )
+            found = written(followers.unionByName(found), "followers")
+        followers = found
+        leaders = leaders.join(followers.select(F.col("doc_id").alias("first")).distinct(), "first", "left_anti")
     led = lists.join(followers.select("doc_id", "leader"), "doc_id", "left").select(
         "shingle", F.coalesce("leader", "doc_id").alias("leader"), "size", (F.col("size") - F.col("position") - 1).alias("behind")
     )
     entries = led.groupBy("shingle", "leader").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("behind").alias("behind"))
-    pairs = entries.repartition("shingle").sortWithinPartitions("shingle", "most", "leader").mapInArrow(_list_pairs, "a long, b long").distinct()
-    answers = compared(pairs, held)
+    pairs = entries.repartition("shingle").sortWithinPartitions("shingle", "most", "leader").mapInArrow(_list_pairs, "a long, b long, hits long, need long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where(F.col("hits") >= F.col("need"))
+    answers = compared(pairs.select("a", "b"), held)
 
     # followers whose answers their leader's don't settle
     reach = followers.groupBy("leader").agg(F.max("own").alias("own"), F.min("n").alias("least"))
@@ -277,7 +310,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.least("na", F.coalesce("least_a", "na")).alias("least_a"), F.least("nb", F.coalesce("least_b", "nb")).alias("least_b"),
     )
     open_ = open_.where(F.col("common") + F.col("own_a") + F.col("own_b") >= F.floor((4 * (F.col("least_a") + F.col("least_b")) + 8) / 9)).select("a", "b", "common")
-    edges = _linked(answers).union(followers.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
+    edges = _linked(answers).union(followers.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))  # by chains of links
     open_ = written(open_, "open")
     groups = components(edges)
     if not open_.isEmpty():
