@@ -184,6 +184,7 @@ def marked_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = own.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     groups = groups.where(F.col("least") < F.col("most")).select("anchor")
     shared = own.join(groups, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("shared"))
+    shared = written(shared, "anchors")  # two plans read it
     met = known.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "shared")
     told = met.mapInArrow(partial(_stretch_rows, with_text=True), "anchor long, low long, high long, doc_id long, stretch binary")
     classes = told.groupBy("anchor", "low", "high").agg(
