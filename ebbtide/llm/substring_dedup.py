@@ -180,7 +180,7 @@ def marked_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text"), *kept
     )
     known = rows.where("doc_id is not null")
-    own = known.select("doc_id", "mark", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, mark long")
+    own = written(known.select("doc_id", "mark", "text").mapInArrow(_anchor_rows, "anchor long, doc_id long, mark long"), "own-anchors")
     groups = own.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     groups = groups.where(F.col("least") < F.col("most")).select("anchor")
     shared = own.join(groups, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("shared"))
@@ -200,6 +200,7 @@ def marked_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = parts.where(F.col("kind") != LEAF).select("low", "high", "least", F.when(F.col("kind") == RANGE, words).alias("words"))
     found = found.unionByName(late.select("low", "high", F.lit(None).cast("long").alias("least"), words.alias("words")))
     found = found.groupBy("low", "high").agg(F.max("least").alias("least"), F.collect_set("words").alias("words"))
+    found = written(found, "repeats")  # aggregated apart from the join, so that adaptive execution can split a stretch with many copies
     placed = met.mapInArrow(partial(_stretch_rows, with_text=False), "doc_id long, mark long, first int, last int, low long, high long")
     hit = placed.join(found, ["low", "high"])
     everything = F.array(F.struct(F.col("first").alias("from"), (F.col("last") + WINDOW).alias("to")))
