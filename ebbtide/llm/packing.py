@@ -33,8 +33,10 @@ from ebbtide.session import written
 CAPACITY = 4096
 #: The id that ends every document.
 END_ID = 1
-#: Words asked of the tokenizer at once.
-ASK = 1024
+#: Words asked of the tokenizer at once, and the word put between them.
+ASK, BETWEEN = 1024, "~"
+#: Words whose ids a worker keeps.
+KNOWN = 1_000_000
 
 
 class WordIds:
@@ -47,20 +49,27 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.ids = BoundedCache(self._one)
+        self.ids = BoundedCache(self._one, KNOWN)
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        """Ask for many new words in one call."""
-        fresh = [w for w in words if len(w) <= 64 and w not in self.ids]
+        """Ask for many new words as one text, a known id between them: far fewer calls than a call for each word."""
+        apart = BETWEEN.encode()
+        fresh = [w for w in words if len(w) <= 64 and w not in self.ids and apart not in w]
         for i in range(0, len(fresh), ASK):
             some = fresh[i : i + ASK]
-            for word, code in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                if len(self.ids) >= self.ids._limit:
-                    self.ids.clear()
-                self.ids[word] = np.array(code.ids, "<u4").tobytes()
+            if len(self.ids) + len(some) > KNOWN:
+                self.ids.clear()
+            text = f" {BETWEEN} ".join(w.decode() for w in some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.between[0])
+            if len(self.between) != 1 or len(cuts) != len(some) - 1:  # the id isn't only between the words
+                continue  # each is asked for when it comes
+            whole, begins, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.ids.update(zip(some, (whole[a:b] for a, b in zip(begins, ends))))
 
     def of(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.ids.__getitem__, words))
