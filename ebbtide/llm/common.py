@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,17 @@ def in_pieces(rows: Iterable[tuple], kinds: str, names: list[str], size: int = 5
         yield batches(kinds, names, part)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch whose texts in a column have about ``most`` bytes together, one row at least."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def sampled_passages(
     docs: DataFrame, label_col: str, id_col: str, text_col: str, buckets: int, passage_chars: int
 ) -> list[tuple[str, str]]:

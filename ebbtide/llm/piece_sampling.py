@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import mixed, table
+from ebbtide.llm.common import mixed, slices, table
 from ebbtide.llm.queries import register
 
 SPACE = "▁"
 ALPHA, SEED, LONGEST = 1.0, 17, 256
-#: Rows whose lattices are built together.
-ROWS = 1500
+#: Bytes of text whose lattices are built together (one row at least).
+TOGETHER = 2_000_000
 #: A part never begins with the block character unless that stands for the space in front of a unit.
 _PARTS = re.compile(f"(?s).{{1,{LONGEST}}}{SPACE}*")
 _STEP, _UNIT, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(42)
@@ -232,8 +232,7 @@ def encode_sampled(
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary, alpha)
         for whole in parts:
-            for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
+            for part in slices(whole, 1, TOGETHER):
                 keys, rows = part.column(0).to_pylist(), [units(t) for t in part.column(1).to_pylist()]
                 seeds = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{k}") for k in keys], np.uint64)
                 found = sample(pieces, rows, seeds)
