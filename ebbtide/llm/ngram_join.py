@@ -11,8 +11,9 @@ Skipping by index: a list is read in blocks of like size; blocks whose sizes can
 whose position leaves too few shingles behind it for the overlap a link needs.
 
 Skipping by answer: sets with the same smallest shingle are probably near copies. Each is compared with the first of them
-(the leader) and follows it if they link; leaders meet again by the smallest shingle in two other orders. Lists then hold leaders instead of followers, and a leader's answers are
-computed first. A follower x of l differs from it by known shingles, so |x & y| <= |l & m| + |x - l| + |y - m| for every
+(the leader) and follows it if they link. Lists then hold leaders instead of followers, and a leader's answers are
+computed first: those of each list's first leader, then those of leaders that these answers leave in different components.
+Lists of one component need no more pairs. A follower x of l differs from it by known shingles, so |x & y| <= |l & m| + |x - l| + |y - m| for every
 follower y of m: the follower's answers are those of its leader, unless this bound leaves a link open. Only then, and only if
 both aren't in one component already, are followers compared: first with the other leader, then with each other as far
 as the bound, now tighter, lets them.
@@ -43,8 +44,6 @@ SHINGLE = 5
 SAMPLE, FREQUENT, KEPT = 16_384, 3, 200_000
 #: Shingles that two prefixes must share before their texts are compared.
 SHARED = 10
-#: Rounds of leaders, each by the smallest shingle in another order.
-HOMES = 3
 ROWS = 500
 
 
@@ -54,15 +53,10 @@ def shingle_sets(batch: list[bytes | None]) -> list[np.ndarray]:
     hashes, starts = flat_hashes(docs)
     sizes = np.diff(starts)
     grams = gram_hashes(hashes, SHINGLE)
-    doc = np.repeat(np.arange(len(docs)), np.maximum(sizes - SHINGLE + 1, 0))
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(sizes - SHINGLE + 1, 0)) - np.maximum(sizes - SHINGLE + 1, 0), np.maximum(sizes - SHINGLE + 1, 0))
-    own = grams[starts[:-1][doc] + at] if len(doc) else np.zeros(0, np.uint64)
-    order = np.lexsort((own, doc))
-    own, doc = own[order], doc[order]
-    new = np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])]) if len(own) else np.zeros(0, bool)
-    own, doc = own[new], doc[new]
-    cuts = np.searchsorted(doc, np.arange(len(docs) + 1))
-    sets = [own[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    sets = []
+    for begin, n in zip(starts[:-1].tolist(), sizes.tolist()):
+        own = np.sort(grams[begin : begin + max(n - SHINGLE + 1, 0)])
+        sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
     for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)):
         words = hashes[starts[i] : starts[i + 1]]
         sets[i] = mixed(gram_hashes(words, len(words)) + np.array([len(words)], np.uint64))
@@ -85,19 +79,11 @@ def _signed(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
-def _home(own: np.ndarray, turn: int) -> int:
-    """The set's smallest shingle in one of several orders."""
-    return _signed(mixed(own + np.array([turn], np.uint64)).min(keepdims=True))[0]
-
-
 def _set_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "signature", *(f"home{k}" for k in range(HOMES))]
+    names = ["doc_id", "n", "signature", "home"]
     for ids, sets in _each(parts):
-        rows = (
-            (i, len(s), _signature(s), *(_home(s, k) for k in range(HOMES))) if len(s) else (i, 0, *[None] * (HOMES + 1))
-            for i, s in zip(ids, sets)
-        )
-        yield from in_pieces(rows, "lly" + "l" * HOMES, names)
+        rows = ((i, len(s), _signature(s), _signed(s[:1])[0]) if len(s) else (i, 0, None, None) for i, s in zip(ids, sets))
+        yield from in_pieces(rows, "llyl", names)
 
 
 def _sample_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,41 +147,64 @@ def _shared_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, waiting = x[-1], None if before[-1] else part.slice(part.num_rows - 1)
 
 
-def _list_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of leaders, how many lists they share and how many they must, from rows (shingle, leader, least size, most size, most left behind) sorted by shingle and size."""
+def _lists(parts: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
+    """The lists of rows sorted by shingle, without the shingle."""
 
     def rows():
         for part in parts:
             yield from zip(*(c.to_pylist() for c in part.columns))
 
+    for _, group in groupby(rows(), key=lambda x: x[0]):
+        yield (x[1:] for x in group)
+
+
+def _counted(pairs: Iterator[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """(a, b, hits, need): how many lists a pair shares and how many it must, added up as far as memory goes."""
+
+    def rows():
+        counts: dict[tuple[int, int], list[int]] = {}
+        for a, b, need in pairs:
+            own = counts.setdefault((a, b), [0, need])
+            own[0] += 1
+            own[1] = min(own[1], need)
+            if len(counts) > 100_000:
+                yield from ((*pair, *x) for pair, x in counts.items())
+                counts.clear()
+        yield from ((*pair, *x) for pair, x in counts.items())
+
+    yield from in_pieces(rows(), "llll", ["a", "b", "hits", "need"], 20_000)
+
+
+def _first_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each list's first leader with the others, from rows (shingle, leader, least) sorted by shingle and leader."""
+
     def pairs():
-        for _, group in groupby(rows(), key=lambda x: x[0]):
-            entries = np.array([x[1:] for x in group], np.int64)
-            if len(entries) < 2:
-                continue
-            leader, least, most, behind = entries.T
+        for group in _lists(parts):
+            head = next(group)[0]
+            for leader, least in group:
+                yield head, leader, min(SHARED, (4 * least + 4) // 5)
+
+    yield from _counted(pairs())
+
+
+def _list_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of leaders in different components, from rows (shingle, leader, least size, most size, most left behind, component) sorted by shingle and size."""
+
+    def pairs():
+        for group in _lists(parts):
+            entries = np.array(list(group), np.int64)
+            leader, least, most, behind, component = entries.T
             for k in range(1, len(entries)):
                 # sizes ascend: the blocks before lo hold sets too small to link with entry k
                 lo = int(np.searchsorted(5 * most[:k], 4 * least[k]))
                 # of the first SHARED common shingles this may be the last
                 room = SHARED + np.minimum(behind[lo:k], behind[k])
                 least_common = needed(least[lo:k], least[k])
-                for j in np.flatnonzero(room >= least_common):
+                for j in np.flatnonzero((room >= least_common) & (component[lo:k] != component[k])):
                     a, b = int(leader[lo + j]), int(leader[k])
                     yield min(a, b), max(a, b), min(SHARED, int(least_common[j]))
 
-    def counted():
-        counts: dict[tuple[int, int], list[int]] = {}
-        for a, b, need in pairs():
-            own = counts.setdefault((a, b), [0, need])
-            own[0] += 1
-            own[1] = min(own[1], need)
-            if len(counts) > 200_000:
-                yield from ((*pair, *x) for pair, x in counts.items())
-                counts.clear()
-        yield from ((*pair, *x) for pair, x in counts.items())
-
-    yield from in_pieces(counted(), "llll", ["a", "b", "hits", "need"], 20_000)
+    yield from _counted(pairs())
 
 
 def _common_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +256,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = texts(docs, id_col, text_col)
     known = rows.where("doc_id is not null")
-    homes = [f"home{k}" for k in range(HOMES)]
-    kinds = "".join(f", {h} long" for h in homes)
-    sets = written(rows.mapInArrow(_set_rows, f"doc_id long, n long, signature binary{kinds}"), "sets")
+    sets = written(rows.mapInArrow(_set_rows, "doc_id long, n long, signature binary, home long"), "sets")
     full = sets.where("n > 0 and doc_id is not null")
-    firsts = written(full.groupBy("signature").agg(F.min("doc_id").alias("first"), *(F.first(h).alias(h) for h in homes)), "firsts")
-    unlike = firsts.groupBy("home0").agg(F.min("first").alias("leader"))
+    firsts = written(full.groupBy("signature").agg(F.min("doc_id").alias("first"), F.first("home").alias("home")), "firsts")
+    unlike = firsts.groupBy("home").agg(F.min("first").alias("leader"))
 
     # the global order: shingles that several unlike documents of a bounded sample hold come last
     size = unlike.count()
@@ -270,35 +277,35 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lists = written(lists, "lists")
 
     # every text that may be compared, once
-    wanted = lists.select("doc_id")
-    for home in homes:
-        several = firsts.groupBy(home).agg(F.count("*").alias("many")).where("many > 1")
-        wanted = wanted.union(firsts.join(several, home, "left_semi").select("first"))
-    held = written(known.join(wanted.distinct(), "doc_id"), "held")
-
-    # leaders and followers: (doc_id, leader, own: at most so many shingles that the leader lacks, n)
-    leaders, followers = firsts, None
-    for home in homes:
-        groups = leaders.groupBy(home).agg(F.min("first").alias("a"), F.count("*").alias("many")).where("many > 1").select(home, "a")
-        stars = leaders.join(groups, home).where(F.col("first") != F.col("a")).select("a", F.col("first").alias("b")).distinct()
-        found = compared(stars, held).where(links(F.col("na"), F.col("nb"), F.col("common")))
-        found = found.groupBy(F.col("b").alias("doc_id")).agg(F.min(F.struct(F.col("a").alias("leader"), (F.col("nb") - F.col("common")).alias("own"), F.col("nb").alias("n"))).alias("x"))
-        found = written(found.select("doc_id", "x.*"), "followers")
-        if followers is not None:  # who followed one of them follows its leader
-            onward = found.select(F.col("doc_id").alias("leader"), F.col("leader").alias("next"), F.col("own").alias("more"))
-            followers = followers.join(onward, "leader", "left").select(
-                "doc_id", F.coalesce("next", "leader").alias("leader"), (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"), "n"
-            )
-            found = written(followers.unionByName(found), "followers")
-        followers = found
-        leaders = leaders.join(followers.select(F.col("doc_id").alias("first")).distinct(), "first", "left_anti")
+    groups = firsts.groupBy("home").agg(F.min("first").alias("a"), F.count("*").alias("many")).where("many > 1").select("home", "a")
+    stars = written(firsts.join(groups, "home").select("a", F.col("first").alias("b")), "stars")
+    held = written(known.join(lists.select("doc_id").union(stars.select("b")).distinct(), "doc_id"), "held")
+
+    # leaders and followers: (doc_id, leader, own: so many shingles that the leader lacks, n)
+    found = compared(stars.where("a != b"), held).where(links(F.col("na"), F.col("nb"), F.col("common")))
+    followers = found.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), (F.col("nb") - F.col("common")).alias("own"), F.col("nb").alias("n"))
     led = lists.join(followers.select("doc_id", "leader"), "doc_id", "left").select(
         "shingle", F.coalesce("leader", "doc_id").alias("leader"), "size", (F.col("size") - F.col("position") - 1).alias("behind")
     )
     entries = led.groupBy("shingle", "leader").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("behind").alias("behind"))
-    pairs = entries.repartition("shingle").sortWithinPartitions("shingle", "most", "leader").mapInArrow(_list_pairs, "a long, b long, hits long, need long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where(F.col("hits") >= F.col("need"))
-    answers = compared(pairs.select("a", "b"), held)
+    several = entries.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1").select("shingle")
+    entries = written(entries.join(several, "shingle", "left_semi"), "entries")
+    counts = "a long, b long, hits long, need long"
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        met = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need"))
+        return met.where(F.col("hits") >= F.col("need")).select("a", "b")
+
+    by_leader = entries.select("shingle", "leader", "least").repartition("shingle").sortWithinPartitions("shingle", "leader")
+    early = _linked(compared(candidates(by_leader.mapInArrow(_first_pairs, counts)), held))
+    early = early.union(followers.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))  # by chains of links
+    early = written(early, "early")
+    groups = components(early)
+    placed = entries.join(groups.withColumnRenamed("vertex", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader"))
+    mixed_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    placed = placed.join(mixed_lists, "shingle", "left_semi").select("shingle", "leader", "least", "most", "behind", "component")
+    by_size = placed.repartition("shingle").sortWithinPartitions("shingle", "most", "leader")
+    answers = compared(candidates(by_size.mapInArrow(_list_pairs, counts)), held)
 
     # followers whose answers their leader's don't settle
     reach = followers.groupBy("leader").agg(F.max("own").alias("own"), F.min("n").alias("least"))
@@ -310,9 +317,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.least("na", F.coalesce("least_a", "na")).alias("least_a"), F.least("nb", F.coalesce("least_b", "nb")).alias("least_b"),
     )
     open_ = open_.where(F.col("common") + F.col("own_a") + F.col("own_b") >= F.floor((4 * (F.col("least_a") + F.col("least_b")) + 8) / 9)).select("a", "b", "common")
-    edges = _linked(answers).union(followers.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))  # by chains of links
+    late_links = _linked(answers)
+    edges = early.union(late_links)
     open_ = written(open_, "open")
-    groups = components(edges)
+    if not late_links.isEmpty():
+        groups = components(edges)
     if not open_.isEmpty():
         edges, groups = _settled(open_, edges, groups, followers, sets, held)
 
