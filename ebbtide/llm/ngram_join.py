@@ -8,7 +8,8 @@ prefix of each set is indexed, so long that two sets that link share ``SHARED``
 link of small sets needs). The lists of the index hold (set, size, position). Most lists have one entry and go at once.
 
 Skipping by index: a list is read in blocks of like size; blocks whose sizes can't link are skipped, and so are entries
-whose position leaves too few shingles behind it for the overlap a link needs.
+whose position leaves too few shingles behind it for the overlap a link needs. The same holds for the position of a set's
+``SHARED``-th entry in the lists, before which it can't have shared enough: sets with too many shingles of their own go.
 
 Skipping by answer: sets with the same smallest shingle are probably near copies. Each is compared with the first of them
 (the leader) and follows it if they link. Lists then hold leaders instead of followers, and a leader's answers are
@@ -188,19 +189,20 @@ def _first_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _list_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of leaders in different components, from rows (shingle, leader, least size, most size, most left behind, component) sorted by shingle and size."""
+    """Pairs of leaders in different components, from rows (shingle, leader, least size, most size, most left behind, component, most left behind the SHARED-th) sorted by shingle and size."""
 
     def pairs():
         for group in _lists(parts):
             entries = np.array(list(group), np.int64)
-            leader, least, most, behind, component = entries.T
+            leader, least, most, behind, component, late = entries.T
             for k in range(1, len(entries)):
                 # sizes ascend: the blocks before lo hold sets too small to link with entry k
                 lo = int(np.searchsorted(5 * most[:k], 4 * least[k]))
                 # of the first SHARED common shingles this may be the last
                 room = SHARED + np.minimum(behind[lo:k], behind[k])
                 least_common = needed(least[lo:k], least[k])
-                for j in np.flatnonzero((room >= least_common) & (component[lo:k] != component[k])):
+                enough = (SHARED + np.minimum(late[lo:k], late[k]) >= least_common) | (least_common < SHARED)
+                for j in np.flatnonzero((room >= least_common) & enough & (component[lo:k] != component[k])):
                     a, b = int(leader[lo + j]), int(leader[k])
                     yield min(a, b), max(a, b), min(SHARED, int(least_common[j]))
 
@@ -288,6 +290,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "shingle", F.coalesce("leader", "doc_id").alias("leader"), "size", (F.col("size") - F.col("position") - 1).alias("behind")
     )
     entries = led.groupBy("shingle", "leader").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("behind").alias("behind"))
+    # how many shingles a set has behind the first place where it can have shared SHARED of them
+    own = lists.groupBy("doc_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("position")).alias("positions"))
+    own = own.select("doc_id", F.coalesce(F.col("size") - 1 - F.get("positions", F.lit(SHARED - 1)), F.lit(-SHARED)).alias("late"))
+    own = own.join(followers.select("doc_id", "leader"), "doc_id", "left")
+    late_of = own.groupBy(F.coalesce("leader", "doc_id").alias("leader")).agg(F.max("late").alias("late"))
     several = entries.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1").select("shingle")
     entries = written(entries.join(several, "shingle", "left_semi"), "entries")
     counts = "a long, b long, hits long, need long"
@@ -301,9 +308,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     early = early.union(followers.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))  # by chains of links
     early = written(early, "early")
     groups = components(early)
-    placed = entries.join(groups.withColumnRenamed("vertex", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader"))
+    placed = entries.join(groups.withColumnRenamed("vertex", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader")).join(late_of, "leader")
     mixed_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    placed = placed.join(mixed_lists, "shingle", "left_semi").select("shingle", "leader", "least", "most", "behind", "component")
+    placed = placed.join(mixed_lists, "shingle", "left_semi").select("shingle", "leader", "least", "most", "behind", "component", "late")
     by_size = placed.repartition("shingle").sortWithinPartitions("shingle", "most", "leader")
     answers = compared(candidates(by_size.mapInArrow(_list_pairs, counts)), held)
 
