@@ -177,13 +177,15 @@ def _counted(pairs: Iterator[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each list's first leader with the others, from rows (shingle, leader, least) sorted by shingle and leader."""
+    """Pairs of each list's first leader with the others, from rows (shingle, leader, least, late) sorted by shingle and leader."""
 
     def pairs():
         for group in _lists(parts):
-            head = next(group)[0]
-            for leader, least in group:
-                yield head, leader, min(SHARED, (4 * least + 4) // 5)
+            head, size, room = next(group)
+            for leader, least, late in group:
+                least_common = needed(size, least)
+                if least_common < SHARED or SHARED + min(room, late) >= least_common:
+                    yield head, leader, min(SHARED, least_common)
 
     yield from _counted(pairs())
 
@@ -296,19 +298,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = own.join(followers.select("doc_id", "leader"), "doc_id", "left")
     late_of = own.groupBy(F.coalesce("leader", "doc_id").alias("leader")).agg(F.max("late").alias("late"))
     several = entries.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1").select("shingle")
-    entries = written(entries.join(several, "shingle", "left_semi"), "entries")
+    entries = written(entries.join(several, "shingle", "left_semi").join(late_of, "leader"), "entries")
     counts = "a long, b long, hits long, need long"
 
     def candidates(pairs: DataFrame) -> DataFrame:
         met = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need"))
         return met.where(F.col("hits") >= F.col("need")).select("a", "b")
 
-    by_leader = entries.select("shingle", "leader", "least").repartition("shingle").sortWithinPartitions("shingle", "leader")
+    by_leader = entries.select("shingle", "leader", "least", "late").repartition("shingle").sortWithinPartitions("shingle", "leader")
     early = _linked(compared(candidates(by_leader.mapInArrow(_first_pairs, counts)), held))
     early = early.union(followers.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))  # by chains of links
     early = written(early, "early")
     groups = components(early)
-    placed = entries.join(groups.withColumnRenamed("vertex", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader")).join(late_of, "leader")
+    placed = entries.join(groups.withColumnRenamed("vertex", "leader"), "leader", "left").withColumn("component", F.coalesce("component", "leader"))
     mixed_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
     placed = placed.join(mixed_lists, "shingle", "left_semi").select("shingle", "leader", "least", "most", "behind", "component", "late")
     by_size = placed.repartition("shingle").sortWithinPartitions("shingle", "most", "leader")
