@@ -2,17 +2,22 @@
 
 Base spans are what fixed patterns match and their checks accept. They are the seed entities of the bootstrapping:
 
-1. Every token with digits or an at sign is an instance. What stands around it makes its lexical patterns: the word before,
-   the two words before, the word behind (small letters).
+1. Every base span is an instance as a whole. Outside of base spans, instances are runs of digit groups (joined by a blank,
+   hyphen, bracket, point, comma or slash), colon-joined hexadecimal groups, and tokens with a digit or an at sign. What stands
+   around an instance, up to the next one, makes its lexical patterns: the word before, the two words before, the word behind
+   (small letters). Each blank-separated part of a run is an instance too, but counts for no pattern.
 2. Pattern and instance form a graph. A pattern's score for a kind is the share of its distinct instances that are
-   known to be of that kind; an instance's score is the best score of its reliable patterns (seeds stay at 1). Scores
-   are computed in turn, ``ROUNDS`` times, each time from what the round before found.
-3. Instances that no seed covers but a reliable pattern points to, and that are written like a seed of the kind, become
-   further spans. Base spans always stay.
-
-Patterns need ``MIN_SEEDS`` different known instances and a share of ``RELIABLE``. Counts are of distinct instances, so
-copies of a document add nothing. All counts are aggregated before a shuffle, so a pattern as common as "the" is one
-row per task; a text without digit or at sign is never searched. Offsets are code points, ends exclusive.
+   known to be of that kind, each by its own score (seeds have 1). It is reliable with ``MIN_SEEDS`` different known instances
+   and a score of ``RELIABLE``.
+3. An unseen instance's score is that of its best reliable pattern, and its rank is the score times its likeness to the
+   kind's seeds (length, digits, points, separators, at sign, letters, plus sign; see ``likeness``: features shared by degree,
+   no form is required). With a rank of ``ACCEPT`` it is known, and all is computed anew until no instance is added.
+4. Known instances that no base span covers become further spans; of a run and its parts, whichever ranks higher. Base
+   spans always stay.
+
+Counts are of distinct instances, so copies of a document add nothing. All counts are aggregated before a shuffle, so a
+pattern as common as "the" is one row per task; a text without digit or at sign is never searched. Offsets are code points,
+ends exclusive.
 """
 
 from __future__ import annotations
@@ -35,17 +40,25 @@ PATTERNS = {
 }
 #: A text that a kind's pattern can match holds this.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A digit group, which no letter or at sign follows, and runs of such groups; hexadecimal groups; other tokens up to a mark
+#: that separates. Possessive loops, as they need no stack in long tables of numbers.
+_GROUP = r"[0-9]++(?![\p{L}@_]|[._-][\p{L}@])"
+_RUN = rf"(?<![\p{{L}}\p{{N}}@])\+?(?:\((?=[0-9]++\)[\x20-]?[0-9]))?{_GROUP}(?:(?:[.,/]|\)?[\x20-]?\(?|\x20-\x20){_GROUP})*+"
+_HEX = r"(?<![\p{L}\p{N}:])[0-9A-Fa-f]{1,4}+(?:::?[0-9A-Fa-f]{1,4}+){2,}+(?![\p{L}\p{N}])"
+_ENDS = r"\x20\x09-\x0D:;,=\"'<>|()\[\]{}"
+_TOKEN = rf"(?:\G|(?<![^{_ENDS}]))[^{_ENDS}0-9@]*+[0-9@][^{_ENDS}]*+"
+INSTANCE = rf"{_HEX}|{_RUN}|{_TOKEN}"
 _PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-MIN_DIGITS = 5
-ROUNDS, MIN_SEEDS, RELIABLE = 2, 5, 0.8
+MIN_SEEDS, RELIABLE, ACCEPT = 5, 0.8, 0.45
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
-def _placed(text: Column, pattern: str) -> Column:
-    """Matches of ``pattern`` from left to right as (start, end, match, what stands before, what stands behind)."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string,behind:string>>").alias("out"))
+PLACES = "array<struct<start:int,end:int,match:string,before:string,behind:string>>"
+
+
+def _in_order(found: Column, gaps: Column) -> Column:
+    """Matches and the gaps around them as (start, end, match, what stands before, what stands behind)."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -53,11 +66,15 @@ def _placed(text: Column, pattern: str) -> Column:
         row = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"), x["gap"].alias("before"), x["next"].alias("behind"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    steps = F.transform(
-        found,
-        lambda m, i: F.struct(m.alias("match"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")),
-    )
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    # zipped, not looked up: a lambda would split the text anew for each match
+    steps = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
+    steps = F.zip_with(steps, F.slice(gaps, 2, F.size(gaps)), lambda x, g: F.struct(x["match"].alias("match"), x["gap"].alias("gap"), g.alias("next")))
+    return F.aggregate(F.filter(steps, lambda x: x["match"].isNotNull()), start, step, lambda acc: acc["out"])
+
+
+def _placed(text: Column, pattern: str) -> Column:
+    """Matches of ``pattern`` from left to right, see _in_order."""
+    return _in_order(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
 
 
 def _digits(match: Column) -> Column:
@@ -92,59 +109,167 @@ def _last_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.right(text, F.lit(80))), r"[^\p{L}]+", " "), " "), lambda w: w != "")
 
 
-def instances(text: Column, spans: Column) -> Column:
-    """Tokens with digits or an at sign: place, kind of the base span they touch (null: none), form, and lexical patterns."""
-
-    def row(x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["match"], r"\A[^A-Za-z0-9+]*", 0))
-        name = F.regexp_extract(x["match"], r"\A[^A-Za-z0-9+]*+(.*[A-Za-z0-9])", 1)
-        left, right = _last_words(x["before"]), F.regexp_extract(F.lower(F.left(x["behind"], F.lit(60))), r"\A[^\p{L}]*+(\p{L}++)", 1)
-        patterns = F.concat(
-            F.when(F.size(left) >= 1, F.array(F.concat(F.lit("l:"), F.element_at(left, -1)))).otherwise(F.array()),
-            F.when(F.size(left) >= 2, F.array(F.concat(F.lit("L:"), F.element_at(left, -2), F.lit(" "), F.element_at(left, -1)))).otherwise(F.array()),
-            F.when(right != "", F.array(F.concat(F.lit("r:"), right))).otherwise(F.array()),
-        )
-        touching = F.filter(spans, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-        form = F.regexp_replace(F.regexp_replace(F.lower(name), "[0-9]+", "9"), r"\p{L}+", "a")
-        return F.struct(
-            (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(name)).alias("end"), F.lower(name).alias("name"),
-            form.alias("form"), F.get(touching, F.lit(0))["kind"].alias("kind"), patterns.alias("patterns"),
-        )
-
-    rows = F.transform(_placed(text, INSTANCE), row)
-    return F.filter(rows, lambda r: (F.length(_digits(r["name"])) >= MIN_DIGITS) | F.contains(r["name"], F.lit("@")))
+def _clusters(spans: Column) -> Column:
+    """Spans in order, those that overlap as one: (start, end)."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        inside = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))
+        return F.when((F.size(out) > 0) & (s["start"] < last["end"]), inside).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(ordered, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def _with_places(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds clusters of base spans, the base spans' texts (cut), and the pieces of text between the clusters: where each
+    starts, the instances in it with up to 80 characters before and 60 behind, and the text at its own ends."""
+    rows = rows.withColumn("clusters", _clusters(F.col("base")))
+    rows = rows.withColumn("cut", F.transform("base", lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+
+    def piece(i: Column) -> Column:
+        start = F.coalesce(F.get("clusters", i - 1)["end"], F.lit(0))
+        end = F.coalesce(F.get("clusters", i)["start"], F.length(text))
+        return F.struct(start.alias("start"), F.substring(text, start + 1, end - start).alias("text"))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.size("clusters")), piece)
+    rows = rows.withColumn("pieces", F.when(text.rlike("[0-9@]"), pieces))
+
+    def searched(p: Column) -> Column:
+        found = F.regexp_extract_all(p["text"], F.lit(INSTANCE), F.lit(0))
+        return F.struct(p["start"].alias("start"), found.alias("found"), F.split(p["text"], INSTANCE, -1).alias("gaps"))
+
+    rows = rows.withColumn("pieces", F.transform("pieces", searched))
+
+    def near(x: Column) -> Column:
+        around = [F.right(x["before"], F.lit(80)).alias("before"), F.left(x["behind"], F.lit(60)).alias("behind")]
+        return F.struct(x["start"].alias("start"), x["match"].alias("match"), *around)
+
+    def placed(p: Column) -> Column:
+        first, last = F.left(F.get(p["gaps"], 0), F.lit(60)), F.right(F.element_at(p["gaps"], -1), F.lit(80))
+        found = F.transform(_in_order(p["found"], p["gaps"]), near)
+        return F.struct(p["start"].alias("start"), found.alias("found"), first.alias("first"), last.alias("last"))
+
+    return rows.withColumn("pieces", F.transform("pieces", placed))
+
+
+def _trimmed(rows: DataFrame) -> DataFrame:
+    """Matches without marks at their ends."""
+    lead = F.length(F.regexp_extract("match", r"\A[^\p{L}\p{N}+(]*+", 0))
+    name = F.regexp_extract("match", r"\A[^\p{L}\p{N}+(]*+(.*[\p{L}\p{N}])", 1)
+    return rows.withColumn("start", F.col("start") + lead).withColumn("match", name).where("match != ''")
+
+
+def instances(found: DataFrame) -> DataFrame:
+    """Base spans and, outside of them, runs, their parts and tokens: row, run, whether whole, kind (null: not a base span), place,
+    name, patterns."""
+    pieces = found.select("row", F.explode("pieces").alias("p")).select("row", F.col("p.start").alias("from"), F.explode("p.found").alias("x"))
+    whole = _trimmed(pieces.select("row", (F.col("from") + F.col("x.start")).alias("start"), "x.match", "x.before", "x.behind"))
+    whole = whole.withColumn("run", F.col("start")).withColumn("whole", F.lit(True)).withColumn("kind", F.lit(None).cast("int"))
+    # places by character and not by an aggregate, whose state is copied at each step: a table of numbers is one long run
+    blanks = F.filter(F.transform(F.split("match", ""), lambda c, i: F.when(c == " ", i + 1)), lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(0)), blanks)
+    each = F.zip_with(F.split("match", " "), starts, lambda m, i: F.struct(m.alias("match"), i.alias("start"), (i + F.length(m)).alias("end")))
+    parts = whole.where(F.contains("match", F.lit(" "))).withColumn("x", F.explode(each))
+    # only the first part has words before it, and only the last has words behind
+    parts = parts.withColumn("before", F.when(F.col("x.start") == 0, F.col("before")).otherwise(""))
+    parts = parts.withColumn("behind", F.when(F.col("x.end") == F.length("match"), F.col("behind")).otherwise(""))
+    parts = parts.withColumn("start", F.col("run") + F.col("x.start")).withColumn("match", F.col("x.match")).withColumn("whole", F.lit(False))
+    seeds = found.withColumn("s", F.explode(F.arrays_zip("base", "cut")))
+    at = F.size(F.filter("clusters", lambda c: c["start"] <= F.col("s.base.start")))
+    seeds = seeds.select(
+        "row", F.col("s.base.start").alias("start"), F.col("s.cut").alias("match"), F.get("pieces", at - 1)["last"].alias("before"),
+        F.get("pieces", at)["first"].alias("behind"), F.col("s.base.start").alias("run"), F.lit(True).alias("whole"), F.col("s.base.kind").alias("kind"),
+    )
+    every = whole.unionByName(_trimmed(parts.drop("x"))).unionByName(seeds)
+    every = every.withColumn("left", _last_words(F.col("before")))
+    every = every.withColumn("right", F.regexp_extract(F.lower("behind"), r"\A[^\p{L}]*+(\p{L}++)", 1))
+    left, none = F.col("left"), F.array().cast("array<string>")
+    patterns = F.concat(
+        F.when(F.size(left) >= 1, F.array(F.concat(F.lit("l:"), F.get(left, F.size(left) - 1)))).otherwise(none),
+        F.when(F.size(left) >= 2, F.array(F.concat(F.lit("L:"), F.get(left, F.size(left) - 2), F.lit(" "), F.get(left, F.size(left) - 1)))).otherwise(none),
+        F.when(F.col("right") != "", F.array(F.concat(F.lit("r:"), "right"))).otherwise(none),
+    )
+    end = F.col("start") + F.length("match")
+    return every.select("row", "run", "whole", "kind", "start", end.alias("end"), F.lower("match").alias("name"), patterns.alias("patterns"))
 
 
 def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: base spans and instances, written once with a row number of its own (repeated ids stay apart)."""
+    """Per row: base spans and where instances are, written once with a row number of its own (repeated ids stay apart)."""
     text = F.coalesce(F.col("whole"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("whole"), *(F.col(c).alias(f"kept_{c}") for c in keep or []))
     rows = rows.withColumn("base", F.when(text.rlike("[0-9@]"), base_spans(text)).otherwise(F.array().cast(SPAN)))
-    rows = rows.withColumn("own", F.when(text.rlike("[0-9@]"), instances(text, F.col("base"))))
     kept = [f"kept_{c}" for c in keep or []]
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", *kept, "base", "own"), "personal")
+    rows = _with_places(rows, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", *kept, "base", "clusters", "cut", "pieces")
+    return written(rows, "personal")
+
+
+#: Figures of an instance's form, from its name.
+FEATURES = {
+    "f_length": lambda n: F.length(n),
+    "f_digits": lambda n: F.length(_digits(n)),
+    "f_points": lambda n: F.length(F.regexp_replace(n, "[^.]", "")),
+    "f_joints": lambda n: F.length(F.regexp_replace(n, r"[^\x20()-]", "")),
+    "f_at": lambda n: F.contains(n, F.lit("@")).cast("int"),
+    "f_letters": lambda n: n.rlike(r"\p{L}").cast("int"),
+    "f_plus": lambda n: F.startswith(n, F.lit("+")).cast("int"),
+}
+
+
+def likeness(name: Column) -> Column:
+    """How much a name is written like the seeds of a kind, whose means are columns of the names of FEATURES; from 0 to 1.
+
+    Numbers are compared by their ratio, yes or no by the share of seeds that agree; the length counts by itself.
+    """
+    own = {k: f(name) for k, f in FEATURES.items()}
+
+    def ratio(k: str) -> Column:
+        return (F.least(own[k], F.col(k)) + 1) / (F.greatest(own[k], F.col(k)) + 1)
+
+    same = [1 - F.abs(own[k] - F.col(k)) for k in ("f_at", "f_letters", "f_plus")]
+    alike = [ratio(k) for k in ("f_digits", "f_points", "f_joints")] + same
+    return F.sqrt(ratio("f_length")) * sum(alike[1:], alike[0]) / len(alike)
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """(row, kind, start, end) of the instances that reliable patterns point to and no base span touches."""
-    every = found.select("row", F.explode("own").alias("x")).select("row", "x.*")
-    edges = every.select("name", "form", "kind", F.explode("patterns").alias("pattern"))
-    graph = written(edges.groupBy("pattern", "name").agg(F.max("kind").alias("seed"), F.min("form").alias("form")), "graph")
-    forms = graph.where("seed is not null").groupBy("seed", "form").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= MIN_SEEDS)
-    forms = forms.select(F.col("seed").alias("kind"), "form")
-    scores = graph.where("seed is not null").select("name", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    sizes = graph.groupBy("pattern").agg(F.count("*").alias("size"))
-    for _ in range(ROUNDS):
-        known = graph.select("pattern", "name").join(scores, "name")
-        pattern = known.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("known"))
-        pattern = pattern.where(F.col("known") >= MIN_SEEDS).join(sizes, "pattern")
-        reliable = pattern.withColumn("score", F.col("mass") / F.col("size")).where(F.col("score") >= RELIABLE)
-        pointed = graph.join(reliable.select("pattern", "kind", "score"), "pattern").join(forms, ["kind", "form"], "left_semi")
-        new = pointed.groupBy("name", "kind").agg(F.max(F.when(F.col("seed").isNull(), F.col("score")).otherwise(F.when(F.col("seed") == F.col("kind"), F.lit(1.0)).otherwise(F.lit(0.0)))).alias("score"))
-        scores = written(scores.unionByName(new).groupBy("name", "kind").agg(F.max("score").alias("score")), "scores")
-    best = scores.where(F.col("score") >= RELIABLE).groupBy("name").agg(F.min_by("kind", F.struct(-F.col("score"), "kind")).alias("kind"))
-    unseen = every.where("kind is null").drop("kind").join(best, "name")
-    return unseen.select("row", "kind", "start", "end")
+    """(row, kind, start, end) of the instances that reliable patterns point to and no base span covers."""
+    every = instances(found)
+    edges = every.select("name", "kind", "whole", F.explode("patterns").alias("pattern"))
+    graph = written(edges.groupBy("pattern", "name").agg(F.max("kind").alias("seed"), F.max("whole").alias("whole")), "graph")
+    seeds = written(every.where("kind is not null").groupBy("name").agg(F.min("kind").alias("kind")), "seeds")
+    # one row per kind
+    means = F.broadcast(seeds.groupBy("kind").agg(*(F.avg(f(F.col("name"))).alias(k) for k, f in FEATURES.items())))
+    own = [F.count(F.when(F.col("seed") == i, True)) for i in range(len(KINDS))]
+    # a pattern of fewer instances can't have MIN_SEEDS known ones
+    rated = graph.where("whole").groupBy("pattern").agg(F.count("*").alias("size"), F.array(*own).alias("seeds"))
+    rated = written(rated.where(F.col("size") >= MIN_SEEDS), "rated")
+    unseen = written(graph.where("seed is null").drop("seed").join(rated.select("pattern"), "pattern", "left_semi"), "unseen")
+    counts = rated.select("pattern", F.posexplode("seeds").alias("kind", "known")).where("known > 0")
+    counts = counts.withColumn("mass", F.col("known").cast("double"))
+    known = seeds.select("name", "kind", F.lit(1.0).alias("score"), F.lit(1.0).alias("rank"))
+    while True:
+        sure = counts.where(F.col("known") >= MIN_SEEDS).join(rated.select("pattern", "size"), "pattern")
+        sure = sure.select("pattern", "kind", (F.col("mass") / F.col("size")).alias("score")).where(F.col("score") >= RELIABLE)
+        pointed = unseen.join(sure, "pattern").groupBy("name", "kind").agg(F.max("score").alias("score"))
+        scored = pointed.join(means, "kind").select("name", "kind", "score", (F.col("score") * likeness(F.col("name"))).alias("rank"))
+        scored = scored.where(F.col("rank") >= ACCEPT).groupBy("name")
+        scored = scored.agg(F.max_by(F.struct("kind", "score", "rank"), F.struct("rank", -F.col("kind"))).alias("x"))
+        new = written(scored.select("name", "x.*").join(known, "name", "left_anti"), "known")
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+        more = unseen.where("whole").join(new, "name").groupBy("pattern", "kind").agg(F.count("*").alias("known"), F.sum("score").alias("mass"))
+        counts = counts.unionByName(more).groupBy("pattern", "kind").agg(F.sum("known").alias("known"), F.sum("mass").alias("mass"))
+        counts = written(counts, "counts")
+    spots = every.where("kind is null").select("row", "run", "whole", "start", "end", "name").join(known, "name")
+    spots = spots.groupBy("row", "run").agg(F.collect_list(F.struct("whole", "rank", "kind", "start", "end")).alias("spots"))
+
+    def chosen(every: Column) -> Column:
+        top = F.array_max(F.transform(every, lambda x: F.struct(x["rank"].alias("rank"), x["whole"].alias("whole"))))
+        return F.filter(every, lambda x: x["whole"] == top["whole"])
+
+    return spots.select("row", F.explode(chosen(F.col("spots"))).alias("x")).select("row", "x.kind", "x.start", "x.end")
 
 
 def with_spans(found: DataFrame) -> DataFrame:

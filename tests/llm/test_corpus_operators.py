@@ -134,6 +134,23 @@ def test_bootstrapping_finds_what_reliable_contexts_point_to(spark):
     assert clean.where("doc_id = 51").first().text == rows[-2][1]
 
 
+def told(spans, text):
+    return [(pii.KINDS[s.kind], text[s.start : s.end]) for s in spans]
+
+
+def test_seeds_are_whole_and_runs_are_candidates(spark):
+    rows = [(i, f"you may ring Anna +1 (017) 555-77{i:02} tonight") for i in range(20)]
+    rows += [(100 + i, f"paid with visa 4111 1111 1111 {1111 + 1000 * i}; thanks") for i in range(9)]
+    rows += [(200, "you may ring Anna (017) 555 7799 today"), (201, "we ring Anna 017-555-7798"), (202, "ring Anna 5 times")]
+    places = pii.found_in(frame(spark, rows))
+    own = pii.instances(places).where("whole").join(places.select("row", "doc_id"), "row").collect()
+    by_id = {r.doc_id: r for r in own}
+    assert len(own) == len(rows) and by_id[3].name == "+1 (017) 555-7703" and by_id[3].patterns == ["l:anna", "L:ring anna", "r:tonight"]
+    assert by_id[100].name == "4111 1111 1111 1111" and by_id[100].patterns == ["l:visa", "L:with visa", "r:thanks"]
+    found = {r.doc_id: told(r.spans, dict(rows)[r.doc_id]) for r in pii.pii_spans(frame(spark, rows)).collect()}
+    assert found[200] == [("phone", "(017) 555 7799")] and found[201] == [("phone", "017-555-7798")] and found[202] == []
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "same " * 400
     rows = [(1, "http://a/ b\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "", big + "é")]
