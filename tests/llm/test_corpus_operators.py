@@ -151,6 +151,37 @@ def test_seeds_are_whole_and_runs_are_candidates(spark):
     assert found[200] == [("phone", "(017) 555 7799")] and found[201] == [("phone", "017-555-7798")] and found[202] == []
 
 
+UNSEEN = [
+    ("email", "please write to", "reach{}@mail.example.com", "soon", ["lost55555@mailexample", "andré@mail.de"]),
+    ("ip", "we saw host", "10.20.30.{}", "online", ["10.20.30.400", "10.20.31"]),
+    ("card", "paid with visa", "{card}", "thanks", ["4111 1111 1111 1112", "411111111111112"]),
+    ("phone", "you may ring", "+1 (017) 555-77{}", "tonight", ["017 555 7713", "(017) 555-7714"]),
+]
+
+
+def luhn(n):
+    body = f"41111111111{n:04}"
+    total = sum(sum(divmod(2 * int(d), 10)) if k % 2 == 0 else int(d) for k, d in enumerate(body))
+    return body + str(-total % 10)
+
+
+def test_bootstrapping_adds_unseen_identifiers_of_each_kind(spark):
+    rows, planted = [], {}
+    for k, (kind, left, seed, right, unseen) in enumerate(UNSEEN):
+        rows += [(1000 * k + i, f"{left} {seed.format(10 + i, card=luhn(i))} {right}") for i in range(200)]
+        for j, one in enumerate(unseen):
+            rows.append((1000 * k + 500 + j, f"{left} {one}, {right}"))
+            planted[1000 * k + 500 + j] = [(kind, one)]
+        rows.append((1000 * k + 600, f"{left} 5 {right}"))
+    # a second context of phones is learned only from what the first one led to, and leads to one more
+    rows += [(5000 + i, f"then dial 0170 555 78{i:02} tonight") for i in range(12)] + [(5101, "dial 0171 555 7799 tomorrow")]
+    planted[5101] = [("phone", "0171 555 7799")]
+    rows += [(6000, "a run with numbers 10 20 30 40 of a table"), (6001, "1 2 3 " * 2000), (6002, "9 - 9 " * 500 + "1." * 9000)]
+    found = {r.doc_id: told(r.spans, dict(rows)[r.doc_id]) for r in pii.pii_spans(frame(spark, rows)).collect()}
+    assert {i: found[i] for i in planted} == planted
+    assert all(not found[1000 * k + 600] for k in range(4)) and not found[6000] and not found[6001]
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "same " * 400
     rows = [(1, "http://a/ b\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "", big + "é")]
