@@ -162,3 +162,24 @@ def test_quality_of_edge_rows(spark):
     kept = quality.passing(odd(spark))
     assert kept.columns == odd(spark).columns and kept.count() == sum(r.kept for r in found)
     assert quality.quality_rules(odd(spark, [])).count() == 0
+
+
+def test_symbols_beyond_ascii_are_no_letters():
+    assert quality.class_histogram("éЖ中🙂█�«٣ ".encode()).tolist() == [2 / 9, 1 / 9, 1 / 9, 1 / 9, 1 / 9, 3 / 9]
+    rng, common = random.Random(9), [f"common{chr(97 + k)}" for k in range(24)]
+    plain = [[rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("abcdefgh", k=6)) for _ in range(200)] for _ in range(40)]
+    references = quality.References([("x", " ".join(w)) for w in plain])
+    judge = quality.judgement(quality.LIMITS)
+    assert all(judge(references, 1, " ".join(w).encode())[-1] for w in plain)
+    for mark in "🙂█�":
+        marked = " ".join(mark * len(w) if rng.random() < 0.3 else w for w in plain[0])
+        assert not judge(references, 1, marked.encode())[-1]
+
+
+def test_both_distances_are_to_one_language():
+    rng = random.Random(10)
+    low = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(150)) for _ in range(20)]
+    high = [" ".join(rng.choice(["EE", "FF", "GG", "HH"]) for _ in range(150)) for _ in range(20)]
+    references, judge = quality.References([*(("x", t) for t in low), *(("y", t) for t in high)]), quality.judgement(quality.LIMITS)
+    assert judge(references, 1, low[0].encode())[-1] and judge(references, 1, high[0].encode())[-1]
+    assert not judge(references, 1, low[0].upper().encode())[-1]  # capitals as in y, words as in x
