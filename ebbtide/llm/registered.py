@@ -2,6 +2,9 @@
 
 import corpus_pipeline
 from ebbtide.llm import (  # noqa: F401
+    centroid_clustering,
+    embedding_dedup,
+    fill_in_middle,
     language_id,
     ngram_join,
     packing,
