@@ -49,3 +49,25 @@ def broken_rules(ranges: dict[str, tuple], columns: dict[str, Column], extra: di
 
 def unknown_operator(column: Column) -> Column:
     return ~column.isin(OPERATORS)
+
+
+def too_long(columns: dict[str, Column]) -> dict[str, Column]:
+    """Checks of the text lengths that have a limit, by column name."""
+    return {name: F.length(columns[name]) > limit for name, limit in MAX_LENGTHS.items() if name in columns}
+
+
+def broken_generation_rules(columns: dict[str, Column]) -> Column:
+    """Rules that the parameters of a generation break."""
+    return broken_rules(RANGES, columns)
+
+
+def broken_benchmark_rules(columns: dict[str, Column]) -> Column:
+    """Rules that the parameters of a benchmark job break."""
+    return broken_rules(BENCHMARK_RANGES, columns)
+
+
+def broken_threshold_rules(columns: dict[str, Column]) -> Column:
+    """Rules that an alert threshold breaks: ranges, text lengths, required texts, a known operator."""
+    missing = {f"{name} required": columns[name].isNull() for name in ("name", "metric_name", "comparison_operator")}
+    operator = {"comparison_operator": unknown_operator(columns["comparison_operator"])}
+    return broken_rules(THRESHOLD_RANGES, columns, too_long(columns) | missing | operator)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ebbtide.functions.vectors import let
+
 # A token is a run of ASCII letters and digits, or one other non-space character.
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[^\s\x{B}\x{1C}-\x{1F}\x{85}\p{Z}A-Za-z0-9]"
 # The display markers.
@@ -69,6 +73,56 @@ def neighbour_pairs(sequence: Column) -> Column:
     return F.arrays_zip(F.slice(sequence, F.lit(1), n), F.slice(sequence, F.lit(2), n))
 
 
+def counted(sequence: Column) -> Column:
+    """``array<struct<gram, n>>``: the distinct entries of an array with their counts, by one sort inside the row."""
+    return _runs(F.sort_array(F.array_compact(sequence)), lambda x: x, lambda s, start, n: F.struct(F.get(s, start).alias("gram"), n.alias("n")))
+
+
+def positioned(sequence: Column) -> Column:
+    """``array<struct<gram, n, positions>>``: as `counted`, with the places of each entry, from 0."""
+    tagged = F.filter(F.transform(sequence, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda r: r.t.isNotNull())
+    return _runs(
+        F.sort_array(tagged),
+        lambda x: x.t,
+        lambda s, start, n: F.struct(
+            F.get(s, start).t.alias("gram"), n.alias("n"), F.transform(F.slice(s, start + 1, n), lambda r: r.i).alias("positions")
+        ),
+    )
+
+
+def _runs(ordered: Column, value: Callable[[Column], Column], entry: Callable[[Column, Column, Column], Column]) -> Column:
+    """One ``entry(sorted, start, length)`` per run of equal values of a sorted array."""
+
+    def ends(s: Column) -> Column:
+        # places behind a run: the next value differs, or there is none
+        behind = F.sequence(F.lit(1), F.size(s))
+        return F.filter(behind, lambda i: (i == F.size(s)) | (value(F.get(s, i)) != value(F.get(s, i - 1))))
+
+    def cut(s: Column) -> Column:
+        def each_run(found: Column) -> Column:
+            def one(end: Column, k: Column) -> Column:
+                start = F.coalesce(F.get(found, k - 1), F.lit(0))
+                return entry(s, start, end - start)
+
+            return F.transform(found, one)
+
+        return F.when(F.size(s) > 0, let(ends(s), each_run))
+
+    return F.coalesce(let(ordered, cut), F.array())
+
+
+def of_kind(entries: Column, kind: int, places: bool | None = None) -> Column:
+    """Entries with a kind in front; ``places``: with their positions (True) or a NULL in their place (False)."""
+
+    def tagged(e: Column) -> Column:
+        fields = [F.lit(kind).alias("kind"), e.gram.alias("gram"), e.n.alias("n")]
+        if places is not None:
+            fields.append((e.positions if places else F.lit(None).cast("array<int>")).alias("positions"))
+        return F.struct(*fields)
+
+    return F.transform(entries, tagged)
+
+
 def display_token(token: Column) -> Column:
     """Readable form of a token: marks for newline, tab, white-space runs and leading spaces."""
     n_chars = F.length(token)

@@ -147,18 +147,43 @@ def top_k(vector: Column, k: int) -> Column:
     return F.transform(best, lambda r: F.struct((-r.m).alias("p"), r.id.alias("id")))
 
 
+def percentile_of_sorted(values: Column, p: float) -> Column:
+    """Percentile (linear interpolation) of an ascending array; NULL when it is empty."""
+
+    def at(xs: Column) -> Column:
+        rank = (F.size(xs) - 1) * F.lit(p)
+        low = F.floor(rank).cast("int")
+        return F.get(xs, low) + (rank - low) * F.coalesce(F.get(xs, low + 1) - F.get(xs, low), F.lit(0))
+
+    return let(values, at)
+
+
 def probability_vector(payload: Column) -> Column:
     """Flat probabilities of a JSON payload in either stored shape.
 
     ``{"probabilities": [...]}`` keeps the numeric members; ``{"0": {"tok": p, ...}, "1": p, ...}`` keeps the
     largest member per position in numeric key order. Anything else gives an empty array.
     """
+    return F.coalesce(let(F.try_parse_json(payload), _probabilities_of), F.array().cast("array<double>"))
+
+
+def payload_figures(payload: Column) -> Column:
+    """``struct(entropy, probabilities)`` of a JSON payload, parsed once: see `position_entropy`, `probability_vector`."""
     empty = F.array().cast("array<double>")
 
-    def flat(listed: Column) -> Column:
-        return F.filter(F.transform(listed, _number), lambda x: x.isNotNull())
+    def figures(doc: Column) -> Column:
+        return F.struct(_entropy_of(doc).alias("entropy"), F.coalesce(_probabilities_of(doc), empty).alias("probabilities"))
+
+    return let(F.try_parse_json(payload), figures)
 
-    def per_position(doc: Column) -> Column:
+
+def _flat(listed: Column) -> Column:
+    """The numbers of a list of variants."""
+    return F.filter(F.transform(listed, _number), lambda x: x.isNotNull())
+
+
+def _probabilities_of(doc: Column) -> Column:
+    def per_position() -> Column:
         members = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
         keyed = F.transform(
             members,
@@ -172,11 +197,8 @@ def probability_vector(payload: Column) -> Column:
             ),
         )
 
-    def extract(doc: Column) -> Column:
-        listed = F.try_variant_get(doc, "$.probabilities", "array<variant>")
-        return let(listed, lambda found: F.when(found.isNotNull(), flat(found)).otherwise(per_position(doc)))
-
-    return F.coalesce(let(F.try_parse_json(payload), extract), empty)
+    listed = F.try_variant_get(doc, "$.probabilities", "array<variant>")
+    return let(listed, lambda found: F.when(found.isNotNull(), _flat(found)).otherwise(per_position()))
 
 
 def _number(value: Column) -> Column:
@@ -195,8 +217,11 @@ def _position_value(value: Column) -> Column:
 
 def position_entropy(payload: Column) -> Column:
     """Entropy of a JSON payload: mean over positions, or of the flat list; NULL when nothing is usable."""
-    doc = F.try_parse_json(payload)
-    listed = F.try_variant_get(doc, "$.probabilities", "array<double>")
+    return let(F.try_parse_json(payload), _entropy_of)
+
+
+def _entropy_of(doc: Column) -> Column:
+    listed = let(F.try_variant_get(doc, "$.probabilities", "array<variant>"), _flat)
     members = F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>"))
     spreads = F.transform(members, lambda e: F.map_values(F.try_variant_get(e.value, "$", "map<string,double>")))
     usable = F.filter(spreads, lambda s: F.coalesce(total(s) > 0, F.lit(False)))
@@ -206,4 +231,5 @@ def position_entropy(payload: Column) -> Column:
         total(bits) / F.size(bits),
     )
     has_list = F.try_variant_get(doc, "$.probabilities", "variant").isNotNull()
-    return F.when(has_list, F.when(F.size(listed) > 0, entropy_bits(listed))).otherwise(per_position)
+    flat = let(listed, lambda numbers: F.when(F.size(numbers) > 0, entropy_bits(numbers)))
+    return F.when(has_list, flat).otherwise(per_position)

@@ -82,6 +82,8 @@ def latest_values(snapshots: DataFrame, conditions: DataFrame) -> DataFrame:
 def _condition_rows(rows: DataFrame, conditions: DataFrame, names: list[str]) -> DataFrame:
     """Every snapshot row against every condition on the named metrics; a missing metric is a NULL value."""
     wanted = F.array(*[F.struct(F.lit(m).alias("metric_name"), F.try_element_at("benchmark", F.lit(m)).alias("value")) for m in names])
+    if not names:  # no rule, no row
+        wanted = wanted.cast("array<struct<metric_name:string,value:double>>")
     long = rows.select("model_version_id", "recency", "calculated_at", F.explode(wanted).alias("_m")).select(
         "model_version_id", "recency", "calculated_at", "_m.*"
     )
@@ -147,13 +149,14 @@ def historical_window(snapshots: DataFrame, conditions: DataFrame) -> DataFrame:
     more than two windows of a version. Conditions are configuration: one pass per distinct window length.
     """
     timed = conditions.where(F.col("persistence_window_minutes") > 0)
+    # without a window there is nothing to judge: one empty pass gives the columns
     lengths = [r[0] for r in timed.select("persistence_window_minutes").distinct().orderBy(F.lit(1)).collect()]
     long = snapshots.select(
         "model_version_id", "snapshot_id", "calculated_at", F.explode("benchmark").alias("metric_name", "value")
     ).withColumn("_at", F.unix_micros(F.col("calculated_at").cast("timestamp")))
     keys = ["model_version_id", "condition_id", "metric_name", "persistence_window_minutes"]
     parts = []
-    for minutes in lengths:
+    for minutes in lengths or [1]:
         micros = minutes * 60_000_000
         rows = long.join(timed.where(F.col("persistence_window_minutes") == minutes), "metric_name")
         rows = rows.withColumn("met", pr.condition_met(F.col("value"), F.col("threshold_value"), F.col("comparison_operator")))
@@ -307,15 +310,23 @@ def all_alerts(
     snapshots: DataFrame, thresholds: DataFrame, rules: DataFrame, items: DataFrame, as_of: datetime
 ) -> DataFrame:
     """Ungrouped, grouped and rule alerts of every version from one pass over the history."""
-    active = thresholds.where("is_active")
-    active_rules = rules.where("is_active")
-    active_items = items.join(active_rules.select("rule_id"), "rule_id", "left_semi")
-    conditions = threshold_conditions(active).unionByName(item_conditions(active_items))
-    outcomes = evaluate(snapshots, conditions, as_of)
+    outcomes = evaluate(snapshots, active_conditions(thresholds, rules, items), as_of)
+    return alerts_of(outcomes, thresholds, rules, items)
+
+
+def active_conditions(thresholds: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """Conditions of the active thresholds and of the items of active rules."""
+    active_items = items.join(rules.where("is_active").select("rule_id"), "rule_id", "left_semi")
+    return threshold_conditions(thresholds.where("is_active")).unionByName(item_conditions(active_items))
+
+
+def alerts_of(outcomes: DataFrame, thresholds: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """Ungrouped, grouped and rule alerts from the outcomes of the active conditions."""
+    active, active_rules = thresholds.where("is_active"), rules.where("is_active")
     return (
         ungrouped_alerts(active, outcomes)
         .unionByName(grouped_alerts(active, outcomes))
-        .unionByName(rule_alerts(active_rules, active_items, outcomes))
+        .unionByName(rule_alerts(active_rules, items, outcomes))
     )
 
 

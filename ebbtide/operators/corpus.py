@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from ebbtide.functions import text as tx
 from ebbtide.operators.counts import bigram_rows
 from ebbtide.operators.sequence import boundary_pairs
-from ebbtide.session import small_side
 
 
 def top_tokens(tokenised: DataFrame, keys: list[str], order: str, k: int, tokens: str = "tokens") -> DataFrame:
     """Most frequent ``k`` tokens per key with count and share; ties go to the token seen first.
 
-    The first occurrence is a minimum of (row, position) packed into one number, so counting stays one partial
-    hash aggregation. ``order`` is an integer column.
+    A row's tokens are counted inside it, so the shuffle sees each of its types once. The first occurrence is a
+    minimum of (row, position) packed into one number, so counting stays one partial hash aggregation. ``order`` is
+    an integer column.
     """
-    seen = tokenised.select(*keys, order, F.posexplode(tx.each(F.col(tokens))).alias("_pos", "token"))
+    seen = tokenised.select(*keys, order, F.explode(tx.each(tx.positioned(F.col(tokens)))).alias("_g"))
     # positions are below 2^31; a decimal holds any 64-bit row order times that
-    packed = F.col(order).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_pos")
-    seen = seen.select(*keys, "token", packed.cast("decimal(38,0)").alias("_at"))
-    counts = seen.groupBy(*keys, "token").agg(
-        F.count("*").alias("n"), F.min("_at").alias("_first")
-    )
+    packed = F.col(order).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.get("_g.positions", F.lit(0))
+    seen = seen.select(*keys, F.col("_g.gram").alias("token"), F.col("_g.n").alias("n"), packed.cast("decimal(38,0)").alias("_at"))
+    counts = seen.groupBy(*keys, "token").agg(F.sum("n").alias("n"), F.min("_at").alias("_first"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "_first"))
     best = counts.withColumn("token_rank", rank).where(F.col("token_rank") <= k)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    # the totals ask for the same columns as the ranks, so both read one shuffle and the corpus is tokenised once
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"), F.min("_first").alias("_begin"))
     return best.join(totals, keys).select(
         *keys,
         "token_rank",
@@ -50,19 +49,21 @@ def diversity(tokenised: DataFrame, keys: list[str], order: str, tokens: str = "
     rows = one_token.withColumn("size", F.lit(1)).unionByName(inside.unionByName(across).withColumn("size", F.lit(2)))
     grams = rows.groupBy(*keys, "size", "gram").agg(F.count("*").alias("n"))
     samples = tokenised.groupBy(*keys).agg(F.count("*").alias("n_samples"))
-    n = F.col("n")
+    # all figures depend on how many types have which count
+    histogram = grams.groupBy(*keys, "size", "n").agg(F.count("*").alias("types"))
+    n, types = F.col("n"), F.col("types")
     one, two = F.col("size") == 1, F.col("size") == 2
-    totals = grams.groupBy(*keys).agg(F.sum(F.when(one, n)).alias("total_tokens"))
+    totals = histogram.groupBy(*keys).agg(F.sum(F.when(one, n * types)).alias("total_tokens"))
     p = n / F.col("total_tokens")
     stats = (
-        grams.join(small_side(totals, tokenised, keys), keys)
+        histogram.join(totals, keys)
         .groupBy(*keys)
         .agg(
-            F.count(F.when(one, 1)).alias("vocab_size"),
-            F.coalesce(-F.sum(F.when(one, p * F.log2(p + 1e-12))), F.lit(0.0)).alias("entropy"),
-            F.coalesce(F.sum(F.when(one, n)), F.lit(0)).alias("total_tokens"),
-            F.count(F.when(two, 1)).alias("_distinct_2"),
-            F.sum(F.when(two, n)).alias("_bigrams"),
+            F.sum(F.when(one, types)).alias("vocab_size"),
+            F.coalesce(-F.sum(F.when(one, types * p * F.log2(p + 1e-12))), F.lit(0.0)).alias("entropy"),
+            F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"),
+            F.sum(F.when(two, types)).alias("_distinct_2"),
+            F.sum(F.when(two, n * types)).alias("_bigrams"),
         )
     )
     total = F.coalesce("total_tokens", F.lit(0))

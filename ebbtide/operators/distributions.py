@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.vectors import EPSILON
 from ebbtide.operators.quantiles import histogram_percentile
-from ebbtide.session import settle, small_side
 
 
 def entropy_from_counts(n: Column) -> Column:
@@ -20,10 +19,9 @@ def perplexity(entropy: Column) -> Column:
     return F.when(entropy > 0, F.pow(F.lit(2.0), entropy)).otherwise(F.lit(0.0))
 
 
-def frequency(counts: DataFrame, keys: list[str], source: DataFrame | None = None) -> DataFrame:
-    """Share of each token in its corpus. ``source`` is the raw table used to check the number of corpora."""
+def frequency(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of each token in its corpus."""
     total = counts.groupBy(*keys).agg(F.sum("n").alias("token_count"))
-    total = small_side(total, source, keys) if source is not None else total
     return counts.join(total, keys).select(*keys, "token", "n", (F.col("n") / F.col("token_count")).alias("frequency"))
 
 
@@ -35,50 +33,65 @@ def summary(counts: DataFrame, keys: list[str]) -> DataFrame:
     return stats.withColumn("perplexity", perplexity(F.col("entropy")))
 
 
-def aligned_shares(counts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+def aligned_counts(counts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """Vocabulary alignment of corpus pairs ``(current, baseline)``: one row per pair and token, 0 where missing.
 
-    Each count row is tagged with the role it plays in each pair, then one shuffle on (pair, token) adds the two
-    sides up; shares follow from the pair's totals afterwards. Every metric of a pair comes from this table; no full
-    outer join is needed. ``pairs`` is broadcast if its checked size is small, as are the totals, one row per pair.
+    Each count row takes the roles its corpus plays in the pairs, then one shuffle on (pair, token) adds the two
+    sides up; no full outer join is needed and the counts are read once.
     """
-    pairs, is_small = settle(pairs.select("current", "baseline"))
-    small = F.broadcast if is_small else (lambda df: df)
-    columns = ["current", "baseline", "token"]
-    none = F.lit(0).cast("long")
-    left = counts.withColumnRenamed(key, "current").join(small(pairs), "current")
-    right = counts.withColumnRenamed(key, "baseline").join(small(pairs), "baseline")
-    roles = left.select(*columns, F.col("n").alias("n_cur"), none.alias("n_base")).unionByName(
-        right.select(*columns, none.alias("n_cur"), F.col("n").alias("n_base"))
-    )
-    aligned = roles.groupBy(*columns).agg(F.sum("n_cur").alias("n_cur"), F.sum("n_base").alias("n_base"))
-    totals = counts.groupBy(key).agg(F.sum("n").alias("_n"))
-    sizes = pairs
-    for name in ("current", "baseline"):
-        sizes = sizes.join(totals.select(F.col(key).alias(name), F.col("_n").alias(f"_{name}")), name)
-    return aligned.join(small(sizes), ["current", "baseline"]).select(
-        *columns, "n_cur", "n_base", (F.col("n_cur") / F.col("_current")).alias("p"), (F.col("n_base") / F.col("_baseline")).alias("q")
+    names = ["current", "baseline"]
+    roles = [pairs.select(F.col(name).alias(key), *names, F.lit(name).alias("_role")) for name in names]
+    rows = counts.join(roles[0].unionByName(roles[1]), key)
+    sides = [F.sum(F.when(F.col("_role") == name, F.col("n")).otherwise(0)) for name in names]
+    return rows.groupBy(*names, "token").agg(sides[0].alias("n_cur"), sides[1].alias("n_base"))
+
+
+def joint_histogram(aligned: DataFrame) -> DataFrame:
+    """How many types of a pair have each combination of counts: ``(current, baseline, n_cur, n_base, types)``.
+
+    Everything a pair is measured by depends on these combinations alone, and they are far fewer than the tokens, so
+    totals, thresholds and sums all come from this small table.
+    """
+    return aligned.groupBy("current", "baseline", "n_cur", "n_base").agg(F.count("*").alias("types"))
+
+
+def _pair_totals(rows: DataFrame, types: Column) -> DataFrame:
+    return rows.groupBy("current", "baseline").agg(
+        F.sum(F.col("n_cur") * types).alias("_current"), F.sum(F.col("n_base") * types).alias("_baseline")
     )
 
 
+def aligned_shares(counts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """`aligned_counts` with the share of each side, ``p`` and ``q``; pairs with an empty side drop out."""
+    aligned = aligned_counts(counts, key, pairs)
+    totals = _pair_totals(aligned, F.lit(1)).where((F.col("_current") > 0) & (F.col("_baseline") > 0))
+    return aligned.join(totals, ["current", "baseline"]).select(
+        "current", "baseline", "token", "n_cur", "n_base",
+        (F.col("n_cur") / F.col("_current")).alias("p"), (F.col("n_base") / F.col("_baseline")).alias("q"),
+    )
+
+
 def _half(x: Column, mean: Column) -> Column:
     return F.when(x > 0, x * F.log2(x / mean)).otherwise(F.lit(0.0))
 
 
-def divergences(aligned: DataFrame) -> DataFrame:
-    """KL (nats, additively smoothed over the union vocabulary) and JS distance (base 2) per pair.
+def divergences(histogram: DataFrame) -> DataFrame:
+    """KL (nats, additively smoothed over the union vocabulary) and JS distance (base 2) per pair of a `joint_histogram`.
 
     With ``V`` the union size both smoothed vectors share the denominator ``1 + eps V``, which cancels inside the
     logarithm, so one sum and ``V`` are enough. A pair with an empty side has both metrics 0.
     """
-    p, q = F.col("p"), F.col("q")
+    types = F.col("types")
+    rows = histogram.join(_pair_totals(histogram, types), ["current", "baseline"])
+    p = F.coalesce(F.try_divide(F.col("n_cur"), F.col("_current")), F.lit(0.0))
+    q = F.coalesce(F.try_divide(F.col("n_base"), F.col("_baseline")), F.lit(0.0))
     mean = (p + q) / 2
-    stats = aligned.groupBy("current", "baseline").agg(
-        F.count("*").alias("_v"),
-        F.sum((p + EPSILON) * F.log((p + EPSILON) / (q + EPSILON))).alias("_kl"),
-        F.sum(_half(p, mean) + _half(q, mean)).alias("_js"),
-        F.sum("n_cur").alias("_nc"),
-        F.sum("n_base").alias("_nb"),
+    stats = rows.groupBy("current", "baseline").agg(
+        F.sum(types).alias("_v"),
+        F.sum(types * (p + EPSILON) * F.log((p + EPSILON) / (q + EPSILON))).alias("_kl"),
+        F.sum(types * (_half(p, mean) + _half(q, mean))).alias("_js"),
+        F.max("_current").alias("_nc"),
+        F.max("_baseline").alias("_nb"),
     )
     both = (F.col("_nc") > 0) & (F.col("_nb") > 0)
     return stats.select(
@@ -89,6 +102,37 @@ def divergences(aligned: DataFrame) -> DataFrame:
     )
 
 
+def reference_divergences(counts: DataFrame, keys: list[str], reference: DataFrame) -> DataFrame:
+    """KL and JS as in `divergences` of every corpus against one fixed reference of counts ``(token, n)``.
+
+    A corpus meets the reference on its own tokens only. A reference token it never uses adds its whole share to the
+    JS sum and ``eps ln(eps / (q + eps))`` to the KL sum, so the unused ones enter as the reference's total less the
+    part seen; the reference's vocabulary is not copied per corpus. Both metrics are 0 if the reference is empty.
+    """
+    size = reference.agg(F.sum("n").alias("_total"))
+    shares = reference.select("token", (F.col("n") / size.scalar()).alias("q"))
+    unseen = EPSILON * F.log(EPSILON / (F.col("q") + EPSILON))
+    whole = shares.agg(F.struct(F.sum(unseen).alias("kl"), F.count("*").alias("types"))).scalar()
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    met = counts.join(shares, "token", "left").join(totals, keys)
+    p, q = F.col("n") / F.col("_total"), F.coalesce("q", F.lit(0.0))
+    mean = (p + q) / 2
+    stats = met.groupBy(*keys).agg(
+        F.sum((p + EPSILON) * F.log((p + EPSILON) / (q + EPSILON))).alias("_kl"),
+        F.sum(_half(p, mean) + _half(q, mean)).alias("_js"),
+        F.sum(q).alias("_q"),
+        F.sum(F.when(F.col("q").isNotNull(), unseen).otherwise(0.0)).alias("_seen"),
+        F.count("*").alias("_v"),
+        F.count("q").alias("_both"),
+    )
+    types = whole["types"]
+    kl = (F.col("_kl") + whole["kl"] - F.col("_seen")) / (1 + EPSILON * (F.col("_v") + types - F.col("_both")))
+    js = F.sqrt(F.greatest((F.col("_js") + 1 - F.col("_q")) / 2, F.lit(0.0)))
+    return stats.select(
+        *keys, F.when(types > 0, kl).otherwise(0.0).alias("kl_divergence"), F.when(types > 0, js).otherwise(0.0).alias("js_divergence")
+    )
+
+
 def rare_threshold(counts: DataFrame, keys: list[str], percentile: float = 0.1) -> DataFrame:
     """Percentile of the type counts of each corpus."""
     return histogram_percentile(counts, keys, "n", percentile, "threshold")
@@ -113,19 +157,26 @@ def self_rare_percentage(counts: DataFrame, keys: list[str], percentile: float =
     )
 
 
-def rare_and_new(aligned: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Rare-token and new-token percentages of each pair's current side against its baseline.
+def rare_and_new(histogram: DataFrame, percentile: float = 0.1) -> DataFrame:
+    """Rare-token and new-token percentages of each pair's current side against its baseline, from a `joint_histogram`.
 
-    ``thresholds``: one row per baseline (``baseline, threshold``). Unseen tokens count 0 and are therefore rare
+    The threshold is the percentile of the baseline's type counts. Unseen tokens count 0 and are therefore rare
     whenever the threshold is at least 0.
     """
-    n = F.col("n_cur")
-    rows = aligned.where(n > 0).join(thresholds, "baseline", "left")
-    stats = rows.groupBy("current", "baseline").agg(
+    pair = ["current", "baseline"]
+    used = histogram.where("n_base > 0")
+    thresholds = used.groupBy(*pair).agg(F.percentile("n_base", F.lit(percentile), F.col("types")).alias("threshold"))
+    n = F.col("n_cur") * F.col("types")
+    rows = histogram.where("n_cur > 0").join(thresholds, pair, "left")
+    return rows.groupBy(*pair).agg(
         (F.sum(F.when(F.col("n_base") <= F.col("threshold"), n).otherwise(0)) / F.sum(n) * 100).alias("rare_token_percentage"),
         (F.sum(F.when(F.col("n_base") == 0, n).otherwise(0)) / F.sum(n) * 100).alias("new_token_percentage"),
     )
-    return stats
+
+
+def new_tokens(aligned: DataFrame) -> DataFrame:
+    """Tokens of each pair's current side that its baseline never used: ``(current, baseline, token, n)``."""
+    return aligned.where("n_cur > 0 and n_base = 0").select("current", "baseline", "token", F.col("n_cur").alias("n"))
 
 
 def mean_vectors(embeddings: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:

@@ -62,12 +62,36 @@ def job_metrics(items: DataFrame) -> DataFrame:
     return sums.join(entropy, "job_id", "left").select("job_id", *JOB_METRICS)
 
 
-def compare_jobs(metrics: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``delta = b - a`` per metric for job pairs ``(job_1, job_2)``; NULL if either side is NULL."""
+def _with_states(pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    for side in ("1", "2"):
+        own = outcomes.select(F.col("job_id").alias(f"job_{side}"), F.col("status").alias(f"_status_{side}"))
+        pairs = pairs.join(own, f"job_{side}", "left")
+    return pairs
+
+
+def refused_pairs(pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Job pairs that can't be compared, with the reason: a job is unknown, or has not completed at least in part."""
+    rows = _with_states(pairs.select("job_1", "job_2"), outcomes)
+    unknown = F.col("_status_1").isNull() | F.col("_status_2").isNull()
+    open_job = [
+        F.when(~F.col(f"_status_{k}").isin(COMPARABLE_STATES), F.format_string("Job #%s is not completed", F.col(f"job_{k}").cast("string")))
+        for k in "12"
+    ]
+    reason = F.when(unknown, F.lit("One or both jobs not found")).otherwise(F.coalesce(*open_job))
+    return rows.select("job_1", "job_2", reason.alias("reason")).where("reason is not null")
+
+
+def compare_jobs(metrics: DataFrame, pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``delta = b - a`` per metric for job pairs ``(job_1, job_2)``; NULL if either side is NULL.
+
+    Only pairs of jobs that completed, wholly or in part, are compared; `refused_pairs` lists the others.
+    """
+    states = [F.col(f"_status_{k}").isin(COMPARABLE_STATES) for k in "12"]
+    admitted = _with_states(pairs, outcomes).where(states[0] & states[1]).drop("_status_1", "_status_2")
     rows = unpivot(metrics, ["job_id"], JOB_METRICS)
     a = rows.select(F.col("job_id").alias("job_1"), "metric", F.col("value").alias("value_1"))
     b = rows.select(F.col("job_id").alias("job_2"), "metric", F.col("value").alias("value_2"))
-    joined = pairs.join(a, "job_1").join(b, ["job_2", "metric"])
+    joined = admitted.join(a, "job_1").join(b, ["job_2", "metric"])
     return joined.withColumn("delta", F.col("value_2") - F.col("value_1"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.session import small_side
+from ebbtide.operators.sequence import BUCKET_WIDTH, running_offset
 
 
 def histogram_percentile(df: DataFrame, keys: list[str], value: str, probability: float, out: str) -> DataFrame:
@@ -18,12 +18,13 @@ def histogram_percentile(df: DataFrame, keys: list[str], value: str, probability
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], accuracy: int = 10_000
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], accuracy: int = 10_000, width: int = BUCKET_WIDTH
 ) -> DataFrame:
     """Exact percentiles of a column with arbitrarily many distinct values, one output column per probability.
 
     A sketch gives per key a bracket around each wanted rank (its rank error is at most ``n / accuracy``). Rows
-    below the bracket are only counted; rows inside it, about ``4 / accuracy`` of the group, are ranked exactly.
+    below the bracket are only counted; rows inside it, about ``4 / accuracy`` of the group, are ranked exactly, in
+    buckets of neighbouring values (`sequence.running_offset`), so a bracket of any size is spread over tasks.
     In groups smaller than ``accuracy`` the sketch holds every row and a wanted rank is at most one step outside
     the bracket, so the nearest value on each side is kept as well. Equal values are one row with a frequency, so
     a value shared by a third of all rows does no harm.
@@ -47,7 +48,7 @@ def exact_percentiles(
     )
     ladder = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_f"))
     tagged = (
-        ladder.join(small_side(brackets, df, keys), keys)
+        ladder.join(brackets, keys)
         .select(*keys, "_v", "_f", F.explode("_q").alias("_q"))
         .select(*keys, "_v", "_f", "_q.*")
     )
@@ -56,10 +57,10 @@ def exact_percentiles(
         F.max(F.when(F.col("_v") < F.col("lo"), F.col("_v"))).alias("_prev"),
         F.min(F.when(F.col("_v") > F.col("hi"), F.col("_v"))).alias("_next"),
     )
-    running = Window.partitionBy(*keys, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    thin = tagged.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).select(*keys, "name", "rank", "_v", "_f")
     inside = (
-        tagged.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-        .withColumn("_upto", F.sum("_f").over(running))
+        running_offset(thin, [*keys, "name"], "_v", "_f", width)
+        .withColumn("_upto", F.col("start_offset") + F.col("_f"))
         .join(around, [*keys, "name"])
         .withColumn("_last", F.col("_below") + F.col("_upto") - 1)
     )

@@ -2,7 +2,8 @@
 
 A row's place in the order is the MD5 of ``seed:id``, so samples are repeatable, independent of partitioning and
 the same on every engine. Small samples are a top-n. Where exact ranks of a long order are needed, rows are first
-counted per hash prefix (uniform buckets), so no window ever sees more than one bucket of a key.
+counted per range of hashes; hashes are uniform and the number of ranges follows the number of rows, so a window
+sees about ``BUCKET_WIDTH`` rows, however large the table.
 """
 
 from __future__ import annotations
@@ -10,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.operators.sequence import bucket_offsets, dense_index
-from ebbtide.session import small_side
+from ebbtide.operators.sequence import BUCKET_WIDTH, bucket_offsets, dense_index, row_count
 
-#: Leading hex digits that form a bucket of the hash order (16 ** digits buckets).
-PREFIX_DIGITS = 3
+#: Leading hex digits of a hash that place it: 52 bits, which a double holds exactly.
+PLACE_DIGITS = 13
 
 
 def hash_order(seed: int, id_column: str) -> Column:
@@ -32,21 +32,27 @@ def sample_per_key(df: DataFrame, keys: list[str], id_column: str, n: int, seed:
     return df.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= n)
 
 
-def hash_rank(df: DataFrame, keys: list[str], id_column: str, seed: int, upto: int | None = None) -> DataFrame:
+def hash_rank(
+    df: DataFrame, keys: list[str], id_column: str, seed: int, upto: int | None = None, width: int = BUCKET_WIDTH
+) -> DataFrame:
     """Exact 1-based rank ``draw`` of every row in the hash order of its key.
 
-    ``upto`` drops ranks beyond a bound; buckets that lie wholly beyond it are removed before the sort.
+    ``upto`` drops ranks beyond a bound: rows in hash ranges that no key needs for its first ``upto`` are dropped
+    where they are read, so only about ``upto`` rows per key are shuffled.
     """
-    hashed = df.withColumn("_h", hash_order(seed, id_column)).withColumn("bucket", F.substring("_h", 1, PREFIX_DIGITS))
+    wanted = F.greatest(F.ceil(row_count(df) / F.lit(width)), F.lit(1))
+    share = F.conv(F.substring("_h", 1, PLACE_DIGITS), 16, 10).cast("double") / F.lit(float(16**PLACE_DIGITS))
+    hashed = df.withColumn("_h", hash_order(seed, id_column)).withColumn("bucket", F.floor(share * wanted).cast("long"))
     offsets = bucket_offsets(hashed.withColumn("_one", F.lit(1)), keys, "_one")
     if upto is not None:
         offsets = offsets.where(F.col("bucket_offset") < upto)
-    offsets = small_side(offsets, df, keys, 1_000) if keys else F.broadcast(offsets)
+        hashed = hashed.where(F.col("bucket") <= offsets.agg(F.max("bucket")).scalar())
     inner = Window.partitionBy(*keys, "bucket").orderBy("_h", id_column)
     ranked = (
-        hashed.join(offsets, [*keys, "bucket"])
-        .withColumn("draw", F.row_number().over(inner) + F.col("bucket_offset"))
-        .drop("_h", "bucket", "bucket_offset")
+        hashed.withColumn("_inner", F.row_number().over(inner))
+        .join(offsets, [*keys, "bucket"])
+        .withColumn("draw", F.col("_inner") + F.col("bucket_offset"))
+        .drop("_h", "bucket", "bucket_offset", "_inner")
     )
     return ranked if upto is None else ranked.where(F.col("draw") <= upto)
 

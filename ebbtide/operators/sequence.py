@@ -2,7 +2,8 @@
 
 A window over a whole corpus would pull it into one task. Everything here works in two levels: rows fall into
 buckets of neighbouring order values, bucket sums are accumulated (one small row per bucket), and the window runs
-inside a bucket only. Buckets split a key of any size.
+inside a bucket only. A bucket holds about ``width`` rows whatever the order values look like (dense ids, hashes,
+timestamps in bursts), as its borders follow a sample of them; buckets split a key of any size.
 """
 
 from __future__ import annotations
@@ -10,14 +11,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.session import small_side
+from ebbtide.functions.vectors import let
 
-#: Order values per bucket when the order column is a dense id.
+#: Rows per bucket, on average.
 BUCKET_WIDTH = 65_536
+#: Order values that the borders of the buckets follow.
+EDGES = 512
 
 
-def id_bucket(order: Column, width: int = BUCKET_WIDTH) -> Column:
-    return F.floor(order / F.lit(width)).cast("long")
+def row_count(df: DataFrame) -> Column:
+    """Number of rows, as a scalar subquery: evaluated once when the plan runs."""
+    return df.agg(F.count("*")).scalar()
+
+
+def with_bucket(df: DataFrame, order: str, width: int = BUCKET_WIDTH) -> DataFrame:
+    """Add ``bucket``: numbers that ascend with the order value.
+
+    The least and greatest order value and those with the smallest hashes are the edges; between two edges a value's
+    share of the gap counts, so its place among the edges estimates its quantile. The same rows give the same edges
+    each time, so every branch of a plan sees the same buckets. NULLs fall into bucket 0.
+    """
+    values = df.select(F.col(order).cast("double").alias("_o")).where("_o is not null")
+    picks = values.orderBy(F.xxhash64("_o")).limit(EDGES).unionByName(values.agg(F.min("_o").alias("_o")))
+    picks = picks.unionByName(values.agg(F.max("_o").alias("_o"))).where("_o is not null")
+    edges = picks.agg(F.sort_array(F.collect_set("_o")).alias("_edges"))
+    value, wanted = F.col(order).cast("double"), F.greatest(F.ceil(F.col("_rows") / F.lit(width)), F.lit(1))
+
+    def place(found: Column) -> Column:
+        at = F.size(F.filter(found, lambda e: e <= value))
+        low, high = F.get(found, at - 1), F.get(found, at)
+        share = F.when(high > low, (value - low) / (high - low)).otherwise(0.0)
+        return F.floor((at + share) / (F.size(found) + 1) * wanted)
+
+    # scalar subqueries: evaluated once when the plan runs
+    rows = df.withColumn("_edges", edges.scalar()).withColumn("_rows", row_count(df))
+    bucket = F.coalesce(let(F.col("_edges"), place), F.lit(0)).cast("long")
+    return rows.withColumn("bucket", bucket).drop("_edges", "_rows")
 
 
 def bucket_offsets(bucketed: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -29,11 +58,11 @@ def bucket_offsets(bucketed: DataFrame, keys: list[str], weight: str) -> DataFra
 
 def running_offset(df: DataFrame, keys: list[str], order: str, weight: str, width: int = BUCKET_WIDTH) -> DataFrame:
     """Add ``start_offset``: total weight of all earlier rows of the same key."""
-    bucketed = df.withColumn("bucket", id_bucket(F.col(order), width))
+    bucketed = with_bucket(df, order, width)
     offsets = bucket_offsets(bucketed, keys, weight)
     inner = Window.partitionBy(*keys, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = bucketed.withColumn("inner_offset", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-    offsets = small_side(offsets, bucketed, [*keys, "bucket"])
+    # both sides lie by key and bucket, so the join adds no shuffle of the rows
     return (
         placed.join(offsets, [*keys, "bucket"])
         .withColumn("start_offset", F.col("bucket_offset") + F.col("inner_offset"))
@@ -42,7 +71,7 @@ def running_offset(df: DataFrame, keys: list[str], order: str, weight: str, widt
 
 
 def dense_index(df: DataFrame, keys: list[str], order: str, width: int = BUCKET_WIDTH) -> DataFrame:
-    """Add ``idx`` = 0, 1, 2, ... in id order within each key."""
+    """Add ``idx`` = 0, 1, 2, ... in order within each key."""
     ones = df.withColumn("_one", F.lit(1))
     return running_offset(ones, keys, order, "_one", width).withColumnRenamed("start_offset", "idx").drop("_one")
 
@@ -58,9 +87,7 @@ def boundary_pairs(
     # no filter on the array's size: it would be pushed below the projection that computes it
     edge = F.struct(F.element_at(tokens, 1).alias("first_token"), F.element_at(tokens, -1).alias("last_token"))
     filled = F.when(F.size(tokens) > 0, F.array(edge)).otherwise(F.array().cast("array<struct<first_token:string,last_token:string>>"))
-    ends = tokenised.select(
-        *keys, order, id_bucket(F.col(order), width).alias("bucket"), F.explode(filled).alias("_e")
-    ).select(*keys, order, "bucket", "_e.*")
+    ends = with_bucket(tokenised.select(*keys, order, F.explode(filled).alias("_e")).select(*keys, order, "_e.*"), order, width)
     inside = Window.partitionBy(*keys, "bucket").orderBy(order)
     pairs = ends.withColumn("next_token", F.lead("first_token").over(inside))
     edges = ends.groupBy(*keys, "bucket").agg(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators.compare import unpivot
 from ebbtide.operators.latest import step_difference
-from ebbtide.session import settle
+from ebbtide.session import written
 
 # Signals, expected directions (-1 falls, 1 rises) and gates
 DIRECTIONS = {
@@ -87,9 +87,8 @@ def endpoints(measured: DataFrame, keys: list[str], signals: list[str] | None =
 
 def verdict(measured: DataFrame, truth: DataFrame, keys: list[str], sample_count: int = 20) -> DataFrame:
     """One row per trajectory: failure messages, and whether collapse was detected as expected."""
-    # one row per generation: read once, judged four times
-    measured, _ = settle(measured)
-    truth, _ = settle(truth)
+    # one row per generation, judged four times
+    measured, truth = written(measured, "trajectory"), written(truth, "truth")
     gate = GATE_SMALL if sample_count < LARGE_SAMPLE else GATE_LARGE
     trends = trend_checks(measured, keys).where(~F.col("passed")).select(
         *keys,

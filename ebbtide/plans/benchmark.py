@@ -22,6 +22,8 @@ class BenchmarkParameters:
     """Request parameters with their defaults (fixed values)."""
 
     dataset: str = "default"
+    dataset_id: str = "wikitext-2"
+    tokenizer_model_id: str | None = None
     sample_count: int = 8
     max_tokens: int = 8000
     top_k: int = 20
@@ -78,17 +80,8 @@ def benchmark_results(generations: DataFrame, dataset: DataFrame, params: Benchm
         F.sum(F.when(F.col("side") == "generated", F.col("n")).otherwise(0)).alias("n_cur"),
         F.sum(F.when(F.col("side") == "reference", F.col("n")).otherwise(0)).alias("n_base"),
     )
-    sizes = shares.groupBy(key).agg(F.sum("n_cur").alias("_nc"), F.sum("n_base").alias("_nb"))
-    aligned = shares.join(sizes, key).select(
-        F.col(key).alias("current"),
-        F.lit("reference").alias("baseline"),
-        "token",
-        "n_cur",
-        "n_base",
-        F.when(F.col("_nc") > 0, F.col("n_cur") / F.col("_nc")).otherwise(0.0).alias("p"),
-        F.when(F.col("_nb") > 0, F.col("n_base") / F.col("_nb")).otherwise(0.0).alias("q"),
-    )
-    divergences = ds.divergences(aligned).drop("baseline").withColumnRenamed("current", key)
+    aligned = shares.select(F.col(key).alias("current"), F.lit("reference").alias("baseline"), "token", "n_cur", "n_base")
+    divergences = ds.divergences(ds.joint_histogram(aligned)).drop("baseline").withColumnRenamed("current", key)
     generated = counts.where(F.col("side") == "generated").drop("side")
     own = ds.summary(generated, [key])
     ref = ds.summary(counts.where(F.col("side") == "reference"), [key]).select(
@@ -121,7 +114,10 @@ def benchmark_results(generations: DataFrame, dataset: DataFrame, params: Benchm
     return result.join(listed, key, "left").select(
         key,
         F.lit(params.dataset).alias("dataset"),
-        F.lit("regex").alias("tokenization"),
+        F.lit(params.dataset_id).alias("dataset_id"),
+        # tokens that a model's tokenizer made are given; without one they are runs of letters and digits
+        F.lit("model" if params.tokenizer_model_id else "regex").alias("tokenization"),
+        F.lit(params.tokenizer_model_id).cast("string").alias("tokenizer_model_id"),
         "sample_count",
         F.coalesce("prompts_used", F.lit(0)).alias("prompts_used"),
         F.lit(params.num_beams).alias("num_beams"),
@@ -130,14 +126,22 @@ def benchmark_results(generations: DataFrame, dataset: DataFrame, params: Benchm
     )
 
 
-def snapshot_rows(results: DataFrame, moment: datetime) -> DataFrame:
-    """Benchmark results in the snapshot layout; the whole result is kept in the payload.
+def snapshot_rows(results: DataFrame, moment: datetime, jobs: DataFrame | None = None) -> DataFrame:
+    """Benchmark results in the snapshot layout; the whole result is kept in the payload, with the job that asked for it.
 
-    Entropy and KL become the averages, the numeric figures a map the alerting reads.
+    Entropy and KL become the averages, the numeric figures a map the alerting reads. ``jobs``: ``(job_id,
+    model_version_id)``, one per version of this run; without a job the payload's job id is NULL.
     """
     names = ["sample_count", "prompts_used", "num_beams", *[c for c in RESULT_FIGURES if c != "prompts_used"]]
     entries = [item for name in names for item in (F.lit(name), F.col(name).cast("double"))]
-    return results.select(
+    payload = F.struct(*results.columns)
+    if jobs is None:
+        rows = results.withColumn("benchmark_job_id", F.lit(None).cast("long"))
+    else:
+        rows = results.join(jobs.select("model_version_id", F.col("job_id").alias("benchmark_job_id")), "model_version_id", "left")
+    return rows.select(
+        # the version and the moment name a snapshot, so a repeated run gives the same number
+        F.xxhash64("model_version_id", F.lit(f"{moment:%Y-%m-%d %H:%M:%S.%f}")).alias("snapshot_id"),
         "model_version_id",
         F.lit(moment).alias("period_start"),
         F.lit(moment).alias("period_end"),
@@ -149,12 +153,28 @@ def snapshot_rows(results: DataFrame, moment: datetime) -> DataFrame:
         F.lit(0).cast("long").alias("anomaly_count"),
         F.lit(0.0).alias("anomaly_percentage"),
         F.create_map(*entries).alias("benchmark"),
-        F.to_json(F.struct(F.struct(*results.columns).alias("benchmark"))).alias("metrics_data"),
+        F.to_json(F.struct(payload.alias("benchmark"), "benchmark_job_id"), {"ignoreNullFields": "false"}).alias("metrics_data"),
         F.lit(moment).alias("calculated_at"),
     )
 
 
-def append_snapshots(results: DataFrame, moment: datetime, path: str) -> None:
+def append_snapshots(results: DataFrame, moment: datetime, path: str, jobs: DataFrame | None = None) -> None:
     """Append to the snapshot table, partitioned by day so that histories can be pruned."""
-    rows = snapshot_rows(results, moment).withColumn("snapshot_day", F.to_date("calculated_at"))
+    rows = snapshot_rows(results, moment, jobs).withColumn("snapshot_day", F.to_date("calculated_at"))
     rows.write.mode("append").partitionBy("snapshot_day").parquet(path)
+
+
+def completed_jobs(jobs: DataFrame, snapshots: DataFrame, moment: datetime) -> DataFrame:
+    """The job rows after their run: result, link to the snapshot, state and end; jobs without a snapshot stay as they are.
+
+    ``snapshots``: rows of `snapshot_rows` for these jobs, whose payload names the job.
+    """
+    payload = snapshots.select(
+        F.get_json_object("metrics_data", "$.benchmark_job_id").cast("long").alias("job_id"),
+        F.col("snapshot_id").alias("_snapshot"),
+        F.get_json_object("metrics_data", "$.benchmark").alias("_result"),
+    ).where("job_id is not null")
+    joined = jobs.join(payload, "job_id", "left")
+    done = F.col("_snapshot").isNotNull()
+    new = {"result": F.col("_result"), "snapshot_id": F.col("_snapshot"), "status": F.lit("completed"), "completed_at": F.lit(moment)}
+    return joined.select(*[F.when(done, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])

@@ -1,29 +1,46 @@
 """The full metric row of every prompt against its version's baseline.
 
-Input prompts: ``prompt_id, model_version_id, tokens array<string>, probabilities array<double>, output_length`` and
-optionally ``submitted_at`` and ``embedding array<double>``. Baselines are aggregated once per baseline key; a
-prompt only meets aggregates, never other prompts.
+Input prompts: ``prompt_id, model_version_id, tokens array<string>, output_length``, the probabilities as
+``token_probabilities`` (JSON text in either stored shape) or ``probabilities array<double>``, and optionally
+``submitted_at`` and ``embedding array<double>``.
+
+A prompt never meets other prompts. Its tokens and bigrams are counted inside its row; all it needs of its baseline
+is one profile row and the counts of the baseline's grams, both drawn from at most ``limit`` prompts per baseline.
+These two tables are written first, so the planner knows their exact size and broadcasts them where they fit; else
+it joins by gram and adaptive execution splits a gram that very many prompts share.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions import text as tx
 from ebbtide.functions import vectors as vx
-from ebbtide.operators.counts import bigram_rows
 from ebbtide.operators.rollups import length_statistics
-from ebbtide.operators.skew import hot_key_join
 from ebbtide.operators.versions import ALL_VERSIONS
-from ebbtide.session import settle
+from ebbtide.session import written
 
 BASELINE_PROMPT_LIMIT = 100  # fixed value
 RARE_PERCENTILE = 0.1  # fixed value
-#: A gram shared by more prompts of one baseline than this is spread over many tasks.
-HOT_ROWS = 1_000_000
+#: Kinds of grams.
+TOKEN, BIGRAM = 1, 2
+
+
+def baseline_metadata(
+    baseline_type: str = "previous", reference: Column | str | None = None, days: int | None = None, limit: int = BASELINE_PROMPT_LIMIT
+) -> Column:
+    """What a metric row was compared with, as JSON: the request as the caller made it, not what it resolved to."""
+    given = reference if isinstance(reference, Column) else F.lit(reference).cast("string")
+    fields = {
+        "baseline_type": F.lit(baseline_type),
+        "reference_version_id": given,
+        "baseline_days": F.lit(days).cast("int"),
+        "baseline_prompt_limit": F.lit(limit),
+    }
+    return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]), {"ignoreNullFields": "false"})
 
 
 def baseline_prompts(
@@ -43,149 +60,102 @@ def baseline_prompts(
         rows = rows.where(F.col("submitted_at") >= F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
     order = Window.partitionBy("baseline").orderBy("prompt_id")
     own = rows.withColumn("baseline", F.col("model_version_id").cast("string"))
-    if keys is not None:
-        own = own.join(keys.select("baseline").distinct(), "baseline", "left_semi")
-    own = own.withColumn("baseline_rank", F.row_number().over(order)).where(F.col("baseline_rank") <= limit)
     first = rows.orderBy("prompt_id").limit(limit).withColumn("baseline", F.lit(ALL_VERSIONS))
-    everything = first.withColumn("baseline_rank", F.row_number().over(order))
-    return own.unionByName(everything)
+    ranked = own.unionByName(first).withColumn("baseline_rank", F.row_number().over(order)).where(F.col("baseline_rank") <= limit)
+    return ranked if keys is None else ranked.join(keys.select("baseline").distinct(), "baseline", "left_semi")
 
 
-def baseline_tokens(base: DataFrame) -> DataFrame:
-    """Token counts ``(baseline, gram, m)`` of each baseline."""
-    rows = base.select("baseline", F.explode(tx.each(F.col("tokens"))).alias("gram"))
-    return rows.groupBy("baseline", "gram").agg(F.count("*").alias("m"))
+def _figures(prompts: DataFrame) -> DataFrame:
+    """Add ``_entropy`` and ``_probabilities`` (empty where there is no number) from whichever form is stored."""
+    if "token_probabilities" in prompts.columns:
+        told = prompts.withColumn("_told", vx.payload_figures(F.col("token_probabilities")))
+        return told.withColumn("_entropy", F.col("_told.entropy")).withColumn("_probabilities", F.col("_told.probabilities")).drop("_told")
+    listed = F.coalesce("probabilities", F.array().cast("array<double>"))
+    entropy = F.when(F.size("probabilities") > 0, vx.entropy_bits(F.col("probabilities")))
+    return prompts.withColumn("_entropy", entropy).withColumn("_probabilities", listed)
 
 
-def baseline_bigrams(base: DataFrame) -> DataFrame:
-    """Bigram counts ``(baseline, gram, m)`` of each baseline read as one stream.
-
-    A baseline has at most ``limit`` prompts, so the window that finds neighbours across prompts is bounded.
-    """
-    edges = base.select(
-        "baseline",
-        "baseline_rank",
-        F.try_element_at("tokens", F.lit(1)).alias("first_token"),
-        F.try_element_at("tokens", F.lit(-1)).alias("last_token"),
-    ).where(F.col("first_token").isNotNull())
-    following = F.lead("first_token").over(Window.partitionBy("baseline").orderBy("baseline_rank"))
-    across = edges.withColumn("_next", following).where(F.col("_next").isNotNull())
-    across = across.select("baseline", F.concat_ws(" ", "last_token", "_next").alias("gram"))
-    rows = bigram_rows(base, ["baseline"], out="gram").unionByName(across)
-    return rows.groupBy("baseline", "gram").agg(F.count("*").alias("m"))
-
-
-def baseline_summary(tokens: DataFrame, bigrams: DataFrame, base: DataFrame, percentile: float = RARE_PERCENTILE) -> DataFrame:
-    """One row per baseline: sizes, rare threshold, first prompt's probabilities, mean embedding."""
-    histogram = tokens.groupBy("baseline", "m").agg(F.count("*").alias("types"))
-    sizes = histogram.groupBy("baseline").agg(
-        F.sum(F.col("m") * F.col("types")).alias("base_tokens"),
-        F.percentile("m", F.lit(percentile), F.col("types")).alias("threshold"),
-    )
-    pairs = bigrams.groupBy("baseline").agg(F.sum("m").alias("base_bigrams"))
-    firsts = base.where(F.col("baseline_rank") == 1).select("baseline", F.col("probabilities").alias("base_probabilities"))
-    summary = firsts.join(sizes, "baseline", "left").join(pairs, "baseline", "left")
-    if "embedding" in base.columns:
-        means = (
-            base.where(F.col("embedding").isNotNull())
-            .select("baseline", F.posexplode("embedding").alias("dim", "x"))
-            .groupBy("baseline", "dim")
-            .agg(F.avg(F.col("x").cast("double")).alias("x"))
-            .groupBy("baseline")
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda r: r["x"]).alias("base_embedding"))
-        )
-        return summary.join(means, "baseline", "left")
-    return summary.withColumn("base_embedding", F.lit(None).cast("array<double>"))
+def _has_payload(prompts: DataFrame) -> Column:
+    """True for a stored payload that holds anything, numbers or not."""
+    if "token_probabilities" in prompts.columns:
+        return ~F.col("token_probabilities").rlike(r"^\s*(\{\s*\}|\[\s*\]|null)?\s*$")
+    return F.col("probabilities").isNotNull()
 
 
-def gram_hits(own: DataFrame, grams: DataFrame, hot_possible: bool) -> DataFrame:
-    """Join each prompt's distinct grams ``(prompt_id, baseline, gram, ...)`` with the baseline count ``m``.
-
-    Grams that occur in very many prompts of one baseline are the hot keys of this join; they are found from the
-    same rows and spread out.
-    """
-    keys = ["baseline", "gram"]
-    if not hot_possible:
-        return own.join(grams, keys, "left")
-    hot = own.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > HOT_ROWS)
-    return hot_key_join(own, grams, keys, hot, "prompt_id")
+def _mean_vector(rows: Column) -> Column:
+    """Mean of the embeddings of ``rows`` per dimension; NULL when none has one."""
+    vectors = F.filter(F.transform(rows, lambda r: r.embedding), lambda v: F.size(v) > 0)
 
+    def mean(found: Column) -> Column:
+        dims = F.array_max(F.transform(found, F.size))
+        return F.when(
+            F.size(found) > 0,
+            F.transform(
+                F.sequence(F.lit(0), dims - 1),
+                lambda d: vx.let(
+                    F.array_compact(F.transform(found, lambda v: F.get(v, d).cast("double"))), lambda xs: vx.total(xs) / F.size(xs)
+                ),
+            ),
+        )
 
-def may_hold_hot_keys(prompts: DataFrame) -> bool:
-    """A gram can only be hot if there are more prompts than the threshold (counts ids only)."""
-    return prompts.select("prompt_id").limit(HOT_ROWS + 1).count() > HOT_ROWS
+    return vx.let(vectors, mean)
 
 
-def prompt_scores(
-    keyed: DataFrame, tokens: DataFrame, bigrams: DataFrame, summary: DataFrame, few_baselines: bool = False, hot_possible: bool = True
-) -> DataFrame:
-    """Rare and new token percentages and bigram drift per prompt, from seen grams only.
+def baseline_profiles(base: DataFrame, percentile: float = RARE_PERCENTILE) -> DataFrame:
+    """One row per baseline, written: sizes, rare threshold, the first prompt's probabilities, mean embedding, grams.
 
-    Prompts are laid out by id before their tokens are exploded, so counting a prompt's grams needs no shuffle of
-    single tokens. The baseline mass a prompt never uses enters the Jensen-Shannon sum in closed form: such a gram
-    adds its own share, so together they add ``1 - sum of the shares seen``. ``few_baselines`` says that the number
-    of baselines was checked and the summary may be broadcast.
+    A baseline has at most ``limit`` prompts; they come together once and are read as one token stream, so bigrams
+    across prompts are neighbours in an array and everything else is an expression on that row.
     """
-    small = F.broadcast if few_baselines else (lambda df: df)
-    by_prompt = keyed.select("prompt_id", "baseline", "tokens").repartition("prompt_id")
-    own_tokens = (
-        by_prompt.select("prompt_id", "baseline", F.explode(tx.each(F.col("tokens"))).alias("gram"))
-        .groupBy("prompt_id", "baseline", "gram")
-        .agg(F.count("*").alias("n"))
-    )
-    sized = by_prompt.withColumn("_bigrams", F.size("tokens") - 1)
-    own_bigrams = (
-        bigram_rows(sized, ["prompt_id", "baseline", "_bigrams"], out="gram")
-        .groupBy("prompt_id", "baseline", "_bigrams", "gram")
-        .agg(F.count("*").alias("n"))
-    )
-    n, m = F.col("n"), F.coalesce("m", F.lit(0))
-    facts = small(summary.select("baseline", "base_tokens", "threshold"))
-    token_rows = gram_hits(own_tokens, tokens, hot_possible).join(facts, "baseline", "left")
-    usable = F.max("base_tokens").isNotNull()
-    token_scores = token_rows.groupBy("prompt_id").agg(
-        F.when(usable, F.sum(F.when(m <= F.col("threshold"), n).otherwise(0)) / F.sum(n) * 100).alias("rare_token_percentage"),
-        F.when(usable, F.sum(F.when(m == 0, n).otherwise(0)) / F.sum(n) * 100).alias("new_token_percentage"),
-        usable.alias("_usable"),
-    )
-    mass = small(summary.select("baseline", "base_bigrams"))
-    bigram_hits = gram_hits(own_bigrams, bigrams, hot_possible).join(mass, "baseline", "left")
-    p, q = n / F.col("_bigrams"), m / F.col("base_bigrams")
-    mean = (p + q) / 2
-    seen = p * F.log2(p / mean) + F.when(q > 0, q * F.log2(q / mean)).otherwise(0.0)
-    drift = bigram_hits.groupBy("prompt_id").agg(
-        F.sqrt(F.greatest((F.sum(seen) + 1 - F.sum(q)) / 2, F.lit(0.0))).alias("_drift")
+    embedding = F.col("embedding") if "embedding" in base.columns else F.lit(None).cast("array<double>")
+    # the figures of a baseline's first prompt only
+    figures = _figures(base.where("baseline_rank = 1")).select("baseline", F.col("_probabilities").alias("base_probabilities"))
+    member = F.struct("baseline_rank", "tokens", embedding.alias("embedding"))
+    rows = base.groupBy("baseline").agg(F.sort_array(F.collect_list(member)).alias("_rows"))
+    streams = rows.select(
+        "baseline",
+        F.flatten(F.filter(F.transform("_rows", lambda r: r.tokens), lambda t: t.isNotNull())).alias("_stream"),
+        _mean_vector(F.col("_rows")).alias("base_embedding"),
     )
-    # no bigram on one of the sides: drift 0
-    return token_scores.join(drift, "prompt_id", "left").select(
-        "prompt_id",
-        "rare_token_percentage",
-        "new_token_percentage",
-        F.when(F.col("_usable"), F.coalesce("_drift", F.lit(0.0))).alias("ngram_drift"),
+    counted = streams.withColumn("_tokens", tx.counted(F.col("_stream"))).withColumn("_pairs", tx.counted(tx.ngrams(F.col("_stream"), 2)))
+    frequency = F.sort_array(F.transform("_tokens", lambda e: e.n))
+    profile = counted.select(
+        "baseline",
+        F.when(F.size("_stream") > 0, F.size("_stream")).alias("base_tokens"),
+        F.when(F.size("_stream") > 1, F.size("_stream") - 1).alias("base_bigrams"),
+        vx.percentile_of_sorted(frequency, percentile).alias("threshold"),
+        "base_embedding",
+        F.concat(tx.of_kind(F.col("_tokens"), TOKEN), tx.of_kind(F.col("_pairs"), BIGRAM)).alias("grams"),
     )
+    return written(profile.join(figures, "baseline", "left"), "profiles")
 
 
-def annotated_positions(
-    prompts: DataFrame, vocabulary: DataFrame, summary: DataFrame, few_baselines: bool = False, hot_possible: bool = True
-) -> DataFrame:
-    """Per-position annotation ``(prompt_id, position, token, is_new, is_rare)``.
+def baseline_grams(profiles: DataFrame) -> DataFrame:
+    """``(baseline, kind, gram, m)`` of every gram of a baseline."""
+    return profiles.select("baseline", F.explode("grams").alias("_g")).select("baseline", "_g.kind", "_g.gram", F.col("_g.n").alias("m"))
+
+
+def version_facts(prompts: DataFrame, baselines: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row per version, written: its baseline, that baseline's profile without grams, its length statistics."""
+    lengths = length_statistics(prompts, ["model_version_id"], "output_length").drop("mean_length")
+    facts = baselines.join(profiles.drop("grams"), "baseline", "left").join(lengths, "model_version_id", "left")
+    return written(facts, "version-facts")
+
+
+def annotated_positions(prompts: DataFrame, baselines: DataFrame, base: DataFrame | None = None, limit: int = BASELINE_PROMPT_LIMIT) -> DataFrame:
+    """Per-position annotation ``(prompt_id, position, token, is_new, is_rare)`` of every token of every prompt.
 
-    Positions of equal tokens travel together (one row per prompt and distinct token) through the vocabulary join.
+    Positions of equal tokens travel as one row per prompt and distinct token to the baseline's grams.
     """
-    own = (
-        prompts.select("prompt_id", "baseline", "tokens")
-        .repartition("prompt_id")
-        .select("prompt_id", "baseline", F.posexplode(tx.each(F.col("tokens"))).alias("position", "gram"))
-        .groupBy("prompt_id", "baseline", "gram")
-        .agg(F.collect_list("position").alias("_positions"))
-    )
-    joined = gram_hits(own, vocabulary, hot_possible)
-    facts = summary.select("baseline", "base_tokens", "threshold")
-    facts = F.broadcast(facts) if few_baselines else facts
+    profiles = baseline_profiles(baseline_prompts(prompts, limit, keys=baselines) if base is None else base)
+    facts = written(baselines.join(profiles.select("baseline", "base_tokens", "threshold"), "baseline", "left"), "version-facts")
+    own = prompts.select("prompt_id", "model_version_id", F.explode(tx.positioned(F.col("tokens"))).alias("_g"))
+    own = own.select("prompt_id", "model_version_id", "_g.gram", "_g.positions").join(facts, "model_version_id")
+    grams = baseline_grams(profiles).where(F.col("kind") == TOKEN).drop("kind")
     m, has_base = F.coalesce("m", F.lit(0)), F.col("base_tokens").isNotNull()
-    return joined.join(facts, "baseline", "left").select(
+    return own.join(grams, ["baseline", "gram"], "left").select(
         "prompt_id",
-        F.explode("_positions").alias("position"),
+        F.explode("positions").alias("position"),
         F.col("gram").alias("token"),
         (has_base & (m == 0)).alias("is_new"),
         F.coalesce(has_base & (m <= F.col("threshold")), F.lit(False)).alias("is_rare"),
@@ -200,73 +170,94 @@ def prompt_metrics(
     as_of: datetime | None = None,
     baseline_type: str = "previous",
     with_details: bool = False,
+    reference_version_id: Column | str | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Metric row per prompt with tokens and probabilities; others get none.
+    """Metric row per prompt with tokens and a payload; others get none. A payload without a number leaves its figures NULL.
 
     ``baselines``: ``(model_version_id, baseline)``, see `operators.versions.resolve_baseline`. ``with_details``
-    adds the token frequency map and the position annotations (bounded by the prompt's own length).
+    adds the token frequency map and the position annotations (bounded by the prompt's own length). ``base``: the
+    baseline prompts, where they were picked already. The baseline mass a prompt never uses enters the
+    Jensen-Shannon sum in closed form: such a gram adds its own share, so together they add ``1 - sum of the shares
+    seen``.
     """
-    baselines, few = settle(baselines)
-    small = F.broadcast if few else (lambda df: df)
-    usable = prompts.where((F.size("tokens") > 0) & (F.size("probabilities") > 0))
-    keyed = usable.join(small(baselines), "model_version_id")
-    base = baseline_prompts(prompts, limit, days, as_of, keys=baselines)
-    tokens, bigrams = baseline_tokens(base), baseline_bigrams(base)
-    summary = baseline_summary(tokens, bigrams, base)
-    hot_possible = may_hold_hot_keys(prompts)
-    scores = prompt_scores(keyed, tokens, bigrams, summary, few, hot_possible)
-    vectors = summary.select("baseline", "base_probabilities", "base_embedding")
+    profiles = baseline_profiles(baseline_prompts(prompts, limit, days, as_of, keys=baselines) if base is None else base)
+    facts = version_facts(prompts, baselines, profiles)
     own_embedding = F.col("embedding") if "embedding" in prompts.columns else F.lit(None).cast("array<double>")
-    # wide rows (a vector each): broadcast for a few hundred versions at most
-    wide = F.broadcast(vectors) if few and baselines.count() <= 500 else vectors
-    rows = keyed.join(wide, "baseline", "left").select(
-        "prompt_id",
-        "model_version_id",
-        "baseline",
-        vx.entropy_bits(F.col("probabilities")).alias("entropy"),
-        F.when(F.size("base_probabilities") > 0, vx.pair_metrics(F.col("probabilities"), F.col("base_probabilities"))).alias("_pair"),
-        vx.cosine_distance(own_embedding, F.col("base_embedding")).alias("embedding_drift"),
+    keyed = _figures(prompts.withColumn("_stored", _has_payload(prompts))).join(facts, "model_version_id")
+    compared = F.when(
+        (F.size("_probabilities") > 0) & (F.size("base_probabilities") > 0),
+        vx.pair_metrics(F.col("_probabilities"), F.col("base_probabilities")),
     )
-    lengths = length_statistics(prompts, ["model_version_id"], "output_length").drop("mean_length")
-    result = rows.join(scores, "prompt_id", "left").join(
-        small(lengths), "model_version_id", "left"
-    )
-    metadata = F.to_json(
-        F.struct(
-            F.lit(baseline_type).alias("baseline_type"),
-            F.col("baseline").alias("resolved_baseline"),
-            F.lit(days).cast("int").alias("baseline_days"),
-            F.lit(limit).alias("baseline_prompt_limit"),
-        ),
-        {"ignoreNullFields": "false"},
+    figures = ["entropy", "kl_divergence", "js_divergence", "wasserstein_distance", "embedding_drift", "median_length", "length_variance"]
+    own_grams = F.concat(
+        tx.of_kind(tx.positioned(F.col("tokens")), TOKEN, True) if with_details else tx.of_kind(tx.counted(F.col("tokens")), TOKEN),
+        tx.of_kind(tx.counted(tx.ngrams(F.col("tokens"), 2)), BIGRAM, False if with_details else None),
     )
+    # a prompt without tokens or payload has no grams, so it leaves with the explode: a filter would compute both twice
+    rows = keyed.select(
+        "prompt_id", "model_version_id", "baseline", "base_tokens", "base_bigrams", "threshold",
+        F.col("_entropy").alias("entropy"), compared.alias("_pair"),
+        vx.cosine_distance(own_embedding, F.col("base_embedding")).alias("embedding_drift"), "median_length", "length_variance",
+        F.size("tokens").alias("_size"),
+        F.when(F.col("_stored"), own_grams).alias("_grams"),
+    )
+    rows = rows.withColumn("kl_divergence", F.col("_pair.kl")).withColumn("js_divergence", F.col("_pair.js"))
+    rows = rows.withColumn("wasserstein_distance", F.col("_pair.wasserstein")).drop("_pair")
+    grams = rows.select("*", F.explode(tx.each(F.col("_grams"))).alias("_g")).drop("_grams")
+    grams = grams.select("*", "_g.*").drop("_g").join(baseline_grams(profiles), ["baseline", "kind", "gram"], "left")
+
+    n, m = F.col("n"), F.coalesce("m", F.lit(0))
+    is_token, is_pair = F.col("kind") == TOKEN, F.col("kind") == BIGRAM
+    p = n / (F.col("_size") - 1)
+    q = F.coalesce(m / F.col("base_bigrams"), F.lit(0.0))
+    mean = (p + q) / 2
+    seen = p * F.log2(p / mean) + F.when(q > 0, q * F.log2(q / mean)).otherwise(0.0)
+    aggregates = [
+        *[F.any_value(F.col(c)).alias(c) for c in figures],
+        F.any_value("base_tokens").alias("base_tokens"),
+        F.any_value("base_bigrams").alias("base_bigrams"),
+        F.sum(F.when(is_token, n)).alias("_n"),
+        F.sum(F.when(is_token & (m <= F.col("threshold")), n).otherwise(0)).alias("_rare"),
+        F.sum(F.when(is_token & (m == 0), n).otherwise(0)).alias("_new"),
+        F.sum(F.when(is_pair, seen)).alias("_seen"),
+        F.sum(F.when(is_pair, q)).alias("_q"),
+    ]
+    if with_details:
+        entry = F.struct("gram", "n", "positions", m.alias("m"), F.coalesce(m <= F.col("threshold"), F.lit(False)).alias("is_rare"))
+        aggregates.append(F.collect_list(F.when(is_token, entry)).alias("_own"))
+    scored = grams.groupBy("prompt_id", "model_version_id").agg(*aggregates)
+    usable = F.col("base_tokens").isNotNull()
+    # no bigram on one of the sides: drift 0
+    drift = F.when(F.col("base_bigrams").isNotNull(), F.sqrt(F.greatest((F.col("_seen") + 1 - F.col("_q")) / 2, F.lit(0.0))))
     columns = [
         "prompt_id",
         "model_version_id",
         "entropy",
-        F.col("_pair.kl").alias("kl_divergence"),
-        F.col("_pair.js").alias("js_divergence"),
-        F.col("_pair.wasserstein").alias("wasserstein_distance"),
-        "ngram_drift",
+        "kl_divergence",
+        "js_divergence",
+        "wasserstein_distance",
+        F.when(usable, F.coalesce(drift, F.lit(0.0))).alias("ngram_drift"),
         "embedding_drift",
-        "rare_token_percentage",
-        "new_token_percentage",
+        F.when(usable, F.col("_rare") / F.col("_n") * 100).alias("rare_token_percentage"),
+        F.when(usable, F.col("_new") / F.col("_n") * 100).alias("new_token_percentage"),
         "median_length",
         "length_variance",
-        metadata.alias("baseline_metadata"),
+        baseline_metadata(baseline_type, reference_version_id, days, limit).alias("baseline_metadata"),
         F.lit(False).alias("is_anomaly"),
         F.array().cast("array<string>").alias("anomaly_reasons"),
     ]
-    result = result.select(*columns)
-    if not with_details:
-        return result
-    position = F.struct("position", "token", "is_new", "is_rare")
-    positions = annotated_positions(keyed, tokens, summary, few, hot_possible).groupBy("prompt_id").agg(
-        F.sort_array(F.collect_list(position)).alias("token_distribution_by_position")
-    )
-    counts = keyed.select("prompt_id", F.size("tokens").alias("_size"), F.explode(tx.each(F.col("tokens"))).alias("token"))
-    shares = counts.groupBy("prompt_id", "_size", "token").agg(F.count("*").alias("n"))
-    frequency = shares.groupBy("prompt_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", (F.col("n") / F.col("_size")).alias("share")))).alias("token_frequency")
-    )
-    return result.join(frequency, "prompt_id", "left").join(positions, "prompt_id", "left")
+    if with_details:
+        share = F.transform("_own", lambda e: F.struct(e.gram.alias("token"), (e.n / F.col("_n")).alias("share")))
+        columns.append(F.map_from_entries(share).alias("token_frequency"))
+        spots = F.transform(
+            "_own",
+            lambda e: F.transform(
+                e.positions,
+                lambda at: F.struct(at.alias("position"), e.gram.alias("token"), (e.m == 0).alias("is_new"), e.is_rare.alias("is_rare")),
+            ),
+        )
+        # without a baseline there is nothing to annotate against
+        spots = F.when(usable, F.sort_array(F.flatten(spots))).otherwise(F.expr("cast(array() as array<struct<position:int,token:string,is_new:boolean,is_rare:boolean>>)"))
+        columns.append(spots.alias("token_distribution_by_position"))
+    return scored.select(*columns)

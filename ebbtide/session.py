@@ -1,15 +1,17 @@
-"""Session set-up, shared scratch space and size checks used by every module."""
+"""Session set-up and shared scratch space used by every module."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Rows above which a keyed summary is no longer offered for broadcast.
-BROADCAST_KEY_LIMIT = 200_000
+#: Applications whose scratch folder is deleted when this process ends.
+_SCRATCH: set[str] = set()
 
 
 def build_session(app: str = "ebbtide", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,7 +43,7 @@ def _checkpoint_root(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="ebbtide-")
     context.setCheckpointDir(root)
@@ -49,8 +51,19 @@ def _checkpoint_root(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path for written tables under the shared folder."""
-    return f"{_checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path for written tables under the shared folder; deleted with the application's others at the end."""
+    folder = f"{_checkpoint_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+    return f"{folder}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _delete(jvm, configuration, folder: str) -> None:
+    # a driver whose JVM is gone can delete nothing
+    with contextlib.suppress(Py4JError, OSError):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(configuration).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,7 +76,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the shared folder and read back: for results that several branches of a plan use."""
+    """Write to the shared folder and read back: for results that several branches of a plan use.
+
+    The planner knows the exact size of what was written, so it broadcasts a small table of its own accord and
+    shuffles a large one.
+    """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -79,29 +96,3 @@ def spread(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
     if df.rdd.getNumPartitions() >= factor * slots:
         return df
     return df.repartition(slots, key)
-
-
-def few_keys(source: DataFrame, keys: list[str], limit: int = BROADCAST_KEY_LIMIT) -> bool:
-    """True when ``source`` has at most ``limit`` distinct keys (reads only the key columns)."""
-    return source.select(*keys).distinct().limit(limit + 1).count() <= limit
-
-
-def small_side(summary: DataFrame, source: DataFrame, keys: list[str], limit: int = BROADCAST_KEY_LIMIT) -> DataFrame:
-    """Mark a one-row-per-key summary for broadcast if its number of keys was checked to be small.
-
-    Beyond the limit the summary is returned unmarked: the join is then a shuffle join whose hot keys adaptive
-    execution splits.
-    """
-    return F.broadcast(summary) if few_keys(source, keys, limit) else summary
-
-
-def settle(df: DataFrame, limit: int = 10_000) -> tuple[DataFrame, bool]:
-    """Fix a small derived table (pairs of versions, baselines, rules): ``(table, is_small)``.
-
-    Up to ``limit`` rows are read once and handed back as a local table, so that plans using it several times do
-    not derive it again and Spark knows its exact size. A larger table is returned as it is.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True

@@ -81,8 +81,13 @@ def read_jsonl_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files holding an array of objects/strings, or ``{"text": [...]}``. One file is one JSON document."""
-    docs = spark.read.option("singleVariantColumn", "doc").option("multiLine", True).json(path)
+    """JSON files holding an array of objects/strings, or ``{"text": [...]}``. One file is one JSON document.
+
+    A file that is no JSON document raises an error with its name.
+    """
+    from ebbtide.sources.files import json_files, readable
+
+    docs = readable(json_files(spark, path))
     kind = F.schema_of_variant("doc")
     array = F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get("doc", "$", "array<variant>"))
     columnar = F.when(F.startswith(kind, F.lit("OBJECT")), F.try_variant_get("doc", "$.text", "array<variant>"))

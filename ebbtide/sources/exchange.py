@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ebbtide import schemas
 from ebbtide.operators.listings import between, where_equal
+from ebbtide.sources.files import json_files, numbered, order_columns, readable
 
 # Exported entities and model states
 ENTITIES = ["models", "versions", "prompts", "metrics"]
@@ -61,8 +62,33 @@ def write_export(rows: DataFrame, path: str, file_format: str = "csv") -> None:
 
 
 def read_import_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """All columns as text, blanks as NULL."""
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
+    """All columns as text, blanks as NULL, with ``index``: the record's number over the files in name order."""
+    frame = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
+    return numbered(frame.select("*", *order_columns()), "index")
+
+
+def read_import_json(spark: SparkSession, path: str, entity: str) -> DataFrame:
+    """The entity's fields of every record as text, nested values as JSON text, with ``index`` as in `read_import_csv`.
+
+    A file must hold one array of records: one that does not parse, or holds anything else, raises an error with its
+    name. ``is_record`` is false for an entry that is no object; such an entry counts in the index too.
+    """
+    docs = readable(json_files(spark, path))
+    array = F.try_variant_get("doc", "$", "array<variant>")
+    other = F.raise_error(F.concat(F.lit("JSON must be an array of records: "), F.col("_file"))).cast("array<variant>")
+    listed = F.when(F.startswith(F.schema_of_variant("doc"), F.lit("ARRAY")), array).otherwise(other)
+    rows = docs.select("_file", F.posexplode(listed).alias("_row", "_entry")).withColumn("_block", F.lit(0))
+    is_record = F.coalesce(F.startswith(F.schema_of_variant("_entry"), F.lit("OBJECT")), F.lit(False))
+    fields = [_member(F.col("_entry"), f.name).alias(f.name) for f in T.StructType.fromDDL(IMPORT_SCHEMAS[entity]).fields]
+    return numbered(rows.select("_file", "_block", "_row", is_record.alias("is_record"), *fields), "index")
+
+
+def _member(entry: Column, name: str) -> Column:
+    """A member of a JSON object as text; containers keep their JSON form, a missing or null member is NULL."""
+    value = F.try_variant_get(entry, f"$.{name}", "variant")
+    kind = F.schema_of_variant(value)
+    nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    return F.when(kind == "VOID", F.lit(None)).when(nested, F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 def _typed(column: Column, data_type: T.DataType) -> Column:
@@ -75,7 +101,8 @@ def validate(records: DataFrame, entity: str, index: str = "index") -> DataFrame
     """Typed columns plus ``errors``: the list of problems of each record (empty when valid).
 
     A required field must be present, every present value must have the field's type, a model's status must be
-    known. Unknown columns are ignored, missing optional ones are NULL.
+    known. Unknown columns are ignored, missing optional ones are NULL. Where the reader marked an entry as no record
+    (``is_record``), that is its only error.
     """
     fields = {f.name: f for f in T.StructType.fromDDL(IMPORT_SCHEMAS[entity]).fields}
     required = REQUIRED[entity]
@@ -91,7 +118,10 @@ def validate(records: DataFrame, entity: str, index: str = "index") -> DataFrame
     if entity == "models":
         known = present["status"].isin(MODEL_STATUSES)
         checks.append(F.when(present["status"].isNotNull() & ~known, F.lit("status: unknown value")))
-    return records.select(index, *typed, F.array_compact(F.array(*checks)).alias("errors"))
+    errors = F.array_compact(F.array(*checks))
+    if "is_record" in records.columns:
+        errors = F.when(F.col("is_record"), errors).otherwise(F.array(F.lit("not a record")))
+    return records.select(index, *typed, errors.alias("errors"))
 
 
 def error_rows(validated: DataFrame, index: str = "index") -> DataFrame:

@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.functions import text as tx
-from ebbtide.operators.sequence import bucket_offsets
 from ebbtide.sources.corpora import clean_utf8
+from ebbtide.sources.files import json_files, numbered, order_columns, readable
 
 # Keys that may hold the prompt, in order of preference
 PROMPT_KEYS = ["input_text", "prompt", "text"]
 
 
-def _positioned(rows: DataFrame) -> DataFrame:
-    """Replace the read order columns by ``position`` = 0, 1, 2, ... over the kept rows.
-
-    The order is (file, offset of the file split, row in the split). Splits are the buckets of a two-level count,
-    so no window spans a whole file.
-    """
-    keyed = rows.withColumn("bucket", F.struct("_file", "_block")).withColumn("_one", F.lit(1))
-    offsets = bucket_offsets(keyed, [], "_one")
-    inner = Window.partitionBy("bucket").orderBy("_row")
-    return (
-        keyed.withColumn("_in", F.row_number().over(inner) - 1)
-        .join(offsets, "bucket")
-        .withColumn("position", F.col("_in") + F.col("bucket_offset"))
-        .drop("bucket", "bucket_offset", "_in", "_one", "_file", "_block", "_row")
-    )
-
-
-def _order_columns() -> list[Column]:
-    return [
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    ]
-
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(tx.strip(clean_utf8(F.col("value"))).alias("line"), *_order_columns())
+    lines = spark.read.text(path).select(tx.strip(clean_utf8(F.col("value"))).alias("line"), *order_columns())
     return lines.where(F.col("line") != "")
 
 
@@ -57,29 +32,31 @@ def _json_record(json: Column) -> Column:
 
 
 def read_txt_prompts(spark: SparkSession, path: str) -> DataFrame:
-    return _positioned(_lines(spark, path).select(_single(F.col("line")).alias("record"), F.lit(None).cast("string").alias("raw"), "_file", "_block", "_row"))
+    return numbered(_lines(spark, path).select(_single(F.col("line")).alias("record"), F.lit(None).cast("string").alias("raw"), "_file", "_block", "_row"))
 
 
 def read_jsonl_prompts(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).withColumn("record", _json_record(F.col("line"))).where(F.col("record").isNotNull())
-    return _positioned(rows.select("record", F.col("line").alias("raw"), "_file", "_block", "_row"))
+    return numbered(rows.select("record", F.col("line").alias("raw"), "_file", "_block", "_row"))
 
 
 def read_json_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array per file; the array index gives the order."""
-    docs = spark.read.option("singleVariantColumn", "doc").option("multiLine", True).json(path)
+    """One JSON array per file; files in name order, then the array index, give the order.
+
+    A file that is no JSON document raises an error with its name; one that holds no array has no rows.
+    """
+    docs = readable(json_files(spark, path))
     array = F.when(F.startswith(F.schema_of_variant("doc"), F.lit("ARRAY")), F.try_variant_get("doc", "$", "array<variant>"))
-    entries = docs.select(F.posexplode(array).alias("_i", "e")).withColumn("raw", F.to_json("e"))
+    entries = docs.select("_file", F.posexplode(array).alias("_row", "e")).withColumn("raw", F.to_json("e"))
     kept = entries.withColumn("record", _json_record(F.col("raw"))).where(F.col("record").isNotNull())
-    order = Window.orderBy("_i")  # one JSON document, bounded by the size of a single value
-    return kept.withColumn("position", (F.row_number().over(order) - 1).cast("long")).select("record", "raw", "position")
+    return numbered(kept.select("record", "raw", "_file", F.lit(0).alias("_block"), "_row"))
 
 
 def read_csv_prompts(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     frame = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
     entries = [item for name in frame.columns for item in (F.lit(name), F.coalesce(F.col(f"`{name}`"), F.lit("")))]
-    rows = frame.select(F.create_map(*entries).alias("record"), F.lit(None).cast("string").alias("raw"), *_order_columns())
-    return _positioned(rows)
+    rows = frame.select(F.create_map(*entries).alias("record"), F.lit(None).cast("string").alias("raw"), *order_columns())
+    return numbered(rows)
 
 
 READERS = {

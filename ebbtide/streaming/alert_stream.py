@@ -1,39 +1,114 @@
 """Continuous alert evaluation on arriving snapshots.
 
-Each micro-batch is judged with the same plan as the batch evaluation. The carried state is a small table: per
-version the newest max(N) snapshots and those of the last max(W) minutes, which is all a condition can look at. The
-work of a batch is therefore a distributed join and aggregation even when one version sends a third of all
-snapshots; a keyed state function would put that version into one task.
-
-Every batch writes its state and its alerts under its own batch id, so a repeated batch (after a lost executor or a
-restart) overwrites the same folders and nothing is counted twice.
+What a condition can still look at is small: of a version its newest N snapshots, the latest one at all and the latest
+that did not meet the condition (a window of W minutes is met when the former lies inside it and the latter before).
+These rows are the state, kept by Spark's state store per version and updated with the versions that a batch touches;
+its size follows the versions, not the snapshots seen. The same reduction runs inside every task before the shuffle, so
+a version that sends a third of a batch reaches its state as a few rows per task.
+
+Each batch emits the kept rows of the versions it touched, and the batch plan's reductions turn them into alerts. Alerts
+and the moment of a batch (the latest ``calculated_at`` seen so far, never the wall clock) are written under the batch
+id, so a repeated batch, after a lost executor or a restart, overwrites them and nothing is counted twice. Moments
+before the last committed one are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+from functools import partial
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ebbtide.functions import predicates as pr
 from ebbtide.operators import alerts as al
 
+#: A judged snapshot: times in microseconds.
+JUDGED = "condition_id string, period_us long, snapshot_id long, calculated_us long, value double, met boolean"
+_EPOCH = datetime(1970, 1, 1)
+
+
+def judged(snapshots: DataFrame, conditions: DataFrame, names: list[str]) -> DataFrame:
+    """Every benchmark snapshot against every condition: ``model_version_id`` and the columns of ``JUDGED``."""
+    wanted = F.array(*[F.struct(F.lit(m).alias("metric_name"), F.try_element_at("benchmark", F.lit(m)).alias("value")) for m in names])
+    if not names:
+        wanted = wanted.cast("array<struct<metric_name:string,value:double>>")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = al.benchmark_snapshots(snapshots).select(
+        "model_version_id", micros("period_start").alias("period_us"), F.col("snapshot_id").cast("long").alias("snapshot_id"),
+        micros("calculated_at").alias("calculated_us"), F.explode(wanted).alias("_m"),
+    )
+    rows = rows.select("*", "_m.*").drop("_m").join(conditions, "metric_name")
+    met = pr.condition_met(F.col("value"), F.col("threshold_value"), F.col("comparison_operator"))
+    return rows.select("model_version_id", "condition_id", "period_us", "snapshot_id", "calculated_us", "value", met.alias("met"))
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
 
+def retained(rows: pd.DataFrame, newest: dict[str, int]) -> pd.DataFrame:
+    """The rows of each (version, condition) that can still matter: the newest, the latest, the latest that is not met.
 
-def _trim(history: DataFrame, n: int, minutes: int, as_of) -> DataFrame:
-    """History that any condition can still look at."""
-    newest = al._newest(history, n).select("model_version_id", "snapshot_id", F.lit(True).alias("_new"))
-    marked = history.join(newest, ["model_version_id", "snapshot_id"], "left")
-    since = F.lit(as_of) - F.expr(f"INTERVAL {int(minutes)} MINUTES")
-    return marked.where(F.col("_new") | (F.col("calculated_at") >= since)).drop("_new")
+    Of a union it keeps the same rows as of the union of what it kept of the parts.
+    """
+    keys = ["model_version_id", "condition_id"]
+    by_age = rows.sort_values(["period_us", "snapshot_id"], ascending=False, kind="stable")
+    fresh = by_age[by_age.groupby(keys, dropna=False).cumcount() < by_age["condition_id"].map(newest)]
+    by_time = rows.sort_values(["calculated_us", "period_us", "snapshot_id"], ascending=False, kind="stable")
+    last = by_time.drop_duplicates(keys)
+    unmet = by_time[~by_time["met"].astype(bool)].drop_duplicates(keys)
+    kept = fresh.index.union(last.index).union(unmet.index)
+    return rows.loc[kept]
+
+
+def _reduced(parts: Iterator[pd.DataFrame], newest: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """What a task keeps of its rows; merged whenever the pending rows have grown well beyond what was kept."""
+    pending: list[pd.DataFrame] = []
+    rows = bound = 0
+    for part in parts:
+        pending.append(part)
+        rows += len(part)
+        if rows > 2 * bound + 50_000:
+            pending = [retained(pd.concat(pending, ignore_index=True), newest)]
+            rows = bound = len(pending[0])
+    if rows:
+        yield retained(pd.concat(pending, ignore_index=True), newest)
+
+
+def _updated(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, newest: dict[str, int]) -> Iterator[pd.DataFrame]:
+    known = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
+    kept = next(_reduced(iter([*known, *parts]), newest)).reset_index(drop=True)
+    table = pa.Table.from_pandas(kept, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
+    yield kept
+
+
+def outcomes_of(kept: DataFrame, conditions: DataFrame, as_of: datetime) -> DataFrame:
+    """Outcomes in the layout of `operators.alerts.evaluate`, from the kept rows of each version."""
+    order = Window.partitionBy("model_version_id", "condition_id").orderBy(F.col("period_us").desc(), F.col("snapshot_id").desc())
+    rows = kept.withColumn("recency", F.row_number().over(order)).join(conditions, "condition_id")
+    n, w = F.coalesce("persistence_count", F.lit(1)), F.coalesce("persistence_window_minutes", F.lit(0))
+    moment = (as_of - _EPOCH) // timedelta(microseconds=1)
+    figures = rows.groupBy("model_version_id", *al.CONDITION_COLUMNS).agg(
+        F.max(F.when(F.col("recency") == 1, F.col("value"))).alias("value"),
+        F.coalesce(F.bool_or((F.col("recency") == 1) & F.col("met")), F.lit(False)).alias("current_met"),
+        F.count(F.when(F.col("met") & (F.col("recency") <= n), 1)).alias("_n_met"),
+        F.max("calculated_us").alias("_seen"),
+        F.max(F.when(~F.col("met"), F.col("calculated_us"))).alias("_unmet"),
+    )
+    since = F.lit(moment) - w.cast("long") * 60_000_000
+    window_ok = (F.col("_seen") >= since) & (F.col("_unmet").isNull() | (F.col("_unmet") < since))
+    return (
+        figures.withColumn("count_ok", (n <= 1) | (F.col("_n_met") >= n))
+        .withColumn("window_ok", (w <= 0) | window_ok)
+        .withColumn("is_met", F.col("current_met") & F.col("count_ok") & F.col("window_ok"))
+        .drop("_n_met", "_seen", "_unmet")
+    )
 
 
 def start_alert_stream(
@@ -41,38 +116,66 @@ def start_alert_stream(
 ) -> StreamingQuery:
     """Evaluate rules whenever snapshots arrive; alerts land in ``folder/alerts/batch_id=N``.
 
-    ``snapshots`` is a streaming frame in the snapshot layout. The moment of a batch is the latest
-    ``calculated_at`` seen so far, never the wall clock.
+    ``snapshots`` is a streaming frame in the snapshot layout. The conditions are configuration: they are read once,
+    when the stream starts.
     """
-    config = thresholds.where("is_active").select("persistence_count", "persistence_window_minutes").unionByName(
-        items.select("persistence_count", "persistence_window_minutes")
+    conditions = al.active_conditions(thresholds, rules, items)
+    told = conditions.select("condition_id", "metric_name", "persistence_count").collect()
+    newest = {r.condition_id: max(1, r.persistence_count or 1) for r in told}
+    rows = judged(snapshots, conditions, sorted({r.metric_name for r in told}))
+    key = f"model_version_id {snapshots.schema['model_version_id'].dataType.simpleString()}"
+    layout = f"{key}, {JUDGED}"
+    reduced = rows.mapInPandas(partial(_reduced, newest=newest), layout)
+    # what a batch emits of a version: its kept rows
+    kept = reduced.groupBy("model_version_id").applyInPandasWithState(
+        partial(_updated, newest=newest), layout, "kept binary", "update", GroupStateTimeout.NoTimeout
     )
-    n, minutes = config.agg(F.max("persistence_count"), F.max("persistence_window_minutes")).first()
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = _read_or_none(spark, f"{folder}/state/batch_id={batch_id - 1}") if batch_id else None
-        arrived = al.benchmark_snapshots(batch)
-        history = arrived if earlier is None else earlier.unionByName(arrived)
-        as_of = history.agg(F.max("calculated_at")).first()[0]
-        if as_of is None:
-            return
-        state_path = f"{folder}/state/batch_id={batch_id}"
-        _trim(history, max(1, n or 1), minutes or 0, as_of).write.mode("overwrite").parquet(state_path)
-        state = spark.read.parquet(state_path)
-        touched = arrived.select("model_version_id").distinct()
-        relevant = state.join(touched, "model_version_id", "left_semi")
-        alerts = al.all_alerts(relevant, thresholds, rules, items, as_of)
-        alerts.withColumn("as_of", F.lit(as_of)).write.mode("overwrite").parquet(f"{folder}/alerts/batch_id={batch_id}")
+        batch.persist()  # several branches read it, and the state must be updated once
+        try:
+            latest = batch.agg(F.max("calculated_us")).first()[0]
+            earlier = _moment(spark, folder, batch_id - 1)
+            seen = [x for x in (latest, earlier) if x is not None]
+            if not seen:
+                return
+            as_of = _EPOCH + timedelta(microseconds=max(seen))
+            spark.createDataFrame([(max(seen),)], "as_of_us long").write.mode("overwrite").parquet(f"{folder}/moment/batch_id={batch_id}")
+            if latest is not None:
+                alerts = al.alerts_of(outcomes_of(batch, conditions, as_of), thresholds, rules, items)
+                alerts.withColumn("as_of", F.lit(as_of)).write.mode("overwrite").parquet(f"{folder}/alerts/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+        # batch_id - 1 is needed if this batch is repeated, those before it are not
+        _delete(spark, f"{folder}/moment/batch_id={batch_id - 2}")
 
     return (
-        snapshots.writeStream.foreachBatch(judge)
+        kept.writeStream.outputMode("update")
+        .foreachBatch(judge)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def _path(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _moment(spark: SparkSession, folder: str, batch_id: int) -> int | None:
+    """The moment of an earlier batch; none before the first."""
+    path = f"{folder}/moment/batch_id={batch_id}"
+    files, at = _path(spark, path)
+    return spark.read.parquet(path).first()[0] if files.exists(at) else None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
+    files.delete(at, True)
+
+
 def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """All alerts written so far with their ``batch_id``."""
     return spark.read.parquet(f"{folder}/alerts")

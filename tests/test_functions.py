@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,29 @@ def test_quality_ranges(spark):
         {"temperature": F.col("t"), "max_tokens": F.col("m"), "rare_percentile": F.col("t")},
     )
     assert column(spark, "t double, m int", rows, broken) == [["rare_percentile"], ["temperature", "max_tokens", "rare_percentile"], []]
+
+
+def test_counted_and_positioned(spark):
+    rows = [(["b", "a", "b", None, "c", "a", "b"],), ([],), (None,), (["x"],)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    got = [sorted((e.gram, e.n) for e in r[0]) for r in df.select(tx.counted(F.col("t"))).collect()]
+    assert got == [[("a", 2), ("b", 3), ("c", 1)], [], [], [("x", 1)]]
+    places = [sorted((e.gram, e.n, tuple(e.positions)) for e in r[0]) for r in df.select(tx.positioned(F.col("t"))).collect()]
+    assert places == [[("a", 2, (1, 5)), ("b", 3, (0, 2, 6)), ("c", 1, (4,))], [], [], [("x", 1, (0,))]]
+
+
+@pytest.mark.parametrize("p", [0.0, 0.1, 0.5, 0.99, 1.0])
+def test_percentile_of_sorted(spark, p):
+    rows = [([1.0, 2.0, 7.0, 7.0, 9.0],), ([3.0],), ([],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    got = [r[0] for r in df.select(vx.percentile_of_sorted(F.col("v"), p)).collect()]
+    assert got[:2] == pytest.approx([np.percentile(r[0], p * 100) for r in rows[:2]]) and got[2] is None
+
+
+def test_threshold_rules(spark):
+    columns = ["name", "metric_name", "group_key", "comparison_operator", "persistence_count", "persistence_window_minutes"]
+    rows = [("n", "m", None, ">", 1, 0), ("n" * 256, "m" * 101, "g" * 101, "!=", 0, -1), (None, None, "g", None, 5, 5)]
+    df = spark.createDataFrame(rows, "name string, metric_name string, group_key string, comparison_operator string, persistence_count int, persistence_window_minutes int")
+    got = [r[0] for r in df.select(ql.broken_threshold_rules({c: F.col(c) for c in columns})).collect()]
+    assert got[0] == [] and got[2] == ["name required", "metric_name required", "comparison_operator required"]
+    assert got[1] == ["persistence_count", "persistence_window_minutes", "name", "metric_name", "group_key", "comparison_operator"]

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.operators import alerts as al
+from ebbtide.operators import corpus as cp
 from ebbtide.operators import counts as ct
 from ebbtide.operators import distributions as ds
+from ebbtide.operators import evaluation as ev
 from ebbtide.operators import maintenance as mt
 from ebbtide.operators import quantiles as qt
 from ebbtide.operators import sampling as sp
@@ -100,11 +102,113 @@ def test_hot_key_join_equals_plain_join(spark):
 def test_divergences_one_sided(spark):
     counts = spark.createDataFrame([("a", "x", 3), ("a", "y", 1), ("b", "z", 4)], "corpus string, token string, n long")
     pairs = spark.createDataFrame([("a", "b"), ("a", "a")], "current string, baseline string")
-    got = {(r.current, r.baseline): r for r in ds.divergences(ds.aligned_shares(counts, "corpus", pairs)).collect()}
+    histogram = ds.joint_histogram(ds.aligned_counts(counts, "corpus", pairs))
+    got = {(r.current, r.baseline): r for r in ds.divergences(histogram).collect()}
     assert got["a", "b"].js_divergence == pytest.approx(1.0)
     assert got["a", "a"].js_divergence == 0 and got["a", "a"].kl_divergence == pytest.approx(0)
 
 
+def token_table(spark, corpora):
+    return spark.createDataFrame([(c, t, n) for c, counts in corpora.items() for t, n in counts.items()], "corpus string, token string, n long")
+
+
+def brute_divergences(a, b):
+    vocabulary = sorted(set(a) | set(b))
+    p, q = (np.array([c.get(t, 0) / sum(c.values()) for t in vocabulary]) for c in (a, b))
+    m, eps = (p + q) / 2, 1e-10
+    half = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v > 0)
+    ps, qs = (p + eps) / (p + eps).sum(), (q + eps) / (q + eps).sum()
+    return (ps * np.log(ps / qs)).sum(), np.sqrt(max((half(p) + half(q)) / 2, 0))
+
+
+def test_histogram_and_reference_divergences(spark):
+    rng = random.Random(8)
+    corpora = {k: Counter(rng.choice("abcdefghijklmnop"[i : i + 9]) for _ in range(60)) for i, k in enumerate(["r", "s", "t", "u"])}
+    corpora["alone"] = Counter({"Z": 3})
+    counts = token_table(spark, corpora)
+    pairs = [(a, b) for a in corpora for b in corpora if a != b]
+    frame = spark.createDataFrame(pairs, "current string, baseline string")
+    histogram = ds.joint_histogram(ds.aligned_counts(counts, "corpus", frame))
+    got = {(r.current, r.baseline): r for r in ds.divergences(histogram).collect()}
+    rare = {(r.current, r.baseline): r for r in ds.rare_and_new(histogram).collect()}
+    assert set(got) == set(pairs) == set(rare)
+    for a, b in pairs:
+        kl, js = brute_divergences(corpora[a], corpora[b])
+        assert (got[a, b].kl_divergence, got[a, b].js_divergence) == pytest.approx((kl, js), abs=1e-9)
+        threshold, total = np.percentile(list(corpora[b].values()), 10), sum(corpora[a].values())
+        want = [100 * sum(n for t, n in corpora[a].items() if test(corpora[b][t])) / total for test in (lambda m: m <= threshold, lambda m: m == 0)]
+        assert [rare[a, b].rare_token_percentage, rare[a, b].new_token_percentage] == pytest.approx(want)
+    reference = counts.where("corpus = 'r'").select("token", "n")
+    fixed = {r.corpus: r for r in ds.reference_divergences(counts, ["corpus"], reference).collect()}
+    for k, own in corpora.items():
+        assert (fixed[k].kl_divergence, fixed[k].js_divergence) == pytest.approx(brute_divergences(own, corpora["r"]), abs=1e-9)
+    none = ds.reference_divergences(counts, ["corpus"], reference.limit(0)).collect()
+    assert {(r.kl_divergence, r.js_divergence) for r in none} == {(0.0, 0.0)}
+    new = {(r.current, r.token) for r in ds.new_tokens(ds.aligned_counts(counts, "corpus", frame.where("current = 'alone'"))).collect()}
+    assert new == {("alone", "Z")}
+
+
+def order_ids(kind, n):
+    rng = random.Random(2)
+    if kind == "hashed":
+        return [rng.randint(-(2**63), 2**63 - 1) for _ in range(n)]
+    if kind == "bursts":
+        return [b * 10**15 + rng.randint(0, 10**6) for b in range(5) for _ in range(n // 5)]
+    return list(range(n))
+
+
+@pytest.mark.parametrize("kind", ["dense", "hashed", "bursts"])
+def test_running_offset_on_any_order(spark, kind):
+    ids = list(dict.fromkeys(order_ids(kind, 4000)))
+    rows = [(i, "all", 1 + abs(i) % 3) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, corpus string, w long")
+    got = {r.doc_id: r.start_offset for r in sq.running_offset(df, ["corpus"], "doc_id", "w", width=100).collect()}
+    total, want = 0, {}
+    for i, _, w in sorted(rows):
+        want[i], total = total, total + w
+    assert got == want
+    sizes = [r["count"] for r in sq.with_bucket(df, "doc_id", 100).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 400 and len(sizes) >= 20  # one key holds every row, no bucket does
+
+
+def test_order_buckets_of_odd_tables(spark):
+    nothing = spark.createDataFrame([], "doc_id long, w long")
+    assert sq.running_offset(nothing, [], "doc_id", "w").count() == 0
+    same = spark.createDataFrame([(5, 1)] * 7, "doc_id long, w long")
+    assert sorted(r.start_offset for r in sq.running_offset(same, [], "doc_id", "w", width=2).collect()) == list(range(7))
+
+
+def test_no_window_over_the_whole_table(spark, corpus, capsys):
+    _, df = corpus
+    sq.pack_blocks(df, ["corpus"], "doc_id", 32).explain()
+    windows = [line for line in capsys.readouterr().out.splitlines() if "Window [" in line]
+    # inside a bucket, and over the buckets' totals
+    assert windows and all("bucket" in line for line in windows)
+
+
+def test_percentile_of_one_large_group_is_spread(spark):
+    df = spark.range(200_000).select(F.lit("hot").alias("k"), (F.xxhash64("id") % 1_000_003).cast("double").alias("v"))
+    values = np.array([r.v for r in df.select("v").collect()])
+    got = qt.exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p999": 0.999}, accuracy=20, width=500).first()
+    assert (got.p50, got.p999) == pytest.approx((np.percentile(values, 50), np.percentile(values, 99.9)))
+
+
+def test_hash_rank_buckets_follow_the_table(spark):
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("k", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
+    whole = {r.doc_id: r.draw for r in sp.hash_rank(df, ["k"], "doc_id", 7, width=50).collect()}
+    wide = {r.doc_id: r.draw for r in sp.hash_rank(df, ["k"], "doc_id", 7).collect()}
+    assert whole == wide and sorted(whole.values())[-1] == 2000
+    some = {r.doc_id: r.draw for r in sp.hash_rank(df, ["k"], "doc_id", 7, upto=40, width=50).collect()}
+    assert some == {i: d for i, d in whole.items() if d <= 40}
+
+
+def test_top_tokens_first_seen_wins(spark):
+    rows = [(9, ["b", "a", "b"]), (2**62, ["c", "a"]), (-5, ["c", "z"])]
+    df = spark.createDataFrame([("k", *r) for r in rows], "k string, doc_id long, tokens array<string>")
+    got = [(r.token, r["count"]) for r in cp.top_tokens(df, ["k"], "doc_id", 4).orderBy("token_rank").collect()]
+    assert got == [("c", 2), ("b", 2), ("a", 2), ("z", 1)]
+
+
 def test_hash_rank_and_split(spark):
     df = spark.range(500).withColumnRenamed("id", "doc_id")
     ranks = [r.draw for r in sp.hash_rank(df, [], "doc_id", 1).orderBy("draw").collect()]
@@ -219,6 +323,7 @@ def test_dead_rules(spark):
 
 # --- trajectories -------------------------------------------------------------------------------------------------
 
+# A published trajectory
 TRAJECTORY = [
     (0, 6.938602784195093, 122.66694970675891, 3.3252868175506594, 0.506983105042814, 281.0, 9.765625, 8.66604321405842),
     (1, 6.361264168961191, 82.21126393489894, 1.9841145634651185, 0.589022845515865, 208.0, 6.464485235434957, 9.956126821869516),
@@ -248,6 +353,16 @@ def test_published_trajectory(trajectory):
     assert not strict.passed and len(strict.failures) == 1 and "0.85" in strict.failures[0]
 
 
+def test_refused_job_pairs(spark):
+    outcomes = spark.createDataFrame([(1, "completed"), (2, "partial"), (3, "failed")], "job_id long, status string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 2), (2, 9)], "job_1 long, job_2 long")
+    refused = {(r.job_1, r.job_2): r.reason for r in ev.refused_pairs(pairs, outcomes).collect()}
+    assert refused == {(1, 3): "Job #3 is not completed", (3, 2): "Job #3 is not completed", (2, 9): "One or both jobs not found"}
+    metrics = spark.createDataFrame([(i, float(i), None, 1.0, 2.0, 3.0) for i in (1, 2, 3)], "job_id long, " + ", ".join(f"{m} double" for m in ev.JOB_METRICS))
+    rows = ev.compare_jobs(metrics, pairs, outcomes).collect()
+    assert {(r.job_1, r.job_2) for r in rows} == {(1, 2)} and {r.metric: r.delta for r in rows}["success_rate"] == 1.0
+
+
 def test_prompt_update_clears_derived(spark):
     prompts = spark.createDataFrame([(1, "a", "out", 3, 0.5), (2, "b", "out", 3, 0.5)], "prompt_id long, input_text string, output_text string, input_length int, temperature double")
     updates = spark.createDataFrame([(1, "new", None), (2, None, 0.9)], "prompt_id long, input_text string, temperature double")

@@ -1,6 +1,8 @@
 """Full compositions against brute force."""
 
+import json
 import math
+import re
 from collections import Counter
 from datetime import datetime
 
@@ -44,9 +46,16 @@ def prompts(spark):
     )
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 0])
-def test_prompt_metrics_brute_force(spark, prompts, monkeypatch, hot_rows):
-    monkeypatch.setattr(pm, "HOT_ROWS", hot_rows)
+@pytest.fixture
+def broadcast_limit(request, spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("broadcast_limit", ["10m", "-1"], indirect=True)
+def test_prompt_metrics_brute_force(spark, prompts, broadcast_limit):
     versions = spark.createDataFrame([("v1", None), ("v2", "v1")], "model_version_id string, previous_version_id string")
     rows = {r.prompt_id: r for r in pm.prompt_metrics(prompts, resolve_baseline(versions), with_details=True).collect()}
     assert set(rows) == {1, 2, 4, 5}
@@ -81,6 +90,68 @@ def test_prompt_metrics_brute_force(spark, prompts, monkeypatch, hot_rows):
             assert r.embedding_drift == pytest.approx(cosine, abs=1e-9)
 
 
+def payloads(spark):
+    ddl = "prompt_id long, model_version_id string, tokens array<string>, token_probabilities string, output_length long"
+    rows = [
+        (1, "v1", ["a", "b"], '{"probabilities": [0.5, "bad", 0.25]}', 2),
+        (2, "v1", ["b"], '{"1": {"x": 0.4, "y": 0.1}, "0": {"p": 0.5, "q": 0.5}, "10": 0.2, "2": {}}', 1),
+        (3, "v1", ["c"], '{"probabilities": []}', 1),
+        (4, "v1", ["c"], '{"word": {"a": 1.0}}', 1),
+        (5, "v1", ["c"], "{}", 1),
+        (6, "v1", ["c"], None, 1),
+        (7, "v1", [], '{"probabilities": [1.0]}', 1),
+        (8, "v1", ["c"], '{"probabilities": ["n/a"]}', 1),
+    ]
+    return spark.createDataFrame(rows, ddl)
+
+
+def test_prompts_with_payloads_of_either_shape(spark):
+    versions = spark.createDataFrame([("v1", None)], "model_version_id string, previous_version_id string")
+    metrics = pm.prompt_metrics(payloads(spark), resolve_baseline(versions, "current"), days=None, baseline_type="current", reference_version_id="v9")
+    rows = {r.prompt_id: r for r in metrics.collect()}
+    # a payload without a number still gives a row; without payload or tokens there is none
+    assert set(rows) == {1, 2, 3, 4, 8}
+    third = 0.25 / 0.75
+    assert rows[1].entropy == pytest.approx(-(1 - third) * math.log2(1 - third) - third * math.log2(third))
+    assert rows[2].entropy == pytest.approx((1 + -0.8 * math.log2(0.8) - 0.2 * math.log2(0.2)) / 2)
+    assert (rows[2].kl_divergence, rows[2].js_divergence, rows[2].wasserstein_distance) == pytest.approx(brute_pair([0.5, 0.4, 0.2], [0.5, 0.25]), abs=1e-9)
+    for i in (3, 4, 8):
+        assert rows[i].entropy is None and rows[i].kl_divergence is None and rows[i].rare_token_percentage is not None
+    told = json.loads(rows[1].baseline_metadata)
+    # as the caller asked, not as it was resolved
+    assert told == {"baseline_type": "current", "reference_version_id": "v9", "baseline_days": None, "baseline_prompt_limit": 100}
+
+
+def test_prompt_metric_plan(spark, prompts):
+    versions = spark.createDataFrame([("v1", None), ("v2", "v1")], "model_version_id string, previous_version_id string")
+    rows = pm.prompt_metrics(prompts, resolve_baseline(versions), with_details=True)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # prompts are not laid out anew: what is shuffled is one partial row per prompt
+    assert len(re.findall(r"^\W*Exchange hashpartitioning", plan, re.M)) == 1 and "SortMergeJoin" not in plan
+    spots = pm.annotated_positions(prompts, resolve_baseline(versions))
+    spots.collect()
+    assert "Exchange hashpartitioning" not in spots._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_completed_jobs_are_linked(spark):
+    generations = spark.createDataFrame([("one", 2, ["x", "y"], 0.0)], "model_version_id string, generation_id long, tokens array<string>, loss double")
+    dataset = spark.createDataFrame([(1, "some reference text")], "item_id long, text string")
+    results = bm.benchmark_results(generations, dataset, bm.BenchmarkParameters(dataset_id="d", tokenizer_model_id="t"))
+    first = results.first()
+    assert (first.dataset_id, first.tokenizer_model_id, first.tokenization) == ("d", "t", "model")
+    ddl = "job_id long, model_version_id string, status string, result string, snapshot_id long, completed_at timestamp"
+    jobs = spark.createDataFrame([(7, "one", "running", None, None, None), (8, "two", "queued", None, None, None)], ddl)
+    snapshots = bm.snapshot_rows(results, datetime(2024, 1, 1), jobs)
+    payload = json.loads(snapshots.first().metrics_data)
+    assert payload["benchmark_job_id"] == 7 and payload["benchmark"]["dataset_id"] == "d"
+    done = {r.job_id: r for r in bm.completed_jobs(jobs, snapshots, datetime(2024, 1, 1)).collect()}
+    assert (done[7].status, done[7].snapshot_id, done[7].completed_at) == ("completed", snapshots.first().snapshot_id, datetime(2024, 1, 1))
+    assert json.loads(done[7].result)["token_count"] == 2
+    assert (done[8].status, done[8].result, done[8].snapshot_id) == ("queued", None, None)
+    assert json.loads(bm.snapshot_rows(results, datetime(2024, 1, 1)).first().metrics_data)["benchmark_job_id"] is None
+
+
 def test_baseline_types(spark):
     versions = spark.createDataFrame([("1", None), ("2", "1")], "model_version_id string, previous_version_id string")
     pick = lambda kind, ref=None: {r.model_version_id: r.baseline for r in resolve_baseline(versions, kind, ref).collect()}

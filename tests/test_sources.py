@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.sources import corpora as co
 from ebbtide.sources import exchange as ex
+from ebbtide.sources import files as fl
 from ebbtide.sources import prompt_sets as ps
 from ebbtide.sources import snapshots as sn
 
@@ -126,6 +127,106 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t/users")).count() == 0
 
 
+def test_snapshot_checks_leave_the_target_alone(spark, tmp_path):
+    ddl = "id bigint, name string, tags map<string,double>, parts array<string>"
+    tables = {"models": spark.createDataFrame([(1, "a", {"x": 1.0}, ["p"]), (2, None, None, None)], ddl), "users": spark.range(3)}
+    schemas, target = {"models": ddl, "users": "id bigint", "empty": "id bigint"}, str(tmp_path / "t")
+    spark.createDataFrame([(9, "old", None, None)], ddl).write.parquet(f"{target}/models")
+
+    def held():
+        return {n: spark.read.schema(s).parquet(f"{target}/{n}").count() for n, s in schemas.items() if (tmp_path / "t" / n).exists()}
+
+    with pytest.raises(FileNotFoundError):
+        sn.restore_snapshot(spark, str(tmp_path / "none"), target, schemas, replace=True)
+    folder = sn.write_snapshot(tables, str(tmp_path), datetime(2024, 1, 1))
+    manifest = tmp_path / "snapshot_20240101_000000" / "_manifest.d"
+    manifest.rename(tmp_path / "aside")
+    with pytest.raises(ValueError, match="unfinished"):
+        sn.restore_snapshot(spark, folder, target, schemas, replace=True)
+    (tmp_path / "aside").rename(manifest)
+    (tmp_path / "snapshot_20240101_000000" / "users").rename(tmp_path / "users")
+    with pytest.raises(ValueError, match="damaged"):
+        sn.restore_snapshot(spark, folder, target, schemas, replace=True)
+    spark.range(1, 4).write.parquet(f"{folder}/users")  # as many rows, other content
+    with pytest.raises(ValueError, match="damaged"):
+        sn.restore_snapshot(spark, folder, target, schemas, replace=True)
+    assert held() == {"models": 1} and [p.name for p in (tmp_path / "t").iterdir()] == ["models"]
+    spark.range(3).write.mode("overwrite").parquet(f"{folder}/users")
+    sn.restore_snapshot(spark, folder, target, schemas, replace=True)
+    assert held() == {"models": 2, "users": 3, "empty": 0}
+    sn.restore_snapshot(spark, folder, target, schemas)
+    assert held() == {"models": 4, "users": 6, "empty": 0}
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["empty", "models", "users"]
+
+
+def test_a_failed_restore_is_rolled_back(spark, tmp_path, monkeypatch):
+    folder = sn.write_snapshot({"a": spark.range(3), "b": spark.range(4)}, str(tmp_path), datetime(2024, 1, 1))
+    target, schemas = str(tmp_path / "t"), {"a": "id bigint", "b": "id bigint"}
+    spark.range(1).write.parquet(f"{target}/a")
+    spark.range(2).write.parquet(f"{target}/b")
+    move = sn._Files.move
+
+    def failing(self, old, new):
+        if old.endswith("new/b") or "new/b/part" in old:
+            raise OSError("store is gone")
+        move(self, old, new)
+
+    monkeypatch.setattr(sn._Files, "move", failing)
+    for replace in (True, False):
+        with pytest.raises(OSError):
+            sn.restore_snapshot(spark, folder, target, schemas, replace=replace)
+        assert [spark.read.parquet(f"{target}/{n}").count() for n in "ab"] == [1, 2]
+        assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["a", "b"]
+
+
+def test_report_keeps_pairs_without_changes(spark, tmp_path):
+    ddl = "version_1 long, version_2 long, metric string, value_1 double, value_2 double, delta double, percent_change double, highlight boolean"
+    changes = spark.createDataFrame([(1, 2, "m", 1.0, 2.0, 1.0, 100.0, True)], ddl)
+    metrics = spark.createDataFrame([(1, "m", 1.0), (2, "m", 2.0), (3, "k", None)], "model_version_id long, metric string, value double")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "version_1 long, version_2 long")
+    sn.write_report(changes, metrics, str(tmp_path / "r"), "json", pairs)
+    rows = {(r["version_1"], r["version_2"]): r for p in (tmp_path / "r").glob("part-*") for r in map(json.loads, p.read_text().splitlines())}
+    assert set(rows) == {(1, 2), (2, 3), (3, 4)} and [len(rows[k]["changes"]) for k in sorted(rows)] == [1, 0, 0]
+    assert rows[2, 3]["metrics_2"] == {"k": None} and rows[3, 4]["metrics_2"] == {}
+
+
+def test_broken_json_raises_and_files_keep_their_order(spark, tmp_path):
+    folder = tmp_path / "sets"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(["a0", 5, {"prompt": "a1"}]))
+    (folder / "b.json").write_text(json.dumps([{"prompt": "b0"}, "b1"], indent=1))
+    rows = sorted((r.position, *r.record.values()) for r in ps.read_json_prompts(spark, str(folder)).collect())
+    assert rows == [(0, "a0"), (1, "a1"), (2, "b0"), (3, "b1")]
+    (folder / "c.json").write_text('["c0", {"prom')
+    for read in (ps.read_json_prompts, co.read_json_corpus):
+        with pytest.raises(Exception, match="not a JSON document.*c.json"):
+            read(spark, str(folder)).collect()
+    assert [r.file.rsplit("/", 1)[-1] for r in fl.unreadable_files(fl.json_files(spark, str(folder))).collect()] == ["c.json"]
+
+
+def test_import_files_have_record_numbers(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('name,status\nm1,active\n"two\nlines",odd\n')
+    (folder / "b.csv").write_text("name,status\n,active\nm4,testing\n")
+    errors = ex.error_rows(ex.validate(ex.read_import_csv(spark, str(folder)), "models"))
+    assert {r["index"]: r.error for r in errors.collect()} == {1: "status: unknown value", 2: "name: field required"}
+    folder = tmp_path / "json"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([{"name": "m0"}, 7, {"status": "active"}]))
+    (folder / "b.json").write_text(json.dumps([{"name": "m3", "status": "odd"}, {"name": "m4", "extra": [1]}, {"name": None}]))
+    rows = ex.validate(ex.read_import_json(spark, str(folder), "models"), "models")
+    errors = {r["index"]: r.error for r in ex.error_rows(rows).collect()}
+    assert errors == {1: "not a record", 2: "name: field required", 3: "status: unknown value", 5: "name: field required"}
+    nested = tmp_path / "n.json"
+    nested.write_text(json.dumps([{"prompt_id": 1, "token_frequency": {"a": 0.5}, "anomaly_reasons": ["x"], "is_anomaly": True}]))
+    row = ex.validate(ex.read_import_json(spark, str(nested), "metrics"), "metrics").first()
+    assert (row.prompt_id, row.token_frequency, row.anomaly_reasons, row.is_anomaly, row.errors) == (1, {"a": 0.5}, ["x"], True, [])
+    (tmp_path / "o.json").write_text('{"name": "x"}')
+    with pytest.raises(Exception, match="array of records"):
+        ex.read_import_json(spark, str(tmp_path / "o.json"), "models").collect()
+
+
 def test_evaluation_slice(spark):
     rows = [(i, "x" * n) for i, n in enumerate([60, 50, 51, 1001, 1000, 70])]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbtide.operators import alerts as al
+from ebbtide.plans.prompt_metrics import baseline_metadata
 from workload import tables as tb
 from workload.registry import query
 
@@ -210,16 +211,8 @@ FROM documents d LEFT JOIN pairs ON current = d.source""",
 def x14(spark, d):
     docs = tb.documents(spark, d).select("doc_id", "source")
     pairs = tb.source_pairs(spark, d).withColumnRenamed("current", "source")
-    metadata = F.struct(
-        F.lit("previous").alias("baseline_type"),
-        F.col("baseline").alias("reference_version_id"),
-        F.lit(None).cast("int").alias("baseline_days"),
-        F.lit(100).alias("baseline_prompt_limit"),
-    )
-    from ebbtide.session import small_side
-
-    joined = docs.join(small_side(pairs, docs, ["source"]), "source", "left")
-    return joined.select("doc_id", F.to_json(metadata, {"ignoreNullFields": "false"}).alias("baseline_metadata"))
+    joined = docs.join(pairs, "source", "left")
+    return joined.select("doc_id", baseline_metadata("previous", F.col("baseline")).alias("baseline_metadata"))
 
 
 @query(

@@ -16,7 +16,7 @@ from ebbtide.operators import sampling as sp
 from ebbtide.operators import sequence as sq
 from ebbtide.operators import trajectory as tj
 from ebbtide.operators.compare import unpivot
-from ebbtide.session import small_side
+from ebbtide.session import written
 from workload import tables as tb
 from workload.distribution_queries import r6
 from workload.registry import query
@@ -85,7 +85,7 @@ def t07(spark, d):
     """First 20 texts of each generation; the ranking runs on ids, texts are fetched for the kept ones only."""
     docs = tb.documents(spark, d)
     first = ls.page_per_key(docs.select("source", "doc_id"), ["source"], [F.col("doc_id")], limit=20)
-    kept = docs.select("doc_id", "text").join(small_side(first, docs, ["source"], 5_000), "doc_id")
+    kept = docs.select("doc_id", "text").join(written(first, "first-ids"), "doc_id")
     return kept.select("source", "doc_id", F.md5("text").alias("digest"), F.col("row_rank").cast("long"))
 
 
@@ -179,21 +179,12 @@ def _measured(spark, d):
     """One trajectory per language; the generation is the number of the source, the reference the benchmark text."""
     keys = ["lang", "generation"]
     docs = tb.tokenised(spark, d, "source", "lang").withColumn("generation", tb.source_number(F.col("source")))
-    counts = ct.token_counts(docs, keys)
+    # every figure comes from the counts: a table of its own, as small as the vocabularies
+    counts = written(ct.token_counts(docs, keys), "generation-counts")
     own = ds.summary(counts, keys)
     rare = ds.self_rare_percentage(counts, keys).withColumnRenamed("rare_token_percentage", "rare_token_pct")
-    reference = ct.token_counts(
-        ct.tokenise(tb.table(spark, d, "benchmark")).select(F.lit("benchmark").alias("corpus"), "tokens"), ["corpus"]
-    )
-    name = F.concat_ws(":", "lang", "generation")
-    labelled = counts.select(name.alias("corpus"), "token", "n").unionByName(reference)
-    corpora = tb.documents(spark, d).select("lang", tb.source_number(F.col("source")).alias("generation")).distinct()
-    pairs = corpora.select(name.alias("current"), F.lit("benchmark").alias("baseline"))
-    drift = ds.divergences(ds.aligned_shares(labelled, "corpus", pairs)).select(
-        F.substring_index("current", ":", 1).alias("lang"),
-        F.substring_index("current", ":", -1).try_cast("int").alias("generation"),
-        "js_divergence",
-    )
+    reference = ct.token_counts(ct.tokenise(tb.table(spark, d, "benchmark")).select("tokens"), [])
+    drift = ds.reference_divergences(counts, keys, reference).select(*keys, "js_divergence")
     stats = _length_figures(spark, d).select(*keys, "avg_seq_perplexity")
     rows = own.join(rare, keys).join(drift, keys).join(stats, keys)
     return rows.select(
@@ -306,19 +297,39 @@ def a20(spark, d):
     return ev.job_outcomes(tb.evaluation_items(spark, d))
 
 
+JOB_STATES = """states AS (SELECT job_id, CASE WHEN count(*) FILTER (status = 'completed') = 0 THEN 'failed' WHEN count(*) FILTER (status = 'failed') > 0 THEN 'partial' ELSE 'completed' END AS status FROM items GROUP BY 1)"""
+
+
 @query(
     "J13_evaluation_compare",
-    f"""WITH {JOBS}, names(metric) AS (VALUES ('success_rate'), ('avg_output_length'), ('avg_generation_time_ms'), ('entropy'), ('avg_selected_token_probability')),
-l AS (SELECT job_id, metric, CASE metric WHEN 'success_rate' THEN success_rate WHEN 'avg_output_length' THEN avg_output_length WHEN 'avg_generation_time_ms' THEN avg_generation_time_ms WHEN 'entropy' THEN entropy ELSE avg_selected_token_probability END AS v FROM jm, names)
+    f"""WITH {JOBS}, {JOB_STATES}, names(metric) AS (VALUES ('success_rate'), ('avg_output_length'), ('avg_generation_time_ms'), ('entropy'), ('avg_selected_token_probability')),
+l AS (SELECT job_id, metric, CASE metric WHEN 'success_rate' THEN success_rate WHEN 'avg_output_length' THEN avg_output_length WHEN 'avg_generation_time_ms' THEN avg_generation_time_ms WHEN 'entropy' THEN entropy ELSE avg_selected_token_probability END AS v
+  FROM jm JOIN states USING (job_id), names WHERE status IN ('completed', 'partial'))
 SELECT a.job_id AS job_1, b.job_id AS job_2, metric, round(b.v - a.v, 5) AS delta FROM l a JOIN l b USING (metric) WHERE b.job_id = a.job_id + 1""",
 )
 def j13(spark, d):
-    jobs = tb.table(spark, d, "conversations").select(F.col("conv_id").alias("job_1")).distinct()
-    pairs = jobs.withColumn("job_2", F.col("job_1") + 1)
-    rows = ev.compare_jobs(ev.job_metrics(tb.evaluation_items(spark, d)), pairs)
+    items = tb.evaluation_items(spark, d)
+    rows = ev.compare_jobs(ev.job_metrics(items), _job_pairs(spark, d), ev.job_outcomes(items))
     return rows.select("job_1", "job_2", "metric", F.round("delta", 5).alias("delta"))
 
 
+def _job_pairs(spark, d):
+    """Each job with the next number, which may be no job."""
+    jobs = tb.table(spark, d, "conversations").select(F.col("conv_id").alias("job_1")).distinct()
+    return jobs.withColumn("job_2", F.col("job_1") + 1)
+
+
+@query(
+    "J13_refused_pairs",
+    f"""WITH {JOBS}, {JOB_STATES}, p AS (SELECT a.job_id AS job_1, a.job_id + 1 AS job_2, a.status AS s1, b.status AS s2 FROM states a LEFT JOIN states b ON b.job_id = a.job_id + 1)
+SELECT job_1, job_2, CASE WHEN s2 IS NULL THEN 'One or both jobs not found' WHEN s1 = 'failed' THEN 'Job #' || job_1 || ' is not completed' ELSE 'Job #' || job_2 || ' is not completed' END AS reason
+FROM p WHERE s2 IS NULL OR s1 = 'failed' OR s2 = 'failed'""",
+)
+def j13b(spark, d):
+    """Pairs that the comparison refuses, and why."""
+    return ev.refused_pairs(_job_pairs(spark, d), ev.job_outcomes(tb.evaluation_items(spark, d)))
+
+
 @query(
     "A27_oversized_sets",
     "SELECT conv_id AS prompt_set_id, count(*) AS prompt_count FROM conversations GROUP BY 1 HAVING count(*) > 5",

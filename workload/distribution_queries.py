@@ -11,6 +11,7 @@ from ebbtide.operators import counts as ct
 from ebbtide.operators import distributions as ds
 from ebbtide.operators import rollups as ro
 from ebbtide.operators.versions import resolve_baseline
+from ebbtide.session import written
 from workload import tables as tb
 from workload.registry import query
 
@@ -24,7 +25,11 @@ def _counts(spark, d):
 
 
 def _aligned(spark, d):
-    return ds.aligned_shares(_counts(spark, d), "source", tb.source_pairs(spark, d))
+    return ds.aligned_counts(_counts(spark, d), "source", tb.source_pairs(spark, d))
+
+
+def _histogram(spark, d):
+    return ds.joint_histogram(_aligned(spark, d))
 
 
 @query(
@@ -33,7 +38,7 @@ def _aligned(spark, d):
     "SELECT source, token, n, round(n / total, 9) AS frequency FROM counts JOIN t USING (source)",
 )
 def a01(spark, d):
-    rows = ds.frequency(_counts(spark, d), ["source"], tb.documents(spark, d))
+    rows = ds.frequency(_counts(spark, d), ["source"])
     return rows.select("source", "token", "n", F.round("frequency", 9).alias("frequency"))
 
 
@@ -68,12 +73,12 @@ JS = (
 
 @query("A05_kl_divergence", f"WITH {tb.ALIGNED} SELECT current, baseline, round({KL}, 6) AS kl_divergence FROM aligned GROUP BY ALL")
 def a05(spark, d):
-    return ds.divergences(_aligned(spark, d)).select("current", "baseline", r6("kl_divergence"))
+    return ds.divergences(_histogram(spark, d)).select("current", "baseline", r6("kl_divergence"))
 
 
 @query("A06_js_distance", f"WITH {tb.ALIGNED} SELECT current, baseline, round({JS}, 6) AS js_divergence FROM aligned GROUP BY ALL")
 def a06(spark, d):
-    return ds.divergences(_aligned(spark, d)).select("current", "baseline", r6("js_divergence"))
+    return ds.divergences(_histogram(spark, d)).select("current", "baseline", r6("js_divergence"))
 
 
 @query(
@@ -82,7 +87,7 @@ def a06(spark, d):
     "round(p, 9) AS p, round(q, 9) AS q FROM aligned",
 )
 def j08(spark, d):
-    rows = _aligned(spark, d)
+    rows = ds.aligned_shares(_counts(spark, d), "source", tb.source_pairs(spark, d))
     return rows.select("current", "baseline", "token", "n_cur", "n_base", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
@@ -161,8 +166,8 @@ aligned AS (SELECT al.*, nc / a.total AS p, nb / b.total AS q FROM al JOIN tot a
 )
 def a08(spark, d):
     bigrams = ct.stream_bigram_counts(tb.stored_tokens(spark, d, "source"), ["source"], "doc_id")
-    aligned = ds.aligned_shares(bigrams, "source", tb.source_pairs(spark, d))
-    return ds.divergences(aligned).select("current", "baseline", F.round("js_divergence", 6).alias("ngram_drift"))
+    aligned = ds.aligned_counts(bigrams, "source", tb.source_pairs(spark, d))
+    return ds.divergences(ds.joint_histogram(aligned)).select("current", "baseline", F.round("js_divergence", 6).alias("ngram_drift"))
 
 
 @query(
@@ -188,9 +193,7 @@ RARE = (
 
 
 def _rare_and_new(spark, d):
-    counts = _counts(spark, d)
-    aligned = ds.aligned_shares(counts, "source", tb.source_pairs(spark, d))
-    return ds.rare_and_new(aligned, ds.rare_threshold(counts, ["source"]).withColumnRenamed("source", "baseline"))
+    return ds.rare_and_new(_histogram(spark, d))
 
 
 @query(
@@ -227,12 +230,7 @@ def a12(spark, d):
 )
 def j09(spark, d):
     """Tokens of each source that its predecessor never used."""
-    counts = _counts(spark, d)
-    pairs = tb.source_pairs(spark, d)
-    own = counts.join(pairs.withColumnRenamed("current", "source"), "source")
-    vocabulary = counts.select(F.col("source").alias("baseline"), "token")
-    new = own.join(vocabulary, ["baseline", "token"], "left_anti")
-    return new.select(F.col("source").alias("current"), "baseline", "token", "n")
+    return ds.new_tokens(_aligned(spark, d))
 
 
 @query(
@@ -275,7 +273,7 @@ def _position_top(spark, d):
     """Most frequent 20 tokens at each position of a source's documents."""
     from ebbtide.operators.listings import page_per_key
 
-    tokens = tb.stored_tokens(spark, d, "source").select("source", F.posexplode(tx.each(F.col("tokens"))).alias("pos", "token"))
+    tokens = tb.tokenised(spark, d, "source").select("source", F.posexplode(tx.each(F.col("tokens"))).alias("pos", "token"))
     counts = tokens.groupBy("source", "pos", "token").agg(F.count("*").alias("n"))
     return page_per_key(counts, ["source", "pos"], [F.col("n").desc(), F.col("token")], limit=20)
 
@@ -315,9 +313,7 @@ def j02(spark, d):
     facts = own.unionByName(everything.select(F.lit("*").alias("baseline"), "token_count", "vocab_size"))
     resolved = resolve_baseline(versions).join(facts, "baseline")
     prompts = tb.documents(spark, d).select(F.col("doc_id").alias("prompt_id"), F.col("source").alias("model_version_id"))
-    from ebbtide.session import small_side
-
-    return prompts.join(small_side(resolved, sources, ["source"]), "model_version_id").select(
+    return prompts.join(written(resolved, "resolved"), "model_version_id").select(
         "prompt_id", "baseline", F.col("token_count").alias("base_tokens"), F.col("vocab_size").alias("base_vocab")
     )
 

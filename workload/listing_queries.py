@@ -202,6 +202,54 @@ def f17(spark, d):
     return rows.groupBy("rule").agg(F.count("*").alias("violations"))
 
 
+@query(
+    "F17_benchmark_parameters",
+    """WITH broken AS (SELECT unnest(list_filter([
+  CASE WHEN l_quantity * 5 < 1 OR l_quantity * 5 > 200 THEN 'sample_count' END, CASE WHEN l_quantity * 12 < 1 OR l_quantity * 12 > 512 THEN 'max_new_tokens' END,
+  CASE WHEN l_tax * 30 < 0 OR l_tax * 30 > 2 THEN 'temperature' END, CASE WHEN l_linenumber * 2 < 1 OR l_linenumber * 2 > 10 THEN 'num_beams' END,
+  CASE WHEN l_partkey * 10 < 1000 OR l_partkey * 10 > 200000 THEN 'max_tokens' END, CASE WHEN l_quantity * 3 < 5 OR l_quantity * 3 > 100 THEN 'top_k' END,
+  CASE WHEN l_discount * 10 <= 0 OR l_discount * 10 >= 1 THEN 'rare_percentile' END], lambda x: x IS NOT NULL)) AS rule FROM lineitem)
+SELECT rule, count(*) AS violations FROM broken GROUP BY rule""",
+)
+def f17b(spark, d):
+    """Rows of benchmark parameters with the rules they break, counted per rule."""
+    columns = {
+        "sample_count": F.col("l_quantity") * 5,
+        "max_new_tokens": F.col("l_quantity") * 12,
+        "temperature": F.col("l_tax") * 30,
+        "num_beams": F.col("l_linenumber") * 2,
+        "max_tokens": F.col("l_partkey") * 10,
+        "top_k": F.col("l_quantity") * 3,
+        "rare_percentile": F.col("l_discount") * 10,
+    }
+    rows = tb.table(spark, d, "lineitem").select(F.explode(ql.broken_benchmark_rules(columns)).alias("rule"))
+    return rows.groupBy("rule").agg(F.count("*").alias("violations"))
+
+
+@query(
+    "F17_threshold_parameters",
+    """WITH t AS (SELECT doc_id, substr(text, 1, 200 + doc_id % 100) AS name, substr(text, 1, 60 + doc_id % 60) AS metric_name, CASE WHEN doc_id % 5 <> 0 THEN substr(text, 1, 50 + doc_id % 90) END AS group_key,
+  doc_id % 4 AS persistence_count, doc_id % 9 - 1 AS persistence_window_minutes, CASE doc_id % 6 WHEN 0 THEN '>' WHEN 1 THEN '<' WHEN 2 THEN '>=' WHEN 3 THEN '==' WHEN 4 THEN '!=' END AS op FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN persistence_count < 1 THEN 'persistence_count' END, CASE WHEN persistence_window_minutes < 0 THEN 'persistence_window_minutes' END,
+  CASE WHEN length(name) > 255 THEN 'name' END, CASE WHEN length(metric_name) > 100 THEN 'metric_name' END, CASE WHEN length(group_key) > 100 THEN 'group_key' END,
+  CASE WHEN op IS NULL THEN 'comparison_operator required' END, CASE WHEN op = '!=' THEN 'comparison_operator' END], lambda x: x IS NOT NULL), ',') AS broken FROM t""",
+)
+def f17c(spark, d):
+    """Alert thresholds made from documents, each with the rules it breaks."""
+    i = F.col("doc_id")
+    part = lambda n: F.col("text").substr(F.lit(1), n.cast("int"))
+    operator = F.when(i % 6 == 0, ">").when(i % 6 == 1, "<").when(i % 6 == 2, ">=").when(i % 6 == 3, "==").when(i % 6 == 4, "!=")
+    columns = {
+        "name": part(200 + i % 100),
+        "metric_name": part(60 + i % 60),
+        "group_key": F.when(i % 5 != 0, part(50 + i % 90)),
+        "persistence_count": i % 4,
+        "persistence_window_minutes": i % 9 - 1,
+        "comparison_operator": operator,
+    }
+    return tb.documents(spark, d).select("doc_id", F.array_join(ql.broken_threshold_rules(columns), ",").alias("broken"))
+
+
 @query(
     "X06_finite_guard",
     "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ebbtide.functions import text as tx
+from ebbtide.functions import vectors as vx
 from ebbtide.operators.versions import resolve_baseline
 from ebbtide.plans import benchmark as bm
 from ebbtide.plans import prompt_metrics as pm
-from ebbtide.session import settle, written
+from ebbtide.session import shared_dir, spread, written
 from workload import tables as tb
 from workload.distribution_queries import r6
 from workload.registry import query
@@ -15,21 +17,40 @@ from workload.registry import query
 LIMIT = 100
 
 
-def _prompts(spark, d, vectors=None):
-    """Documents as generated prompts; the probability of a token is a function of its length."""
-    rows = tb.tokenised(spark, d, "source", "n_chars")
-    rows = rows.withColumn("probabilities", F.transform("tokens", lambda t: 1.0 / (1 + F.length(t))))
+def _raw_prompts(spark, d):
+    """Documents as generated prompts, with the vector of the same id."""
+    rows = spread(tb.documents(spark, d).select("doc_id", "source", "text", "n_chars"), "doc_id")
+    vectors = tb.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("prompt_id"), F.col("embedding").cast("array<double>").alias("embedding")
+    )
     rows = rows.select(
-        F.col("doc_id").alias("prompt_id"),
-        F.col("source").alias("model_version_id"),
+        F.col("doc_id").alias("prompt_id"), F.col("source").alias("model_version_id"), "text", F.col("n_chars").alias("output_length")
+    )
+    return rows.join(vectors, "prompt_id", "left")
+
+
+def _payload():
+    """Stored probabilities: even prompts hold a flat list, odd ones a map per position, every seventh a list without numbers.
+
+    A token of length n has probability p = 1 / (1 + n), in a map beside a second candidate of p squared.
+    """
+    p = lambda t: 1.0 / (1 + F.length(t))
+    flat = F.to_json(F.struct(F.transform("tokens", p).alias("probabilities")))
+    positions = F.transform(
         "tokens",
-        "probabilities",
-        F.col("n_chars").alias("output_length"),
+        lambda t, i: F.struct(
+            i.cast("string").alias("key"),
+            F.map_from_arrays(F.array(t, F.concat(t, F.lit("~"))), F.array(p(t), p(t) * p(t))).alias("value"),
+        ),
     )
-    if vectors is not None:
-        rows = rows.join(vectors, "prompt_id", "left")
-    # several branches read the prompts: tokenise once, into a table in the shared folder
-    return written(rows, "prompts")
+    mapped = F.to_json(F.map_from_entries(positions))
+    return (
+        F.when(F.col("prompt_id") % 7 == 3, F.lit('{"probabilities":["n/a"]}')).when(F.col("prompt_id") % 2 == 0, flat).otherwise(mapped)
+    )
+
+
+def _shaped(rows):
+    return rows.withColumn("tokens", tx.tokens(F.col("text"))).drop("text").withColumn("token_probabilities", _payload())
 
 
 def _baselines(spark, d):
@@ -57,13 +78,12 @@ toks AS (SELECT doc_id, source, unnest(tk) AS token, unnest(range(len(tk))) AS p
 FROM toks t JOIN res USING (source) JOIN bs USING (b) LEFT JOIN bc ON bc.b = res.b AND bc.token = t.token""",
 )
 def a29(spark, d):
-    prompts = _prompts(spark, d)
-    baselines, few = settle(_baselines(spark, d))
-    base = pm.baseline_prompts(prompts, LIMIT, keys=baselines)
-    vocabulary = pm.baseline_tokens(base)
-    keyed = prompts.join(F.broadcast(baselines) if few else baselines, "model_version_id")
-    summary = pm.baseline_summary(vocabulary, pm.baseline_bigrams(base), base)
-    return pm.annotated_positions(keyed, vocabulary, summary, few, pm.may_hold_hot_keys(prompts))
+    baselines = _baselines(spark, d)
+    docs = tb.documents(spark, d).select(F.col("doc_id").alias("prompt_id"), F.col("source").alias("model_version_id"), "text")
+    base = pm.baseline_prompts(docs, LIMIT, keys=baselines).withColumn("tokens", tx.tokens(F.col("text")))
+    base = base.withColumn("probabilities", F.lit(None).cast("array<double>"))
+    prompts = spread(docs, "prompt_id").withColumn("tokens", tx.tokens(F.col("text")))
+    return pm.annotated_positions(prompts, baselines, base, LIMIT)
 
 
 METRIC_ROW = f"""WITH {BASE},
@@ -74,8 +94,9 @@ og0 AS (SELECT doc_id, source, token || ' ' || lead(token) OVER (PARTITION BY do
 og AS (SELECT doc_id, source, gram, count(*) AS n FROM og0 WHERE gram IS NOT NULL GROUP BY ALL), ogs AS (SELECT doc_id, sum(n) AS total FROM og GROUP BY 1),
 pq AS (SELECT og.doc_id, n / total AS p, coalesce(m, 0) / base_bigrams AS q FROM og JOIN ogs USING (doc_id) JOIN res USING (source) JOIN bgs USING (b) LEFT JOIN bg ON bg.b = res.b AND bg.gram = og.gram),
 drift AS (SELECT doc_id, sqrt(greatest((sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + 1 - sum(q)) / 2, 0)) AS ngram_drift FROM pq GROUP BY 1),
-probs AS (SELECT doc_id, source, list_transform(tk, lambda t: 1.0::DOUBLE / (1 + length(t))) AS v FROM lists WHERE len(tk) > 0),
-firsts AS (SELECT b, list_transform(tk, lambda t: 1.0::DOUBLE / (1 + length(t))) AS w FROM base WHERE rk = 1),
+shown AS (SELECT doc_id, source FROM lists WHERE len(tk) > 0),
+probs AS (SELECT doc_id, source, list_transform(tk, lambda t: 1.0::DOUBLE / (1 + length(t))) AS v FROM lists WHERE len(tk) > 0 AND doc_id % 7 <> 3),
+firsts AS (SELECT b, list_transform(tk, lambda t: 1.0::DOUBLE / (1 + length(t))) AS w FROM base WHERE rk = 1 AND doc_id % 7 <> 3 AND len(tk) > 0),
 pv AS (SELECT doc_id, v, w, greatest(len(v), len(w)) AS n FROM probs JOIN res USING (source) JOIN firsts USING (b)),
 cells AS (SELECT doc_id, n, unnest(range(1, n + 1)) AS i, unnest(list_concat(v, list_transform(range(n - len(v)), lambda x: 1e-10::DOUBLE))) AS p, unnest(list_concat(w, list_transform(range(n - len(w)), lambda x: 1e-10::DOUBLE))) AS q FROM pv),
 tots AS (SELECT doc_id, sum(p) AS sp, sum(q) AS sq FROM cells GROUP BY 1),
@@ -83,7 +104,8 @@ norm AS (SELECT doc_id, n, i, p / sp AS p, q / sq AS q, (p + 1e-10) / (sp + n *
 cdf AS (SELECT *, sum(p - q) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM norm),
 vm AS (SELECT doc_id, sum(kp * ln(kp / kq)) AS kl_divergence, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS js_divergence,
   sum(CASE WHEN i < n THEN abs(gap) ELSE 0 END) AS wasserstein_distance FROM cdf GROUP BY 1),
-pl AS (SELECT doc_id, unnest(v) AS x FROM probs), en AS (SELECT doc_id, log2(sum(x)) - sum(x * log2(x)) / sum(x) AS entropy FROM pl GROUP BY 1),
+pl AS (SELECT doc_id, unnest(v) AS x FROM probs), en AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN log2(sum(x)) - sum(x * log2(x)) / sum(x)
+  ELSE avg(log2(x + x * x) - (x * log2(x) + x * x * log2(x * x)) / (x + x * x)) END AS entropy FROM pl GROUP BY 1),
 be AS (SELECT b, i, avg(embedding[i]::DOUBLE) AS x FROM base JOIN embeddings ON vec_id = doc_id, range(1, 65) r(i) GROUP BY ALL),
 ed AS (SELECT d.doc_id, 1 - sum(e.embedding[i]::DOUBLE * be.x) / sqrt(sum(e.embedding[i]::DOUBLE ** 2) * sum(be.x ** 2)) AS embedding_drift
   FROM documents d JOIN res USING (source) JOIN embeddings e ON e.vec_id = d.doc_id JOIN be USING (b) GROUP BY 1),
@@ -91,18 +113,19 @@ ls AS (SELECT source, median(n_chars) AS median_length, var_pop(n_chars) AS leng
 SELECT p.doc_id AS prompt_id, p.source AS model_version_id, round(entropy, 6) AS entropy, round(kl_divergence, 6) AS kl_divergence, round(js_divergence, 6) AS js_divergence, round(wasserstein_distance, 4) AS wasserstein_distance,
   round(coalesce(ngram_drift, 0), 6) AS ngram_drift, round(embedding_drift, 6) AS embedding_drift, round(rare_token_percentage, 6) AS rare_token_percentage, round(new_token_percentage, 6) AS new_token_percentage,
   median_length, round(length_variance, 3) AS length_variance
-FROM probs p JOIN en USING (doc_id) JOIN vm USING (doc_id) JOIN rn USING (doc_id) LEFT JOIN drift USING (doc_id) LEFT JOIN ed USING (doc_id) JOIN ls USING (source)"""
+FROM shown p LEFT JOIN en USING (doc_id) LEFT JOIN vm USING (doc_id) JOIN rn USING (doc_id) LEFT JOIN drift USING (doc_id) LEFT JOIN ed USING (doc_id) JOIN ls USING (source)"""
+
+
+def _metrics(spark, d, **options):
+    baselines, raw = _baselines(spark, d), _raw_prompts(spark, d)
+    base = _shaped(pm.baseline_prompts(raw, LIMIT, keys=baselines))
+    return pm.prompt_metrics(_shaped(raw), baselines, LIMIT, base=base, **options)
 
 
 @query("A30_prompt_metrics", METRIC_ROW)
 def a30(spark, d):
-    vectors = tb.table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("prompt_id"), F.col("embedding").cast("array<double>").alias("embedding")
-    )
-    prompts = _prompts(spark, d, vectors)
-    rows = pm.prompt_metrics(prompts, _baselines(spark, d), LIMIT)
     six = ["entropy", "kl_divergence", "js_divergence", "ngram_drift", "embedding_drift", "rare_token_percentage", "new_token_percentage"]
-    return rows.select(
+    return _metrics(spark, d).select(
         "prompt_id",
         "model_version_id",
         *[r6(c) for c in six],
@@ -112,7 +135,49 @@ def a30(spark, d):
     )
 
 
-PARAMS = bm.BenchmarkParameters(sample_count=20)
+@query(
+    "A30_prompt_details",
+    f"""WITH {BASE}, an AS (SELECT t.doc_id, pos, t.token, CAST(m IS NULL AS INT) AS fresh, CAST(coalesce(m, 0) <= threshold AS INT) AS rare
+  FROM toks t JOIN res USING (source) JOIN bs USING (b) LEFT JOIN bc ON bc.b = res.b AND bc.token = t.token),
+spots AS (SELECT doc_id, count(*) AS n_positions, sum(fresh) AS n_new, sum(rare) AS n_rare, md5(string_agg(pos || ':' || token || ':' || fresh || rare, ' ' ORDER BY pos)) AS positions_md5 FROM an GROUP BY 1),
+own AS (SELECT doc_id, token, count(*) AS n FROM toks GROUP BY ALL), freq AS (SELECT doc_id, count(*) AS n_tokens, md5(string_agg(token || '=' || n, ' ' ORDER BY token)) AS frequency_md5 FROM own GROUP BY 1)
+SELECT doc_id AS prompt_id, n_positions, CAST(n_new AS BIGINT) AS n_new, CAST(n_rare AS BIGINT) AS n_rare, positions_md5, n_tokens, frequency_md5,
+  '{{"baseline_type":"previous","reference_version_id":null,"baseline_days":null,"baseline_prompt_limit":{LIMIT}}}' AS baseline_metadata
+FROM spots JOIN freq USING (doc_id)""",
+)
+def a30_details(spark, d):
+    """Token frequencies and position annotations of the metric row, as digests of their whole content."""
+    rows = _metrics(spark, d, with_details=True)
+    spots, count = F.col("token_distribution_by_position"), F.size("token_distribution_by_position")
+    mark = lambda x: F.concat_ws(":", x.position.cast("string"), x.token, F.concat(x.is_new.cast("int").cast("string"), x.is_rare.cast("int").cast("string")))
+    entries = F.array_sort(F.map_entries("token_frequency"))
+    share = lambda e: F.concat_ws("=", e.key, F.round(e.value * count).cast("long").cast("string"))
+    return rows.select(
+        "prompt_id",
+        count.cast("long").alias("n_positions"),
+        F.size(F.filter(spots, lambda x: x.is_new)).cast("long").alias("n_new"),
+        F.size(F.filter(spots, lambda x: x.is_rare)).cast("long").alias("n_rare"),
+        F.md5(F.array_join(F.transform(spots, mark), " ")).alias("positions_md5"),
+        F.size("token_frequency").cast("long").alias("n_tokens"),
+        F.md5(F.array_join(F.transform(entries, share), " ")).alias("frequency_md5"),
+        "baseline_metadata",
+    )
+
+
+@query(
+    "A28_payload_entropy",
+    f"""WITH {tb.TOK_LISTS}, pl AS (SELECT doc_id, unnest(list_transform(tk, lambda t: 1.0::DOUBLE / (1 + length(t)))) AS x FROM lists WHERE doc_id % 7 <> 3),
+en AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN log2(sum(x)) - sum(x * log2(x)) / sum(x)
+  ELSE avg(log2(x + x * x) - (x * log2(x) + x * x * log2(x * x)) / (x + x * x)) END AS entropy FROM pl GROUP BY 1)
+SELECT doc_id AS prompt_id, round(entropy, 6) AS entropy FROM lists LEFT JOIN en USING (doc_id)""",
+)
+def a28_payload(spark, d):
+    """Entropy of stored payloads of either shape; a payload without a number has none."""
+    rows = _shaped(spread(tb.documents(spark, d).select(F.col("doc_id").alias("prompt_id"), "text"), "prompt_id"))
+    return rows.select("prompt_id", F.round(vx.position_entropy(F.col("token_probabilities")), 6).alias("entropy"))
+
+
+PARAMS = bm.BenchmarkParameters(dataset="generated text", dataset_id="documents", sample_count=20)
 
 BENCH = f"""gen AS (SELECT d.doc_id, d.source, {tb.TOKENS_OF.format('d.text')} AS tk, e.value / 100 AS loss FROM documents d JOIN events e ON e.event_id = d.doc_id),
 drawn AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS draw FROM gen QUALIFY draw <= 20),
@@ -143,7 +208,8 @@ def _results(spark, d):
 
 @query(
     "A31_benchmark_result",
-    f"""WITH {BENCH} SELECT source AS model_version_id, prompts_used, CAST(token_count AS BIGINT) AS token_count, vocab_size, round(gs.h, 6) AS entropy, round(CASE WHEN gs.h > 0 THEN pow(2, gs.h) ELSE 0 END, 6) AS perplexity,
+    f"""WITH {BENCH} SELECT source AS model_version_id, 'generated text' AS dataset, 'documents' AS dataset_id, 'regex' AS tokenization, CAST(NULL AS VARCHAR) AS tokenizer_model_id,
+  prompts_used, CAST(token_count AS BIGINT) AS token_count, vocab_size, round(gs.h, 6) AS entropy, round(CASE WHEN gs.h > 0 THEN pow(2, gs.h) ELSE 0 END, 6) AS perplexity,
   round(a, 6) AS avg_sequence_perplexity, round(s, 6) AS std_sequence_perplexity, round(rs.h, 6) AS reference_entropy, round(CASE WHEN rs.h > 0 THEN pow(2, rs.h) ELSE 0 END, 6) AS reference_perplexity, round(js, 6) AS js_divergence, round(kl, 6) AS kl_divergence,
   round(rare, 6) AS rare_token_percentage, tops AS top_tokens FROM gs JOIN rs USING (source) JOIN rare USING (source) JOIN dv USING (source) JOIN sq USING (source) JOIN top USING (source)""",
 )
@@ -151,21 +217,32 @@ def a31(spark, d):
     figures = [c for c in bm.RESULT_FIGURES if c not in ("prompts_used", "token_count", "vocab_size")]
     listing = F.array_join(F.transform("top_tokens", lambda t: F.concat(t["token"], F.lit(":"), t["count"].cast("string"))), " ")
     return _results(spark, d).select(
-        "model_version_id", "prompts_used", "token_count", "vocab_size", *[r6(c) for c in figures], listing.alias("top_tokens")
-    )
+        "model_version_id", "dataset", "dataset_id", "tokenization", "tokenizer_model_id", "prompts_used", "token_count", "vocab_size",
+        *[r6(c) for c in figures], listing.alias("top_tokens"),
+    )
+
+
+def _jobs(spark, d):
+    """One benchmark job per source with an odd number, and one for a version without generations."""
+    sources = tb.documents(spark, d).select(F.col("source").alias("model_version_id")).distinct()
+    number = tb.source_number(F.col("model_version_id")).cast("long")
+    jobs = sources.select((number + 1000).alias("job_id"), "model_version_id").where("job_id % 2 = 1")
+    jobs = jobs.unionByName(spark.range(1).select(F.lit(5000).cast("long").alias("job_id"), F.lit("none").alias("model_version_id")))
+    return jobs.select(
+        "*", F.lit("running").alias("status"), F.lit(None).cast("string").alias("result"),
+        F.lit(None).cast("long").alias("snapshot_id"), F.lit(None).cast("timestamp_ntz").alias("completed_at"),
+    )
 
 
 @query(
     "A32_benchmark_snapshot",
     f"""WITH {BENCH} SELECT source AS model_version_id, prompts_used AS total_prompts, round(gs.h, 6) AS avg_entropy, round(kl, 6) AS avg_kl_divergence, round(js, 6) AS js, CAST(vocab_size AS DOUBLE) AS vocab, 0 AS anomaly_count,
-  CAST(token_count AS BIGINT) AS payload_tokens FROM gs JOIN dv USING (source) JOIN sq USING (source)""",
+  CAST(token_count AS BIGINT) AS payload_tokens, CASE WHEN CAST(substr(source, 4) AS INT) % 2 = 1 THEN 1000 + CAST(substr(source, 4) AS BIGINT) END AS benchmark_job_id FROM gs JOIN dv USING (source) JOIN sq USING (source)""",
 )
 def a32(spark, d):
     """Snapshots are appended to a table in the shared folder and read back."""
-    from ebbtide.session import shared_dir
-
     path = shared_dir(spark, "snapshots")
-    bm.append_snapshots(_results(spark, d), tb.as_of(spark, d), path)
+    bm.append_snapshots(_results(spark, d), tb.as_of(spark, d), path, _jobs(spark, d))
     rows = spark.read.parquet(path)
     return rows.select(
         "model_version_id",
@@ -176,4 +253,23 @@ def a32(spark, d):
         F.try_element_at("benchmark", F.lit("vocab_size")).alias("vocab"),
         F.col("anomaly_count").cast("int").alias("anomaly_count"),
         F.get_json_object("metrics_data", "$.benchmark.token_count").cast("long").alias("payload_tokens"),
+        F.get_json_object("metrics_data", "$.benchmark_job_id").cast("long").alias("benchmark_job_id"),
     )
+
+
+@query(
+    "A32_completed_jobs",
+    f"""WITH {BENCH}, m AS (SELECT max(ts) AS moment FROM events), j AS (SELECT DISTINCT 1000 + CAST(substr(source, 4) AS BIGINT) AS job_id, source FROM documents UNION ALL SELECT 5000, 'none')
+SELECT job_id, j.source AS model_version_id, CASE WHEN gs.source IS NULL THEN 'running' ELSE 'completed' END AS status, CAST(token_count AS BIGINT) AS tokens, gs.source IS NOT NULL AS linked, CASE WHEN gs.source IS NOT NULL THEN moment END AS completed_at
+FROM j LEFT JOIN gs ON gs.source = j.source, m WHERE job_id % 2 = 1 OR job_id = 5000""",
+)
+def a32_jobs(spark, d):
+    """The jobs after the run: each is linked to its snapshot; the one without generations still runs."""
+    jobs, moment = _jobs(spark, d), tb.as_of(spark, d)
+    snapshots = written(bm.snapshot_rows(_results(spark, d), moment, jobs), "snapshots")
+    done = bm.completed_jobs(jobs, snapshots, moment)
+    linked = done.join(snapshots.select("snapshot_id", F.lit(True).alias("_known")), "snapshot_id", "left")
+    return linked.select(
+        "job_id", "model_version_id", "status", F.get_json_object("result", "$.token_count").cast("long").alias("tokens"),
+        F.coalesce("_known", F.lit(False)).alias("linked"), "completed_at",
+    )

@@ -13,7 +13,7 @@ from ebbtide.sources import prompt_sets as ps
 from ebbtide.sources import snapshots as sn
 from workload import tables as tb
 from workload.registry import query
-from workload.rollup_queries import CHANGES, HIGHLIGHT, _changes, _current
+from workload.rollup_queries import CHANGES, HIGHLIGHT, _changes, _current, _pairs
 
 MOMENT = datetime(2024, 2, 1, 12, 30, 0)
 
@@ -120,6 +120,64 @@ def s08(spark, d):
     return rows.select(part("id").cast("long").alias("id"), part("role").alias("role"), F.md5(part("text")).alias("digest"))
 
 
+@query(
+    "S08_txt_prompt_set",
+    """WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE replace(text, chr(10), ' ') END AS line FROM conversations),
+k AS (SELECT trim(line, E' \n\t\r') AS line, row_number() OVER (ORDER BY conv_id, turn) - 1 AS position FROM l WHERE trim(line, E' \n\t\r') <> '')
+SELECT position, md5(line) AS digest FROM k""",
+)
+def s08_txt(spark, d):
+    """One prompt per line, blank lines skipped; positions follow the files."""
+    turns = tb.table(spark, d, "conversations")
+    line = F.when(F.col("turn") % 5 == 4, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.replace("text", F.lit("\n"), F.lit(" "))))
+    path = shared_dir(spark, "prompts")
+    turns.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select(line.alias("value")).write.text(path)
+    rows = ps.read_txt_prompts(spark, path)
+    return rows.select("position", F.md5(F.try_element_at("record", F.lit("input_text"))).alias("digest"))
+
+
+@query(
+    "S08_csv_prompt_set",
+    """SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS position, md5(CASE WHEN turn % 3 = 1 THEN '' ELSE text END) AS digest, role FROM conversations""",
+)
+def s08_csv(spark, d):
+    """A header row names the keys; an empty cell is an empty text, line breaks inside quotes belong to the cell."""
+    turns = tb.table(spark, d, "conversations")
+    text = F.when(F.col("turn") % 3 != 1, F.col("text"))
+    path = shared_dir(spark, "prompts")
+    ordered = turns.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    ordered.select(text.alias("prompt"), "role").write.option("header", True).option("escape", '"').csv(path)
+    part = lambda k: F.try_element_at("record", F.lit(k))
+    return ps.read_csv_prompts(spark, path).select("position", F.md5(part("prompt")).alias("digest"), part("role").alias("role"))
+
+
+def _json_arrays(spark, rows, file, order, entry):
+    """Files of one JSON array each, named by the ``file`` number so that they sort in its order."""
+    docs = rows.groupBy(file.alias("_n")).agg(F.sort_array(F.collect_list(F.struct(*order, entry.alias("_e")))).alias("_l"))
+    value = F.concat(F.lit("["), F.array_join(F.transform("_l", lambda r: r["_e"]), ","), F.lit("]"))
+    path = shared_dir(spark, "json-arrays")
+    # a folder per file: the number leads the path
+    docs.select(F.lpad(F.col("_n").cast("string"), 9, "0").alias("part"), value.alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+@query(
+    "S08_json_prompt_set",
+    """WITH k AS (SELECT conv_id, turn, text, turn % 4 AS t FROM conversations)
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS position, CASE t WHEN 1 THEN 'input_text' ELSE 'prompt' END AS key, md5(text) AS digest FROM k WHERE t <> 3""",
+)
+def s08_json(spark, d):
+    """Several files of one array each: objects and bare strings count, numbers do not; files keep their order."""
+    t = F.col("turn") % 4
+    quoted = F.expr("substr(to_json(struct(text AS t)), 6, length(to_json(struct(text AS t))) - 6)")
+    entry = F.when(t == 3, F.col("turn").cast("string")).when(t == 1, quoted).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"))))
+    path = _json_arrays(spark, tb.table(spark, d, "conversations"), F.floor(F.col("conv_id") / 50), ["conv_id", "turn"], entry)
+    keys = F.map_keys("record")
+    return ps.read_json_prompts(spark, path).select(
+        "position", F.get(keys, F.lit(0)).alias("key"), F.md5(F.get(F.map_values("record"), F.lit(0))).alias("digest")
+    )
+
+
 PROMPT_RULE = """r AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN '   ' ELSE role END AS chosen FROM conversations)"""
 
 
@@ -147,6 +205,28 @@ def s09(spark, d):
     return chosen.select("conv_id", "turn", F.md5("candidate").alias("digest"), keys.alias("metadata_keys"))
 
 
+@query(
+    "S09_prompt_set_upload",
+    """WITH l AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 2 THEN '   ' ELSE text END AS prompt FROM conversations),
+k AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS position FROM l), n AS (SELECT count(*) FILTER (trim(prompt, E' \n\t\r') <> '') AS accepted, count(*) FILTER (trim(prompt, E' \n\t\r') = '') AS skipped FROM k)
+SELECT 'turns-' || (SELECT max(n_regionkey) + 2 FROM nation) AS set_name, position, md5(trim(prompt, E' \n\t\r')) AS digest, role, accepted, skipped FROM k, n WHERE trim(prompt, E' \n\t\r') <> ''""",
+)
+def s09_upload(spark, d):
+    """A whole upload: unique set name, accepted items with their position in the file, counts of both outcomes."""
+    turns = tb.table(spark, d, "conversations").repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    prompt = F.when(F.col("turn") % 3 == 2, F.lit("   ")).otherwise(F.col("text"))
+    path = shared_dir(spark, "upload")
+    turns.select(F.to_json(F.struct(prompt.alias("prompt"), "role")).alias("value")).write.text(path)
+    # names taken so far: turns, turns-2, ..., one per region
+    number = F.col("n_regionkey")
+    taken = tb.table(spark, d, "nation").select(
+        F.when(number == 0, F.lit("turns")).otherwise(F.concat(F.lit("turns-"), (number + 1).cast("string"))).alias("name")
+    )
+    name, items, counts = ps.ingest(ps.read_jsonl_prompts(spark, path), taken, None, "uploads/turns.jsonl")
+    rows = items.select(F.lit(name).alias("set_name"), "position", F.md5("input_text").alias("digest"), F.try_element_at("metadata", F.lit("role")).alias("role"))
+    return rows.withColumn("accepted", counts.select("accepted").scalar()).withColumn("skipped", counts.select("skipped").scalar())
+
+
 @query(
     "S09_ingestion_counts",
     f"WITH {PROMPT_RULE} SELECT count(*) FILTER (trim(chosen) <> '') AS accepted, count(*) FILTER (trim(chosen) = '') AS skipped FROM r",
@@ -227,6 +307,53 @@ def s12b(spark, d):
     return result
 
 
+IMPORT_RULE = """k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, quality FROM labels)"""
+
+
+@query(
+    "S12_csv_import",
+    f"""WITH {IMPORT_RULE} SELECT idx AS "index", concat_ws('; ', CASE WHEN doc_id % 11 = 0 THEN 'prompt_id: field required' END, CASE WHEN doc_id % 13 = 0 THEN 'entropy: not a valid double' END) AS error
+FROM k WHERE doc_id % 11 = 0 OR doc_id % 13 = 0""",
+)
+def s12_csv(spark, d):
+    """A CSV upload of several files, read and checked; errors name the record's number over all files."""
+    rows = _import_rows(spark, d).repartitionByRange(4, "index").sortWithinPartitions("index")
+    path = shared_dir(spark, "import-csv")
+    rows.select("prompt_id", "entropy", F.lit("a, \"b\"\nc").alias("note")).write.option("header", True).option("escape", '"').csv(path)
+    return ex.error_rows(ex.validate(ex.read_import_csv(spark, path), "metrics"))
+
+
+@query(
+    "S12_json_import",
+    f"""WITH {IMPORT_RULE} SELECT idx AS "index", CASE WHEN doc_id % 17 = 0 THEN 'not a record' ELSE concat_ws('; ', CASE WHEN doc_id % 11 = 0 THEN 'prompt_id: field required' END, CASE WHEN doc_id % 13 = 0 THEN 'entropy: not a valid double' END) END AS error
+FROM k WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0""",
+)
+def s12_json(spark, d):
+    """The same as arrays of JSON records in several files; some entries are no records."""
+    labels = tb.table(spark, d, "labels")
+    i = F.col("doc_id")
+    figure = F.when(i % 13 == 0, F.lit('"n/a"')).otherwise(F.col("quality").cast("string"))
+    key = F.when(i % 11 != 0, i.cast("string")).otherwise(F.lit("null"))
+    frequency = F.lit('{"a": 0.5}')
+    record = F.concat(F.lit('{"prompt_id": '), key, F.lit(', "entropy": '), figure, F.lit(', "token_frequency": '), frequency, F.lit("}"))
+    entry = F.when(i % 17 == 0, F.lit("[1]")).otherwise(record)
+    path = _json_arrays(spark, labels, F.floor(i / 40), ["doc_id"], entry)
+    return ex.error_rows(ex.validate(ex.read_import_json(spark, path, "metrics"), "metrics"))
+
+
+@query(
+    "S12_json_import_stored",
+    "SELECT doc_id AS prompt_id, CAST(quality AS DOUBLE) AS entropy, 0.5::DOUBLE AS share FROM labels",
+)
+def s12_json_stored(spark, d):
+    """A clean JSON upload ends in the target table with typed columns."""
+    entry = F.concat(F.lit('{"token_frequency": {"a": 0.5}, "prompt_id": '), F.col("doc_id").cast("string"), F.lit(', "entropy": '), F.col("quality").cast("string"), F.lit("}"))
+    path = _json_arrays(spark, tb.table(spark, d, "labels"), F.floor(F.col("doc_id") / 40), ["doc_id"], entry)
+    target = shared_dir(spark, "imported")
+    ex.import_records(ex.read_import_json(spark, path, "metrics"), "metrics", target)
+    return spark.read.parquet(target).select("prompt_id", "entropy", F.try_element_at("token_frequency", F.lit("a")).alias("share"))
+
+
 SNAPSHOT_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "labels"]
 
 
@@ -238,12 +365,12 @@ def s13(spark, d):
     """Tables are written under one timestamped folder; the manifest is checked against the stored rows."""
     root = shared_dir(spark, "backup")
     folder = sn.write_snapshot({t: tb.table(spark, d, t) for t in SNAPSHOT_TABLES}, root, MOMENT)
-    manifest = spark.read.schema("table_name string, taken_at string").json(f"{folder}/_manifest.d")
+    manifest = spark.read.schema(sn.MANIFEST).json(f"{folder}/_manifest.d").select("table_name", "taken_at", F.col("rows").alias("told"))
     stored = None
     for t in SNAPSHOT_TABLES:
         rows = spark.read.parquet(f"{folder}/{t}").agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n")
         stored = rows if stored is None else stored.unionByName(rows)
-    return manifest.join(stored, "table_name")
+    return manifest.join(stored, "table_name").where("told = n").drop("told")
 
 
 @query(
@@ -285,12 +412,20 @@ def s16(spark, d):
 
 @query(
     "S16_comparison_report_json",
-    f"WITH {CHANGES} SELECT version_1, version_2, count(*) AS changes FROM changes GROUP BY ALL",
+    f"""WITH {CHANGES}, v AS (SELECT DISTINCT model_version_id AS version_1 FROM cur), p AS (SELECT version_1, version_1 + 1 AS version_2 FROM v),
+m AS (SELECT model_version_id, string_agg(metric || '=' || coalesce(CAST(round(value, 4) AS VARCHAR), 'null'), ',' ORDER BY metric) AS shown, count(*) AS n FROM cur GROUP BY 1),
+c AS (SELECT version_1, version_2, count(*) AS n, sum(delta) AS total FROM changes GROUP BY ALL)
+SELECT version_1, version_2, coalesce(c.n, 0) AS changes, round(coalesce(total, 0), 4) AS total_delta, coalesce(m1.n, 0) AS metrics_1, coalesce(m2.n, 0) AS metrics_2
+FROM p LEFT JOIN c USING (version_1, version_2) LEFT JOIN m m1 ON m1.model_version_id = version_1 LEFT JOIN m m2 ON m2.model_version_id = version_2""",
 )
 def s16b(spark, d):
+    """JSON report of every requested pair, read back: the last version's pair has no partner and no change row."""
     path = shared_dir(spark, "report")
-    sn.write_report(_changes(spark, d), _current(spark, d), path, "json")
-    rows = spark.read.schema("version_1 bigint, version_2 bigint, changes array<struct<metric:string>>").json(path)
-    return rows.select("version_1", "version_2", F.size("changes").cast("long").alias("changes"))
-
-
+    metrics = _current(spark, d)
+    sn.write_report(_changes(spark, d), metrics, path, "json", pairs=_pairs(metrics))
+    rows = spark.read.schema(
+        "version_1 bigint, version_2 bigint, changes array<struct<metric:string,delta:double>>, metrics_1 map<string,double>, metrics_2 map<string,double>"
+    ).json(path)
+    total = F.aggregate("changes", F.lit(0.0), lambda a, r: a + r["delta"])
+    sizes = [F.size(c).cast("long").alias(c) for c in ("changes", "metrics_1", "metrics_2")]
+    return rows.select("version_1", "version_2", sizes[0], F.round(total, 4).alias("total_delta"), *sizes[1:])

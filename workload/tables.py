@@ -72,11 +72,11 @@ def source_number(source: Column) -> Column:
 
 
 def source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source with its predecessor, as (current, baseline)."""
+    """Each source with its predecessor, as (current, baseline): a small table of its own, so that its size is known."""
     sources = documents(spark, sf_dir).select("source").distinct()
     previous = F.concat(F.lit("src"), (source_number(F.col("source")) - 1).cast("string"))
     pairs = sources.select(F.col("source").alias("current"), previous.alias("baseline"))
-    return pairs.join(sources.withColumnRenamed("source", "baseline"), "baseline", "left_semi")
+    return written(pairs.join(sources.withColumnRenamed("source", "baseline"), "baseline", "left_semi"), "source-pairs")
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
