@@ -164,17 +164,72 @@ def probability_vector(payload: Column) -> Column:
     ``{"probabilities": [...]}`` keeps the numeric members; ``{"0": {"tok": p, ...}, "1": p, ...}`` keeps the
     largest member per position in numeric key order. Anything else gives an empty array.
     """
-    return F.coalesce(let(F.try_parse_json(payload), _probabilities_of), F.array().cast("array<double>"))
+    return F.coalesce(_told(payload, lambda told: told.probabilities, _probabilities_of), _no_vector())
 
 
 def payload_figures(payload: Column) -> Column:
     """``struct(entropy, probabilities)`` of a JSON payload, parsed once: see `position_entropy`, `probability_vector`."""
-    empty = F.array().cast("array<double>")
 
-    def figures(doc: Column) -> Column:
-        return F.struct(_entropy_of(doc).alias("entropy"), F.coalesce(_probabilities_of(doc), empty).alias("probabilities"))
+    def figures(probabilities: Column, entropy: Column) -> Column:
+        return F.struct(entropy.alias("entropy"), F.coalesce(probabilities, _no_vector()).alias("probabilities"))
 
-    return let(F.try_parse_json(payload), figures)
+    plain = lambda told: figures(told.probabilities, told.entropy)
+    return _told(payload, plain, lambda doc: figures(_probabilities_of(doc), _entropy_of(doc)))
+
+
+def _no_vector() -> Column:
+    return F.array().cast("array<double>")
+
+
+class _Plain:
+    """Figures of a payload in one of the two regular shapes, already parsed to a list or to a map of maps."""
+
+    def __init__(self, probabilities: Column, entropy: Column):
+        self.probabilities, self.entropy = probabilities, entropy
+
+
+def _told(payload: Column, plain, general) -> Column:
+    """A result from the regular shapes (a list of numbers; a map of numbers per position), else from the JSON value.
+
+    `from_json` gives NULL for any other shape, and is several times faster than walking a variant.
+    """
+    listed = F.from_json(payload, "struct<probabilities array<double>>").probabilities
+    spread = F.from_json(payload, "map<string,map<string,double>>")
+
+    def from_list(found: Column) -> Column:
+        numbers = _Plain(found, F.when(F.size(found) > 0, entropy_bits(found)))
+        return F.when(F.forall(found, lambda x: x.isNotNull()), plain(numbers)).otherwise(whole)
+
+    def from_map(found: Column) -> Column:
+        keys = F.transform(F.map_keys(found), lambda k: F.trim(k).try_cast("bigint"))
+        figures = _Plain(_largest(found, keys), _mean_entropy(F.map_values(found)))
+        regular = found.isNotNull() & F.forall(keys, lambda k: k.isNotNull())
+        return F.when(regular, plain(figures)).otherwise(whole)
+
+    whole = let(F.try_parse_json(payload), general)
+    is_list = F.coalesce(payload.rlike(r'^\s*\{\s*"probabilities"\s*:'), F.lit(False))
+    return F.when(is_list, let(listed, from_list)).otherwise(let(spread, from_map))
+
+
+def _largest(spread: Column, keys: Column) -> Column:
+    """Largest member per position in numeric key order; positions without one are skipped."""
+    largest = F.transform(F.map_values(spread), lambda v: F.array_max(F.map_values(v)))
+    in_order = keys == F.sequence(F.lit(0).cast("bigint"), F.size(keys).cast("bigint") - 1)
+    pairs = F.array_sort(F.zip_with(keys, largest, lambda k, p: F.struct(k.alias("k"), p.alias("p"))))
+    sorted_ = F.when(in_order, largest).otherwise(F.transform(pairs, lambda r: r.p))
+    return F.when(F.size(keys) > 0, F.array_compact(sorted_)).otherwise(_no_vector())
+
+
+def _mean_entropy(spreads: Column) -> Column:
+    """Mean entropy of the positions that hold a positive number; NULL when none does."""
+    bits = F.transform(
+        spreads,
+        lambda m: let(
+            F.map_values(m),
+            lambda v: F.when(total(v) > 0, entropy_bits(v)),
+        ),
+    )
+    return let(F.array_compact(bits), lambda found: F.when(F.size(found) > 0, total(found) / F.size(found)))
 
 
 def _flat(listed: Column) -> Column:
@@ -217,7 +272,7 @@ def _position_value(value: Column) -> Column:
 
 def position_entropy(payload: Column) -> Column:
     """Entropy of a JSON payload: mean over positions, or of the flat list; NULL when nothing is usable."""
-    return let(F.try_parse_json(payload), _entropy_of)
+    return _told(payload, lambda told: told.entropy, _entropy_of)
 
 
 def _entropy_of(doc: Column) -> Column:

@@ -13,15 +13,14 @@ from ebbtide.operators.sequence import boundary_pairs
 def top_tokens(tokenised: DataFrame, keys: list[str], order: str, k: int, tokens: str = "tokens") -> DataFrame:
     """Most frequent ``k`` tokens per key with count and share; ties go to the token seen first.
 
-    A row's tokens are counted inside it, so the shuffle sees each of its types once. The first occurrence is a
-    minimum of (row, position) packed into one number, so counting stays one partial hash aggregation. ``order`` is
-    an integer column.
+    The first occurrence is a minimum of (row, position) packed into one number, so counting stays one partial
+    hash aggregation. ``order`` is an integer column.
     """
-    seen = tokenised.select(*keys, order, F.explode(tx.each(tx.positioned(F.col(tokens)))).alias("_g"))
+    seen = tokenised.select(*keys, order, F.posexplode(tx.each(F.col(tokens))).alias("_pos", "token"))
     # positions are below 2^31; a decimal holds any 64-bit row order times that
-    packed = F.col(order).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.get("_g.positions", F.lit(0))
-    seen = seen.select(*keys, F.col("_g.gram").alias("token"), F.col("_g.n").alias("n"), packed.cast("decimal(38,0)").alias("_at"))
-    counts = seen.groupBy(*keys, "token").agg(F.sum("n").alias("n"), F.min("_at").alias("_first"))
+    packed = F.col(order).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_pos")
+    seen = seen.select(*keys, "token", packed.cast("decimal(38,0)").alias("_at"))
+    counts = seen.groupBy(*keys, "token").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("n").desc(), "_first"))
     best = counts.withColumn("token_rank", rank).where(F.col("token_rank") <= k)
     # the totals ask for the same columns as the ranks, so both read one shuffle and the corpus is tokenised once

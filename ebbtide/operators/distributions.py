@@ -163,15 +163,17 @@ def rare_and_new(histogram: DataFrame, percentile: float = 0.1) -> DataFrame:
     The threshold is the percentile of the baseline's type counts. Unseen tokens count 0 and are therefore rare
     whenever the threshold is at least 0.
     """
-    pair = ["current", "baseline"]
-    used = histogram.where("n_base > 0")
-    thresholds = used.groupBy(*pair).agg(F.percentile("n_base", F.lit(percentile), F.col("types")).alias("threshold"))
-    n = F.col("n_cur") * F.col("types")
-    rows = histogram.where("n_cur > 0").join(thresholds, pair, "left")
-    return rows.groupBy(*pair).agg(
-        (F.sum(F.when(F.col("n_base") <= F.col("threshold"), n).otherwise(0)) / F.sum(n) * 100).alias("rare_token_percentage"),
-        (F.sum(F.when(F.col("n_base") == 0, n).otherwise(0)) / F.sum(n) * 100).alias("new_token_percentage"),
+    # conditions stay inside the sums: a filter would give the two branches plans of their own below the shuffle
+    pair, n = ["current", "baseline"], F.col("n_cur") * F.col("types")
+    used = F.when(F.col("n_base") > 0, F.col("n_base"))
+    thresholds = histogram.groupBy(*pair).agg(F.percentile(used, F.lit(percentile), F.col("types")).alias("threshold"), F.sum("n_cur").alias("_read"))
+    rows = histogram.join(thresholds, pair)
+    total = F.nullif(F.sum(n), F.lit(0))
+    stats = rows.groupBy(*pair).agg(
+        (F.sum(F.when(F.col("n_base") <= F.col("threshold"), n).otherwise(0)) / total * 100).alias("rare_token_percentage"),
+        (F.sum(F.when(F.col("n_base") == 0, n).otherwise(0)) / total * 100).alias("new_token_percentage"),
     )
+    return stats.where(F.col("new_token_percentage").isNotNull())
 
 
 def new_tokens(aligned: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.sequence import BUCKET_WIDTH, running_offset
+from ebbtide.session import written
 
 
 def histogram_percentile(df: DataFrame, keys: list[str], value: str, probability: float, out: str) -> DataFrame:
@@ -58,6 +59,7 @@ def exact_percentiles(
         F.min(F.when(F.col("_v") > F.col("hi"), F.col("_v"))).alias("_next"),
     )
     thin = tagged.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).select(*keys, "name", "rank", "_v", "_f")
+    thin = written(thin, "bracket")  # a small part of the rows, read several times
     inside = (
         running_offset(thin, [*keys, "name"], "_v", "_f", width)
         .withColumn("_upto", F.col("start_offset") + F.col("_f"))

@@ -31,22 +31,24 @@ def with_bucket(df: DataFrame, order: str, width: int = BUCKET_WIDTH) -> DataFra
     share of the gap counts, so its place among the edges estimates its quantile. The same rows give the same edges
     each time, so every branch of a plan sees the same buckets. NULLs fall into bucket 0.
     """
-    values = df.select(F.col(order).cast("double").alias("_o")).where("_o is not null")
-    picks = values.orderBy(F.xxhash64("_o")).limit(EDGES).unionByName(values.agg(F.min("_o").alias("_o")))
-    picks = picks.unionByName(values.agg(F.max("_o").alias("_o"))).where("_o is not null")
-    edges = picks.agg(F.sort_array(F.collect_set("_o")).alias("_edges"))
-    value, wanted = F.col(order).cast("double"), F.greatest(F.ceil(F.col("_rows") / F.lit(width)), F.lit(1))
-
-    def place(found: Column) -> Column:
-        at = F.size(F.filter(found, lambda e: e <= value))
-        low, high = F.get(found, at - 1), F.get(found, at)
+    values = df.select(F.col(order).cast("double").alias("_o"))
+    picks = values.where("_o is not null").orderBy(F.xxhash64("_o")).limit(EDGES).agg(F.collect_set("_o").alias("_picks"))
+    facts = values.agg(F.struct(F.count("*").alias("rows"), F.min("_o").alias("least"), F.max("_o").alias("most")).alias("_facts"))
+    value = F.col(order).cast("double")
+
+    def place(edges: Column) -> Column:
+        at = F.size(F.filter(edges, lambda e: e <= value))
+        low, high = F.get(edges, at - 1), F.get(edges, at)
         share = F.when(high > low, (value - low) / (high - low)).otherwise(0.0)
-        return F.floor((at + share) / (F.size(found) + 1) * wanted)
+        wanted = F.greatest(F.ceil(F.col("_facts.rows") / F.lit(width)), F.lit(1))
+        return F.floor((at + share) / (F.size(edges) + 1) * wanted)
 
     # scalar subqueries: evaluated once when the plan runs
-    rows = df.withColumn("_edges", edges.scalar()).withColumn("_rows", row_count(df))
+    rows = df.withColumn("_picks", picks.scalar()).withColumn("_facts", facts.scalar())
+    edges = F.sort_array(F.array_compact(F.array_union(F.array("_facts.least", "_facts.most"), F.col("_picks"))))
+    rows = rows.withColumn("_edges", edges)
     bucket = F.coalesce(let(F.col("_edges"), place), F.lit(0)).cast("long")
-    return rows.withColumn("bucket", bucket).drop("_edges", "_rows")
+    return rows.withColumn("bucket", bucket).drop("_edges", "_picks", "_facts")
 
 
 def bucket_offsets(bucketed: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -87,7 +89,8 @@ def boundary_pairs(
     # no filter on the array's size: it would be pushed below the projection that computes it
     edge = F.struct(F.element_at(tokens, 1).alias("first_token"), F.element_at(tokens, -1).alias("last_token"))
     filled = F.when(F.size(tokens) > 0, F.array(edge)).otherwise(F.array().cast("array<struct<first_token:string,last_token:string>>"))
-    ends = with_bucket(tokenised.select(*keys, order, F.explode(filled).alias("_e")).select(*keys, order, "_e.*"), order, width)
+    ends = with_bucket(tokenised, order, width).select(*keys, order, "bucket", F.explode(filled).alias("_e"))
+    ends = ends.select(*keys, order, "bucket", "_e.*")
     inside = Window.partitionBy(*keys, "bucket").orderBy(order)
     pairs = ends.withColumn("next_token", F.lead("first_token").over(inside))
     edges = ends.groupBy(*keys, "bucket").agg(

@@ -145,17 +145,18 @@ def version_facts(prompts: DataFrame, baselines: DataFrame, profiles: DataFrame)
 def annotated_positions(prompts: DataFrame, baselines: DataFrame, base: DataFrame | None = None, limit: int = BASELINE_PROMPT_LIMIT) -> DataFrame:
     """Per-position annotation ``(prompt_id, position, token, is_new, is_rare)`` of every token of every prompt.
 
-    Positions of equal tokens travel as one row per prompt and distinct token to the baseline's grams.
+    No row meets another prompt; a token is looked up among the grams of its baseline.
     """
     profiles = baseline_profiles(baseline_prompts(prompts, limit, keys=baselines) if base is None else base)
     facts = written(baselines.join(profiles.select("baseline", "base_tokens", "threshold"), "baseline", "left"), "version-facts")
-    own = prompts.select("prompt_id", "model_version_id", F.explode(tx.positioned(F.col("tokens"))).alias("_g"))
-    own = own.select("prompt_id", "model_version_id", "_g.gram", "_g.positions").join(facts, "model_version_id")
+    own = prompts.join(facts, "model_version_id").select(
+        "prompt_id", "baseline", "base_tokens", "threshold", F.posexplode(tx.each(F.col("tokens"))).alias("position", "gram")
+    )
     grams = baseline_grams(profiles).where(F.col("kind") == TOKEN).drop("kind")
     m, has_base = F.coalesce("m", F.lit(0)), F.col("base_tokens").isNotNull()
     return own.join(grams, ["baseline", "gram"], "left").select(
         "prompt_id",
-        F.explode("positions").alias("position"),
+        "position",
         F.col("gram").alias("token"),
         (has_base & (m == 0)).alias("is_new"),
         F.coalesce(has_base & (m <= F.col("threshold")), F.lit(False)).alias("is_rare"),

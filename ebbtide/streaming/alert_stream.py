@@ -2,9 +2,10 @@
 
 What a condition can still look at is small: of a version its newest N snapshots, the latest one at all and the latest
 that did not meet the condition (a window of W minutes is met when the former lies inside it and the latter before).
-These rows are the state, kept by Spark's state store per version and updated with the versions that a batch touches;
-its size follows the versions, not the snapshots seen. The same reduction runs inside every task before the shuffle, so
-a version that sends a third of a batch reaches its state as a few rows per task.
+These rows are the state. Spark's state store keeps them per bucket of versions (a hash of the version), so that a task
+works on many versions at a time, and updates the buckets that a batch touches; the state's size follows the versions,
+not the snapshots seen. The same reduction runs inside every task before the shuffle, so a version that sends a third
+of a batch reaches its bucket as a few rows per task.
 
 Each batch emits the kept rows of the versions it touched, and the batch plan's reductions turn them into alerts. Alerts
 and the moment of a batch (the latest ``calculated_at`` seen so far, never the wall clock) are written under the batch
@@ -28,6 +29,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ebbtide.functions import predicates as pr
 from ebbtide.operators import alerts as al
 
+#: Buckets of versions; a stream's checkpoint belongs to its number.
+BUCKETS = 256
 #: A judged snapshot: times in microseconds.
 JUDGED = "condition_id string, period_us long, snapshot_id long, calculated_us long, value double, met boolean"
 _EPOCH = datetime(1970, 1, 1)
@@ -53,6 +56,7 @@ def retained(rows: pd.DataFrame, newest: dict[str, int]) -> pd.DataFrame:
 
     Of a union it keeps the same rows as of the union of what it kept of the parts.
     """
+    rows = rows.drop(columns="bucket", errors="ignore")
     keys = ["model_version_id", "condition_id"]
     by_age = rows.sort_values(["period_us", "snapshot_id"], ascending=False, kind="stable")
     fresh = by_age[by_age.groupby(keys, dropna=False).cumcount() < by_age["condition_id"].map(newest)]
@@ -78,14 +82,16 @@ def _reduced(parts: Iterator[pd.DataFrame], newest: dict[str, int]) -> Iterator[
 
 
 def _updated(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, newest: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """A bucket's state after a batch; emits the kept rows of the versions that the batch touched."""
+    arrived = next(_reduced(parts, newest))
     known = [pa.ipc.open_stream(state.get[0]).read_pandas()] if state.exists else []
-    kept = next(_reduced(iter([*known, *parts]), newest)).reset_index(drop=True)
+    kept = retained(pd.concat([*known, arrived], ignore_index=True), newest)
     table = pa.Table.from_pandas(kept, preserve_index=False)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     state.update((sink.getvalue().to_pybytes(),))
-    yield kept
+    yield kept[kept["model_version_id"].isin(arrived["model_version_id"])]
 
 
 def outcomes_of(kept: DataFrame, conditions: DataFrame, as_of: datetime) -> DataFrame:
@@ -126,8 +132,8 @@ def start_alert_stream(
     key = f"model_version_id {snapshots.schema['model_version_id'].dataType.simpleString()}"
     layout = f"{key}, {JUDGED}"
     reduced = rows.mapInPandas(partial(_reduced, newest=newest), layout)
-    # what a batch emits of a version: its kept rows
-    kept = reduced.groupBy("model_version_id").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("model_version_id"), F.lit(BUCKETS)).cast("int")
+    kept = reduced.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
         partial(_updated, newest=newest), layout, "kept binary", "update", GroupStateTimeout.NoTimeout
     )
 

@@ -53,7 +53,7 @@ def test_alert_stream_equals_batch(spark, tmp_path):
         want = entries(al.all_alerts(seen, thresholds, rules, items, as_of))
         got = entries(ast.read_alerts(spark, folder).where(F.col("batch_id") == part))
         assert got == want, part
-    assert sizes == [2, 2, 2]  # one state per version, whatever has been seen
+    assert sizes == [2, 2, 2]  # two versions in two buckets, whatever has been seen
     assert sorted(p.name for p in (tmp_path / "moment").iterdir() if not p.name.startswith(".")) == ["batch_id=1", "batch_id=2"]
 
 
