@@ -7,19 +7,19 @@ text) / length of the document.
 
 Training text is a bounded sample: per language ``BUCKETS`` passages of ``PASSAGE`` characters, one per hash bucket
 (``common.sampled_passages``), so an automaton has at most twice as many states as its text has characters. Every
-document is parsed whole. Case, digits, marks and runs of anything but letters carry no language: letters are lowered
-and all else becomes one space.
+document is parsed whole, in one pass. Case, digits, marks and runs of anything but letters (Unicode category L) carry no
+language: letters are lowered and all else becomes one space.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +27,15 @@ from ebbtide.llm.common import in_pieces, sampled_passages, table
 from ebbtide.llm.queries import register
 
 BUCKETS, PASSAGE = 128, 256
-#: Characters of a stretch; stretches of a text are parsed on their own, all at once.
-STRETCH = 2048
+#: Texts that still take steps together; fewer are parsed on one by one.
+TOGETHER = 64
 #: Cells of a transition table up to which it is held whole.
 CELLS = 24_000_000
 #: Rows parsed together.
 ROWS = 2000
 UNKNOWN = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters are what Unicode calls so; signs such as a half or a Roman numeral are none.
+_NO_LETTERS = regex.compile(r"\P{L}+")
 
 
 def plain(text: str) -> str:
@@ -72,6 +73,13 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return following
 
 
+class _Sparse(dict):
+    """State and letter -> state; none is 0."""
+
+    def __missing__(self, key: int) -> int:
+        return 0
+
+
 class Transitions:
     """The transitions of all languages' automata in one table; state 0 means that there is none."""
 
@@ -90,7 +98,7 @@ class Transitions:
             total += len(automaton)
         order = np.argsort(keys)
         self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
-        self.whole = None
+        self.whole = self.look = None
         if total * self.width <= CELLS:
             self.whole = np.zeros(total * self.width, np.int32)
             self.whole[self.keys] = self.targets
@@ -103,6 +111,23 @@ class Transitions:
         return np.where(self.keys[k] == key, self.targets[k], 0)
 
 
+    def parsed(self, codes: list[int], state: int, start: int) -> tuple[int, int]:
+        """Phrases that end while one language reads letters from a state on, and the state behind them."""
+        if self.look is None:
+            self.look = memoryview(self.whole) if self.whole is not None else _Sparse(zip(self.keys.tolist(), self.targets.tolist()))
+        look, width, ended = self.look, self.width, 0
+        for code in codes:
+            following = look[state * width + code]
+            if not following:
+                ended += state != start
+                following = look[start * width + code]
+                if not following:
+                    ended += 1
+                    following = start
+            state = following
+        return ended, state
+
+
 class LanguageModel:
     def __init__(self, passages: tuple[tuple[str, str], ...]):
         parts: dict[str, list[str]] = {}
@@ -118,24 +143,21 @@ class LanguageModel:
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases in the cross-parsing of each text (a row) by each language (a column).
 
-        A phrase is the longest match from its place on; a letter that the language never shows is a phrase. Texts are
-        cut into stretches; all stretches and languages take a step at a time together.
+        A phrase is the longest match from its place on; a letter that the language never shows is a phrase. All texts
+        and languages take a step at a time together; the few longest texts go on alone from where they stand.
         """
         t = self.transitions
-        lengths = np.array([len(x) for x in texts], np.int64)
+        size = np.array([len(x) for x in texts], np.int64)
         codes = t.code[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
-        stretches = -(-lengths // STRETCH)
-        text = np.repeat(np.arange(len(texts)), stretches)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
-        begin = (np.cumsum(lengths) - lengths)[text] + nth * STRETCH
-        size = np.minimum(STRETCH, lengths[text] - nth * STRETCH)
+        begin = np.cumsum(size) - size
         order = np.argsort(-size, kind="stable")
-        begin, size, text = begin[order], size[order], text[order]
+        begin, size = begin[order], size[order]
         starts = np.array(t.starts, np.int32)[:, None]
         counts = np.zeros((len(starts), len(begin)), np.int64)
         state = np.repeat(starts, len(begin), axis=1)
         active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
-        for k, n in enumerate(active):
+        shared = int(np.searchsorted(-active, -TOGETHER, side="right"))
+        for k, n in enumerate(active[:shared]):
             own, code = state[:, :n], codes[begin[:n] + k]
             following = t.step(own, code)
             ended = following == 0
@@ -145,11 +167,15 @@ class LanguageModel:
                 counts[:, :n] += ended & (again == 0)
                 following = np.where(ended, np.where(again == 0, starts, again), following)
             state[:, :n] = following
+        for i in np.flatnonzero(size > shared):
+            rest = codes[begin[i] + shared : begin[i] + size[i]].tolist()
+            for language, start in enumerate(t.starts):
+                more, state[language, i] = t.parsed(rest, int(state[language, i]), int(start))
+                counts[language, i] += more
         counts += state != starts
-        total = np.zeros((len(starts), len(texts)), np.int64)
-        for row, own in zip(total, counts):
-            np.add.at(row, text, own)
-        return total.T
+        total = np.empty((len(texts), len(starts)), np.int64)
+        total[order] = counts.T
+        return total
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         letters = [plain(t) if t else "" for t in texts]
