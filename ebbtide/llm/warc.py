@@ -28,8 +28,9 @@ from ebbtide.llm.queries import register
 from ebbtide.session import shared_dir, written
 
 MIN_REVISIT = 1000
-#: Bound of the dictionary and of its training sample: one record per hash bucket, its first bytes only.
-DICTIONARY_BYTES, SAMPLE_BUCKETS, SAMPLE_BYTES = 65_536, 512, 8_192
+#: Bound of the dictionary and of its training sample: one record per hash bucket, with so many characters of its
+#: payload from a place that a hash names.
+DICTIONARY_BYTES, SAMPLE_BUCKETS, SAMPLE_CHARS = 65_536, 512, 8_192
 ARCHIVE_BYTES = 64 << 20
 #: Fixed value: magic number of the leading skippable frame.
 SKIPPABLE = 0x184D2A5D
@@ -80,10 +81,14 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: one without a scheme lies in Spark's default file system, wherever it is opened."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def _open(uri: str):
-    """File system and path of a URI or of a local path."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
+    """File system and path of a URI."""
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
@@ -120,10 +125,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", paylo
     A null payload counts as empty, a null url gives a record without target. Rows that repeat an id are all written.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(payload_col).alias("html"), F.col(url_col).cast("string").alias("url"))
+    folder = _qualified(pages.sparkSession, folder)
     sample = pages.where("html is not null").groupBy(F.pmod(F.xxhash64("page_id"), F.lit(SAMPLE_BUCKETS)).alias("bucket"))
-    least = F.min(F.struct(F.xxhash64("page_id", F.lit("order")).alias("o"), F.substring("html", 1, SAMPLE_BYTES).alias("h")))
-    samples = [r[1].encode() for r in sorted(sample.agg(least.alias("least")).select("bucket", "least.h").collect())]
-    dictionary = train_dictionary([s for s in samples if s])
+    # a slice of the payload from a place that the page's hash names
+    at = F.lit(1) + F.pmod(F.xxhash64("page_id", F.lit("at")), F.greatest(F.lit(1), F.length("html") - SAMPLE_CHARS + 1))
+    part = F.substring("html", at.cast("int"), F.lit(SAMPLE_CHARS))
+    least = F.min(F.struct(F.xxhash64("page_id", F.lit("order")).alias("o"), F.col("page_id").cast("long").alias("p"), "url", part.alias("h")))
+    rows = sample.agg(least.alias("least")).select("bucket", "least.p", "least.url", "least.h").collect()
+    slices = [(p, url, h.encode()) for _, p, url, h in sorted(rows, key=lambda r: r[0])]
+    # records as they are archived, headers and all
+    dictionary = train_dictionary([_record(p, url, h, hashlib.sha1(h).hexdigest(), None) for p, url, h in slices])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _dictionary(dictionary)
@@ -196,7 +207,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for uri in part.column(0).to_pylist():
                 yield from in_pieces(rows(uri), "lslssly", names, 500)
 
-    return manifest.select("archive").repartition("archive").mapInArrow(
+    # a task per archive: by the manifest's few bytes alone, very many archives would count as one task's work
+    return manifest.select("archive").repartition(max(1, manifest.count())).mapInArrow(
         run,
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary",
     )
