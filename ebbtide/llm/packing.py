@@ -16,17 +16,17 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import BoundedCache, in_pieces, table, texts
+from ebbtide.llm.common import BoundedCache, in_pieces, slices, table, texts
 from ebbtide.llm.queries import register
 from ebbtide.session import written
 
@@ -37,6 +37,8 @@ END_ID = 1
 ASK, BETWEEN = 1024, "~"
 #: Words whose ids a worker keeps.
 KNOWN = 1_000_000
+#: Bytes of text whose words are looked up together (one row at least).
+TOGETHER = 2_000_000
 
 
 class WordIds:
@@ -55,7 +57,7 @@ class WordIds:
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Ask for many new words as one text, a known id between them: far fewer calls than a call for each word."""
         apart = BETWEEN.encode()
         fresh = [w for w in words if len(w) <= 64 and w not in self.ids and apart not in w]
@@ -71,8 +73,27 @@ class WordIds:
             whole, begins, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
             self.ids.update(zip(some, (whole[a:b] for a, b in zip(begins, ends))))
 
-    def of(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.ids.__getitem__, words))
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, the end id behind each text; how many ids each text has.
+
+        Each distinct word is looked up once; its ids are then gathered for all places where it stands.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.view(pa.string()), ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_pylist()
+        self.learn(words)
+        known = [self.ids[w] for w in words]
+        sizes = np.fromiter(map(len, known), np.int64, count=len(known)) // 4
+        ids, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        many = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        cuts = split.offsets.to_numpy()
+        counts = np.diff(ends[cuts - cuts[0]])
+        where = np.repeat(begins[word] - ends[:-1], many) + np.arange(ends[-1])
+        out = np.full(ends[-1] + len(counts), END_ID, "<u4")
+        out[np.arange(ends[-1]) + np.repeat(np.arange(len(counts)), counts)] = ids[where]
+        return out, counts + 1
 
 
 @lru_cache(maxsize=2)
@@ -96,22 +117,21 @@ def token_pieces(
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part_id, seen = _word_ids(vocabulary), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        end = np.array([END_ID], "<u4").tobytes()
 
         def pieces(batch):
-            split = [t.split() if t else [] for t in batch.column(1).to_pylist()]
-            coder.learn(set(chain.from_iterable(split)))
-            for doc_id, words in zip(batch.column(0).to_pylist(), split):
-                ids = coder.of(words) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    length = len(own) // 4
-                    yield doc_id, k, at // 4, length, zlib.crc32(own), part_id, seen[length]
+            ids, counts = coder.of(batch.column(1))
+            own, at = ids.tobytes(), 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist()):
+                for k, start in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - start)
+                    crc = zlib.crc32(own[4 * (at + start) : 4 * (at + start + length)])
+                    yield doc_id, k, start, length, crc, part_id, seen[length]
                     seen[length] += 1
+                at += n
 
         for batch in parts:
-            for i in range(0, batch.num_rows, 500):
-                yield from in_pieces(pieces(batch.slice(i, 500)), "lilllil", [c.split()[0] for c in PIECES.split(", ")])
+            for some in slices(batch, 1, TOGETHER):
+                yield from in_pieces(pieces(some), "lilllil", [c.split()[0] for c in PIECES.split(", ")])
 
     return texts(docs, id_col, text_col).mapInArrow(run, PIECES)
 
