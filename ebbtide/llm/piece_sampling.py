@@ -10,14 +10,13 @@ Draws are a hash of (seed, row key, unit number, step), never of the batch or ta
 segmentation. The lattices of a batch's distinct units lie in flat arrays, and all its units are walked at once.
 
 Decoding puts the bytes of the pieces together and takes off the leading space: exactly the text, whatever it holds
-(the block character itself is written in bytes). Units are cut after ``LONGEST`` characters, so a lattice is bounded.
-A null text stays null and has no pieces; an empty text has none either.
+(the block character itself is written in bytes). A unit of any length has one lattice, and a text is taken in groups of
+whole units, so memory follows the longest unit. A null text stays null and has no pieces; an empty text has none either.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,11 +33,9 @@ from ebbtide.llm.common import mixed, slices, table
 from ebbtide.llm.queries import register
 
 SPACE = "▁"
-ALPHA, SEED, LONGEST = 1.0, 17, 256
-#: Bytes of text whose lattices are built together (one row at least).
-TOGETHER = 2_000_000
-#: A part never begins with the block character unless that stands for the space in front of a unit.
-_PARTS = re.compile(f"(?s).{{1,{LONGEST}}}{SPACE}*")
+ALPHA, SEED = 1.0, 17
+#: Characters whose lattices are built together (one unit at least), and bytes of text that a slice of a batch holds.
+TOGETHER, SLICE = 250_000, 1_000_000
 _STEP, _UNIT, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(42)
 
 
@@ -120,6 +117,7 @@ class Lattices:
         rest_letters = np.where(inner[rest] | (letters[rest] != ord(SPACE)), letters[rest], ord(" "))
         found.append((rest, rest, pieces.size + rest_letters, pieces.byte_weight * utf8_length(rest_letters)))
         start, end, ids, weight = (np.concatenate(x) for x in zip(*found))
+        del found, at, value, codes, left
         order = np.argsort(end, kind="stable")
         start, end, self.ids, weight = start[order], end[order], ids[order], weight[order]
         self.before = np.where(start == begin[start], -1, start - 1)
@@ -191,27 +189,33 @@ def piece_hash_step(value: np.ndarray, letters: np.ndarray) -> np.ndarray:
 
 
 def sample(pieces: Pieces, rows: list[list[str]], seeds: np.ndarray) -> list[np.ndarray]:
-    """Piece ids of each row, given its units and its seed."""
-    number: dict[str, int] = defaultdict(count().__next__)
+    """Piece ids of each row, given its units and its seed.
+
+    Units are taken in groups of about ``TOGETHER`` characters, whatever row they stand in; a unit is never cut.
+    """
     counts = np.array([len(r) for r in rows], np.int64)
     n = int(counts.sum())
     if not n:
         return [np.zeros(0, np.int32) for _ in rows]
-    units = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.int64, count=n)
+    flat = list(chain.from_iterable(rows))
     nth = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     keys = mixed(np.repeat(seeds, counts) + (nth.astype(np.uint64) + np.uint64(1)) * _UNIT)
-    ids, many = Lattices(pieces, list(number)).walk(units, keys)
-    cuts = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(counts)])]
+    ends = np.cumsum(np.fromiter(map(len, flat), np.int64, count=n))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // TOGETHER)) + 1).tolist(), n]
+    found, many = [], []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        number: dict[str, int] = defaultdict(count().__next__)
+        units = np.fromiter(map(number.__getitem__, flat[a:b]), np.int64, count=b - a)
+        ids, taken = Lattices(pieces, list(number)).walk(units, keys[a:b])
+        found.append(ids)
+        many.append(taken)
+    ids = np.concatenate(found)
+    cuts = np.concatenate([[0], np.cumsum(np.concatenate(many))])[np.concatenate([[0], np.cumsum(counts)])]
     return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def units(text: str | None) -> list[str]:
-    if not text:
-        return []
-    whole = [SPACE + x for x in text.split(" ")]
-    if max(map(len, whole)) <= LONGEST:
-        return whole
-    return [part for x in whole for part in _PARTS.findall(x)]
+    return [SPACE + x for x in text.split(" ")] if text else []
 
 
 @lru_cache(maxsize=2)
@@ -232,7 +236,7 @@ def encode_sampled(
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary, alpha)
         for whole in parts:
-            for part in slices(whole, 1, TOGETHER):
+            for part in slices(whole, 1, SLICE):
                 keys, rows = part.column(0).to_pylist(), [units(t) for t in part.column(1).to_pylist()]
                 seeds = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{k}") for k in keys], np.uint64)
                 found = sample(pieces, rows, seeds)
