@@ -34,8 +34,8 @@ from ebbtide.llm.queries import register
 
 SPACE = "▁"
 ALPHA, SEED = 1.0, 17
-#: Characters whose lattices are built together (one unit at least), and bytes of text that a slice of a batch holds.
-TOGETHER, SLICE = 250_000, 1_000_000
+#: Characters of distinct units whose lattices are built together (one unit at least), and bytes of text of a slice.
+TOGETHER, SLICE = 125_000, 3_000_000
 _STEP, _UNIT, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(42)
 
 
@@ -191,27 +191,33 @@ def piece_hash_step(value: np.ndarray, letters: np.ndarray) -> np.ndarray:
 def sample(pieces: Pieces, rows: list[list[str]], seeds: np.ndarray) -> list[np.ndarray]:
     """Piece ids of each row, given its units and its seed.
 
-    Units are taken in groups of about ``TOGETHER`` characters, whatever row they stand in; a unit is never cut.
+    Distinct units are taken in groups of about ``TOGETHER`` characters, whatever rows they stand in; a unit is never cut.
     """
     counts = np.array([len(r) for r in rows], np.int64)
     n = int(counts.sum())
     if not n:
         return [np.zeros(0, np.int32) for _ in rows]
-    flat = list(chain.from_iterable(rows))
+    number: dict[str, int] = defaultdict(count().__next__)
+    own = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.int64, count=n)
+    distinct = list(number)
     nth = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
     keys = mixed(np.repeat(seeds, counts) + (nth.astype(np.uint64) + np.uint64(1)) * _UNIT)
-    ends = np.cumsum(np.fromiter(map(len, flat), np.int64, count=n))
-    cuts = [0, *(np.flatnonzero(np.diff(ends // TOGETHER)) + 1).tolist(), n]
-    found, many = [], []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        number: dict[str, int] = defaultdict(count().__next__)
-        units = np.fromiter(map(number.__getitem__, flat[a:b]), np.int64, count=b - a)
-        ids, taken = Lattices(pieces, list(number)).walk(units, keys[a:b])
-        found.append(ids)
-        many.append(taken)
-    ids = np.concatenate(found)
-    cuts = np.concatenate([[0], np.cumsum(np.concatenate(many))])[np.concatenate([[0], np.cumsum(counts)])]
-    return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    ends = np.cumsum(np.fromiter(map(len, distinct), np.int64, count=len(distinct)))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // TOGETHER)) + 1).tolist(), len(distinct)]
+    by_unit = np.argsort(own, kind="stable")
+    places = np.searchsorted(own[by_unit], cuts)
+    many, found = np.zeros(n, np.int64), []
+    for a, b, first, last in zip(cuts[:-1], cuts[1:], places[:-1], places[1:]):
+        at = by_unit[first:last]
+        ids, many[at] = Lattices(pieces, distinct[a:b]).walk(own[at] - a, keys[at])
+        found.append((at, ids))
+    begins = np.cumsum(many) - many
+    out = np.zeros(int(many.sum()), np.int32)
+    for at, ids in found:
+        taken = many[at]
+        out[np.repeat(begins[at] - (np.cumsum(taken) - taken), taken) + np.arange(len(ids))] = ids
+    cuts = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(counts)])]
+    return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def units(text: str | None) -> list[str]:
