@@ -306,6 +306,16 @@ def dead_rules(conditions: DataFrame, known: list[str] | None = None) -> DataFra
     return conditions.withColumn("is_dead", ~F.col("metric_name").isin(known or BENCHMARK_RESULT_METRICS))
 
 
+def observed_conditions(conditions: DataFrame, observed: DataFrame) -> DataFrame:
+    """Conditions with the number of observed values of their metric (``observed``: one row per value, ``metric_name``).
+
+    ``is_dead`` marks conditions on metrics that never occur in the data.
+    """
+    samples = observed.where("metric_name is not null").groupBy("metric_name").agg(F.count("*").alias("_samples"))
+    counted = conditions.join(samples, "metric_name", "left")
+    return counted.withColumn("samples", F.coalesce("_samples", F.lit(0).cast("long"))).drop("_samples").withColumn("is_dead", F.col("samples") == 0)
+
+
 def all_alerts(
     snapshots: DataFrame, thresholds: DataFrame, rules: DataFrame, items: DataFrame, as_of: datetime
 ) -> DataFrame:

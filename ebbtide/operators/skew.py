@@ -17,11 +17,11 @@ def hot_key_join(
 ) -> DataFrame:
     """Equi-join where rows of the keys in ``hot`` are spread over ``salts`` tasks.
 
-    ``hot`` lists the keys with more than a threshold of left rows, so it has at most ``rows / threshold`` entries
-    and may be broadcast. Only those keys are salted on the left and copied ``salts`` times on the right; all
+    ``hot`` lists the keys with more than a threshold of left rows; it carries no hint, so a written table of it is
+    broadcast where its size allows. Only those keys are salted on the left and copied ``salts`` times on the right; all
     others join as usual. The result equals the plain join.
     """
-    hot = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
+    hot = hot.select(*keys).distinct().withColumn("_hot", F.lit(True))
     salted_left = left.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
     )

@@ -149,8 +149,10 @@ def start_alert_stream(
             as_of = _EPOCH + timedelta(microseconds=max(seen))
             spark.createDataFrame([(max(seen),)], "as_of_us long").write.mode("overwrite").parquet(f"{folder}/moment/batch_id={batch_id}")
             if latest is not None:
-                alerts = al.alerts_of(outcomes_of(batch, conditions, as_of), thresholds, rules, items)
+                outcomes = outcomes_of(batch, conditions, as_of).persist()  # three kinds of alerts read them
+                alerts = al.alerts_of(outcomes, thresholds, rules, items)
                 alerts.withColumn("as_of", F.lit(as_of)).write.mode("overwrite").parquet(f"{folder}/alerts/batch_id={batch_id}")
+                outcomes.unpersist()
         finally:
             batch.unpersist()
         # batch_id - 1 is needed if this batch is repeated, those before it are not

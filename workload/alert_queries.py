@@ -221,7 +221,6 @@ def x14(spark, d):
 )
 def l02b(spark, d):
     """Thresholds on metrics that never occur in the data."""
-    samples = tb.table(spark, d, "events").groupBy(F.col("event_type").alias("metric_name")).agg(F.count("*").alias("samples"))
-    flagged = tb.thresholds(spark).join(samples, "metric_name", "left").withColumn("is_dead", F.col("samples").isNull())
-    return flagged.select("threshold_id", "metric_name", F.coalesce("samples", F.lit(0)).alias("samples"), "is_dead")
-
+    values = tb.table(spark, d, "events").select(F.col("event_type").alias("metric_name"))
+    flagged = al.observed_conditions(tb.thresholds(spark), values)
+    return flagged.select("threshold_id", "metric_name", "samples", "is_dead")
