@@ -373,13 +373,16 @@ def _settled(open_, edges, groups, followers, sets, held):
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id. Rows without id all stay.
+    """``docs`` with one row of each component: that of the smallest id, then of the smallest hash of id and text.
 
-    Of rows that repeat the smallest id one stays.
+    Rows are told apart by a 64-bit hash of id and text, so rows that share an id but not the text are documents of
+    their own; of rows equal in both, one stays. Rows without id all stay.
     """
-    found = ngram_components(docs, id_col, text_col).where("doc_id is not null")
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
+    marked = docs.where(F.col(id_col).isNotNull()).withColumn("_row", F.xxhash64(id_col, text_col))
+    found = ngram_components(marked, "_row", text_col).distinct()
+    named = found.join(marked.select(F.col("_row").alias("doc_id"), F.col(id_col).alias("_id")), "doc_id")
+    chosen = named.groupBy("component_id").agg(F.min(F.struct("_id", "doc_id")).alias("_least")).select(F.col("_least.doc_id").alias("_row"))
+    kept = marked.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
     return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
 
 
