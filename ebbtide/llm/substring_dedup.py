@@ -244,24 +244,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The words left of a changed text are joined by single spaces; a text may end up empty.
     """
-    marked = marked_texts(docs, id_col, text_col, docs.columns)
+    others = [c for c in docs.columns if c != text_col]
+    marked = marked_texts(docs, id_col, text_col, others)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = [
-                b" ".join(remaining(words_of(t), r)).decode() if r else None
+                b" ".join(remaining(words_of(t), r)) if r else t
                 for t, r in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist())
             ]
-            others = part.drop_columns(["text", "ranges"])
-            yield pa.RecordBatch.from_arrays([*others.columns, pa.array(texts, pa.string())], names=[*others.schema.names, "changed"])
+            own = part.drop_columns(["text", "ranges"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.binary())], names=[*own.schema.names, "left"])
 
-    columns = [c for c in marked.columns if c.startswith("kept_")]
-    kept = marked.select(*columns, "text", "ranges")
-    schema = marked.select(*columns).withColumn("changed", F.lit(None).cast("string")).schema
+    # the text travels once, as bytes, beside the other columns
+    kept = marked.select(*(f"kept_{c}" for c in others), "text", "ranges")
+    schema = kept.drop("text", "ranges").withColumn("left", F.lit(None).cast("binary")).schema
     rows = kept.mapInArrow(run, schema)
-    return rows.select(
-        *((F.coalesce("changed", f"kept_{c}") if c == text_col else F.col(f"kept_{c}")).alias(c) for c in docs.columns)
-    )
+    return rows.select(*((F.col("left").cast("string") if c == text_col else F.col(f"kept_{c}")).alias(c) for c in docs.columns))
 
 
 @register("op3_substring_dedup")
