@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.functions.vectors import let
 from ebbtide.llm.common import table
 from ebbtide.llm.queries import register
 from ebbtide.session import written
@@ -50,26 +51,55 @@ _TOKEN = rf"(?:\G|(?<![^{_ENDS}]))[^{_ENDS}0-9@]*+[0-9@][^{_ENDS}]*+"
 INSTANCE = rf"{_HEX}|{_RUN}|{_TOKEN}"
 _PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 MIN_SEEDS, RELIABLE, ACCEPT = 5, 0.8, 0.45
+#: Values summed in one run, see _running.
+RUN = 256
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
 PLACES = "array<struct<start:int,end:int,match:string,before:string,behind:string>>"
 
 
-def _in_order(found: Column, gaps: Column) -> Column:
-    """Matches and the gaps around them as (start, end, match, what stands before, what stands behind)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+def _sums(few: Column) -> Column:
+    """Running sums of a short array; each step copies what it has so far."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        row = F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"), x["gap"].alias("before"), x["next"].alias("behind"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+
+    return F.aggregate(few, start, step, lambda acc: acc["out"])
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums in two levels, of runs of ``RUN`` values and of the runs' totals, so that long texts stay cheap."""
+
+    def in_runs(values: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))
+        return let(F.transform(numbers, lambda c: _sums(F.slice(values, c * RUN + 1, RUN))), shifted)
+
+    def shifted(runs: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), _sums(F.transform(runs, lambda r: F.element_at(r, -1))))
+        moved = F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), lambda r, o: F.transform(r, lambda x: x + o))
+        return F.flatten(moved)
+
+    return let(lengths, lambda values: F.when(F.size(values) > 0, in_runs(values)).otherwise(F.array().cast("array<int>")))
 
+
+def _in_order(found: Column, gaps: Column) -> Column:
+    """Matches and the gaps around them as (start, end, match, what stands before, what stands behind)."""
     # zipped, not looked up: a lambda would split the text anew for each match
     steps = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
     steps = F.zip_with(steps, F.slice(gaps, 2, F.size(gaps)), lambda x, g: F.struct(x["match"].alias("match"), x["gap"].alias("gap"), g.alias("next")))
-    return F.aggregate(F.filter(steps, lambda x: x["match"].isNotNull()), start, step, lambda acc: acc["out"])
+
+    def placed(kept: Column) -> Column:
+        ends = _running(F.transform(kept, lambda x: F.length(x["gap"]) + F.length(x["match"])))
+
+        def row(x: Column, end: Column) -> Column:
+            begin = end - F.length(x["match"])
+            return F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match"), x["gap"].alias("before"), x["next"].alias("behind"))
+
+        return F.zip_with(kept, ends, row)
+
+    return let(F.filter(steps, lambda x: x["match"].isNotNull()), placed)
 
 
 def _placed(text: Column, pattern: str) -> Column:
