@@ -36,6 +36,8 @@ SPACE = "▁"
 ALPHA, SEED = 1.0, 17
 #: Characters of distinct units whose lattices are built together (one unit at least), and bytes of text of a slice.
 TOGETHER, SLICE = 125_000, 3_000_000
+#: Piece ids that are spelled together (one row at least).
+IDS = 1_000_000
 _STEP, _UNIT, _SLOT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(42)
 
 
@@ -63,6 +65,9 @@ class Pieces:
                 self.spelled.append(piece.replace(SPACE, " ").encode())
                 if SPACE not in piece[1:]:  # a run of spaces is a unit for each space
                     usable.append((piece, i, -alpha * math.log(max(1.0, 1 - own.get_score(i)))))
+        self.bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.sizes = np.array([len(x) for x in self.spelled], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         self.weights = {piece: (i, w) for piece, i, w in usable}
         self.longest = max(len(p) for p, _, _ in usable)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -255,14 +260,31 @@ def encode_sampled(
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
+def spelled_texts(pieces: Pieces, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The text of each row, given the piece ids of all rows end to end and how many each row has: their bytes less the first."""
+    sizes = pieces.sizes[ids]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    data = pieces.bytes[np.repeat(pieces.begins[ids] - ends[:-1], sizes) + np.arange(ends[-1])]
+    rows = ends[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+    some = rows[1:] > rows[:-1]
+    kept = np.ones(len(data), bool)
+    kept[rows[:-1][some]] = False
+    offsets = np.concatenate([[0], np.cumsum(np.diff(rows) - some)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data[kept])])
+
+
 def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Adds ``decoded``, the text that ``ids`` spell, to (doc_id, text, ids)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = _pieces(vocabulary, ALPHA).spelled.__getitem__
-        for part in parts:
-            texts = [b"".join(map(spell, ids))[1:].decode() for ids in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
+        pieces = _pieces(vocabulary, ALPHA)
+        for whole in parts:
+            counts = np.diff(whole.column(2).offsets.to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(counts, dtype=np.int64) // IDS)) + 1).tolist(), len(counts)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                part = whole.slice(a, b - a)
+                texts = spelled_texts(pieces, part.column(2).flatten().to_numpy(), counts[a:b])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "text", "ids", "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
