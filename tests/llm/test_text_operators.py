@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,6 +63,19 @@ def test_packing_is_gapless_and_exact(spark, rows):
     assert all(n <= 4096 for n in by_sequence.values())
 
 
+def test_packing_ids_of_random_strings():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, library = packing._word_ids(path), Tokenizer.from_file(path)
+    rng = random.Random(4)
+    letters = "aAbB zé.É,!?;:' \n\t'sS1½ΣΟσ.ßİ\u0307é(\")~<|endoftext|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", None, " ", "it's. It'S! don't, ΟΔΟΣ. ΟΔΟΣ", "x" * 300 + ". Y", "a ~ b ~.", "İ.", "<|endoftext|>", "a<|EndOfText|> B.", "A <|startoftext|>b."]
+    ids, counts = coder.of(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends):
+        assert ids[a:b].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, packing.END_ID], text
+
+
 def test_fullest_bin_against_enumeration():
     rng = random.Random(2)
     for _ in range(200):
@@ -92,6 +106,34 @@ def test_cross_parsing_against_its_definition():
     assert model.phrases(texts).tolist() == [[brute(t, x) for t in trains] for x in texts]
 
 
+@pytest.mark.parametrize("cells", [language_id.CELLS, 0])
+def test_long_texts_are_parsed_without_a_cut(monkeypatch, cells):
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    rng = random.Random(5)
+    trains = ["".join(rng.choice("abcd ") for _ in range(500)) for _ in range(2)]
+    model = language_id.LanguageModel(tuple(zip("xy", trains)))
+    trains = [language_id.plain(t) for t in trains]
+    texts = ["".join(rng.choice("abcde ") for _ in range(n)) for n in (20_000, 3, 7000, *[40] * 100)]
+
+    def brute(train, text):
+        i = n = 0
+        while i < len(text):
+            j = i + 1
+            while j <= len(text) and text[i:j] in train:
+                j += 1
+            i, n = max(j - 1, i + 1), n + 1
+        return n
+
+    assert model.phrases(texts).tolist() == [[brute(t, x) for t in trains] for x in texts]
+
+
+def test_signs_that_are_no_letters():
+    model = language_id.LanguageModel((("x", "some text"), ("y", "anderer satz")))
+    found = model.predict(["½ ² ①", "Ⅷ ⅻ", "٣ 7", "", None, "é", "some Ⅷ text"])
+    assert [f[0] for f in found[:5]] == ["und"] * 5 and found[0][1] == 0.0
+    assert found[5][0] != "und" and found[6][0] == "x" and language_id.plain("some Ⅷ½ text") == "some text"
+
+
 def test_language_of_held_out_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
@@ -114,6 +156,31 @@ def test_sampled_pieces_decode_to_the_text_and_repeat(spark):
     assert piece_sampling.encode_sampled(odd(spark, []), path).count() == 0
 
 
+def test_long_units_have_one_lattice(monkeypatch):
+    pieces = piece_sampling.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    unit = piece_sampling.SPACE + "other" * 2000
+    seeds = np.arange(40, dtype=np.uint64)
+    drawn = piece_sampling.sample(pieces, [[unit]] * 40, seeds)
+    spelled = [[pieces.spelled[i].decode() for i in ids.tolist()] for ids in drawn]
+    assert all("".join(x) == " " + "other" * 2000 for x in spelled)
+    # forward sums against the recursion over the whole unit
+    lattice = piece_sampling.Lattices(pieces, [unit])
+    sums = [0.0]
+    for j in range(1, len(unit) + 1):
+        own = [sums[i] + pieces.weights[unit[i:j]][1] for i in range(max(0, j - pieces.longest), j) if unit[i:j] in pieces.weights]
+        sums.append(np.logaddexp.reduce(own))
+    last = len(unit) - 1
+    edges = np.flatnonzero(np.floor(lattice.cumulative - 1e-12) == last)
+    want = {i: np.exp(sums[i] + pieces.weights[unit[i:]][1] - sums[-1]) for i in range(max(0, last + 1 - pieces.longest), last + 1) if unit[i:] in pieces.weights}
+    got = dict(zip((lattice.before[edges] + 1).tolist(), np.diff(np.concatenate([[last], lattice.cumulative[edges]])).tolist()))
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    # groups of units change nothing
+    rows = [["▁a", "▁other", unit], ["▁other"], []]
+    whole = piece_sampling.sample(pieces, rows, seeds[:3])
+    monkeypatch.setattr(piece_sampling, "TOGETHER", 3)
+    assert [x.tolist() for x in piece_sampling.sample(pieces, rows, seeds[:3])] == [x.tolist() for x in whole]
+
+
 def test_sampling_follows_the_path_weights():
     pieces = piece_sampling.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
     unit = piece_sampling.SPACE + "other"
