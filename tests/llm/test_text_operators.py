@@ -250,3 +250,19 @@ def test_both_distances_are_to_one_language():
     references, judge = quality.References([*(("x", t) for t in low), *(("y", t) for t in high)]), quality.judgement(quality.LIMITS)
     assert judge(references, 1, low[0].encode())[-1] and judge(references, 1, high[0].encode())[-1]
     assert not judge(references, 1, low[0].upper().encode())[-1]  # capitals as in y, words as in x
+
+
+def test_references_come_from_every_labelled_text(spark):
+    """A text of any row moves the shares, however many rows there are."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choices(["Aa", "bb.", "cc", "--"], [1, 2, 3, 1], k=rng.randrange(1, 60))), "x") for k in range(3000)]
+    rows += [(None, "aa 1", "x"), (1, None, "x"), (2, "", "x"), (3, "zz", None), (4, "-- --", "y")]
+    (lang, found), *others = quality.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), "lang", "text")
+    own = [t for _, t, x in rows if t and x == "x"]
+    words = [[w.lower().strip(".-").encode() for w in t.split()] for t in own]
+    counts = Counter(w for t in words for w in t if w)
+    assert lang == "x" and not others
+    assert found.top == tuple(w for w, _ in counts.most_common()) and found.shares == tuple(counts[w] / counts.total() for w in found.top)
+    expected = [np.median([t.count(w) / len(t) for t in words]) for w in found.top]
+    assert np.allclose(found.medians, expected, atol=1e-4)
+    assert np.allclose(found.classes, np.median([quality.class_histogram(t.encode()) for t in own], axis=0), atol=1e-4)
