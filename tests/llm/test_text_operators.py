@@ -266,3 +266,15 @@ def test_references_come_from_every_labelled_text(spark):
     expected = [np.median([t.count(w) / len(t) for t in words]) for w in found.top]
     assert np.allclose(found.medians, expected, atol=1e-4)
     assert np.allclose(found.classes, np.median([quality.class_histogram(t.encode()) for t in own], axis=0), atol=1e-4)
+
+
+def test_the_pipeline_learns_from_rows_without_id_too(spark):
+    """References of the quality stage come from every labelled text, so junk goes even where no row has an id."""
+    import corpus_pipeline
+
+    rng, common = random.Random(12), [f"common{chr(97 + k)}" for k in range(24)]
+    plain = [" ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("abcdefgh", k=6)) for _ in range(200)) for _ in range(40)]
+    junk = " ".join("🙂" * len(w) if rng.random() < 0.3 else w for w in plain[0].split())
+    docs = spark.createDataFrame([(None, t, "x") for t in [*plain, junk]], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.quality_stage(spark, docs, "").collect()
+    assert sorted(r.text for r in kept) == sorted(plain)
