@@ -91,11 +91,18 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token entropy of each document from row-local counts of equal tokens."""
+    """Token entropy of each document that has an id; the tokens of rows that share one count together.
+
+    The texts go by id before they are cut, so a document's tokens are counted where they are; rows without id, which no
+    prompt joins, would all go to one task.
+    """
     from ebbtide.operators.counts import token_counts
     from ebbtide.operators.distributions import entropy_from_counts
 
-    counts = token_counts(tokenised(spark, sf_dir), ["doc_id"])
+    texts = documents(spark, sf_dir).where("doc_id is not null").select("doc_id", "text")
+    # a number of its own: adaptive execution would size the tasks by the texts, not by their tokens
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = token_counts(texts.repartition(tasks, "doc_id").select("doc_id", tx.tokens(F.col("text")).alias("tokens")), ["doc_id"])
     return counts.groupBy(F.col("doc_id").alias("prompt_id")).agg(entropy_from_counts(F.col("n")).alias("entropy"))
 
 
