@@ -64,13 +64,18 @@ def ngrams(sequence: Column, n: int) -> Column:
     return F.when(F.size(sequence) >= n, joined).otherwise(F.array().cast("array<string>"))
 
 
-def neighbour_pairs(sequence: Column) -> Column:
-    """``array<struct<0, 1>>`` of each token with the next one.
+def neighbours(sequence: Column, n: int = 2) -> Column:
+    """``array<struct<0, 1, ...>>`` of each token with the ``n - 1`` next ones.
 
-    Exploding this and joining the two fields afterwards stays in generated code, unlike a lambda per position.
+    Exploding this and joining the fields afterwards stays in generated code, unlike a lambda per position.
     """
-    n = F.greatest(F.size(sequence) - 1, F.lit(0))
-    return F.arrays_zip(F.slice(sequence, F.lit(1), n), F.slice(sequence, F.lit(2), n))
+    many = F.greatest(F.size(sequence) - (n - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(sequence, F.lit(k + 1), many) for k in range(n)])
+
+
+def joined(zipped: str, n: int = 2) -> Column:
+    """An exploded entry of `neighbours` as one text."""
+    return F.concat_ws(" ", *[F.col(f"{zipped}.{k}") for k in range(n)])
 
 
 def counted(sequence: Column) -> Column:

@@ -28,19 +28,20 @@ def totals(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum(n).alias("token_count"), F.count("*").alias("vocab_size"))
 
 
+def ngram_rows(tokenised: DataFrame, keys: list[str], n: int = 2, tokens: str = "tokens", out: str = "token") -> DataFrame:
+    """One row per n-gram inside each row's tokens."""
+    grams = tokenised.select(*keys, F.explode(tx.neighbours(F.col(tokens), n)).alias("_z"))
+    return grams.select(*keys, tx.joined("_z", n).alias(out))
+
+
 def bigram_rows(tokenised: DataFrame, keys: list[str], tokens: str = "tokens", out: str = "token") -> DataFrame:
     """One row per bigram inside each row's tokens."""
-    pairs = tokenised.select(*keys, F.explode(tx.neighbour_pairs(F.col(tokens))).alias("_z"))
-    return pairs.select(*keys, F.concat_ws(" ", "_z.0", "_z.1").alias(out))
+    return ngram_rows(tokenised, keys, 2, tokens, out)
 
 
 def ngram_counts(tokenised: DataFrame, keys: list[str], n: int = 2, tokens: str = "tokens") -> DataFrame:
     """Counts of n-grams inside each row, none across rows."""
-    if n == 2:
-        rows = bigram_rows(tokenised, keys, tokens)
-    else:
-        rows = tokenised.select(*keys, F.explode(tx.ngrams(F.col(tokens), n)).alias("token"))
-    return rows.groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    return ngram_rows(tokenised, keys, n, tokens).groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
 def stream_bigram_counts(tokenised: DataFrame, keys: list[str], order: str, tokens: str = "tokens") -> DataFrame:

@@ -152,8 +152,8 @@ def stream_ngrams(
 
     Blocks overlap by ``n - 1`` tokens, so each n-gram starts in exactly one block and is found row-locally.
     """
-    from ebbtide.functions.text import ngrams
+    from ebbtide.functions.text import joined, neighbours
 
     blocks = pack_blocks(tokenised, keys, order, block_size, tokens, overlap=n - 1, keep_tail=True)
-    grams = F.slice(ngrams(F.col("tokens"), n), 1, block_size)
-    return blocks.select(*keys, F.explode(grams).alias("token"))
+    grams = blocks.select(*keys, F.explode(F.slice(neighbours(F.col("tokens"), n), 1, block_size)).alias("_z"))
+    return grams.select(*keys, joined("_z", n).alias("token"))

@@ -31,3 +31,18 @@ def test_document_entropy_shuffles_texts_and_not_tokens(spark, tmp_path):
             expected[k] = -sum(n / own.total() * math.log2(n / own.total()) for n in own.values())
     got = {r.prompt_id: r.entropy for r in found.collect()}
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+def test_ngrams_of_any_length_need_no_lambda(spark):
+    rows = [(1, ["a", "b", "a", "b", "a"]), (2, ["a"]), (3, []), (4, None), (5, ["a", "b", "c", "d"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").withColumn("lang", F.lit("x"))
+    for n in (2, 3, 4):
+        counts = ct.ngram_counts(docs, ["lang"], n)
+        assert "lambda" not in plan(counts)
+        own = [t or [] for _, t in rows]
+        expected = Counter(" ".join(t[k : k + n]) for t in own for k in range(len(t) - n + 1))
+        assert {r.token: r.n for r in counts.collect()} == expected
+        stream = [t for x in own for t in x]
+        grams = sq.stream_ngrams(docs, ["lang"], "doc_id", n, block_size=4)
+        assert Counter(r.token for r in grams.collect()) == Counter(" ".join(stream[k : k + n]) for k in range(len(stream) - n + 1))
+        assert "zip" in plan(grams)
