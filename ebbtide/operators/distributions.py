@@ -36,12 +36,12 @@ def summary(counts: DataFrame, keys: list[str]) -> DataFrame:
 def aligned_counts(counts: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """Vocabulary alignment of corpus pairs ``(current, baseline)``: one row per pair and token, 0 where missing.
 
-    Each count row takes the roles its corpus plays in the pairs, then one shuffle on (pair, token) adds the two
-    sides up; no full outer join is needed and the counts are read once.
+    The counts go by token, then each row takes the roles its corpus plays in the pairs and the two sides are added up
+    where they are: a row is shuffled once, not once per role. No full outer join is needed and the counts are read once.
     """
     names = ["current", "baseline"]
     roles = [pairs.select(F.col(name).alias(key), *names, F.lit(name).alias("_role")) for name in names]
-    rows = counts.join(roles[0].unionByName(roles[1]), key)
+    rows = counts.repartition("token").join(roles[0].unionByName(roles[1]), key)
     sides = [F.sum(F.when(F.col("_role") == name, F.col("n")).otherwise(0)) for name in names]
     return rows.groupBy(*names, "token").agg(sides[0].alias("n_cur"), sides[1].alias("n_base"))
 

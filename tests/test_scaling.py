@@ -46,3 +46,20 @@ def test_ngrams_of_any_length_need_no_lambda(spark):
         grams = sq.stream_ngrams(docs, ["lang"], "doc_id", n, block_size=4)
         assert Counter(r.token for r in grams.collect()) == Counter(" ".join(stream[k : k + n]) for k in range(len(stream) - n + 1))
         assert "zip" in plan(grams)
+
+
+def test_aligned_counts_go_by_token_once(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"v{rng.randrange(4)}", rng.choice("abcdef") + str(k), rng.randrange(1, 9)) for k in range(60)]
+    counts = spark.createDataFrame(rows, "version string, token string, n long").groupBy("version", "token").agg(F.sum("n").alias("n"))
+    spark.createDataFrame([(f"v{k + 1}", f"v{k}") for k in range(3)], "current string, baseline string").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))  # a table of known, small size
+    found = ds.aligned_counts(counts, "version", pairs)
+    assert "hashpartitioning(current" not in plan(found)
+    expected = {}
+    for k in range(3):
+        for version, token, n in rows:
+            for side in (0, 1):
+                if version == f"v{k + 1 - side}":
+                    expected.setdefault((f"v{k + 1}", f"v{k}", token), [0, 0])[side] += n
+    assert {(r.current, r.baseline, r.token): [r.n_cur, r.n_base] for r in found.collect()} == expected
