@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ebbtide import schemas
 from ebbtide.operators.listings import between, where_equal
+from ebbtide.session import written
 from ebbtide.sources.files import json_files, numbered, order_columns, readable
 
 # Exported entities and model states
@@ -143,7 +144,8 @@ def import_records(records: DataFrame, entity: str, target: str, index: str = "i
 
     Nothing is written when any record is invalid.
     """
-    validated = validate(records, entity, index)
+    # read and checked once for the errors, the table and the count
+    validated = written(validate(records, entity, index), "validated")
     errors = error_rows(validated, index)
     if not errors.isEmpty():
         return 0, errors

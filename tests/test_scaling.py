@@ -63,3 +63,16 @@ def test_aligned_counts_go_by_token_once(spark, tmp_path):
                 if version == f"v{k + 1 - side}":
                     expected.setdefault((f"v{k + 1}", f"v{k}", token), [0, 0])[side] += n
     assert {(r.current, r.baseline, r.token): [r.n_cur, r.n_base] for r in found.collect()} == expected
+
+
+def test_imported_records_are_read_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(name):
+        seen.add(1)
+        return name
+
+    records = spark.range(7).select(F.col("id").alias("index"), read(F.concat(F.lit("m"), F.col("id").cast("string"))).alias("name"))
+    imported, errors = ex.import_records(records, "models", str(tmp_path / "models"))
+    assert imported == 7 and errors.isEmpty() and seen.value == 7

@@ -171,7 +171,7 @@ def s08_json(spark, d):
     t = F.col("turn") % 4
     quoted = F.expr("substr(to_json(struct(text AS t)), 6, length(to_json(struct(text AS t))) - 6)")
     entry = F.when(t == 3, F.col("turn").cast("string")).when(t == 1, quoted).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"))))
-    path = _json_arrays(spark, tb.table(spark, d, "conversations"), F.floor(F.col("conv_id") / 50), ["conv_id", "turn"], entry)
+    path = _json_arrays(spark, tb.table(spark, d, "conversations"), F.floor(F.col("conv_id") / 500), ["conv_id", "turn"], entry)
     keys = F.map_keys("record")
     return ps.read_json_prompts(spark, path).select(
         "position", F.get(keys, F.lit(0)).alias("key"), F.md5(F.get(F.map_values("record"), F.lit(0))).alias("digest")
@@ -337,7 +337,7 @@ def s12_json(spark, d):
     frequency = F.lit('{"a": 0.5}')
     record = F.concat(F.lit('{"prompt_id": '), key, F.lit(', "entropy": '), figure, F.lit(', "token_frequency": '), frequency, F.lit("}"))
     entry = F.when(i % 17 == 0, F.lit("[1]")).otherwise(record)
-    path = _json_arrays(spark, labels, F.floor(i / 40), ["doc_id"], entry)
+    path = _json_arrays(spark, labels, F.floor(i / 1000), ["doc_id"], entry)
     return ex.error_rows(ex.validate(ex.read_import_json(spark, path, "metrics"), "metrics"))
 
 
@@ -348,7 +348,7 @@ def s12_json(spark, d):
 def s12_json_stored(spark, d):
     """A clean JSON upload ends in the target table with typed columns."""
     entry = F.concat(F.lit('{"token_frequency": {"a": 0.5}, "prompt_id": '), F.col("doc_id").cast("string"), F.lit(', "entropy": '), F.col("quality").cast("string"), F.lit("}"))
-    path = _json_arrays(spark, tb.table(spark, d, "labels"), F.floor(F.col("doc_id") / 40), ["doc_id"], entry)
+    path = _json_arrays(spark, tb.table(spark, d, "labels"), F.floor(F.col("doc_id") / 1000), ["doc_id"], entry)
     target = shared_dir(spark, "imported")
     ex.import_records(ex.read_import_json(spark, path, "metrics"), "metrics", target)
     return spark.read.parquet(target).select("prompt_id", "entropy", F.try_element_at("token_frequency", F.lit("a")).alias("share"))
