@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from ebbtide import session
 from ebbtide.operators import counts as ct
 from ebbtide.operators import distributions as ds
 from ebbtide.operators import sequence as sq
@@ -76,3 +77,13 @@ def test_imported_records_are_read_once(spark, tmp_path):
     records = spark.range(7).select(F.col("id").alias("index"), read(F.concat(F.lit("m"), F.col("id").cast("string"))).alias("name"))
     imported, errors = ex.import_records(records, "models", str(tmp_path / "models"))
     assert imported == 7 and errors.isEmpty() and seen.value == 7
+
+
+def test_tasks_that_cut_texts_do_not_grow_with_the_table(spark):
+    slots = spark.sparkContext.defaultParallelism
+    few, many = (session.spread(spark.range(n).coalesce(2), "id") for n in (10, 40 * session.ROWS_PER_TASK))
+    assert few.rdd.getNumPartitions() == slots and many.rdd.getNumPartitions() == max(slots, 40)
+    cut = spark.range(0, 40 * session.ROWS_PER_TASK, 1, 3 * slots)  # splits enough, but large ones
+    assert session.spread(cut, "id").rdd.getNumPartitions() == 40
+    small = spark.range(0, 10, 1, 3 * slots)
+    assert session.spread(small, "id").rdd.getNumPartitions() == 3 * slots

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ebbtide import schemas
 from ebbtide.functions import text as tx
-from ebbtide.session import spread, written
+from ebbtide.session import dealt, spread, written
 
 EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 
@@ -99,10 +99,8 @@ def document_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ebbtide.operators.counts import token_counts
     from ebbtide.operators.distributions import entropy_from_counts
 
-    texts = documents(spark, sf_dir).where("doc_id is not null").select("doc_id", "text")
-    # a number of its own: adaptive execution would size the tasks by the texts, not by their tokens
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = token_counts(texts.repartition(tasks, "doc_id").select("doc_id", tx.tokens(F.col("text")).alias("tokens")), ["doc_id"])
+    texts = dealt(documents(spark, sf_dir).where("doc_id is not null").select("doc_id", "text"), "doc_id")
+    counts = token_counts(texts.select("doc_id", tx.tokens(F.col("text")).alias("tokens")), ["doc_id"])
     return counts.groupBy(F.col("doc_id").alias("prompt_id")).agg(entropy_from_counts(F.col("n")).alias("entropy"))
 
 
