@@ -243,6 +243,25 @@ def test_symbols_beyond_ascii_are_no_letters():
         assert not judge(references, 1, marked.encode())[-1]
 
 
+def test_judging_keeps_no_words():
+    """What a worker holds doesn't grow with the words it has seen; texts judged together get what each gets alone."""
+    import tracemalloc
+
+    references, judge = quality.References([("x", "some plain words, some more")]), quality.judgement(quality.LIMITS)
+    judge(references, 1, b"a first text")
+    tracemalloc.start()
+    for k in range(10):
+        judge(references, 1, " ".join(f"w{k}x{j}" for j in range(10_000)).encode())
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert left < 2_000_000
+    rng = random.Random(13)
+    texts = [b"", None, b" ", b" a ", "\u2003\x85 é".encode(), b"a b c d e f g h " * 2, b"\n\n a\n a\x0b"]
+    texts += ["".join(rng.choices("ab,. \n\t#é中", k=rng.randrange(200))).encode() for _ in range(200)]
+    together = zip(*(c.to_pylist() for c in quality.judged(references, quality.LIMITS, pa.array(texts, pa.binary()).slice(1))))
+    assert [tuple(r) for r in together] == [judge(references, 1, t)[1:] for t in texts[1:]]
+
+
 def test_both_distances_are_to_one_language():
     rng = random.Random(10)
     low = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(150)) for _ in range(20)]
