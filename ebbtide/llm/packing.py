@@ -12,6 +12,7 @@ come from counts per written part and length, so that no length, however common,
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -36,15 +37,26 @@ END_ID = 1
 #: Words asked of the tokenizer at once, and the word put between them.
 ASK, BETWEEN = 1024, "~"
 #: Words whose ids a worker keeps.
-KNOWN = 1_000_000
+KNOWN = 500_000
+#: Marks that the vocabulary splits from a word's letters, and the words they are cut from: letters it splits nowhere.
+MARKS, LETTERS = '.,;:?!()-"#$%&*', "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+FRONT = "".join(c for c in map(chr, range(256)) if re.match(LETTERS, c))
 #: Bytes of text whose words are looked up together (one row at least).
-TOGETHER = 2_000_000
+TOGETHER = 4_000_000
+
+
+def gathered(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that make up ``ids``, of these sizes, in another order, end to end; where each begins (with the end)."""
+    begins, many = np.cumsum(sizes) - sizes, sizes[order]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    return ids[np.repeat(begins[order] - ends[:-1], many) + np.arange(ends[-1])], ends
 
 
 class WordIds:
     """Token ids of words as little-endian 32-bit strings, from the vocabulary's own library, kept in a bounded cache.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are the ids of its words in order.
+    The vocabulary drops white space and never joins across it, so a text's ids are the ids of its words in order. Nor
+    does it join letters with marks or tell capitals apart, so most words are looked up as small letters and marks.
     """
 
     def __init__(self, vocabulary: str):
@@ -60,7 +72,7 @@ class WordIds:
     def learn(self, words: list[bytes]) -> None:
         """Ask for many new words as one text, a known id between them: far fewer calls than a call for each word."""
         apart = BETWEEN.encode()
-        fresh = [w for w in words if len(w) <= 64 and w not in self.ids and apart not in w]
+        fresh = [w for w in words if len(w) <= 64 and apart not in w]
         for i in range(0, len(fresh), ASK):
             some = fresh[i : i + ASK]
             if len(self.ids) + len(some) > KNOWN:
@@ -73,6 +85,15 @@ class WordIds:
             whole, begins, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
             self.ids.update(zip(some, (whole[a:b] for a, b in zip(begins, ends))))
 
+    def parts(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Distinct parts of distinct words; which two make up each word (the second may be empty)."""
+        front = pc.ascii_rtrim(words, characters=MARKS)
+        plain = pc.match_substring_regex(front, LETTERS)
+        front = pc.if_else(plain, pc.ascii_lower(front), words)
+        behind = pc.if_else(plain, pc.utf8_ltrim(words, characters=FRONT), "")
+        coded = pa.concat_arrays([front, behind]).dictionary_encode()
+        return coded.dictionary.view(pa.binary()).to_pylist(), coded.indices.to_numpy().reshape(2, -1)
+
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, the end id behind each text; how many ids each text has.
 
@@ -80,19 +101,18 @@ class WordIds:
         """
         split = pc.ascii_split_whitespace(pc.fill_null(texts.view(pa.string()), ""))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.view(pa.binary()).to_pylist()
-        self.learn(words)
-        known = [self.ids[w] for w in words]
+        parts, of_word = self.parts(coded.dictionary)
+        known = list(map(self.ids.get, parts))
+        self.learn([w for w, ids in zip(parts, known) if ids is None])
+        known = [self.ids[w] if ids is None else ids for w, ids in zip(parts, known)]
         sizes = np.fromiter(map(len, known), np.int64, count=len(known)) // 4
-        ids, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
-        word = coded.indices.to_numpy()
-        many = sizes[word]
-        ends = np.concatenate([[0], np.cumsum(many)])
+        # ids of each distinct word: those of its two parts
+        ids, _ = gathered(np.frombuffer(b"".join(known), "<u4"), sizes, of_word.T.reshape(-1))
+        ids, ends = gathered(ids, sizes[of_word].sum(axis=0), coded.indices.to_numpy())
         cuts = split.offsets.to_numpy()
         counts = np.diff(ends[cuts - cuts[0]])
-        where = np.repeat(begins[word] - ends[:-1], many) + np.arange(ends[-1])
-        out = np.full(ends[-1] + len(counts), END_ID, "<u4")
-        out[np.arange(ends[-1]) + np.repeat(np.arange(len(counts)), counts)] = ids[where]
+        out = np.full(len(ids) + len(counts), END_ID, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
         return out, counts + 1
 
 

@@ -76,6 +76,20 @@ def test_packing_ids_of_random_strings():
         assert ids[a:b].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, packing.END_ID], text
 
 
+def test_words_are_asked_for_without_capitals_and_marks():
+    """Forms of one word are one entry, and their ids stay those of the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, library = packing.WordIds(path), Tokenizer.from_file(path)
+    coder.of(pa.array([b"Kelo kelo, KELO.$$$ kelo, (kelo)"]))
+    assert set(coder.ids) <= {b"kelo", b",", b".$$$", b"(kelo)", b""}
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choices("aZéÀ×÷ÿßµªΣİ1'", k=rng.randrange(4))) + "".join(rng.choices(packing.MARKS + "~<|'\u0301", k=rng.randrange(4))) for _ in range(9)) for _ in range(2000)]
+    ids, counts = coder.of(pa.array([t.encode() for t in texts]))
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends):
+        assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, packing.END_ID], text
+
+
 def test_fullest_bin_against_enumeration():
     rng = random.Random(2)
     for _ in range(200):
