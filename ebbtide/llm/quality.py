@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import gram_hashes, in_pieces, mixed, slices, table, texts
+from ebbtide.llm.common import gram_hashes, in_pieces, mixed, per_text, slices, split_words, table, texts
 from ebbtide.llm.queries import register
 from ebbtide.session import written
 
@@ -104,11 +104,6 @@ def _bounds(of: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def _per_text(found: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many entries of a boolean array each text has; text k begins at at[k]."""
-    return np.diff(np.searchsorted(np.flatnonzero(found), at))
-
-
 def class_counts(of: pa.Array, errors: str = "replace") -> tuple[np.ndarray, np.ndarray]:
     """Code points of each class in each text (a row per text), and code points of each text."""
     data, at = _bounds(of)
@@ -117,10 +112,10 @@ def class_counts(of: pa.Array, errors: str = "replace") -> tuple[np.ndarray, np.
         lengths, whole = np.fromiter(map(len, parts), np.int64, count=len(parts)), "".join(parts)
     else:
         whole = data.tobytes().decode()
-        lengths = _per_text((data & 0xC0) != 0x80, at)
+        lengths = per_text((data & 0xC0) != 0x80, at)
     kinds = _classes()[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    return np.stack([_per_text(kinds == k, ends) for k in range(N_CLASSES)], axis=1), lengths
+    return np.stack([per_text(kinds == k, ends) for k in range(N_CLASSES)], axis=1), lengths
 
 
 def class_histogram(text: bytes) -> np.ndarray:
@@ -137,19 +132,6 @@ def _plain_words(words: pa.Array) -> pa.Array:
     return pc.ascii_trim(pc.ascii_lower(words), characters=".,;:'\"?!()-")
 
 
-def split_words(of: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words ``[^\\x20\\x09-\\x0D]+`` of some texts, which of them stands at each place, how many each text has."""
-    split = pc.ascii_split_whitespace(of.view(pa.string()))
-    coded = split.flatten().dictionary_encode()
-    cuts = split.offsets.to_numpy().astype(np.int64)
-    cuts, places = cuts - cuts[0], coded.indices.to_numpy()
-    nothing = pc.index(coded.dictionary, "").as_py()  # white space at the ends of a text leaves empty words
-    if nothing >= 0:
-        real = places != nothing
-        cuts, places = np.concatenate([[0], np.cumsum(_per_text(real, cuts))]), places[real]
-    return coded.dictionary, places, np.diff(cuts)
-
-
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of p (one row) to each row of q, from 0 to 1."""
     m = (p + q) / 2
@@ -388,7 +370,7 @@ def judged(references: References, limits: Limits, column: pa.Array) -> list[pa.
     words, places, n = split_words(of)
     classes, length = class_counts(of, "strict")
     blank = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    symbols = _per_text(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)), at)
+    symbols = per_text(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)), at)
     lines = np.fromiter(map(duplicate_lines, of.to_pylist()), np.int64, count=len(of))
     # words go by their number here: windows are only compared within a text
     grams = gram_hashes(mixed(places.astype(np.uint64) + np.uint64(1)), REPEAT_WINDOW)
@@ -397,7 +379,7 @@ def judged(references: References, limits: Limits, column: pa.Array) -> list[pa.
     failed = (n < MIN_WORDS) | (100 * repeated > REPEAT_PERCENT * n)
     by_class, by_word = references.distances(classes / np.maximum(1, length)[:, None], words, places, n, limits)
     far = limits.beyond(n, by_class, by_word)
-    return [pa.array(x) for x in (n, length - _per_text(blank, at), symbols, lines, repeated, by_class, by_word, failed, ~failed & ~far)]
+    return [pa.array(x) for x in (n, length - per_text(blank, at), symbols, lines, repeated, by_class, by_word, failed, ~failed & ~far)]
 
 
 def judgement(limits: Limits):

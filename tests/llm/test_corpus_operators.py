@@ -6,6 +6,9 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +110,42 @@ def test_ngram_join(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in near(rows).values()} | {None}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_ngram_join_of_texts_that_are_mostly_frequent(spark, monkeypatch, few):
+    """Prefixes that need more shingles than are stored, with all documents in the order's sample and with a part of them."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng, rows = random.Random(5), []
+    passage = [f"p{k}" for k in range(400)]
+    for i in range(90):
+        words = [*passage, *(f"d{i // 3}x{k}" for k in range(rng.choice([20, 110])))]
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"y{rng.randint(0, 99)}"
+        rows.append((i, " ".join(words)))
+    found = ngram_join.ngram_components(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near(rows)
+
+
+def test_stored_shingles_give_the_prefixes_of_whole_texts():
+    """Each text is cut into shingles once; its stored shingles give the prefix that the whole set has, or none."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefghijkl", k=rng.randint(0, 700))).encode() for _ in range(60)]
+    part = pa.record_batch([pa.array(range(60)), pa.array(texts)], names=["doc_id", "text"])
+    stored = pa.Table.from_batches(list(ngram_join._set_rows([part]))).filter(pc.field("n") > 0)
+    some = np.unique(np.concatenate(ngram_join.shingle_sets(pa.array(texts))))
+    for frequent in (some[:0], some[::9], some[::2]):
+        whole = {r["doc_id"]: [] for r in stored.to_pylist()}
+        for r in pa.Table.from_batches(list(ngram_join._text_prefix_rows([part], frequent))).to_pylist():
+            whole[r["doc_id"]].append((r["shingle"], r["position"]))
+        rows = [b for b in stored.select(["doc_id", "n", "signature", "low"]).to_batches()]
+        short = {r["doc_id"] for b in ngram_join._short_rows(rows, frequent) for r in b.to_pylist()}
+        own = {i: [] for i in whole if i not in short}
+        for b in ngram_join._prefix_rows(rows, frequent):
+            for r in b.to_pylist():
+                own[r["doc_id"]].append((r["shingle"], r["position"]))
+        assert own == {i: x for i, x in whole.items() if i not in short}
+        assert not short if not len(frequent) else len(short) < len(whole)
+
+
 def base_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
