@@ -110,6 +110,46 @@ def test_ngram_join(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in near(rows).values()} | {None}
 
 
+def near_copies(rng, many: int, changes: int) -> list[tuple[int, str]]:
+    """A text and copies of it with some words replaced, after them other texts that share a passage of it."""
+    words = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(many):
+        own = list(words)
+        for at in rng.sample(range(150), changes if i else 0):
+            own[at] = f"x{rng.randrange(40)}"
+        rows.append((many - i, " ".join(own)))
+    return rows + [(1000 + i, " ".join([*words[:40], *(f"o{i}_{k}" for k in range(10 + i))])) for i in range(many // 2)]
+
+
+@pytest.mark.parametrize("changes", [2, 4])
+def test_ngram_join_compares_few_of_many_near_copies(spark, monkeypatch, changes):
+    rows = near_copies(random.Random(changes), 120, changes)
+    seen = []
+    compared = ngram_join.compared
+
+    def watched(pairs, held):
+        seen.append(compared(pairs, held))
+        return seen[-1]
+
+    monkeypatch.setattr(ngram_join, "compared", watched)
+    found = ngram_join.ngram_components(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near(rows)
+    assert sum(x.count() for x in seen) < 8 * len(rows)
+
+
+def test_list_pairs_leave_out_leaders_that_share_too_few_lists(spark):
+    # 1 and 2 share twelve lists; 3 shares one with each of them and nine with others
+    lists = [(k, d, 40) for k in range(12) for d in (1, 2)] + [(0, 3, 40)] + [(50 + k, d, 40) for k in range(9) for d in (3, 4)]
+    placed = spark.createDataFrame(lists, "shingle long, leader long, least int")
+    of = {r.leader: r for r in ngram_join.lists_of(placed).collect()}
+    assert set(of) == {1, 2, 3}
+    rows = sorted((k, d, n, n, 38, d, 30, of[d].smallest, of[d].lists, *[of[d][f"bits_{i}"] for i in range(ngram_join.BITMAP)]) for k, d, n in lists if d in of)
+    part = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[f"c{i}" for i in range(len(rows[0]))])
+    pairs = [tuple(r.values()) for b in ngram_join._list_pairs(iter([part])) for r in b.to_pylist()]
+    assert pairs == [(1, 2, 12, 10)]
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_ngram_join_of_texts_that_are_mostly_frequent(spark, monkeypatch, few):
     """Prefixes that need more shingles than are stored, with all documents in the order's sample and with a part of them."""
