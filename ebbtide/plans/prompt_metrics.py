@@ -25,6 +25,8 @@ from ebbtide.session import written
 
 BASELINE_PROMPT_LIMIT = 100  # fixed value
 RARE_PERCENTILE = 0.1  # fixed value
+#: Most grams of all baselines that every executor holds at once; more are met by a shuffle.
+HELD_GRAMS = 2_000_000
 #: Kinds of grams.
 TOKEN, BIGRAM = 1, 2
 
@@ -132,7 +134,10 @@ def baseline_profiles(base: DataFrame, percentile: float = RARE_PERCENTILE) -> D
 
 def baseline_grams(profiles: DataFrame) -> DataFrame:
     """``(baseline, kind, gram, m)`` of every gram of a baseline."""
-    return profiles.select("baseline", F.explode("grams").alias("_g")).select("baseline", "_g.kind", "_g.gram", F.col("_g.n").alias("m"))
+    grams = profiles.select("baseline", F.explode("grams").alias("_g")).select("baseline", "_g.kind", "_g.gram", F.col("_g.n").alias("m"))
+    # told by their number: the size of the file is near the planner's limit, beyond which every gram of the corpus is shuffled
+    many = profiles.agg(F.sum(F.size("grams"))).first()[0] or 0
+    return F.broadcast(grams) if many <= HELD_GRAMS else grams
 
 
 def version_facts(prompts: DataFrame, baselines: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -182,3 +182,15 @@ def test_benchmark_without_tokens_is_zero(spark):
     assert one.sample_count == 1 and one.prompts_used == 1
     snaps = {r.model_version_id: r for r in bm.snapshot_rows(bm.benchmark_results(generations, dataset), datetime(2024, 1, 1)).collect()}
     assert snaps["one"].total_prompts == 1 and snaps["one"].benchmark["token_count"] == 1.0
+
+
+@pytest.mark.parametrize("held, joins", [(pm.HELD_GRAMS, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+@pytest.mark.parametrize("broadcast_limit", ["-1"], indirect=True)
+def test_bounded_baselines_shuffle_no_grams(spark, prompts, broadcast_limit, monkeypatch, held, joins):
+    # a file beyond the planner's limit, as a baseline of long prompts makes it
+    monkeypatch.setattr(pm, "HELD_GRAMS", held)
+    base = pm.baseline_prompts(prompts).select("*")
+    grams = pm.baseline_grams(pm.baseline_profiles(base))
+    own = spark.createDataFrame([("v1", 1, "a")], "baseline string, kind int, gram string")
+    plan = own.join(grams, ["baseline", "kind", "gram"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert joins in plan

@@ -9,7 +9,7 @@ from ebbtide.functions import vectors as vx
 from ebbtide.operators.versions import resolve_baseline
 from ebbtide.plans import benchmark as bm
 from ebbtide.plans import prompt_metrics as pm
-from ebbtide.session import shared_dir, spread, written
+from ebbtide.session import dealt, shared_dir, spread, written
 from workload import tables as tb
 from workload.distribution_queries import r6
 from workload.registry import query
@@ -17,15 +17,18 @@ from workload.registry import query
 LIMIT = 100
 
 
-def _raw_prompts(spark, d):
-    """Documents as generated prompts, with the vector of the same id."""
-    rows = spread(tb.documents(spark, d).select("doc_id", "source", "text", "n_chars"), "doc_id")
+def _plain_prompts(spark, d):
+    """Documents as generated prompts."""
+    return tb.documents(spark, d).select(
+        F.col("doc_id").alias("prompt_id"), F.col("source").alias("model_version_id"), "text", F.col("n_chars").alias("output_length")
+    )
+
+
+def _with_vectors(spark, d, rows):
+    """Prompts with the vector of the same id."""
     vectors = tb.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("prompt_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    rows = rows.select(
-        F.col("doc_id").alias("prompt_id"), F.col("source").alias("model_version_id"), "text", F.col("n_chars").alias("output_length")
-    )
     return rows.join(vectors, "prompt_id", "left")
 
 
@@ -117,9 +120,11 @@ FROM shown p LEFT JOIN en USING (doc_id) LEFT JOIN vm USING (doc_id) JOIN rn USI
 
 
 def _metrics(spark, d, **options):
-    baselines, raw = _baselines(spark, d), _raw_prompts(spark, d)
-    base = _shaped(pm.baseline_prompts(raw, LIMIT, keys=baselines))
-    return pm.prompt_metrics(_shaped(raw), baselines, LIMIT, base=base, **options)
+    baselines, raw = _baselines(spark, d), _plain_prompts(spark, d)
+    # the texts are shuffled once, by id in tasks of bounded rows; the baselines' few are picked before
+    picked = written(pm.baseline_prompts(raw, LIMIT, keys=baselines).select("baseline", "baseline_rank", *raw.columns), "baseline-prompts")
+    base = _shaped(_with_vectors(spark, d, picked))
+    return pm.prompt_metrics(_shaped(_with_vectors(spark, d, dealt(raw, "prompt_id"))), baselines, LIMIT, base=base, **options)
 
 
 @query("A30_prompt_metrics", METRIC_ROW)
