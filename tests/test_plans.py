@@ -194,3 +194,11 @@ def test_bounded_baselines_shuffle_no_grams(spark, prompts, broadcast_limit, mon
     own = spark.createDataFrame([("v1", 1, "a")], "baseline string, kind int, gram string")
     plan = own.join(grams, ["baseline", "kind", "gram"], "left")._jdf.queryExecution().executedPlan().toString()
     assert joins in plan
+
+
+def test_repeated_vectors_count_within_the_baseline_limit(spark):
+    from workload import plan_queries as pq
+
+    picked = spark.createDataFrame([("v1", i, i // 2 + 1) for i in range(2 * pq.LIMIT)], "baseline string, prompt_id int, baseline_rank int")
+    rows = pq._ranked(picked).collect()
+    assert sorted((r.prompt_id, r.baseline_rank) for r in rows) == [(i, i + 1) for i in range(pq.LIMIT)]

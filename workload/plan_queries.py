@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions import text as tx
@@ -119,11 +120,17 @@ SELECT p.doc_id AS prompt_id, p.source AS model_version_id, round(entropy, 6) AS
 FROM shown p LEFT JOIN en USING (doc_id) LEFT JOIN vm USING (doc_id) JOIN rn USING (doc_id) LEFT JOIN drift USING (doc_id) LEFT JOIN ed USING (doc_id) JOIN ls USING (source)"""
 
 
+def _ranked(picked):
+    """Baseline prompts ranked anew: a prompt with several vectors is several rows, of which LIMIT count."""
+    order = Window.partitionBy("baseline").orderBy("prompt_id")
+    return picked.withColumn("baseline_rank", F.row_number().over(order)).where(F.col("baseline_rank") <= LIMIT)
+
+
 def _metrics(spark, d, **options):
     baselines, raw = _baselines(spark, d), _plain_prompts(spark, d)
     # the texts are shuffled once, by id in tasks of bounded rows; the baselines' few are picked before
     picked = written(pm.baseline_prompts(raw, LIMIT, keys=baselines).select("baseline", "baseline_rank", *raw.columns), "baseline-prompts")
-    base = _shaped(_with_vectors(spark, d, picked))
+    base = _shaped(_ranked(_with_vectors(spark, d, picked)))
     return pm.prompt_metrics(_shaped(_with_vectors(spark, d, dealt(raw, "prompt_id"))), baselines, LIMIT, base=base, **options)
 
 
