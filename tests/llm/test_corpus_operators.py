@@ -150,6 +150,63 @@ def test_list_pairs_leave_out_leaders_that_share_too_few_lists(spark):
     assert pairs == [(1, 2, 12, 10)]
 
 
+@pytest.mark.parametrize("rows_of_a_batch", [1, 7, 1000])
+def test_list_pairs_leave_out_whole_sets_that_share_too_few(rows_of_a_batch):
+    """Of leaders that share the lists of a passage only those are paired that may link as a whole, or whose followers may."""
+    rng, sets = random.Random(8), {}
+    passage = list(range(12))
+    for i in range(30):
+        # the passage, what three of them have in common, and what a set has of its own
+        own = [100 + i // 3 * 40 + k for k in range(28)] + [10_000 + 100 * i + k for k in range(rng.choice([1, 2, 12]))]
+        sets[i] = np.unique(np.array([hash_of(x) for x in passage + own], np.uint64))
+    ids = list(sets)
+    known = pa.record_batch([pa.array(ids), pa.array([b""] * len(ids))], names=["doc_id", "text"])
+    held = iter([list(sets.values())])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ngram_join, "shingle_sets", lambda of: next(held))
+        sketches = pa.Table.from_batches(list(ngram_join._sketch_rows([known]))).to_pylist()
+    folded = {r["doc_id"]: [*np.bitwise_xor.reduce([[r[w] for w in ngram_join.WORDS[k :: ngram_join.FOLDED]] for k in range(ngram_join.FOLDED)], axis=1).tolist()] for r in sketches}
+    follows = {4: (25, 40)}  # a follower of 4 has so many shingles of its own
+    rows = []
+    for k, x in enumerate(passage):
+        for i, s in sorted(sets.items(), key=lambda e: (len(e[1]), e[0])):
+            own, fewest = follows.get(i, (0, len(s)))
+            rows.append((x, i, len(s), len(s), len(s), i, len(s), len(s), 12, *[0] * ngram_join.BITMAP, len(s), own, fewest, *folded[i]))
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + rows_of_a_batch])], names=[f"c{i}" for i in range(len(rows[0]))]) for at in range(0, len(rows), rows_of_a_batch)]
+    found = {r["a"]: set() for b in ngram_join._list_pairs(iter(parts)) for r in b.to_pylist()}
+    pairs = [r for b in ngram_join._list_pairs(iter(parts)) for r in b.to_pylist()]
+    for r in pairs:
+        found[r["a"]].add(r["b"])
+        assert (r["hits"], r["need"]) == (12, 10)
+    assert len(pairs) == sum(map(len, found.values()))
+    linked = {(a, b) for a, b in combinations(ids, 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked and all(b in found.get(a, ()) for a, b in linked)
+    assert all(4 in (a, b) for a in found for b in found[a] if a // 3 != b // 3)
+    assert any(a // 3 != b // 3 for a in found for b in found[a])
+
+
+def hash_of(x: int) -> int:
+    return int.from_bytes(hashlib.sha256(str(x).encode()).digest()[:8], "big")
+
+
+def test_ngram_join_compares_few_of_many_variants(spark, monkeypatch):
+    """Variants of a text that share most of it but too little to link aren't compared."""
+    rng, words = random.Random(9), [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(f"x{i}_{at}" if at in changed else w for at, w in enumerate(words))) for i in range(150) for changed in [rng.sample(range(150), 4)]]
+    rows += [(1000 + i, f"{rows[i][1]} more") for i in range(0, 150, 10)]
+    seen = []
+    compared = ngram_join.compared
+
+    def watched(pairs, held):
+        seen.append(compared(pairs, held))
+        return seen[-1]
+
+    monkeypatch.setattr(ngram_join, "compared", watched)
+    found = ngram_join.ngram_components(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near(rows)
+    assert sum(x.count() for x in seen) < 3 * len(rows)
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_ngram_join_of_texts_that_are_mostly_frequent(spark, monkeypatch, few):
     """Prefixes that need more shingles than are stored, with all documents in the order's sample and with a part of them."""
