@@ -1,9 +1,11 @@
-"""Row-local vector expressions on ``array<double>`` (no shuffle, no Python)."""
+"""Row-local vector expressions on ``array<double>`` (no shuffle; no Python but in `fast_pair_metrics`)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,6 +110,52 @@ def pair_metrics(p: Column, q: Column) -> Column:
     )
 
 
+def fast_pair_metrics(p: Column, q: Column) -> Column:
+    """`pair_metrics` of long vectors: numpy for those of finite numbers from 0 with a sum, the expression for all others.
+
+    An interpreted fold takes microseconds an entry.
+    """
+    return F.coalesce(_regular_pairs()(p, q), pair_metrics(p, q))
+
+
+def _regular_pairs() -> Callable[[Column, Column], Column]:
+    def figures(ps: pa.Array, qs: pa.Array) -> pa.Array:
+        return pa.array([_pair_figures(p, q) for p, q in zip(_entries(ps), _entries(qs))], _PAIR)
+
+    return F.arrow_udf(figures, "struct<kl double, js double, wasserstein double>")
+
+
+_PAIR = pa.struct([(name, pa.float64()) for name in ("kl", "js", "wasserstein")])
+
+
+def _entries(lists: pa.Array):
+    """Each list's numbers; None for one that is NULL, empty, holds a NULL or a number that isn't finite or below 0, or sums up to 0."""
+    offsets, values = lists.offsets.to_numpy(), lists.values
+    usable = values.is_valid().to_numpy(zero_copy_only=False)
+    numbers = values.to_numpy(zero_copy_only=False)
+    usable = usable & np.isfinite(numbers) & (numbers >= 0)
+    for there, start, end in zip(lists.is_valid().to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield numbers[start:end] if there and usable[start:end].all() and numbers[start:end].any() else None
+
+
+def _pair_figures(p: np.ndarray | None, q: np.ndarray | None) -> dict | None:
+    if p is None or q is None:
+        return None
+    n = max(len(p), len(q))
+    p, q = (np.concatenate([v, np.full(n - len(v), EPSILON)]) for v in (p, q))
+    total_p, total_q = p.sum(), q.sum()
+    if not (np.isfinite(total_p) and np.isfinite(total_q)):
+        return None
+    smooth_p, smooth_q = p + EPSILON, q + EPSILON
+    weight_p, weight_q = total_p + n * EPSILON, total_q + n * EPSILON
+    kl = (smooth_p * np.log(smooth_p / smooth_q)).sum() / weight_p + np.log(weight_q / weight_p)
+    a, b = p / total_p, q / total_q
+    mean = (a + b) / 2
+    js = sum((x[x > 0] * np.log2(x[x > 0] / mean[x > 0])).sum() for x in (a, b))
+    gaps = np.abs(np.cumsum(a - b))
+    return {"kl": kl, "js": np.sqrt(max(js / 2, 0.0)), "wasserstein": gaps.sum() - gaps[-1]}
+
+
 def kl_divergence(p: Column, q: Column) -> Column:
     return pair_metrics(p, q).kl
 

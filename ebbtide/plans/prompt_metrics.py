@@ -193,7 +193,7 @@ def prompt_metrics(
     keyed = _figures(prompts.withColumn("_stored", _has_payload(prompts))).join(facts, "model_version_id")
     compared = F.when(
         (F.size("_probabilities") > 0) & (F.size("base_probabilities") > 0),
-        vx.pair_metrics(F.col("_probabilities"), F.col("base_probabilities")),
+        vx.fast_pair_metrics(F.col("_probabilities"), F.col("base_probabilities")),
     )
     figures = ["entropy", "kl_divergence", "js_divergence", "wasserstein_distance", "embedding_drift", "median_length", "length_variance"]
     own_grams = F.concat(

@@ -55,6 +55,22 @@ def brute_pair(p, q):
     return kl, js, w
 
 
+def test_fast_pair_metrics_are_those_of_the_fold(spark):
+    rng = random.Random(7)
+    some = lambda: [rng.choice([0.0, rng.random(), rng.random() ** 9]) for _ in range(rng.randint(1, 60))] + [0.25]
+    odd = [None, [], [None, 0.5], [0.5, None], [-0.5, 1.0], [0.0, 0.0, 1.0], [1e-300], [float("nan"), 1.0], [1e308, 1e308]]
+    rows = [(some(), some()) for _ in range(200)] + [(x, [0.5, 0.5]) for x in odd] + [([0.25, 0.75], x) for x in odd] + [([0.5, 0.5], [0.5, 0.5])]
+    frame = spark.createDataFrame(rows, "p array<double>, q array<double>")
+    p, q = F.col("p"), F.col("q")
+    for r in frame.select(vx.fast_pair_metrics(p, q).alias("fast"), vx.pair_metrics(p, q).alias("fold")).collect():
+        assert (r.fast is None) == (r.fold is None)
+        if r.fold is not None:
+            for x, y in zip(r.fast, r.fold):
+                assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-9, abs=1e-7, nan_ok=True))
+    # what is regular doesn't take the fold
+    assert frame.limit(200).select(vx._regular_pairs()(p, q).alias("m")).where("m is null").isEmpty()
+
+
 def test_pair_metrics_properties(spark):
     rng = random.Random(3)
     rows = [([rng.random() for _ in range(rng.randint(1, 9))], [rng.random() for _ in range(rng.randint(1, 9))]) for _ in range(60)]
