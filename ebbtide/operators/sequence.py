@@ -8,6 +8,8 @@ timestamps in bursts), as its borders follow a sample of them; buckets split a k
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,11 @@ def with_bucket(df: DataFrame, order: str, width: int = BUCKET_WIDTH) -> DataFra
     each time, so every branch of a plan sees the same buckets. NULLs fall into bucket 0.
     """
     values = df.select(F.col(order).cast("double").alias("_o"))
-    picks = values.where("_o is not null").orderBy(F.xxhash64("_o")).limit(EDGES).agg(F.collect_set("_o").alias("_picks"))
-    facts = values.agg(F.struct(F.count("*").alias("rows"), F.min("_o").alias("least"), F.max("_o").alias("most")).alias("_facts"))
+    picks = values.where("_o is not null").orderBy(F.xxhash64("_o")).limit(EDGES).agg(F.collect_set("_o").alias("picks"))
+    facts = values.agg(F.count("*").alias("rows"), F.min("_o").alias("least"), F.max("_o").alias("most"))
+    # put in order once, not for each row
+    edges = F.sort_array(F.array_compact(F.array_union(F.array("least", "most"), "picks")))
+    facts = facts.crossJoin(picks).select(F.struct("rows", edges.alias("edges")).alias("_facts"))
     value = F.col(order).cast("double")
 
     def place(edges: Column) -> Column:
@@ -43,12 +48,10 @@ def with_bucket(df: DataFrame, order: str, width: int = BUCKET_WIDTH) -> DataFra
         wanted = F.greatest(F.ceil(F.col("_facts.rows") / F.lit(width)), F.lit(1))
         return F.floor((at + share) / (F.size(edges) + 1) * wanted)
 
-    # scalar subqueries: evaluated once when the plan runs
-    rows = df.withColumn("_picks", picks.scalar()).withColumn("_facts", facts.scalar())
-    edges = F.sort_array(F.array_compact(F.array_union(F.array("_facts.least", "_facts.most"), F.col("_picks"))))
-    rows = rows.withColumn("_edges", edges)
-    bucket = F.coalesce(let(F.col("_edges"), place), F.lit(0)).cast("long")
-    return rows.withColumn("bucket", bucket).drop("_edges", "_picks", "_facts")
+    # a scalar subquery: evaluated once when the plan runs
+    rows = df.withColumn("_facts", facts.scalar())
+    bucket = F.coalesce(let(F.col("_facts.edges"), place), F.lit(0)).cast("long")
+    return rows.withColumn("bucket", bucket).drop("_facts")
 
 
 def bucket_offsets(bucketed: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -148,12 +151,50 @@ def pack_blocks(
 def stream_ngrams(
     tokenised: DataFrame, keys: list[str], order: str, n: int, tokens: str = "tokens", block_size: int = 4096
 ) -> DataFrame:
-    """All n-grams of each key's stream, also across row borders, as ``(keys, token)``.
+    """All n-grams of each key's stream, also across row borders, as ``(keys, token)``; none for a NULL key.
 
-    Blocks overlap by ``n - 1`` tokens, so each n-gram starts in exactly one block and is found row-locally.
+    An n-gram inside a row is found there. One that crosses a border needs no more than the ``n - 1`` tokens at the ends
+    of the rows, so these alone are put in order: inside buckets of about ``block_size`` rows each row meets the heads of
+    the next ones, and the end of a bucket those of the next buckets, over one small row per bucket.
     """
     from ebbtide.functions.text import joined, neighbours
 
-    blocks = pack_blocks(tokenised, keys, order, block_size, tokens, overlap=n - 1, keep_tail=True)
-    grams = blocks.select(*keys, F.explode(F.slice(neighbours(F.col("tokens"), n), 1, block_size)).alias("_z"))
-    return grams.select(*keys, joined("_z", n).alias("token"))
+    def grams(rows: DataFrame, stretch: Column) -> DataFrame:
+        return rows.select(*keys, F.explode(neighbours(stretch, n)).alias("_z")).select(*keys, joined("_z", n).alias("token"))
+
+    known = tokenised.dropna(subset=keys) if keys else tokenised
+    inside = grams(known, F.col(tokens))
+    if n == 1:
+        return inside
+
+    def near(function: Callable, column: str, over, places: range) -> Column:
+        return F.flatten(F.array_compact(F.array(*[function(column, k).over(over) for k in places])))
+
+    def first(array: Column) -> Column:
+        return F.slice(array, 1, n - 1)
+
+    def last(array: Column) -> Column:
+        return F.slice(array, F.greatest(F.size(array) - (n - 2), F.lit(1)), n - 1)
+
+    # no filter on the array's size: it would be pushed below the projection that computes it
+    ends = F.struct(first(F.col(tokens)).alias("head"), last(F.col(tokens)).alias("tail"))
+    filled = F.when(F.size(tokens) > 0, F.array(ends)).otherwise(F.array().cast("array<struct<head:array<string>,tail:array<string>>>"))
+    rows = with_bucket(known, order, block_size).select(*keys, order, "bucket", F.explode(filled).alias("_e"))
+    rows = rows.select(*keys, order, "bucket", "_e.*")
+    # rows that share an order value and both ends may change places: each branch sees the same ends
+    inner = Window.partitionBy(*keys, "bucket").orderBy(order, "head", "tail")
+    rows = rows.select(
+        *keys, "bucket", "head", "tail",
+        near(F.lead, "head", inner, range(1, n)).alias("behind"),
+        near(F.lag, "tail", inner, range(n - 1, 0, -1)).alias("before"),
+        F.lag(F.lit(1)).over(inner).isNull().alias("is_first"),
+        F.lead(F.lit(1)).over(inner).isNull().alias("is_last"),
+    )
+    buckets = rows.groupBy(*keys, "bucket").agg(
+        F.max(F.when(F.col("is_first"), first(F.concat("head", "behind")))).alias("head"),
+        F.max(F.when(F.col("is_last"), last(F.concat("before", "tail")))).alias("tail"),
+    )
+    outer = Window.partitionBy(*keys).orderBy("bucket")
+    buckets = buckets.select(*keys, "tail", near(F.lead, "head", outer, range(1, n)).alias("behind"))
+    crossing = [grams(x, F.concat("tail", first(F.col("behind")))) for x in (rows, buckets)]
+    return inside.unionByName(crossing[0]).unionByName(crossing[1])

@@ -11,6 +11,7 @@ from ebbtide.operators import counts as ct
 from ebbtide.operators import distributions as ds
 from ebbtide.operators import sequence as sq
 from ebbtide.sources import exchange as ex
+from workload import QUERIES
 from workload import tables as tb
 
 
@@ -49,6 +50,41 @@ def test_ngrams_of_any_length_need_no_lambda(spark):
         assert "zip" in plan(grams)
 
 
+def test_stream_ngrams_put_only_the_ends_of_rows_in_order(spark):
+    rng = random.Random(3)
+    rows = [(k // 2 if k < 8 else k, rng.choice("xy"), rng.choices("abcdef", k=rng.choice([0, 1, 1, 2, 3, 9, 30]))) for k in range(160)]
+    rows = [(k, lang, t if i % 2 or i >= 8 else rows[i + 1][2]) for i, (k, lang, t) in enumerate(rows)]
+    rows = [(k, rows[i + 1][1] if i < 8 and i % 2 == 0 else lang, t) for i, (k, lang, t) in enumerate(rows)]  # ids that come twice, with equal rows
+    docs = spark.createDataFrame([*rows, (500, "x", None), (501, None, ["a"] * 5)], "doc_id long, lang string, tokens array<string>")
+    for n in (1, 2, 3, 5):
+        for block_size in (1, 3, 1000):
+            grams = sq.stream_ngrams(docs, ["lang"], "doc_id", n, block_size=block_size)
+            expected = Counter()
+            for lang in "xy":
+                stream = [t for _, own, tokens in sorted(rows) if own == lang for t in tokens]
+                expected.update((lang, " ".join(stream[k : k + n])) for k in range(len(stream) - n + 1))
+            assert Counter((r.lang, r.token) for r in grams.collect()) == expected
+    # no exchange moves whole rows of tokens: what it gets holds their first and last ones only
+    text = spark._jvm.PythonSQLUtils.explainString(sq.stream_ngrams(docs, ["lang"], "doc_id", 3)._jdf.queryExecution(), "formatted")
+    moved = [part for part in text.split("\n\n") if ") Exchange" in part.split("\n")[0] and "Input" in part]
+    assert any("head#" in part for part in moved)
+    assert not any(name in part for part in moved for name in ("tokens#", "_t#", "_piece#"))
+
+
+def test_stream_trigrams_store_no_tokens(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdef", k=rng.choice([0, 1, 2, 5, 20]))) for _ in range(80)] + ["= heading a b", None]
+    rows = [(k, rng.choice(["de", "en"]), text) for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(tb, "written", lambda df, purpose: 1 / 0)
+    found = {r.lang: (r.trigrams, r.distinct_trigrams) for r in QUERIES["W07_stream_trigrams"](spark, str(tmp_path)).collect()}
+    for lang in ("de", "en"):
+        stream = [t for _, own, text in rows if own == lang and text and text[0] != "=" for t in text.split()]
+        grams = [tuple(stream[k : k + 3]) for k in range(len(stream) - 2)]
+        assert found.pop(lang) == (len(grams), len(set(grams)))
+    assert not found
+
+
 def test_aligned_counts_go_by_token_once(spark, tmp_path):
     rng = random.Random(2)
     rows = [(f"v{rng.randrange(4)}", rng.choice("abcdef") + str(k), rng.randrange(1, 9)) for k in range(60)]
