@@ -138,6 +138,42 @@ def test_ngram_join_compares_few_of_many_near_copies(spark, monkeypatch, changes
     assert sum(x.count() for x in seen) < 8 * len(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_ngram_join_of_ids_that_have_several_texts(spark, parts):
+    """A document links by each of its texts, however the rows lie."""
+    rng, rows = random.Random(11), []
+    for i in range(60):
+        words = [f"b{i // 5}w{k}" for k in range(rng.choice([12, 60, 140]) if i % 5 == 0 else len(rows[-1][1].split()))]
+        for _ in range(rng.choice([0, 1, 2])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(30)}"
+        rows.append((i * 7 % 60, " ".join(words)))
+    # texts of several groups, long and short ones, under one id; an id's other text may be equal to another's, empty or null
+    rows += [(rows[k][0], rows[(k * 13 + 5) % 60][1]) for k in range(0, 60, 9)] + [(rows[0][0], None), (rows[3][0], ""), (100, rows[1][1]), (100, "no other text has this")]
+    rows += [(101, None), (101, "  "), *rows[:4]]
+    # documents without id: one near to others, one that two ids meet by, one that is near to none, one without words
+    chain = [[f"c{k}" for k in range(100)]]
+    for at in ((20, 70), (40, 90)):
+        chain.append([f"changed{k}" if k in at else w for k, w in enumerate(chain[-1])])
+    rows += [(201, " ".join(chain[0])), (None, " ".join(chain[1])), (200, " ".join(chain[2]))]
+    rows += [(None, rows[5][1]), (None, " ".join(map(str, range(12)))), (None, None)]
+    parent = list(range(len(rows)))
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [(t or "").lower().split()]]
+    for x, y in combinations(range(len(rows)), 2):
+        a, b = sets[x], sets[y]
+        if rows[x][0] == rows[y][0] is not None or (a and b and 100 * len(a & b) >= 80 * len(a | b)):
+            parent[top(x)] = top(y)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min((x for x in (i, least.get(top(k))) if x is not None), default=None)
+    assert [least[top(k)] for k, (i, _) in enumerate(rows) if i in (None, 200, 201)].count(200) == 3
+    expected = Counter((i, len(sets[k]), least[top(k)]) for k, (i, _) in enumerate(rows))
+    assert Counter(map(tuple, ngram_join.ngram_components(frame(spark, rows).repartition(parts)).collect())) == expected
+
+
 def test_list_pairs_leave_out_leaders_that_share_too_few_lists(spark):
     # 1 and 2 share twelve lists; 3 shares one with each of them and nine with others
     lists = [(k, d, 40) for k in range(12) for d in (1, 2)] + [(0, 3, 40)] + [(50 + k, d, 40) for k in range(9) for d in (3, 4)]
