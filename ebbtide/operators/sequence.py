@@ -37,8 +37,8 @@ def with_bucket(df: DataFrame, order: str, width: int = BUCKET_WIDTH) -> DataFra
     picks = values.where("_o is not null").orderBy(F.xxhash64("_o")).limit(EDGES).agg(F.collect_set("_o").alias("picks"))
     facts = values.agg(F.count("*").alias("rows"), F.min("_o").alias("least"), F.max("_o").alias("most"))
     # put in order once, not for each row
-    edges = F.sort_array(F.array_compact(F.array_union(F.array("least", "most"), "picks")))
-    facts = facts.crossJoin(picks).select(F.struct("rows", edges.alias("edges")).alias("_facts"))
+    edges = F.sort_array(F.array_compact(F.array_union(F.array("least", "most"), picks.scalar())))
+    facts = facts.select(F.struct("rows", edges.alias("edges")).alias("_facts"))
     value = F.col(order).cast("double")
 
     def place(edges: Column) -> Column:
@@ -48,7 +48,7 @@ def with_bucket(df: DataFrame, order: str, width: int = BUCKET_WIDTH) -> DataFra
         wanted = F.greatest(F.ceil(F.col("_facts.rows") / F.lit(width)), F.lit(1))
         return F.floor((at + share) / (F.size(edges) + 1) * wanted)
 
-    # a scalar subquery: evaluated once when the plan runs
+    # scalar subqueries: evaluated once when the plan runs
     rows = df.withColumn("_facts", facts.scalar())
     bucket = F.coalesce(let(F.col("_facts.edges"), place), F.lit(0)).cast("long")
     return rows.withColumn("bucket", bucket).drop("_facts")
